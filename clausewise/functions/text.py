@@ -30,7 +30,7 @@ def let(value: Column, body) -> Column:
 
 
 def finditer(text: Column, pattern: str, ignore_case: bool = False,
-             translate: bool = True) -> Column:
+             translate: bool = True, prefilter: str | None = None) -> Column:
     """Non-overlapping matches of a Python pattern as
     `array<struct<span_start:int, span_end:int, text:string>>`, left to right.
 
@@ -38,6 +38,9 @@ def finditer(text: Column, pattern: str, ignore_case: bool = False,
     between them (both walk the same `Matcher.find` sequence); the start of
     match i is the length of everything before it, a prefix sum over
     `len(part_j) + len(match_j)`.  NULL text yields an empty array.
+
+    `prefilter` is an optional cheap Java pattern that every match must
+    contain (a necessary condition); texts without it skip the exact pattern.
     """
     java = to_java(pattern, ignore_case) if translate else pattern
     src = F.coalesce(text, F.lit(""))
@@ -54,9 +57,12 @@ def finditer(text: Column, pattern: str, ignore_case: bool = False,
                                    (start + F.length(m)).alias("span_end"),
                                    m.alias("text")))))
 
-    return let(F.regexp_extract_all(src, F.lit(java), 0), lambda ms: F.when(
+    found = let(F.regexp_extract_all(src, F.lit(java), 0), lambda ms: F.when(
         F.size(ms) > 0, let(F.split(src, java, -1), lambda parts: with_parts(ms, parts)))
         .otherwise(_empty_spans()))
+    if prefilter is None:
+        return found
+    return F.when(src.rlike(prefilter), found).otherwise(_empty_spans())
 
 
 def py_strip(col: Column) -> Column:

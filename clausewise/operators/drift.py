@@ -7,9 +7,11 @@ document then finds, per chunk, its best template in place; no shuffle.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewise.functions.dense import best_match_for_bags
 from clausewise.functions.text import let, split_paragraphs
 from clausewise.functions.vectors import DEFAULT_DIM, bag_norm, buckets, embed_text, sq_norm
 from clausewise.functions.violations import empty_violations, violation
@@ -53,40 +55,52 @@ def template_store(templates: DataFrame, id_col: str = "template_id", text_col:
     return latest.agg(F.collect_list(item).alias("items"))
 
 
-def drift_violations(text: Column, items: Column, metric: str = "l2", sep: str = PARAGRAPH_SEP,
-                     dim: int = DEFAULT_DIM, chunk_col: Column | None = None) -> Column:
-    """D4 as array<violation> for one document given the packed store."""
+def store_matrix(store: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The packed store row as a numpy matrix (bounded: see template_store)."""
+    row = store.collect()
+    items = row[0]["items"] if row else []
+    if not items:
+        return np.zeros((0, 1)), np.zeros(0)
+    m = np.array([it["vec"] for it in items], dtype=np.float64)
+    return m, (m * m).sum(axis=1)
+
+
+def drift_violations(text: Column, store_bc, metric: str = "l2", sep: str = PARAGRAPH_SEP,
+                     dim: int = DEFAULT_DIM, chunk_col: Column | None = None,
+                     has_store: bool = True) -> Column:
+    """D4 as array<violation> for one document.  Chunk bags are hashed in the
+    JVM; the best-template similarity of all chunks of a batch of documents is
+    one numpy matrix product against the broadcast store."""
     cs = chunk_col if chunk_col is not None else chunks(text, sep)
-    # bind each chunk's bag and norm once (lambda variables are not re-evaluated)
-    bagged = F.transform(cs, lambda c: let(buckets(c["chunk"], dim), lambda bag: F.struct(
-        c.alias("c"), bag.alias("bag"), bag_norm(bag).alias("norm"))))
-
-    def one(x: Column) -> Column:
-        return let(nearest_one(x["bag"], "bag", x["norm"], items, metric),
-                   lambda best: judge(x["c"], best))
-
-    def judge(c: Column, best: Column) -> Column:
-        sim = F.coalesce(best["similarity"], F.lit(0.0))
-        has_store = F.size(items) > 0
-        return F.struct(
-            (has_store & (sim < SIMILARITY_THRESHOLD) | ~has_store).alias("flag"),
-            violation(
-                scanner="template", type="template_drift", chunk_index=c["chunk_index"],
-                span_start=c["span_start"], span_end=c["span_end"],
-                similarity=F.when(has_store, sim).otherwise(F.lit(0.0)),
-                threshold=F.when(has_store, F.lit(SIMILARITY_THRESHOLD)),
-                severity=F.when(~has_store, F.lit("low"))
-                .when(sim > MEDIUM_ABOVE, F.lit("medium")).otherwise(F.lit("high")),
-                message=F.when(~has_store, F.lit(NO_TEMPLATE_MESSAGE)).otherwise(
-                    F.concat(F.lit("Chunk deviates from template (similarity: "),
-                             F.format_number(sim, 2), F.lit(")"))),
-            ).alias("v"))
-
-    scored = F.transform(bagged, one)
+    bags = F.transform(cs, lambda c: buckets(c["chunk"], dim))
+    sims = best_match_for_bags(bags, store_bc, dim, metric)
+
+    def judge(c: Column, sim_raw: Column) -> Column:
+        sim = F.coalesce(sim_raw, F.lit(0.0))
+        flag = (sim < SIMILARITY_THRESHOLD) if has_store else F.lit(True)
+        return F.struct(flag.alias("flag"), violation(
+            scanner="template", type="template_drift", chunk_index=c["chunk_index"],
+            span_start=c["span_start"], span_end=c["span_end"],
+            similarity=sim if has_store else F.lit(0.0),
+            threshold=F.lit(SIMILARITY_THRESHOLD) if has_store else None,
+            severity=(F.when(sim > MEDIUM_ABOVE, F.lit("medium")).otherwise(F.lit("high"))
+                      if has_store else "low"),
+            message=(F.concat(F.lit("Chunk deviates from template (similarity: "),
+                              F.format_number(sim, 2), F.lit(")")) if has_store else NO_TEMPLATE_MESSAGE),
+        ).alias("v"))
+
+    scored = F.zip_with(cs, sims, judge)
     return F.coalesce(F.transform(F.filter(scored, lambda x: x["flag"]), lambda x: x["v"]),
                       empty_violations())
 
 
+def broadcast_store(spark, templates: DataFrame, dim: int = DEFAULT_DIM):
+    """Embed, size-check and broadcast the template store; returns
+    (broadcast variable, non-empty flag)."""
+    m, n2 = store_matrix(template_store(templates, dim=dim))
+    return spark.sparkContext.broadcast((m, n2)), m.shape[0] > 0
+
+
 def with_template_store(docs: DataFrame, store: DataFrame) -> DataFrame:
     """Attach the packed store (one row, size-checked) by a broadcast join on
     a constant key: every document meets exactly one store row."""
@@ -107,9 +121,9 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def detect_drift(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  metric: str = "l2", sep: str = PARAGRAPH_SEP, dim: int = DEFAULT_DIM) -> DataFrame:
     """D4 as rows: one per drifting chunk."""
-    store = template_store(templates, dim=dim)
-    v = drift_violations(F.col(text_col), F.col("items"), metric, sep, dim)
-    return (with_template_store(docs.select(id_col, text_col), store)
+    bc, has = broadcast_store(docs.sparkSession, templates, dim)
+    v = drift_violations(F.col(text_col), bc, metric, sep, dim, has_store=has)
+    return (docs.select(id_col, text_col)
             .select(id_col, F.explode(v).alias("v"))
             .select(id_col, F.col("v.chunk_index").alias("chunk_index"), "v.span_start", "v.span_end",
                     F.round("v.similarity", 6).alias("similarity"), "v.severity", "v.message"))

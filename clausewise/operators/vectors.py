@@ -96,6 +96,9 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
     base = queries.select(F.col(query_id).alias("_qid"), q.alias("_q"),
                           query_aux(q, query_kind).alias("_qa"))
 
+    if n_blocks == 1 and query_kind == "dense":
+        return _top_k_numpy(queries, store, k, metric, query_id, query_vec, store_id, store_vec,
+                            payload_cols, exclude_self)
     if n_blocks == 1:
         joined = base.withColumn("_blk", F.lit(0)).join(F.broadcast(packed), "_blk")
     else:
@@ -121,6 +124,60 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
     return out
 
 
+def _top_k_numpy(queries: DataFrame, store: DataFrame, k: int, metric: str, query_id: str,
+                 query_vec: str, store_id: str, store_vec: str, payload_cols: list[str],
+                 exclude_self: bool) -> DataFrame:
+    """Single-block exact top-k: the (size-checked) store is broadcast once as
+    a matrix; each Arrow batch of queries is scored with one matrix product
+    and ranked by (similarity desc, id asc)."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from clausewise.functions.dense import similarity_matrix
+
+    spark = queries.sparkSession
+    rows = store.select(store_id, store_vec, *payload_cols).collect()  # <= block_rows rows
+    ids = np.array([r[0] for r in rows])
+    mat = (np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows
+           else np.zeros((0, 1)))
+    pay = {c: [r[i + 2] for r in rows] for i, c in enumerate(payload_cols)}
+    bc = spark.sparkContext.broadcast((ids, mat, (mat * mat).sum(axis=1) if rows else np.zeros(0), pay))
+    qtype = queries.schema[query_id].dataType
+    stype = store.schema[store_id].dataType
+    fields = [T.StructField(query_id, qtype), T.StructField("rank", T.IntegerType()),
+              T.StructField("id", stype), T.StructField("similarity", T.DoubleType()),
+              T.StructField("distance", T.DoubleType())] + \
+             [T.StructField(c, store.schema[c].dataType) for c in payload_cols]
+
+    def score(batches):
+        s_ids, s_mat, s_n2, s_pay = bc.value
+        order_ids = np.argsort(np.argsort(s_ids, kind="stable"), kind="stable")  # id rank for ties
+        for pdf in batches:
+            if len(pdf) == 0 or len(s_ids) == 0:
+                continue
+            q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[query_vec]])
+            sim, dist = similarity_matrix(q, (q * q).sum(axis=1), s_mat, s_n2, metric)
+            if exclude_self:
+                same = pdf[query_id].to_numpy()[:, None] == s_ids[None, :]
+                sim = np.where(same, -np.inf, sim)
+            kk = min(k, len(s_ids) - (1 if exclude_self else 0))
+            if kk <= 0:
+                continue
+            # rank by similarity desc, then id asc
+            idx = np.lexsort((np.broadcast_to(order_ids, sim.shape), -sim), axis=1)[:, :kk]
+            r = np.arange(len(pdf))[:, None]
+            out = {query_id: np.repeat(pdf[query_id].to_numpy(), kk),
+                   "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf)),
+                   "id": s_ids[idx].ravel(), "similarity": sim[r, idx].ravel(),
+                   "distance": dist[r, idx].ravel()}
+            for c in payload_cols:
+                out[c] = [s_pay[c][j] for j in idx.ravel()]
+            yield pd.DataFrame(out)
+
+    return queries.select(query_id, query_vec).mapInPandas(score, T.StructType(fields))
+
+
 def nearest_one(q: Column, q_kind: str, q_aux: Column, items: Column, metric: str = "l2") -> Column:
     """Top-1 candidate struct (or NULL for an empty store) for a packed store
     column; used inline when the store is a small broadcast dimension."""

@@ -20,7 +20,7 @@ from clausewise.functions.text import let
 from clausewise.functions.vectors import DEFAULT_DIM, buckets
 from clausewise.functions.violations import VIOLATION_TYPE, empty_violations, number
 from clausewise.operators import decide as dec
-from clausewise.operators.drift import (PARAGRAPH_SEP, chunks, drift_violations, template_store)
+from clausewise.operators.drift import PARAGRAPH_SEP, broadcast_store, chunks, drift_violations
 from clausewise.operators.pii import pii_violations
 from clausewise.operators.rewrite import apply_fixes, suggestions
 from clausewise.operators.rules import policy_violations, rules_checked
@@ -42,21 +42,13 @@ ENRICHED_TYPE = T.StructType(VIOLATION_TYPE.fields + [
 ])
 
 
-def dimensions(spark: SparkSession, templates: DataFrame | None, policies: DataFrame | None,
-               dim: int, with_drift: bool) -> DataFrame:
-    """One row holding the packed template store and the policy map; both are
-    size-checked small dimensions, broadcast to every task."""
+def dimensions(spark: SparkSession, policies: DataFrame | None) -> DataFrame:
+    """One row holding the policy map (a size-checked small dimension,
+    broadcast to every task)."""
     pol = policies if policies is not None else policies_table(spark)
     if pol.limit(MAX_POLICIES + 1).count() > MAX_POLICIES:
         raise ValueError("policy table too large to broadcast")
-    pol_row = pol.agg(F.map_from_entries(F.collect_list(F.struct("policy_id", "content")))
-                      .alias("policy_map"))
-    if not with_drift:
-        return pol_row
-    tpl = templates if templates is not None else templates_table(spark)
-    # both sides hold exactly one row: a constant-key join pairs them
-    return (template_store(tpl, dim=dim).withColumn("_k", F.lit(0))
-            .join(pol_row.withColumn("_k", F.lit(0)), "_k").drop("_k"))
+    return pol.agg(F.map_from_entries(F.collect_list(F.struct("policy_id", "content"))).alias("policy_map"))
 
 
 def search_text(v: Column) -> Column:
@@ -72,7 +64,10 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
     """Audit every document.  `history` (id, text[, embedding]) enables the
     similar-past-violation search; None or empty gives empty lists."""
     spark = docs.sparkSession
-    dims = dimensions(spark, templates, policies, dim, with_drift)
+    dims = dimensions(spark, policies)
+    if with_drift:
+        store_bc, has_store = broadcast_store(
+            spark, templates if templates is not None else templates_table(spark), dim)
     text = F.col(text_col)
 
     d = docs.select(F.col(id_col), text).withColumn("_cls", classify(text))
@@ -88,7 +83,7 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
                  signature_hits(text).alias("_sig_hits"),
                  (chunks(text, sep) if with_drift else F.array()).alias("_chunks"))
     d = d.select("*",
-                 (drift_violations(text, F.col("items"), metric, sep, dim, F.col("_chunks"))
+                 (drift_violations(text, store_bc, metric, sep, dim, F.col("_chunks"), has_store)
                   if with_drift else empty_violations()).alias("_drift"),
                  signature_violations(text, doc_type, F.col("_sig_hits")).alias("_sig"))
     d = d.withColumn("_v", number(F.concat("_pii", "_pol", "_drift", "_sig")))

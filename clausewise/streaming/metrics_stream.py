@@ -14,14 +14,23 @@ from pyspark.sql import functions as F
 
 from clausewise.session import checkpoint_dir
 
+
+def _glob(path: str) -> str:
+    """A file stream source watches a folder; a single-file table is named by
+    a glob that matches exactly that file (new files of the same name pattern
+    in the folder would be picked up as new input)."""
+    if path.endswith(".parquet") and not os.path.isdir(path):
+        return path[:-len(".parquet")] + "*.parquet"
+    return path
+
 WINDOW = "1 day"
 WATERMARK = "1 hour"
 
 
 def event_metrics_stream(spark: SparkSession, source_path: str, out_dir: str, checkpoint: str,
                          window: str = WINDOW, watermark: str = WATERMARK):
-    schema = spark.read.parquet(source_path).schema
-    ev = (spark.readStream.schema(schema).parquet(source_path)
+    schema = spark.read.option("basePath", os.path.dirname(source_path)).parquet(_glob(source_path)).schema
+    ev = (spark.readStream.schema(schema).option("basePath", os.path.dirname(source_path)).parquet(_glob(source_path))
           .withColumn("ts", F.col("ts").cast("timestamp")))
     agg = (ev.withWatermark("ts", watermark)
            .groupBy(F.window("ts", window).alias("w"), "event_type")
