@@ -94,11 +94,25 @@ def drift_violations(text: Column, store_bc, metric: str = "l2", sep: str = PARA
                       empty_violations())
 
 
-def broadcast_store(spark, templates: DataFrame, dim: int = DEFAULT_DIM):
-    """Embed, size-check and broadcast the template store; returns
-    (broadcast variable, non-empty flag)."""
-    m, n2 = store_matrix(template_store(templates, dim=dim))
-    return spark.sparkContext.broadcast((m, n2)), m.shape[0] > 0
+def broadcast_store(spark, templates: DataFrame, dim: int = DEFAULT_DIM, id_col: str = "template_id",
+                    text_col: str = "text"):
+    """Embed (in Spark), size-check and broadcast the template store in one
+    job; returns (broadcast variable, non-empty flag).  Duplicate ids: the
+    last stored wins."""
+    ts = F.col("stored_at") if "stored_at" in templates.columns else F.lit(None).cast("timestamp")
+    rows = (templates.select(F.col(id_col).alias("id"), ts.alias("ts"),
+                             embed_text(F.col(text_col), dim).alias("vec"))
+            .limit(MAX_TEMPLATES + 1).collect())
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError(f"template store larger than {MAX_TEMPLATES}; use vectors.top_k_similar")
+    latest: dict = {}
+    for r in rows:
+        prev = latest.get(r["id"])
+        if prev is None or (r["ts"] is not None and (prev["ts"] is None or r["ts"] >= prev["ts"])):
+            latest[r["id"]] = r
+    vecs = [latest[k]["vec"] for k in sorted(latest)]
+    m = np.array(vecs, dtype=np.float64) if vecs else np.zeros((0, dim))
+    return spark.sparkContext.broadcast((m, (m * m).sum(axis=1))), m.shape[0] > 0
 
 
 def with_template_store(docs: DataFrame, store: DataFrame) -> DataFrame:

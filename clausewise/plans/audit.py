@@ -12,6 +12,8 @@ search against a non-empty history, done once per distinct search text.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ from clausewise.operators.rules import policy_violations, rules_checked
 from clausewise.operators.signatures import signature_hits, signature_violations
 from clausewise.operators.triage import classify
 from clausewise.operators.vectors import top_k_similar
-from clausewise.sources.reference_texts import policies_table, templates_table
+from clausewise.sources.reference_texts import POLICIES, templates_table
 
 SIMILAR_TOP_K = 3
 MAX_POLICIES = 100_000
@@ -42,13 +44,45 @@ ENRICHED_TYPE = T.StructType(VIOLATION_TYPE.fields + [
 ])
 
 
-def dimensions(spark: SparkSession, policies: DataFrame | None) -> DataFrame:
-    """One row holding the policy map (a size-checked small dimension,
-    broadcast to every task)."""
-    pol = policies if policies is not None else policies_table(spark)
-    if pol.limit(MAX_POLICIES + 1).count() > MAX_POLICIES:
-        raise ValueError("policy table too large to broadcast")
-    return pol.agg(F.map_from_entries(F.collect_list(F.struct("policy_id", "content"))).alias("policy_map"))
+def policy_map(policies: DataFrame | None) -> Column:
+    """The policy texts as a literal map column.  The table is a small
+    dimension: it is read once (size-checked) and inlined into the plan, so
+    every task has it without a join."""
+    if policies is None:
+        items = sorted(POLICIES.items())
+    else:
+        rows = policies.select("policy_id", "content").limit(MAX_POLICIES + 1).collect()
+        if len(rows) > MAX_POLICIES:
+            raise ValueError("policy table too large to inline")
+        items = [(r[0], r[1]) for r in rows]
+    if not items:
+        return F.create_map().cast("map<string,string>")
+    return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]), F.array(*[F.lit(v) for _, v in items]))
+
+
+@lru_cache(maxsize=16)
+def _scanners(text_col: str, sep: str, confirm_pii: bool, with_drift: bool):
+    """Scanner expressions for a text column (built once per process: the
+    Column trees are large and cost many gateway calls to build)."""
+    text = F.col(text_col)
+    doc_type = F.col("_cls.document_type")
+    return (classify(text), pii_violations(text, confirm=confirm_pii), policy_violations(text, doc_type),
+            rules_checked(doc_type), signature_hits(text),
+            chunks(text, sep) if with_drift else F.array().cast(
+                "array<struct<chunk_index:int,chunk:string,span_start:int,span_end:int>>"))
+
+
+@lru_cache(maxsize=16)
+def _tail(text_col: str):
+    """Enrichment, suggestion, score and decision expressions (cached)."""
+    text = F.col(text_col)
+    enriched = F.transform(F.col("_v"), lambda v: F.struct(
+        *[v[f.name].alias(f.name) for f in VIOLATION_TYPE.fields],
+        F.when(v["rule_id"].isNotNull(), F.try_element_at(F.col("policy_map"), v["rule_id"]))
+        .alias("policy_snippet"),
+        F.when(F.length(search_text(v)) > 0, F.array().cast(SIMILAR_TYPE)).alias("similar_violations"),
+    ))
+    return enriched, suggestions(text, F.col("_v")), dec.score(F.col("_v"))
 
 
 def search_text(v: Column) -> Column:
@@ -64,24 +98,24 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
     """Audit every document.  `history` (id, text[, embedding]) enables the
     similar-past-violation search; None or empty gives empty lists."""
     spark = docs.sparkSession
-    dims = dimensions(spark, policies)
+    pmap = policy_map(policies)
     if with_drift:
         store_bc, has_store = broadcast_store(
             spark, templates if templates is not None else templates_table(spark), dim)
     text = F.col(text_col)
 
-    d = docs.select(F.col(id_col), text).withColumn("_cls", classify(text))
-    d = (d.withColumn("_k", F.lit(0))
-         .join(F.broadcast(dims.withColumn("_k", F.lit(0))), "_k", "left").drop("_k"))
+    if rules is None:
+        cls_c, pii_c, pol_c, nrules_c, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift)
+    else:
+        cls_c, pii_c, _p, _n, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift)
+        pol_c = policy_violations(text, F.col("_cls.document_type"), rules)
+        nrules_c = rules_checked(F.col("_cls.document_type"), rules)
     doc_type = F.col("_cls.document_type")
+    d = docs.select(F.col(id_col), text).withColumn("_cls", cls_c).withColumn("policy_map", pmap)
 
     # scanners (each result bound in its own column)
-    d = d.select("*",
-                 pii_violations(text, confirm=confirm_pii).alias("_pii"),
-                 policy_violations(text, doc_type, rules).alias("_pol"),
-                 rules_checked(doc_type, rules).alias("rules_checked"),
-                 signature_hits(text).alias("_sig_hits"),
-                 (chunks(text, sep) if with_drift else F.array()).alias("_chunks"))
+    d = d.select("*", pii_c.alias("_pii"), pol_c.alias("_pol"), nrules_c.alias("rules_checked"),
+                 sig_c.alias("_sig_hits"), chunks_c.alias("_chunks"))
     d = d.select("*",
                  (drift_violations(text, store_bc, metric, sep, dim, F.col("_chunks"), has_store)
                   if with_drift else empty_violations()).alias("_drift"),
@@ -90,14 +124,10 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
 
     # enrichment E1 (policy text by rule id); E2 handled below
     has_history = history is not None and history.limit(1).count() > 0
-    d = d.withColumn("violations", F.transform(F.col("_v"), lambda v: F.struct(
-        *[v[f.name].alias(f.name) for f in VIOLATION_TYPE.fields],
-        F.when(v["rule_id"].isNotNull(), F.try_element_at(F.col("policy_map"), v["rule_id"]))
-        .alias("policy_snippet"),
-        F.when(F.length(search_text(v)) > 0, F.array().cast(SIMILAR_TYPE)).alias("similar_violations"),
-    )))
-    d = d.withColumn("suggestions", suggestions(text, F.col("_v"), rewrite_fn))
-    d = d.withColumn("_score", dec.score(F.col("_v")))
+    enriched_c, sugg_c, score_c = _tail(text_col)
+    d = d.withColumn("violations", enriched_c)
+    d = d.withColumn("suggestions", sugg_c if rewrite_fn is None else suggestions(text, F.col("_v"), rewrite_fn))
+    d = d.withColumn("_score", score_c)
     d = d.withColumn("_dec", dec.decide(F.col("_score.violation_score"), F.size("suggestions")))
 
     out = d.select(
