@@ -65,4 +65,7 @@ def best_match_for_bags(bags: Column, store_bc, dim: int, metric: str) -> Column
                 i += n
         return pd.Series(out)
 
-    return best(bags)
+    # Marked nondeterministic (it is not) as an optimisation fence: no filter
+    # is pushed below, and no projection is inlined through, the scanner stage
+    # feeding it, so the scanners and the UDF run once per row.
+    return best.asNondeterministic()(bags)

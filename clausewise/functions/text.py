@@ -65,6 +65,18 @@ def finditer(text: Column, pattern: str, ignore_case: bool = False,
     return F.when(src.rlike(prefilter), found).otherwise(_empty_spans())
 
 
+def explode_rows(df, keep: list, arr: Column, pos: str | None = None, val: str = "v"):
+    """One row per element of `arr` (none for an empty or NULL array).
+
+    Uses the outer generator and filters on the position above it.  With an
+    inner explode the optimizer infers `size(arr) > 0` and pushes it below the
+    projection that computes `arr`, substituting the whole array expression
+    into the filter, which then evaluates it a second time."""
+    p = pos or "_pos"
+    out = df.select(*keep, F.posexplode_outer(arr).alias(p, val)).where(F.col(p).isNotNull())
+    return out if pos else out.drop(p)
+
+
 def py_strip(col: Column) -> Column:
     """Python `str.strip()` (Unicode whitespace at both ends)."""
     return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")

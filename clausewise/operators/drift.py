@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.functions.dense import best_match_for_bags
-from clausewise.functions.text import let, split_paragraphs
+from clausewise.functions.text import explode_rows, let, split_paragraphs
 from clausewise.functions.vectors import DEFAULT_DIM, bag_norm, buckets, embed_text, sq_norm
 from clausewise.functions.violations import empty_violations, violation
 from clausewise.operators.vectors import nearest_one, query_aux
@@ -127,7 +127,7 @@ def with_template_store(docs: DataFrame, store: DataFrame) -> DataFrame:
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sep: str = PARAGRAPH_SEP) -> DataFrame:
     """D1 as rows: (id, chunk_index, span_start, span_end, chunk_chars)."""
-    return (docs.select(id_col, F.explode(chunks(F.col(text_col), sep)).alias("c"))
+    return (explode_rows(docs, [id_col], chunks(F.col(text_col), sep), val="c")
             .select(id_col, F.col("c.chunk_index").cast("int").alias("chunk_index"),
                     "c.span_start", "c.span_end", F.length("c.chunk").alias("chunk_chars")))
 
@@ -137,8 +137,7 @@ def detect_drift(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     """D4 as rows: one per drifting chunk."""
     bc, has = broadcast_store(docs.sparkSession, templates, dim)
     v = drift_violations(F.col(text_col), bc, metric, sep, dim, has_store=has)
-    return (docs.select(id_col, text_col)
-            .select(id_col, F.explode(v).alias("v"))
+    return (explode_rows(docs.select(id_col, text_col), [id_col], v)
             .select(id_col, F.col("v.chunk_index").alias("chunk_index"), "v.span_start", "v.span_end",
                     F.round("v.similarity", 6).alias("similarity"), "v.severity", "v.message"))
 

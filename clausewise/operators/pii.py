@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.functions.text import apply_edits, finditer, short_sha256, slice_text
+from clausewise.functions.text import apply_edits, explode_rows, finditer, short_sha256, slice_text
 from clausewise.functions.violations import violation
 
 # Fixed values (must equal the reference's detector), in scan order.
@@ -118,7 +118,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              confirm: bool = False, confirm_fn: ConfirmFn | None = None) -> DataFrame:
     """P1+P2(+P3): one row per detected span, `seq` = position in scan order."""
     v = pii_violations(F.col(text_col), confirm, confirm_fn)
-    return (docs.select(F.col(id_col), F.posexplode(v).alias("seq", "v"))
+    return (explode_rows(docs, [F.col(id_col)], v, "seq", "v")
             .select(id_col, F.col("seq").cast("int").alias("seq"), "v.pii_type", "v.span_start",
                     "v.span_end", "v.text", "v.severity", "v.confidence"))
 

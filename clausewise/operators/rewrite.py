@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewise.functions.text import apply_edits, slice_text
+from clausewise.functions.text import apply_edits, explode_rows, slice_text
 from clausewise.functions.violations import SUGGESTION_TYPE
 from clausewise.operators.pii import redact
 
@@ -111,5 +111,5 @@ def change_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flat = F.filter(F.flatten(F.concat(pieces, tail)), lambda p: F.length(p["text"]) > 0)
     segs = F.when(overlap, F.array(F.struct(F.lit("overlap").alias("op"), F.lit(None).cast("string")
                                             .alias("text")))).otherwise(flat)
-    return (docs.select(F.col(id_col), F.posexplode(segs).alias("seg", "p"))
+    return (explode_rows(docs, [F.col(id_col)], segs, "seg", "p")
             .select(id_col, F.col("seg").cast("int").alias("seg"), "p.op", "p.text"))

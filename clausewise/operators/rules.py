@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausewise.functions.text import explode_rows
 from clausewise.functions.violations import violation
 
 RULE_TYPE = T.StructType([
@@ -98,7 +99,7 @@ def apply_policy_rules(docs: DataFrame, type_col: str = "document_type", id_col:
                        text_col: str = "text", rules: DataFrame | None = None) -> DataFrame:
     """One row per failed check."""
     v = policy_violations(F.col(text_col), F.col(type_col), rules)
-    return (docs.select(id_col, type_col, F.posexplode(v).alias("seq", "v"))
+    return (explode_rows(docs, [id_col, type_col], v, "seq", "v")
             .select(id_col, type_col, F.col("seq").cast("int").alias("seq"), "v.rule_id", "v.check_id",
                     "v.rule_name", "v.severity", "v.message", "v.span_start", "v.span_end"))
 

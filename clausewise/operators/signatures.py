@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewise.functions.text import contains_any, finditer
+from clausewise.functions.text import contains_any, explode_rows, finditer
 from clausewise.functions.violations import empty_violations, violation
 
 # Fixed values (must equal the reference's checker).  Patterns are matched
@@ -58,7 +58,7 @@ def signature_violations(text: Column, doc_type: Column, hits: Column) -> Column
 
 def find_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per signature hit."""
-    return (docs.select(id_col, F.posexplode(signature_hits(F.col(text_col))).alias("seq", "h"))
+    return (explode_rows(docs, [id_col], signature_hits(F.col(text_col)), "seq", "h")
             .select(id_col, F.col("seq").cast("int").alias("seq"), "h.type", "h.span_start",
                     "h.span_end", "h.text", "h.confidence"))
 
@@ -68,5 +68,5 @@ def missing_signatures(docs: DataFrame, type_col: str = "document_type", id_col:
     """One row per document whose required signature is missing."""
     hits = signature_hits(F.col(text_col))
     v = signature_violations(F.col(text_col), F.col(type_col), hits)
-    return (docs.select(id_col, type_col, F.explode(v).alias("v"))
+    return (explode_rows(docs, [id_col, type_col], v)
             .select(id_col, type_col, "v.type", "v.severity", "v.message", "v.span_start", "v.span_end"))

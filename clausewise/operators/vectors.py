@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausewise.functions.text import explode_rows
+
 from clausewise.functions.vectors import (bag_dot, bag_norm, cosine, dot, l2_similarity, sq_l2,
                                           sq_norm)
 
@@ -112,7 +114,7 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
     if exclude_self:
         cands = F.filter(cands, lambda c: c["id"] != F.col("_qid"))
     best = F.slice(F.sort_array(cands, asc=True), 1, k)
-    local = joined.select("_qid", F.posexplode(best).alias("_pos", "c"))
+    local = explode_rows(joined, ["_qid"], best, "_pos", "c")
     if n_blocks == 1:
         ranked = local.withColumn("rank", (F.col("_pos") + 1).cast("int"))
     else:

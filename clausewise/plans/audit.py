@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewise.functions.text import let
+from clausewise.functions.text import explode_rows, let
 from clausewise.functions.vectors import DEFAULT_DIM, buckets
 from clausewise.functions.violations import VIOLATION_TYPE, empty_violations, number
 from clausewise.operators import decide as dec
@@ -155,7 +155,7 @@ def attach_similar(audits: DataFrame, history: DataFrame, id_col: str = "doc_id"
     across documents), then results are joined back and regrouped by doc."""
     hv = (history.select(F.col("id").cast("string").alias("id"), "text", "embedding")
           if "embedding" in history.columns else history_vectors(history, dim))
-    long = audits.select(id_col, F.posexplode("violations").alias("_i", "v")).withColumn(
+    long = explode_rows(audits, [id_col], F.col("violations"), "_i", "v").withColumn(
         "_q", search_text(F.col("v")))
     texts = long.select("_q").where(F.length("_q") > 0).distinct().withColumn(
         "_bag", buckets(F.col("_q"), dim))

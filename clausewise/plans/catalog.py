@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewise.functions.text import explode_rows
 from clausewise.functions.vectors import DEFAULT_DIM, buckets
 from clausewise.operators.drift import chunk_table, detect_drift
 from clausewise.operators.evaluate import evaluate_pii
@@ -123,7 +124,7 @@ def d1_chunks_lines(spark, sf):
 def d2_embed_benchmark(spark, sf):
     """Hashed bag-of-words embedding of `benchmark` as sparse rows."""
     b = load_table(spark, sf, "benchmark")
-    toks = b.select("item_id", F.explode(buckets(F.col("text"), DEFAULT_DIM)).alias("bucket"))
+    toks = explode_rows(b, ["item_id"], buckets(F.col("text"), DEFAULT_DIM), val="bucket")
     counts = toks.groupBy("item_id", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
     norm = counts.groupBy("item_id").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("norm"))
     return _long(counts.join(norm, "item_id").select(
@@ -171,14 +172,14 @@ def d4_drift_corpus(spark, sf):
 
 def m1_merge_violations(spark, sf):
     a = _audited(spark, sf)
-    return _long(a.select("doc_id", F.explode("violations").alias("v")).select(
+    return _long(explode_rows(a, ["doc_id"], F.col("violations")).select(
         "doc_id", "v.seq", "v.scanner", "v.type", "v.pii_type", "v.rule_id", "v.severity",
         "v.span_start", "v.span_end", "v.chunk_index"))
 
 
 def e1_policy_snippets(spark, sf):
     a = audit(_corpus(spark, sf).select("doc_id", "text"))
-    return _long(a.select("doc_id", F.explode("violations").alias("v")).where(F.col("v.rule_id").isNotNull())
+    return _long(explode_rows(a, ["doc_id"], F.col("violations")).where(F.col("v.rule_id").isNotNull())
                  .select("doc_id", "v.seq", "v.rule_id", "v.check_id", F.col("v.policy_snippet")
                          .alias("policy_snippet")))
 
@@ -186,16 +187,15 @@ def e1_policy_snippets(spark, sf):
 def e2_similar_violations(spark, sf):
     hist = load_table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
     a = audit(_docs(spark, sf), history=hist)
-    v = a.select("doc_id", F.explode("violations").alias("v"))
-    return _long(v.select("doc_id", F.col("v.seq").alias("seq"), F.posexplode("v.similar_violations")
-                          .alias("pos", "s"))
+    v = explode_rows(a, ["doc_id"], F.col("violations"))
+    return _long(explode_rows(v, ["doc_id", F.col("v.seq").alias("seq")], F.col("v.similar_violations"), "pos", "s")
                  .select("doc_id", "seq", (F.col("pos") + 1).alias("rank"), F.col("s.id").alias("history_id"),
                          F.round("s.similarity", 6).alias("similarity")))
 
 
 def w_suggestions(spark, sf):
     a = _audited(spark, sf)
-    return _long(a.select("doc_id", F.posexplode("suggestions").alias("seq", "s")).select(
+    return _long(explode_rows(a, ["doc_id"], F.col("suggestions"), "seq", "s").select(
         "doc_id", "seq", "s.violation_id", "s.span_start", "s.span_end", "s.original_text",
         "s.replacement", "s.redaction_flag",
         F.array_join("s.explanation", " | ").alias("explanation"),
@@ -204,7 +204,7 @@ def w_suggestions(spark, sf):
 
 def w_suggestions_corpus(spark, sf):
     a = audit(_corpus(spark, sf).select("doc_id", "text"))
-    return _long(a.select("doc_id", F.posexplode("suggestions").alias("seq", "s")).select(
+    return _long(explode_rows(a, ["doc_id"], F.col("suggestions"), "seq", "s").select(
         "doc_id", "seq", "s.violation_id", "s.span_start", "s.span_end", "s.original_text",
         "s.replacement", "s.redaction_flag"))
 

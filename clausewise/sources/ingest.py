@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewise.functions.text import split_paragraphs
+from clausewise.functions.text import explode_rows, split_paragraphs
 
 # Fixed values (must equal the reference's file routing).
 FILE_TYPES = [
@@ -104,8 +104,8 @@ def extract_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Paragraph blocks of a page text: split, strip, drop empty,
     numbered after dropping; block_id = page_{p}_block_{i}."""
     pg = page if page is not None else F.lit(1)
-    return (docs.select(F.col(id_col), pg.alias("page"),
-                        F.posexplode(split_paragraphs(F.col(text_col), sep)).alias("idx", "text"))
+    return (explode_rows(docs, [F.col(id_col), pg.alias("page")], split_paragraphs(F.col(text_col), sep),
+                         "idx", "text")
             .select(id_col, F.col("page").cast("int").alias("page"),
                     F.format_string("page_%d_block_%d", F.col("page"), F.col("idx")).alias("block_id"),
                     "text", F.lit("paragraph").alias("block_type")))
@@ -139,7 +139,7 @@ def html_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     tags = F.regexp_extract_all(F.col(html_col), F.lit(HTML_BLOCK), 1)
     texts = F.regexp_extract_all(F.col(html_col), F.lit(HTML_BLOCK), 2)
     z = F.arrays_zip(tags.alias("tag"), texts.alias("text"))
-    paras = (pages.select(F.col(id_col), F.explode(z).alias("z"))
+    paras = (explode_rows(pages, [F.col(id_col)], z, val="z")
              .select(id_col, F.col("z.tag").alias("tag"), F.trim(F.col("z.text")).alias("text"))
              .where(F.length("text") > 0))
     style = F.when(F.col("tag").startswith("h"),
@@ -203,9 +203,9 @@ def write_audit(audits: DataFrame, out_dir: str, run_id: str, mask_pii_text: boo
     id_col = a.columns[0]
     (a.drop("violations", "suggestions", "text").write.mode("append").partitionBy("run_id")
      .parquet(f"{out_dir}/audit_results"))
-    (a.select("run_id", id_col, F.posexplode("violations").alias("seq", "v")).select("run_id", id_col, "seq", "v.*")
+    (explode_rows(a, ["run_id", id_col], F.col("violations"), "seq", "v").select("run_id", id_col, "seq", "v.*")
      .drop("similar_violations").write.mode("append").partitionBy("run_id").parquet(f"{out_dir}/audit_violations"))
-    (a.select("run_id", id_col, F.posexplode("suggestions").alias("seq", "s")).select("run_id", id_col, "seq", "s.*")
+    (explode_rows(a, ["run_id", id_col], F.col("suggestions"), "seq", "s").select("run_id", id_col, "seq", "s.*")
      .write.mode("append").partitionBy("run_id").parquet(f"{out_dir}/audit_suggestions"))
     if "text" in a.columns:
         (a.where(F.col("decision") == "Auto-Fix")

@@ -53,7 +53,7 @@ def severity_counts_stream(audits_stream: DataFrame, ts_col: str = "audited_at",
                            window: str = WINDOW, watermark: str = WATERMARK) -> DataFrame:
     """Windowed violation counts by severity over a stream of audit rows."""
     return (audits_stream.withWatermark(ts_col, watermark)
-            .select(F.col(ts_col), F.explode("violations").alias("v"))
+            .select(F.col(ts_col), F.posexplode_outer("violations").alias("_p", "v")).where(F.col("_p").isNotNull())
             .groupBy(F.window(ts_col, window).alias("w"),
                      F.coalesce(F.col("v.severity"), F.lit("unknown")).alias("severity"))
             .agg(F.count(F.lit(1)).alias("violations")))
