@@ -51,11 +51,15 @@ def bag_norm(bag: Column) -> Column:
 
 def dense_from_bag(bag: Column, dim: int = DEFAULT_DIM) -> Column:
     """Unit-length dense vector of a bag.  O(dim * tokens): use it for the
-    bounded store side only."""
-    n = bag_norm(bag)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda i: F.size(F.filter(bag, lambda b: b == i)).cast("double"))
-    return F.transform(counts, lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0)))
+    bounded store side only.  The bag and its norm are bound once (`let`)."""
+    from clausewise.functions.text import let
+
+    def build(b: Column) -> Column:
+        return let(bag_norm(b), lambda n: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: F.when(n > 0, F.size(F.filter(b, lambda x: x == i)).cast("double") / n)
+            .otherwise(F.lit(0.0))))
+    return let(bag, build)
 
 
 def embed_text(text: Column, dim: int = DEFAULT_DIM) -> Column:

@@ -136,8 +136,9 @@ def detect_drift(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
                  metric: str = "l2", sep: str = PARAGRAPH_SEP, dim: int = DEFAULT_DIM) -> DataFrame:
     """D4 as rows: one per drifting chunk."""
     bc, has = broadcast_store(docs.sparkSession, templates, dim)
-    v = drift_violations(F.col(text_col), bc, metric, sep, dim, has_store=has)
-    return (explode_rows(docs.select(id_col, text_col), [id_col], v)
+    with_chunks = docs.select(id_col, text_col, chunks(F.col(text_col), sep).alias("_chunks"))
+    v = drift_violations(F.col(text_col), bc, metric, sep, dim, chunk_col=F.col("_chunks"), has_store=has)
+    return (explode_rows(with_chunks, [id_col], v)
             .select(id_col, F.col("v.chunk_index").alias("chunk_index"), "v.span_start", "v.span_end",
                     F.round("v.similarity", 6).alias("similarity"), "v.severity", "v.message"))
 

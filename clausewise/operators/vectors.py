@@ -98,9 +98,9 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
     base = queries.select(F.col(query_id).alias("_qid"), q.alias("_q"),
                           query_aux(q, query_kind).alias("_qa"))
 
-    if n_blocks == 1 and query_kind == "dense":
+    if n_blocks == 1:
         return _top_k_numpy(queries, store, k, metric, query_id, query_vec, store_id, store_vec,
-                            payload_cols, exclude_self)
+                            payload_cols, exclude_self, query_kind)
     if n_blocks == 1:
         joined = base.withColumn("_blk", F.lit(0)).join(F.broadcast(packed), "_blk")
     else:
@@ -128,7 +128,7 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
 
 def _top_k_numpy(queries: DataFrame, store: DataFrame, k: int, metric: str, query_id: str,
                  query_vec: str, store_id: str, store_vec: str, payload_cols: list[str],
-                 exclude_self: bool) -> DataFrame:
+                 exclude_self: bool, query_kind: str = "dense") -> DataFrame:
     """Single-block exact top-k: the (size-checked) store is broadcast once as
     a matrix; each Arrow batch of queries is scored with one matrix product
     and ranked by (similarity desc, id asc)."""
@@ -158,7 +158,10 @@ def _top_k_numpy(queries: DataFrame, store: DataFrame, k: int, metric: str, quer
         for pdf in batches:
             if len(pdf) == 0 or len(s_ids) == 0:
                 continue
-            q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[query_vec]])
+            if query_kind == "bag":
+                q = _bags_to_unit(pdf[query_vec], s_mat.shape[1])
+            else:
+                q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[query_vec]])
             sim, dist = similarity_matrix(q, (q * q).sum(axis=1), s_mat, s_n2, metric)
             if exclude_self:
                 same = pdf[query_id].to_numpy()[:, None] == s_ids[None, :]
@@ -180,6 +183,19 @@ def _top_k_numpy(queries: DataFrame, store: DataFrame, k: int, metric: str, quer
     return queries.select(query_id, query_vec).mapInPandas(score, T.StructType(fields))
 
 
+def _bags_to_unit(bags, dim: int):
+    """Bucket bags -> unit-length count vectors (zero rows for empty bags)."""
+    import numpy as np
+
+    from clausewise.functions.dense import unit_rows
+    arrs = [np.asarray(b if b is not None else [], dtype=np.int64) for b in bags]
+    lens = np.array([len(a) for a in arrs])
+    rows = np.repeat(np.arange(len(arrs)), lens)
+    flat = np.concatenate(arrs) if lens.sum() else np.zeros(0, dtype=np.int64)
+    counts = np.bincount(rows * dim + flat, minlength=len(arrs) * dim).reshape(len(arrs), dim)
+    return unit_rows(counts.astype(np.float64))[0]
+
+
 def nearest_one(q: Column, q_kind: str, q_aux: Column, items: Column, metric: str = "l2") -> Column:
     """Top-1 candidate struct (or NULL for an empty store) for a packed store
     column; used inline when the store is a small broadcast dimension."""
