@@ -26,6 +26,7 @@ from clausewise.functions.vectors import (bag_dot, bag_norm, cosine, dot, l2_sim
                                           sq_norm)
 
 DEFAULT_BLOCK_ROWS = 4096
+RANK_DECIMALS = 12   # ranking precision: closer similarities are ties, broken by id
 METRICS = ("l2", "cosine")
 
 
@@ -57,7 +58,7 @@ def _candidates(q: Column, q_kind: str, q_aux: Column, items: Column, metric: st
             else:
                 sim = cosine(dot(q, s["vec"]), q_n2, s["n2"])
                 dist = F.lit(1.0) - sim
-        return F.struct((-sim).alias("neg_sim"), s["id"].alias("id"), sim.alias("similarity"),
+        return F.struct((-F.round(sim, RANK_DECIMALS)).alias("neg_sim"), s["id"].alias("id"), sim.alias("similarity"),
                         dist.alias("distance"), s["payload"].alias("payload"))
     return F.transform(items, score)
 
@@ -170,7 +171,9 @@ def _top_k_numpy(queries: DataFrame, store: DataFrame, k: int, metric: str, quer
             if kk <= 0:
                 continue
             # rank by similarity desc, then id asc
-            idx = np.lexsort((np.broadcast_to(order_ids, sim.shape), -sim), axis=1)[:, :kk]
+            # similarities equal to 12 decimals are ties (float noise), broken by id
+            idx = np.lexsort((np.broadcast_to(order_ids, sim.shape), -np.round(sim, RANK_DECIMALS)),
+                             axis=1)[:, :kk]
             r = np.arange(len(pdf))[:, None]
             out = {query_id: np.repeat(pdf[query_id].to_numpy(), kk),
                    "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf)),

@@ -349,7 +349,8 @@ def sql_queries() -> dict[str, str]:
             FROM e a JOIN e b ON a.vec_id <> b.vec_id),
       s AS (SELECT query_id, id, {sim} AS similarity, {dist} AS distance FROM p)
       SELECT query_id, rank::BIGINT AS rank, id, round(similarity, 6) AS similarity, round(distance, 6) AS distance
-      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s)
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, id) AS rank
+            FROM s)
       WHERE rank <= 3"""
     out["d3_topk_l2"] = topk("1.0 / (1.0 + d2)", "d2")
     cos = "CASE WHEN na > 0 AND nb > 0 THEN dp / (sqrt(na) * sqrt(nb)) ELSE 0.0::DOUBLE END"
@@ -494,6 +495,47 @@ def sql_queries() -> dict[str, str]:
       SELECT r.doc_id, a.decision, a.violation_score,
              CASE WHEN a.doc_id IS NULL THEN 'not_found' ELSE 'completed' END AS status
       FROM req r LEFT JOIN aud a USING (doc_id)"""
+    out["e2_similar_violations"] = f"""WITH {docs}, {audit_ctes('docs')},
+      vq AS (SELECT doc_id, seq, coalesce(mtext, message, '') AS q FROM av),
+      dq AS (SELECT DISTINCT q FROM vq WHERE length(q) > 0),
+      qt AS (SELECT q, unnest(regexp_extract_all(lower(q), '{TOKEN}')) AS tok FROM dq),
+      qb AS (SELECT q, {bucket('tok')} AS b, count(*) AS cnt FROM qt GROUP BY ALL),
+      qw AS (SELECT q, b, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY q)) AS w FROM qb),
+      ht AS (SELECT item_id::VARCHAR AS hid, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS tok
+             FROM benchmark),
+      hb AS (SELECT hid, {bucket('tok')} AS b, count(*) AS cnt FROM ht GROUP BY ALL),
+      hw AS (SELECT hid, b, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY hid)) AS w FROM hb),
+      hs AS (SELECT item_id::VARCHAR AS hid, CASE WHEN item_id::VARCHAR IN (SELECT hid FROM hb) THEN 1.0
+                    ELSE 0.0 END AS hn2 FROM benchmark),
+      qs AS (SELECT q, CASE WHEN q IN (SELECT q FROM qb) THEN 1.0 ELSE 0.0 END AS qn2 FROM dq),
+      dots AS (SELECT qw.q, hw.hid, sum(qw.w * hw.w) AS dot FROM qw JOIN hw USING (b) GROUP BY ALL),
+      pairs AS (SELECT qs.q, hs.hid,
+                       1.0 / (1.0 + greatest(qs.qn2 + hs.hn2 - 2.0 * coalesce(d.dot, 0.0), 0.0)) AS sim
+                FROM qs CROSS JOIN hs LEFT JOIN dots d ON d.q = qs.q AND d.hid = hs.hid),
+      top AS (SELECT q, hid, sim, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, hid) AS rank
+              FROM pairs)
+      SELECT vq.doc_id, vq.seq, top.rank::BIGINT AS rank, top.hid AS history_id, round(top.sim, 6) AS similarity
+      FROM vq JOIN top ON top.q = vq.q WHERE top.rank <= 3"""
+    out["f2_change_segments"] = f"""WITH {corpus_docs}, {audit_ctes('cdocs')},
+      sg AS (SELECT doc_id, list(struct_pack(s := span_start, e := span_end, r := replacement)
+                                 ORDER BY span_start, seq) AS l FROM asug GROUP BY doc_id),
+      d AS (SELECT c.doc_id, coalesce(c.text, '') AS text, coalesce(sg.l, []) AS l FROM cdocs c LEFT JOIN sg USING (doc_id)),
+      p AS (SELECT doc_id, len(list_filter(range(2, len(l) + 1), lambda k: l[k].s < l[k - 1].e)) > 0 AS overlap,
+                   list_filter(list_concat(
+                     flatten(list_transform(range(1, len(l) + 1), lambda k: [
+                       struct_pack(op := 'equal', t := CASE WHEN l[k].s > (CASE WHEN k = 1 THEN 0 ELSE l[k - 1].e END)
+                           THEN substr(text, (CASE WHEN k = 1 THEN 0 ELSE l[k - 1].e END) + 1,
+                                       l[k].s - (CASE WHEN k = 1 THEN 0 ELSE l[k - 1].e END)) ELSE '' END),
+                       struct_pack(op := 'delete', t := CASE WHEN l[k].e > l[k].s
+                           THEN substr(text, l[k].s + 1, l[k].e - l[k].s) ELSE '' END),
+                       struct_pack(op := 'insert', t := l[k].r)])),
+                     [struct_pack(op := 'equal', t := substr(text, coalesce(l[len(l)].e, 0) + 1))]),
+                   lambda x: length(x.t) > 0) AS segs
+            FROM d),
+      q AS (SELECT doc_id, CASE WHEN overlap THEN [struct_pack(op := 'overlap', t := NULL::VARCHAR)] ELSE segs END
+                   AS segs FROM p)
+      SELECT doc_id, i::BIGINT AS seg, segs[i + 1].op AS op, segs[i + 1].t AS text
+      FROM (SELECT doc_id, segs, unnest(range(0, len(segs))) AS i FROM q)"""
     out["q3_audit_stream"] = f"""WITH {docs}, {audit_ctes('docs')}
       SELECT a.doc_id, a.document_type, a.violation_score, a.decision, a.reason,
              (SELECT count(*) FROM av v WHERE v.doc_id = a.doc_id)::BIGINT AS n_violations,
