@@ -17,7 +17,7 @@ from clausewise.operators.pii import redact_documents, scan_pii
 from clausewise.operators.rewrite import change_segments
 from clausewise.operators.rules import apply_policy_rules, rules_for_types, rules_table
 from clausewise.operators.signatures import find_signatures, missing_signatures
-from clausewise.operators.tickets import review_queue, update_ticket_status
+from clausewise.operators.tickets import list_tickets, review_queue, update_ticket_status
 from clausewise.operators.triage import classify_documents
 from clausewise.operators.vectors import approx_top_k_similar, top_k_similar, upsert_vectors
 from clausewise.plans.audit import audit, final_text
@@ -277,6 +277,29 @@ def k3_rejected_updates(spark, sf):
     return rejected.groupBy("status").agg(F.count(F.lit(1)).cast("bigint").alias("n_rejected"))
 
 
+def k2_open_tickets(spark, sf):
+    docs = load_table(spark, sf, "documents").select("doc_id", "text", "source")
+    a = audit(docs.select("doc_id", "text")).join(docs.select("doc_id", "source"), "doc_id")
+    t = review_queue(a, RUN_ID, department_col="source")
+    current, _rejected = update_ticket_status(t, _ticket_updates(spark, sf, t))
+    return list_tickets(current, status="open").select("ticket_id", "document_id", "status", "n_updates")
+
+
+def s11_write_audit(spark, sf):
+    """Write the audit tables to the shared folder, then read them back."""
+    import os
+    import uuid
+    from clausewise.session import checkpoint_dir
+    out = os.path.join(checkpoint_dir(spark), f"audit-tables-{uuid.uuid4().hex}")
+    paths = ingest.write_audit(audit(_docs(spark, sf)), out, RUN_ID)
+    res = spark.read.parquet(paths["audit_results"])
+    nv = spark.read.parquet(paths["audit_violations"]).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_violation_rows"))
+    return _long(res.join(nv, "doc_id", "left").select(
+        "doc_id", "run_id", "decision", "violation_score",
+        F.coalesce("n_violation_rows", F.lit(0)).alias("n_violation_rows")))
+
+
 def v1_evaluate_pii(spark, sf):
     c = _corpus(spark, sf)
     det = scan_pii(c.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list("text").alias("det"))
@@ -362,6 +385,6 @@ QUERIES = {
     name: fn for name, fn in dict(globals()).items()
     if callable(fn) and name[:2] in {"t1", "p1", "p3", "p4", "r1", "r7", "g1", "g3", "d1", "d2", "d3", "d4",
                                      "m1", "e1", "e2", "w_", "q1", "q2", "q3", "q4", "f1", "f2", "o1", "o2",
-                                     "k1", "k3", "v1", "s2", "s4", "s5", "s7", "s8", "s9", "s1"}
+                                     "k1", "k2", "k3", "v1", "s1", "s2", "s4", "s5", "s7", "s8", "s9", "s1"}
     and getattr(fn, "__module__", "") == __name__
 }

@@ -423,6 +423,15 @@ def sql_queries() -> dict[str, str]:
       last AS (SELECT ticket_id, arg_max(status, (ts, event_id)) AS st, count(*)::BIGINT AS n FROM upd GROUP BY 1)
       SELECT tk.ticket_id, tk.document_id, coalesce(last.st, tk.status) AS status,
              coalesce(last.n, 0)::BIGINT AS n_updates FROM tk LEFT JOIN last USING (ticket_id)"""
+    out["k2_open_tickets"] = f"""WITH {tickets},
+      last AS (SELECT ticket_id, arg_max(status, (ts, event_id)) AS st, count(*)::BIGINT AS n FROM upd GROUP BY 1)
+      SELECT ticket_id, document_id, status, n_updates FROM (
+        SELECT tk.ticket_id, tk.document_id, coalesce(last.st, tk.status) AS status,
+               coalesce(last.n, 0)::BIGINT AS n_updates FROM tk LEFT JOIN last USING (ticket_id))
+      WHERE status = 'open'"""
+    out["s11_write_audit"] = f"""WITH {docs}, {audit_ctes('docs')}
+      SELECT a.doc_id, 'run-0001' AS run_id, a.decision, a.violation_score,
+             (SELECT count(*) FROM av v WHERE v.doc_id = a.doc_id)::BIGINT AS n_violation_rows FROM aud a"""
     out["k3_rejected_updates"] = f"""WITH {tickets}
       SELECT status, count(*)::BIGINT AS n_rejected FROM upd WHERE ticket_id NOT IN (SELECT ticket_id FROM tk)
       GROUP BY status"""

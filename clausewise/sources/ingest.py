@@ -192,25 +192,35 @@ def pseudonymise(uploads: DataFrame, uploader_col: str | None, department_col: s
                           dep.alias("department"))
 
 
-def write_audit(audits: DataFrame, out_dir: str, run_id: str, mask_pii_text: bool = False) -> None:
-    """Audit tables partitioned by run id: results (one row per doc),
-    violations and suggestions (one row per item), final texts (Auto-Fix)."""
+def write_audit(audits: DataFrame, out_dir: str, run_id: str, mask_pii_text: bool = False) -> dict:
+    """Audit tables partitioned by run id.
+
+    The audit is computed once and written whole (`audit_full`); the derived
+    tables are then read from that written copy, so the expensive per-document
+    work is not repeated per table and lineage is cut at a table in the
+    shared folder.  Returns the table paths."""
     from clausewise.operators.rewrite import apply_fixes
+    spark = audits.sparkSession
     a = audits.withColumn("run_id", F.lit(run_id))
     if mask_pii_text:
         a = a.withColumn("violations", F.transform("violations", lambda v: v.withField(
             "text", F.when(v["type"] == "pii", F.sha2(v["text"], 256)).otherwise(v["text"]))))
-    id_col = a.columns[0]
-    (a.drop("violations", "suggestions", "text").write.mode("append").partitionBy("run_id")
-     .parquet(f"{out_dir}/audit_results"))
-    (explode_rows(a, ["run_id", id_col], F.col("violations"), "seq", "v").select("run_id", id_col, "seq", "v.*")
-     .drop("similar_violations").write.mode("append").partitionBy("run_id").parquet(f"{out_dir}/audit_violations"))
-    (explode_rows(a, ["run_id", id_col], F.col("suggestions"), "seq", "s").select("run_id", id_col, "seq", "s.*")
-     .write.mode("append").partitionBy("run_id").parquet(f"{out_dir}/audit_suggestions"))
-    if "text" in a.columns:
-        (a.where(F.col("decision") == "Auto-Fix")
+    id_col = audits.columns[0]
+    paths = {k: f"{out_dir}/{k}" for k in ("audit_full", "audit_results", "audit_violations",
+                                            "audit_suggestions", "audit_final_text")}
+    a.write.mode("append").partitionBy("run_id").parquet(paths["audit_full"])
+    full = spark.read.parquet(paths["audit_full"]).where(F.col("run_id") == run_id)
+    (full.drop("violations", "suggestions", "text").write.mode("append").partitionBy("run_id")
+     .parquet(paths["audit_results"]))
+    (explode_rows(full, ["run_id", id_col], F.col("violations")).select("run_id", id_col, "v.*")
+     .drop("similar_violations").write.mode("append").partitionBy("run_id").parquet(paths["audit_violations"]))
+    (explode_rows(full, ["run_id", id_col], F.col("suggestions"), "seq", "s").select("run_id", id_col, "seq", "s.*")
+     .write.mode("append").partitionBy("run_id").parquet(paths["audit_suggestions"]))
+    if "text" in full.columns:
+        (full.where(F.col("decision") == "Auto-Fix")
          .select("run_id", id_col, apply_fixes(F.col("text"), F.col("suggestions")).alias("final_text"))
-         .write.mode("append").partitionBy("run_id").parquet(f"{out_dir}/audit_final_text"))
+         .write.mode("append").partitionBy("run_id").parquet(paths["audit_final_text"]))
+    return paths
 
 
 def audit_lookup(results: DataFrame, requested: DataFrame, id_col: str = "doc_id") -> DataFrame:
