@@ -7,10 +7,11 @@ k best candidates from it:
 
 * one block  -> the packed store is broadcast (its size is checked, it is at
   most `block_rows` vectors) and each query keeps its top k in place;
-* many blocks -> queries are replicated once per block (and salted so a block
-  is served by several tasks), joined to the blocks on the block key by a
-  shuffle, and the per-block top k lists are merged with a window over the
-  query id.  Exact, no broadcast of unbounded data.
+* many blocks -> queries (cut into groups of bounded size) and store blocks
+  meet in a cogroup on (block, group): each task scores one bounded query
+  group against one bounded block with a matrix product, and the per-block
+  top k lists are merged with a window over the query id.  Exact, no
+  broadcast of unbounded data, no pair rows.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
                   query_id: str = "query_id", query_vec: str = "embedding", query_kind: str = "dense",
                   store_id: str = "id", store_vec: str = "embedding",
                   payload_cols: list[str] | None = None, exclude_self: bool = False,
-                  block_rows: int = DEFAULT_BLOCK_ROWS, query_salt: int = 4) -> DataFrame:
+                  block_rows: int = DEFAULT_BLOCK_ROWS, query_rows_per_group: int = 200_000) -> DataFrame:
     """Exact k nearest store vectors per query.
 
     Returns (query_id, rank, id, similarity, distance, payload...), rank
@@ -94,37 +95,77 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
     payload_cols = list(payload_cols or [])
     n_store = store.count()  # sizes the store: decides broadcast vs blocked
     n_blocks = max(1, math.ceil(n_store / block_rows))
-    packed = pack_store(store, store_id, store_vec, payload_cols, n_blocks)
-    q = F.col(query_vec)
-    base = queries.select(F.col(query_id).alias("_qid"), q.alias("_q"),
-                          query_aux(q, query_kind).alias("_qa"))
-
     if n_blocks == 1:
         return _top_k_numpy(queries, store, k, metric, query_id, query_vec, store_id, store_vec,
                             payload_cols, exclude_self, query_kind)
-    if n_blocks == 1:
-        joined = base.withColumn("_blk", F.lit(0)).join(F.broadcast(packed), "_blk")
-    else:
-        salt = F.pmod(F.xxhash64(F.col("_qid")), F.lit(query_salt)).cast("int")
-        rep_q = base.withColumn("_salt", salt).withColumn(
-            "_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        rep_s = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(query_salt - 1))))
-        joined = rep_q.join(rep_s.hint("shuffle_hash"), ["_blk", "_salt"])
-
-    cands = _candidates(F.col("_q"), query_kind, F.col("_qa"), F.col("items"), metric)
-    if exclude_self:
-        cands = F.filter(cands, lambda c: c["id"] != F.col("_qid"))
-    best = F.slice(F.sort_array(cands, asc=True), 1, k)
-    local = explode_rows(joined, ["_qid"], best, "_pos", "c")
-    if n_blocks == 1:
-        ranked = local.withColumn("rank", (F.col("_pos") + 1).cast("int"))
-    else:
-        w = Window.partitionBy("_qid").orderBy(F.col("c.neg_sim"), F.col("c.id"))
-        ranked = local.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
-    out = ranked.select(F.col("_qid").alias(query_id), "rank", F.col("c.id").alias("id"),
-                        F.col("c.similarity").alias("similarity"), F.col("c.distance").alias("distance"),
-                        *[F.col(f"c.payload.{p}").alias(p) for p in payload_cols])
-    return out
+    return _top_k_blocked(queries, store, k, metric, query_id, query_vec, store_id, store_vec,
+                          payload_cols, exclude_self, query_kind, n_blocks, query_rows_per_group)
+
+
+def _top_k_blocked(queries: DataFrame, store: DataFrame, k: int, metric: str, query_id: str,
+                   query_vec: str, store_id: str, store_vec: str, payload_cols: list[str],
+                   exclude_self: bool, query_kind: str, n_blocks: int, query_rows_per_group: int) -> DataFrame:
+    """Exact top-k for a store too large to broadcast.
+
+    Store rows are hashed into `n_blocks` blocks (each about `block_rows`
+    vectors) and queries into G groups of about `query_rows_per_group`; every
+    (block, group) pair is one cogroup task holding a bounded query batch and
+    a bounded store block, scored by one matrix product.  Queries are shuffled
+    once per block and store rows once per query group (no broadcast of
+    unbounded data, no pair rows); the per-block top-k lists are merged by a
+    window over the query id whose partitions hold n_blocks * k rows."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from clausewise.functions.dense import similarity_matrix
+
+    n_q = queries.count()
+    groups = max(1, math.ceil(n_q / query_rows_per_group))
+    q = (queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_q"))
+         .withColumn("_grp", F.pmod(F.xxhash64("_qid"), F.lit(groups)).cast("int"))
+         .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+    st = (store.select(F.col(store_id).alias("_sid"),
+                       F.transform(F.col(store_vec), lambda x: x.cast("double")).alias("_v"),
+                       *[F.col(c) for c in payload_cols])
+          .withColumn("_blk", F.pmod(F.xxhash64("_sid"), F.lit(n_blocks)).cast("int"))
+          .withColumn("_grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
+    qtype = queries.schema[query_id].dataType
+    stype = store.schema[store_id].dataType
+    fields = [T.StructField("_qid", qtype), T.StructField("id", stype),
+              T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.DoubleType()),
+              T.StructField("neg_sim", T.DoubleType())] + \
+             [T.StructField(c, store.schema[c].dataType) for c in payload_cols]
+
+    def local_top_k(qpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(spdf) == 0:
+            return pd.DataFrame({f.name: [] for f in fields})
+        s_mat = np.stack([np.asarray(v, dtype=np.float64) for v in spdf["_v"]])
+        s_ids = spdf["_sid"].to_numpy()
+        if query_kind == "bag":
+            qm = _bags_to_unit(qpdf["_q"], s_mat.shape[1])
+        else:
+            qm = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["_q"]])
+        sim, dist = similarity_matrix(qm, (qm * qm).sum(axis=1), s_mat, (s_mat * s_mat).sum(axis=1), metric)
+        if exclude_self:
+            sim = np.where(qpdf["_qid"].to_numpy()[:, None] == s_ids[None, :], -np.inf, sim)
+        order_ids = np.argsort(np.argsort(s_ids, kind="stable"), kind="stable")
+        kk = min(k, len(s_ids))
+        idx = np.lexsort((np.broadcast_to(order_ids, sim.shape), -np.round(sim, RANK_DECIMALS)), axis=1)[:, :kk]
+        r = np.arange(len(qpdf))[:, None]
+        keep = np.isfinite(sim[r, idx]).ravel()
+        out = {"_qid": np.repeat(qpdf["_qid"].to_numpy(), kk), "id": s_ids[idx].ravel(),
+               "similarity": sim[r, idx].ravel(), "distance": dist[r, idx].ravel()}
+        out["neg_sim"] = -np.round(out["similarity"], RANK_DECIMALS)
+        for c in payload_cols:
+            out[c] = spdf[c].to_numpy()[idx].ravel()
+        return pd.DataFrame(out)[keep]
+
+    local = (q.groupBy("_blk", "_grp").cogroup(st.groupBy("_blk", "_grp"))
+             .applyInPandas(local_top_k, T.StructType(fields)))
+    w = Window.partitionBy("_qid").orderBy(F.col("neg_sim"), F.col("id"))
+    ranked = local.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    return ranked.select(F.col("_qid").alias(query_id), "rank", "id", "similarity", "distance", *payload_cols)
 
 
 def _top_k_numpy(queries: DataFrame, store: DataFrame, k: int, metric: str, query_id: str,

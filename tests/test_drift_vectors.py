@@ -57,12 +57,14 @@ def test_topk_broadcast_and_blocked_equal_brute_force(spark):
     df = spark.createDataFrame(vecs, "id long, embedding array<double>")
     for metric in ("l2", "cosine"):
         exp = _brute(vecs, vecs, 3, metric)
-        for block_rows in (4096, 7):   # one broadcast block, then the blocked shuffle path
+        # one broadcast block; blocked with one query group; blocked with several groups
+        for block_rows, qrows in ((4096, 200_000), (7, 200_000), (7, 13)):
             got = {}
             for r in top_k_similar(df.withColumnRenamed("id", "query_id"), df, 3, metric=metric,
-                                   exclude_self=True, block_rows=block_rows).orderBy("query_id", "rank").collect():
+                                   exclude_self=True, block_rows=block_rows,
+                                   query_rows_per_group=qrows).orderBy("query_id", "rank").collect():
                 got.setdefault(r.query_id, []).append(r.id)
-            assert got == exp, (metric, block_rows)
+            assert got == exp, (metric, block_rows, qrows)
 
 
 def test_lsh_recall(spark):
@@ -84,3 +86,21 @@ def test_upsert_last_write_wins(spark):
                                "id string, stored_at int, v double")
     got = {r.id: r.v for r in upsert_vectors(df, "id", ("stored_at",)).collect()}
     assert got == {"a": 3.0, "b": 2.0}
+
+
+def test_bag_queries_same_on_both_paths(spark):
+    from clausewise.functions.vectors import buckets
+    from clausewise.plans.audit import history_vectors
+    hist = spark.createDataFrame([(str(i), t) for i, t in enumerate(
+        ["contract missing termination clause", "email address found", "policy version missing",
+         "the quick brown fox", "signature required on the form", "phone number 555", "", "tax id absent"])],
+        "id string, text string")
+    hv = history_vectors(hist)
+    qs = spark.createDataFrame([("Contract missing termination clause",), ("missing signature",), ("zzz",), ("",)],
+                               "q string").withColumn("bag", buckets(F.col("q")))
+
+    def run(block_rows):
+        return sorted((r.q, r.rank, r.id, round(r.similarity, 9)) for r in top_k_similar(
+            qs, hv, 3, query_id="q", query_vec="bag", query_kind="bag", store_id="id", store_vec="embedding",
+            block_rows=block_rows).collect())
+    assert run(4096) == run(3)
