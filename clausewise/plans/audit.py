@@ -148,33 +148,62 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
     return out
 
 
-def attach_similar(audits: DataFrame, history: DataFrame, id_col: str = "doc_id",
-                   dim: int = DEFAULT_DIM, metric: str = "l2") -> DataFrame:
-    """Top-3 similar past violations per violation.  The search runs once
-    per distinct search text (policy, signature and drift messages repeat
-    across documents), then results are joined back and regrouped by doc."""
+HOT_TEXT_MIN_COUNT = 10_000   # a search text this frequent is a hot join key
+MAX_HOT_TEXTS = 10_000        # hot keys joined map-side (bounded broadcast); the rest by shuffle
+
+
+def similar_violations_long(audits: DataFrame, history: DataFrame, id_col: str = "doc_id",
+                            dim: int = DEFAULT_DIM, metric: str = "l2") -> DataFrame:
+    """E2 in long form: (id, seq, rank, history_id, history_text, similarity,
+    distance) for every violation with a non-empty search text.
+
+    The search runs once per distinct text.  Joining the results back is
+    skew-aware: message texts repeat across huge numbers of violations, so
+    the most frequent texts (at most MAX_HOT_TEXTS, each seen at least
+    HOT_TEXT_MIN_COUNT times) are joined map-side against a broadcast of
+    their (bounded) results, and all other texts by a shuffle join on the
+    text, in which no key is hot."""
     hv = (history.select(F.col("id").cast("string").alias("id"), "text", "embedding")
           if "embedding" in history.columns else history_vectors(history, dim))
-    long = explode_rows(audits, [id_col], F.col("violations"), "_i", "v").withColumn(
-        "_q", search_text(F.col("v")))
-    texts = long.select("_q").where(F.length("_q") > 0).distinct().withColumn(
-        "_bag", buckets(F.col("_q"), dim))
-    hits = top_k_similar(texts, hv, SIMILAR_TOP_K, metric, query_id="_q", query_vec="_bag",
-                         query_kind="bag", store_id="id", store_vec="embedding", payload_cols=["text"])
-    per_text = hits.groupBy("_q").agg(F.sort_array(F.collect_list(F.struct(
-        "rank", F.col("id"), F.col("text"), F.col("similarity"), F.col("distance")))).alias("_s"))
-    sim = F.transform(F.col("_s"), lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"),
-                                                      s["similarity"].alias("similarity"),
-                                                      s["distance"].alias("distance")))
-    enriched = (long.join(per_text, "_q", "left")
-                .withColumn("v", F.col("v").withField(
-                    "similar_violations",
-                    F.when(F.length("_q") > 0, F.coalesce(sim, F.array().cast(SIMILAR_TYPE)))))
-                .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_i", "v"))).alias("_vs")))
-    return (audits.drop("violations").join(enriched, id_col, "left")
-            .withColumn("violations", F.coalesce(F.transform("_vs", lambda x: x["v"]),
-                                                 F.array().cast(T.ArrayType(ENRICHED_TYPE))))
-            .drop("_vs"))
+    long = (explode_rows(audits, [id_col], F.col("violations"), "_i", "v")
+            .select(id_col, F.col("v.seq").alias("seq"), search_text(F.col("v")).alias("_q"))
+            .where(F.length("_q") > 0))
+    counts = long.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"))
+    hits = top_k_similar(counts.withColumn("_bag", buckets(F.col("_q"), dim)), hv, SIMILAR_TOP_K, metric,
+                         query_id="_q", query_vec="_bag", query_kind="bag", store_id="id",
+                         store_vec="embedding", payload_cols=["text"])
+    hits = hits.select("_q", "rank", F.col("id").alias("history_id"), F.col("text").alias("history_text"),
+                       "similarity", "distance")
+    hot_keys = (counts.where(F.col("_n") >= HOT_TEXT_MIN_COUNT).orderBy(F.col("_n").desc(), "_q")
+                .limit(MAX_HOT_TEXTS).select("_q"))
+    hot_hits = hits.join(F.broadcast(hot_keys), "_q")
+    hot = long.join(F.broadcast(hot_hits), "_q")
+    cold = long.join(F.broadcast(hot_keys), "_q", "left_anti").join(hits, "_q")
+    return hot.unionByName(cold).drop("_q")
+
+
+def attach_similar(audits: DataFrame, history: DataFrame, id_col: str = "doc_id",
+                   dim: int = DEFAULT_DIM, metric: str = "l2") -> DataFrame:
+    """E2 nested into each violation (the reference's shape).  The audit is
+    checkpointed once (it feeds both the search and the final rows), the
+    long-form results are regrouped per document and joined back."""
+    audits = audits.checkpoint(eager=True)
+    res = similar_violations_long(audits, history, id_col, dim, metric)
+    per_doc = (res.groupBy(id_col, "seq").agg(F.sort_array(F.collect_list(F.struct(
+        "rank", F.col("history_id").alias("id"), F.col("history_text").alias("text"), "similarity",
+        "distance"))).alias("_s"))
+        .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("seq", "_s"))).alias("_m")))
+
+    def attach(v: Column) -> Column:
+        found = F.try_element_at(F.col("_m"), v["seq"])
+        lst = F.transform(found, lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"),
+                                                    s["similarity"].alias("similarity"),
+                                                    s["distance"].alias("distance")))
+        return v.withField("similar_violations", F.when(
+            F.length(search_text(v)) > 0, F.coalesce(lst, F.array().cast(SIMILAR_TYPE))))
+
+    return (audits.join(per_doc, id_col, "left")
+            .withColumn("violations", F.transform("violations", attach)).drop("_m"))
 
 
 def history_vectors(history: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:

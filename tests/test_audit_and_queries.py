@@ -76,3 +76,21 @@ def test_registered_queries_match_oracle(spark, name):
     s = sorted((tuple(norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
     d = sorted((tuple(norm(r[dcols.index(c)]) for c in cols) for r in rel.fetchall()), key=repr)
     assert s == d
+
+
+def test_similar_violations_hot_split_is_exact(spark, monkeypatch):
+    import clausewise.plans.audit as A
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["mail a@b.com now", "mail a@b.com now", "call 555-123-4567", "policy text without version",
+         "HR employee form", "HR employee form too", "nothing"])], "doc_id long, text string")
+    hist = spark.createDataFrame([("1", "email address"), ("2", "missing manager approval"), ("3", "phone")],
+                                 "id string, text string")
+    a = audit(docs, with_drift=False)
+
+    def rows():
+        return sorted((r.doc_id, r.seq, r.rank, r.history_id) for r in A.similar_violations_long(a, hist).collect())
+    monkeypatch.setattr(A, "HOT_TEXT_MIN_COUNT", 10 ** 9)
+    all_cold = rows()
+    monkeypatch.setattr(A, "HOT_TEXT_MIN_COUNT", 2)
+    monkeypatch.setattr(A, "MAX_HOT_TEXTS", 1)
+    assert rows() == all_cold and len(all_cold) > 0
