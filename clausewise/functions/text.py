@@ -7,6 +7,7 @@ indices; Spark's `length`/`substr` also count code points, so offsets line up.
 from __future__ import annotations
 
 import re
+import sys
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,9 +78,14 @@ def explode_rows(df, keep: list, arr: Column, pos: str | None = None, val: str =
     return out if pos else out.drop(p)
 
 
+# Python's whitespace set (`str.isspace()`), derived by rule over all code points.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(sys.maxunicode + 1)) if ch.isspace())
+
+
 def py_strip(col: Column) -> Column:
-    """Python `str.strip()` (Unicode whitespace at both ends)."""
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    """Python `str.strip()`: Spark's native trim with Python's whitespace set
+    (cheaper than a regex at both ends)."""
+    return F.trim(col, F.lit(PY_WHITESPACE))
 
 
 def split_paragraphs(text: Column, sep: str = "\n\n") -> Column:
