@@ -61,7 +61,7 @@ def policy_map(policies: DataFrame | None) -> Column:
 
 
 @lru_cache(maxsize=16)
-def _scanners(text_col: str, sep: str, confirm_pii: bool, with_drift: bool):
+def _scanners(text_col: str, sep: str, confirm_pii: bool, with_drift: bool, ctx: str = ""):
     """Scanner expressions for a text column (built once per process: the
     Column trees are large and cost many gateway calls to build)."""
     text = F.col(text_col)
@@ -73,7 +73,7 @@ def _scanners(text_col: str, sep: str, confirm_pii: bool, with_drift: bool):
 
 
 @lru_cache(maxsize=16)
-def _tail(text_col: str):
+def _tail(text_col: str, ctx: str = ""):
     """Enrichment, suggestion, score and decision expressions (cached)."""
     text = F.col(text_col)
     enriched = F.transform(F.col("_v"), lambda v: F.struct(
@@ -104,10 +104,11 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
             spark, templates if templates is not None else templates_table(spark), dim)
     text = F.col(text_col)
 
+    ctx = spark.sparkContext.applicationId   # cached Columns belong to one running context
     if rules is None:
-        cls_c, pii_c, pol_c, nrules_c, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift)
+        cls_c, pii_c, pol_c, nrules_c, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift, ctx)
     else:
-        cls_c, pii_c, _p, _n, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift)
+        cls_c, pii_c, _p, _n, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift, ctx)
         pol_c = policy_violations(text, F.col("_cls.document_type"), rules)
         nrules_c = rules_checked(F.col("_cls.document_type"), rules)
     doc_type = F.col("_cls.document_type")
@@ -124,7 +125,7 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
 
     # enrichment E1 (policy text by rule id); E2 handled below
     has_history = history is not None and history.limit(1).count() > 0
-    enriched_c, sugg_c, score_c = _tail(text_col)
+    enriched_c, sugg_c, score_c = _tail(text_col, ctx)
     d = d.withColumn("violations", enriched_c)
     d = d.withColumn("suggestions", sugg_c if rewrite_fn is None else suggestions(text, F.col("_v"), rewrite_fn))
     d = d.withColumn("_score", score_c)
