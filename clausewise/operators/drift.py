@@ -1,8 +1,9 @@
 """D1 paragraph chunks and D4 template drift.
 
 The template store is a small dimension: its size is checked, it is embedded
-once (dense, unit length) and packed into a single broadcast row.  Every
-document then finds, per chunk, its best template in place; no shuffle.
+once in Spark (dense, unit length) and broadcast as a numpy matrix.  Every
+document then finds, per chunk, its best template in place (one matrix
+product per Arrow batch); no shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from clausewise.functions.dense import best_match_for_bags
 from clausewise.functions.text import explode_rows, let, split_paragraphs
 from clausewise.functions.vectors import DEFAULT_DIM, bag_norm, buckets, embed_text, sq_norm
 from clausewise.functions.violations import empty_violations, violation
-from clausewise.operators.vectors import nearest_one, query_aux
 
 # Fixed values (must equal the reference's detector).
 SIMILARITY_THRESHOLD = 0.7
@@ -37,34 +37,6 @@ def chunks(text: Column, sep: str = PARAGRAPH_SEP) -> Column:
         (F.instr(src, c) - 1 + F.length(c)).alias("span_end")))
 
 
-def template_store(templates: DataFrame, id_col: str = "template_id", text_col: str = "text",
-                   vec_col: str | None = None, dim: int = DEFAULT_DIM) -> DataFrame:
-    """One row `items: array<struct<id, vec, n2, payload>>` holding every
-    template (dense unit vectors).  Duplicate ids: the last stored wins."""
-    n = templates.limit(MAX_TEMPLATES + 1).count()
-    if n > MAX_TEMPLATES:
-        raise ValueError(f"template store larger than {MAX_TEMPLATES}; use vectors.top_k_similar")
-    vec = F.col(vec_col) if vec_col else embed_text(F.col(text_col), dim)
-    with_vec = templates.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                                *([F.col("stored_at")] if "stored_at" in templates.columns else
-                                  [F.lit(None).cast("timestamp").alias("stored_at")]),
-                                F.transform(vec, lambda x: x.cast("double")).alias("vec"))
-    latest = with_vec.groupBy("id").agg(F.max_by(F.struct("text", "vec"), F.col("stored_at")).alias("r"))
-    item = F.struct(F.col("id"), F.col("r.vec").alias("vec"), sq_norm(F.col("r.vec")).alias("n2"),
-                    F.struct(F.col("r.text").alias("text")).alias("payload"))
-    return latest.agg(F.collect_list(item).alias("items"))
-
-
-def store_matrix(store: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The packed store row as a numpy matrix (bounded: see template_store)."""
-    row = store.collect()
-    items = row[0]["items"] if row else []
-    if not items:
-        return np.zeros((0, 1)), np.zeros(0)
-    m = np.array([it["vec"] for it in items], dtype=np.float64)
-    return m, (m * m).sum(axis=1)
-
-
 def drift_violations(text: Column, store_bc, metric: str = "l2", sep: str = PARAGRAPH_SEP,
                      dim: int = DEFAULT_DIM, chunk_col: Column | None = None,
                      has_store: bool = True) -> Column:
@@ -115,15 +87,6 @@ def broadcast_store(spark, templates: DataFrame, dim: int = DEFAULT_DIM, id_col:
     return spark.sparkContext.broadcast((m, (m * m).sum(axis=1))), m.shape[0] > 0
 
 
-def with_template_store(docs: DataFrame, store: DataFrame) -> DataFrame:
-    """Attach the packed store (one row, size-checked) by a broadcast join on
-    a constant key: every document meets exactly one store row."""
-    return (docs.withColumn("_store_key", F.lit(0))
-            .join(F.broadcast(store.withColumn("_store_key", F.lit(0))), "_store_key", "left")
-            .drop("_store_key")
-            .withColumn("items", F.coalesce(F.col("items"), F.array().cast(store.schema["items"].dataType))))
-
-
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sep: str = PARAGRAPH_SEP) -> DataFrame:
     """D1 as rows: (id, chunk_index, span_start, span_end, chunk_chars)."""
@@ -143,5 +106,4 @@ def detect_drift(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
                     F.round("v.similarity", 6).alias("similarity"), "v.severity", "v.message"))
 
 
-__all__ = ["chunks", "template_store", "drift_violations", "with_template_store", "chunk_table",
-           "detect_drift", "query_aux"]
+__all__ = ["chunks", "drift_violations", "broadcast_store", "chunk_table", "detect_drift"]

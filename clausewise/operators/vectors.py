@@ -1,12 +1,10 @@
 """D3 exact top-k similarity search, D3b approximate search, S10 upsert.
 
 Exact search never forms a query x store cross product of rows.  The store
-is cut into blocks of at most `block_rows` vectors (hash of id), each block
-packed into one row.  A query row meets each block once and keeps only its
-k best candidates from it:
+is sized first; the dense math is one matrix product per batch (numpy):
 
-* one block  -> the packed store is broadcast (its size is checked, it is at
-  most `block_rows` vectors) and each query keeps its top k in place;
+* store <= `block_rows` vectors -> it is broadcast once as a matrix (its size
+  is checked) and each Arrow batch of queries keeps its top k in place;
 * many blocks -> queries (cut into groups of bounded size) and store blocks
   meet in a cogroup on (block, group): each task scores one bounded query
   group against one bounded block with a matrix product, and the per-block
@@ -18,66 +16,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewise.functions.text import explode_rows
-
-from clausewise.functions.vectors import (bag_dot, bag_norm, cosine, dot, l2_similarity, sq_l2,
-                                          sq_norm)
-
 DEFAULT_BLOCK_ROWS = 4096
 RANK_DECIMALS = 12   # ranking precision: closer similarities are ties, broken by id
 METRICS = ("l2", "cosine")
 
 
-def query_aux(q: Column, q_kind: str) -> Column:
-    """Per-query constant computed once: squared norm (dense) or bag norm."""
-    return sq_norm(q) if q_kind == "dense" else bag_norm(q)
-
-
-def _candidates(q: Column, q_kind: str, q_aux: Column, items: Column, metric: str) -> Column:
-    """array<struct<neg_sim, id, similarity, distance, payload>> for one query.
-    `q_aux` is `query_aux(q)`, precomputed in its own column."""
-    q_n2 = q_aux
-
-    def score(s: Column) -> Column:
-        if q_kind == "bag":
-            # q is a bag of bucket ids, unit length when non-empty
-            qd = bag_dot(q, q_aux, s["vec"])
-            qn2 = F.when(F.size(q) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-            if metric == "l2":
-                d = F.greatest(qn2 + s["n2"] - 2 * qd, F.lit(0.0))
-                sim, dist = l2_similarity(d), d
-            else:
-                sim = cosine(qd, qn2, s["n2"])
-                dist = F.lit(1.0) - sim
-        else:
-            if metric == "l2":
-                d = sq_l2(q, s["vec"])
-                sim, dist = l2_similarity(d), d
-            else:
-                sim = cosine(dot(q, s["vec"]), q_n2, s["n2"])
-                dist = F.lit(1.0) - sim
-        return F.struct((-F.round(sim, RANK_DECIMALS)).alias("neg_sim"), s["id"].alias("id"), sim.alias("similarity"),
-                        dist.alias("distance"), s["payload"].alias("payload"))
-    return F.transform(items, score)
-
-
-def pack_store(store: DataFrame, id_col: str, vec_col: str, payload_cols: list[str],
-               n_blocks: int) -> DataFrame:
-    item = F.struct(
-        F.col(id_col).alias("id"),
-        F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"),
-        sq_norm(F.col(vec_col)).alias("n2"),
-        F.struct(*[F.col(c) for c in payload_cols]).alias("payload") if payload_cols
-        else F.lit(None).cast("string").alias("payload"),
-    )
-    blk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int") if n_blocks > 1 else F.lit(0)
-    return store.select(blk.alias("_blk"), item.alias("item")).groupBy("_blk").agg(
-        F.collect_list("item").alias("items"))
-
-
 def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l2",
                   query_id: str = "query_id", query_vec: str = "embedding", query_kind: str = "dense",
                   store_id: str = "id", store_vec: str = "embedding",
@@ -240,12 +186,6 @@ def _bags_to_unit(bags, dim: int):
     return unit_rows(counts.astype(np.float64))[0]
 
 
-def nearest_one(q: Column, q_kind: str, q_aux: Column, items: Column, metric: str = "l2") -> Column:
-    """Top-1 candidate struct (or NULL for an empty store) for a packed store
-    column; used inline when the store is a small broadcast dimension."""
-    return F.array_min(_candidates(q, q_kind, q_aux, items, metric))
-
-
 def approx_top_k_similar(queries: DataFrame, store: DataFrame, k: int, query_id: str = "query_id",
                          query_vec: str = "embedding", store_id: str = "id", store_vec: str = "embedding",
                          bucket_length: float = 1.0, num_tables: int = 4, max_distance: float = 1.5,
