@@ -209,6 +209,13 @@ def w_suggestions_corpus(spark, sf):
         "s.replacement", "s.redaction_flag"))
 
 
+def w3_template_context(spark, sf):
+    from clausewise.operators.rewrite import template_context
+    a = audit(_corpus(spark, sf).select("doc_id", "text"))
+    out = template_context(a, templates_table(spark))
+    return _long(out.select("doc_id", "seq", "template_id", F.round("similarity", 6).alias("similarity")))
+
+
 def q1_audit(spark, sf):
     a = _audited(spark, sf)
     return _long(a.select("doc_id", "document_type", "violation_score", "n_critical", "n_high", "n_medium",
@@ -384,7 +391,7 @@ def q4_stream_metrics(spark, sf):
 QUERIES = {
     name: fn for name, fn in dict(globals()).items()
     if callable(fn) and name[:2] in {"t1", "p1", "p3", "p4", "r1", "r7", "g1", "g3", "d1", "d2", "d3", "d4",
-                                     "m1", "e1", "e2", "w_", "q1", "q2", "q3", "q4", "f1", "f2", "o1", "o2",
+                                     "m1", "e1", "e2", "w_", "w3", "q1", "q2", "q3", "q4", "f1", "f2", "o1", "o2",
                                      "k1", "k2", "k3", "v1", "s1", "s2", "s4", "s5", "s7", "s8", "s9", "s1"}
     and getattr(fn, "__module__", "") == __name__
 }

@@ -378,6 +378,23 @@ def sql_queries() -> dict[str, str]:
     out["w_suggestions_corpus"] = f"""WITH {corpus_docs}, {audit_ctes('cdocs')}
       SELECT doc_id, seq, violation_id, span_start::BIGINT AS span_start, span_end::BIGINT AS span_end,
              original_text, replacement, redaction_flag FROM asug"""
+    out["w3_template_context"] = f"""WITH {corpus_docs}, {audit_ctes('cdocs')},
+      vs AS (SELECT v.doc_id, v.seq, substr(coalesce(c.text, ''), v.span_start + 1, v.span_end - v.span_start) AS sl
+             FROM av v JOIN cls c USING (doc_id) WHERE v.type <> 'pii'),
+      vt AS (SELECT doc_id, seq, unnest(regexp_extract_all(lower(sl), '{TOKEN}')) AS tok FROM vs),
+      vb AS (SELECT doc_id, seq, {bucket('tok')} AS b, count(*) AS cnt FROM vt GROUP BY ALL),
+      vw AS (SELECT doc_id, seq, b, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY doc_id, seq)) AS w FROM vb),
+      vd AS (SELECT v.doc_id, v.seq, t.template_id, sum(v.w * t.w) AS dot FROM vw v JOIN adr_tw t USING (b)
+             GROUP BY ALL),
+      pairs AS (SELECT vs.doc_id, vs.seq, tpl.template_id,
+                       1.0 / (1.0 + greatest(CASE WHEN EXISTS (SELECT 1 FROM vb WHERE vb.doc_id = vs.doc_id
+                                                                AND vb.seq = vs.seq) THEN 1.0 ELSE 0.0 END
+                                             + 1.0 - 2.0 * coalesce(vd.dot, 0.0), 0.0)) AS sim
+                FROM vs CROSS JOIN tpl
+                LEFT JOIN vd ON vd.doc_id = vs.doc_id AND vd.seq = vs.seq AND vd.template_id = tpl.template_id)
+      SELECT doc_id, seq, template_id, round(sim, 6) AS similarity FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY round(sim, 12) DESC, template_id) AS rk
+        FROM pairs) WHERE rk = 1"""
     out["q1_audit"] = f"WITH {docs}, {audit_ctes('docs')} SELECT {AUD_COLS} FROM aud"
     out["q1_audit_corpus"] = f"WITH {corpus_docs}, {audit_ctes('cdocs')} SELECT {AUD_COLS} FROM aud"
     out["f1_final_text"] = f"""WITH {docs}, {audit_ctes('docs')},
