@@ -256,13 +256,18 @@ def k1_review_queue(spark, sf):
                     "department")
 
 
+def event_status(event_type):
+    """Status carried by an update event (our mapping of event types)."""
+    return (F.when(event_type == "view", "in_review").when(event_type == "click", "assigned")
+            .when(event_type == "purchase", "resolved").when(event_type == "error", "reopened")
+            .otherwise("open"))
+
+
 def _ticket_updates(spark, sf, tickets):
     """Status updates from `events`: the event's user id names the document
     whose ticket it updates; the event type maps to a status."""
     ev = load_table(spark, sf, "events")
-    status = (F.when(F.col("event_type") == "view", "in_review").when(F.col("event_type") == "click", "assigned")
-              .when(F.col("event_type") == "purchase", "resolved").when(F.col("event_type") == "error", "reopened")
-              .otherwise("open"))
+    status = event_status(F.col("event_type"))
     return ev.select("event_id", "ts", F.substring(F.sha2(F.concat(F.col("user_id").cast("string"), F.lit("|"),
                                                                        F.lit(RUN_ID)), 256), 1, 32)
                      .alias("ticket_id"), status.alias("status"))
@@ -388,6 +393,16 @@ def q4_stream_metrics(spark, sf):
     return run_event_metrics(spark, sf)
 
 
+def q4_severity_stream(spark, sf):
+    from clausewise.streaming.metrics_stream import severity_counts_stream_run
+    return severity_counts_stream_run(spark, sf)
+
+
+def k3_ticket_status_stream(spark, sf):
+    from clausewise.streaming.metrics_stream import ticket_status_stream_run
+    return ticket_status_stream_run(spark, sf, RUN_ID, event_status)
+
+
 QUERIES = {
     name: fn for name, fn in dict(globals()).items()
     if callable(fn) and name[:2] in {"t1", "p1", "p3", "p4", "r1", "r7", "g1", "g3", "d1", "d2", "d3", "d4",

@@ -449,6 +449,10 @@ def sql_queries() -> dict[str, str]:
     out["s11_write_audit"] = f"""WITH {docs}, {audit_ctes('docs')}
       SELECT a.doc_id, 'run-0001' AS run_id, a.decision, a.violation_score,
              (SELECT count(*) FROM av v WHERE v.doc_id = a.doc_id)::BIGINT AS n_violation_rows FROM aud a"""
+    out["k3_ticket_status_stream"] = """SELECT substr(sha256(user_id::VARCHAR || '|run-0001'), 1, 32) AS ticket_id,
+        arg_max(CASE event_type WHEN 'view' THEN 'in_review' WHEN 'click' THEN 'assigned'
+                WHEN 'purchase' THEN 'resolved' WHEN 'error' THEN 'reopened' ELSE 'open' END, (ts, event_id)) AS status,
+        count(*)::BIGINT AS n_updates FROM events GROUP BY 1"""
     out["k3_rejected_updates"] = f"""WITH {tickets}
       SELECT status, count(*)::BIGINT AS n_rejected FROM upd WHERE ticket_id NOT IN (SELECT ticket_id FROM tk)
       GROUP BY status"""
@@ -562,6 +566,8 @@ def sql_queries() -> dict[str, str]:
                    AS segs FROM p)
       SELECT doc_id, i::BIGINT AS seg, segs[i + 1].op AS op, segs[i + 1].t AS text
       FROM (SELECT doc_id, segs, unnest(range(0, len(segs))) AS i FROM q)"""
+    out["q4_severity_stream"] = f"""WITH {docs}, {audit_ctes('docs')}
+      SELECT coalesce(severity, 'unknown') AS severity, count(*)::BIGINT AS violations FROM av GROUP BY 1"""
     out["q3_audit_stream"] = f"""WITH {docs}, {audit_ctes('docs')}
       SELECT a.doc_id, a.document_type, a.violation_score, a.decision, a.reason,
              (SELECT count(*) FROM av v WHERE v.doc_id = a.doc_id)::BIGINT AS n_violations,

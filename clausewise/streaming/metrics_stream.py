@@ -57,3 +57,72 @@ def severity_counts_stream(audits_stream: DataFrame, ts_col: str = "audited_at",
             .groupBy(F.window(ts_col, window).alias("w"),
                      F.coalesce(F.col("v.severity"), F.lit("unknown")).alias("severity"))
             .agg(F.count(F.lit(1)).alias("violations")))
+
+
+def severity_counts_stream_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 over the audit stream: violations per severity in processing-time
+    windows, kept as streaming state (update mode).  Each micro-batch's
+    updated counts are appended to a table in the shared folder with their
+    batch id; the current value of a (window, severity) counter is its row
+    from the latest batch.  Returns totals per severity."""
+    from pyspark.sql import Window as W
+
+    from clausewise.plans.audit import audit
+
+    base = os.path.join(checkpoint_dir(spark), f"severity-stream-{uuid.uuid4().hex}")
+    src = os.path.join(sf_dir, "documents.parquet")
+    schema = spark.read.parquet(src).select("doc_id", "text").schema
+    stream = (spark.readStream.schema(schema).option("basePath", os.path.dirname(src))
+              .parquet(_glob(src)).select("doc_id", "text"))
+    audited = audit(stream).select(F.current_timestamp().alias("audited_at"), "violations")
+    counts = (audited.withWatermark("audited_at", WATERMARK)
+              .select("audited_at", F.posexplode_outer("violations").alias("_p", "v"))
+              .where(F.col("_p").isNotNull())
+              .groupBy(F.window("audited_at", WINDOW).alias("w"),
+                       F.coalesce(F.col("v.severity"), F.lit("unknown")).alias("severity"))
+              .agg(F.count(F.lit(1)).alias("violations")))
+    out = f"{base}/out"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        (batch.select(F.col("w.start").alias("window_start"), "severity", "violations",
+                      F.lit(batch_id).alias("batch_id"))
+         .write.mode("append").parquet(out))
+
+    q = (counts.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.read.parquet(out)
+    latest = rows.withColumn("_r", F.row_number().over(
+        W.partitionBy("window_start", "severity").orderBy(F.col("batch_id").desc()))).where("_r = 1")
+    return latest.groupBy("severity").agg(F.sum("violations").cast("bigint").alias("violations"))
+
+
+def ticket_status_stream_run(spark: SparkSession, sf_dir: str, run_id: str = "run-0001",
+                             status_of=None) -> DataFrame:
+    """K3 as a stream: status updates arrive as events; per ticket the state
+    keeps the latest status by (ts, event id) and the update count (update
+    mode, `max_by` state).  Batches append their changed rows to a table in
+    the shared folder; the current state is the latest batch per ticket."""
+    from pyspark.sql import Window as W
+
+    base = os.path.join(checkpoint_dir(spark), f"ticket-stream-{uuid.uuid4().hex}")
+    src = os.path.join(sf_dir, "events.parquet")
+    schema = spark.read.parquet(src).schema
+    ev = spark.readStream.schema(schema).option("basePath", os.path.dirname(src)).parquet(_glob(src))
+    status = status_of(F.col("event_type")) if status_of else F.col("event_type")
+    upd = ev.select("event_id", "ts", F.substring(F.sha2(F.concat(F.col("user_id").cast("string"), F.lit("|"),
+                                                                  F.lit(run_id)), 256), 1, 32).alias("ticket_id"),
+                    status.alias("status"))
+    state = upd.groupBy("ticket_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"),
+                                         F.count(F.lit(1)).alias("n_updates"))
+    out = f"{base}/out"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    q = (state.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.read.parquet(out)
+    return (rows.withColumn("_r", F.row_number().over(W.partitionBy("ticket_id").orderBy(F.col("batch_id").desc())))
+            .where("_r = 1").select("ticket_id", "status", F.col("n_updates").cast("bigint").alias("n_updates")))
