@@ -7,6 +7,7 @@ concatenated in pattern order, and redaction is an array fold.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,20 @@ def pii_context(text: Column, start: Column, end: Column) -> Column:
     return slice_text(text, lo, hi)
 
 
+@lru_cache(maxsize=32)
+def _cached_pii(text_col: str, confirm: bool, app_id: str) -> Column:
+    return pii_violations(F.col(text_col), confirm)
+
+
+def pii_violations_of(df: DataFrame, text_col: str, confirm: bool = False,
+                      confirm_fn: ConfirmFn | None = None) -> Column:
+    """`pii_violations` for a named column; the (large) expression tree is
+    built once per column and application and reused."""
+    if confirm_fn is not None:
+        return pii_violations(F.col(text_col), confirm, confirm_fn)
+    return _cached_pii(text_col, confirm, df.sparkSession.sparkContext.applicationId)
+
+
 def pii_violations(text: Column, confirm: bool = False,
                    confirm_fn: ConfirmFn | None = None) -> Column:
     """array<violation> of PII hits in pattern order, then match order."""
@@ -117,7 +132,7 @@ def redact(text: Column, spans: Column) -> Column:
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              confirm: bool = False, confirm_fn: ConfirmFn | None = None) -> DataFrame:
     """P1+P2(+P3): one row per detected span, `seq` = position in scan order."""
-    v = pii_violations(F.col(text_col), confirm, confirm_fn)
+    v = pii_violations_of(docs, text_col, confirm, confirm_fn)
     return (explode_rows(docs, [F.col(id_col)], v, "seq", "v")
             .select(id_col, F.col("seq").cast("int").alias("seq"), "v.pii_type", "v.span_start",
                     "v.span_end", "v.text", "v.severity", "v.confidence"))
@@ -125,7 +140,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """P4 over a table: (id, redacted_text, n_redactions)."""
-    v = pii_violations(F.col(text_col))
+    v = pii_violations_of(docs, text_col)
     return (docs.select(F.col(id_col), F.col(text_col), v.alias("_pii"))
             .select(id_col,
                     redact(F.col(text_col), F.col("_pii")).alias("redacted_text"),

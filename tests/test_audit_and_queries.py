@@ -94,3 +94,22 @@ def test_similar_violations_hot_split_is_exact(spark, monkeypatch):
     monkeypatch.setattr(A, "HOT_TEXT_MIN_COUNT", 2)
     monkeypatch.setattr(A, "MAX_HOT_TEXTS", 1)
     assert rows() == all_cold and len(all_cold) > 0
+
+
+def test_audit_stream_equals_batch(spark):
+    from clausewise.streaming.audit_stream import run_audit_stream
+    stream = {(r.doc_id, r.decision, r.violation_score, r.n_violations)
+              for r in run_audit_stream(spark, SF).collect()}
+    batch_df = audit(load_table(spark, SF, "documents").select("doc_id", "text"))
+    batch = {(r.doc_id, r.decision, r.violation_score, len(r.violations)) for r in batch_df.collect()}
+    assert stream == batch and len(batch) == load_table(spark, SF, "documents").count()
+
+
+def test_severity_stream_totals(spark):
+    from clausewise.streaming.metrics_stream import severity_counts_stream_run
+    got = {r.severity: r.violations for r in severity_counts_stream_run(spark, SF).collect()}
+    a = audit(load_table(spark, SF, "documents").select("doc_id", "text"))
+    exp = {}
+    for r in a.select(F.explode("violations").alias("v")).collect():
+        exp[r.v.severity] = exp.get(r.v.severity, 0) + 1
+    assert got == exp
