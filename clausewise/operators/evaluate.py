@@ -14,16 +14,31 @@ from pyspark.sql import functions as F
 
 
 def pii_match_counts(detected: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """detected(id, det: array<string>), labels(id, gt: array<string>) ->
-    (id, tp, fn, fp).  Documents missing on one side count as empty."""
+    """detected(id, det: array<string> or det_counts: array<struct<text, n>>),
+    labels(id, gt: array<string>) -> (id, tp, fn, fp).  Documents missing on
+    one side count as empty.  With `det_counts`, repeated detection texts
+    are collapsed beforehand and a false positive weighs its count."""
     j = labels.join(detected, id_col, "full_outer")
     gt = F.coalesce(F.col("gt"), F.array().cast("array<string>"))
-    det = F.coalesce(F.col("det"), F.array().cast("array<string>"))
-    found = F.filter(gt, lambda g: F.exists(det, lambda d: F.contains(d, g)))
-    fp = F.filter(det, lambda d: ~F.exists(gt, lambda g: F.contains(d, g)))
+    if "det_counts" in detected.columns:
+        det = F.coalesce(F.col("det_counts"), F.array().cast("array<struct<text:string,n:bigint>>"))
+    else:
+        det = F.transform(F.coalesce(F.col("det"), F.array().cast("array<string>")),
+                          lambda d: F.struct(d.alias("text"), F.lit(1).cast("bigint").alias("n")))
+    found = F.filter(gt, lambda g: F.exists(det, lambda d: F.contains(d["text"], g)))
+    fp = F.aggregate(F.filter(det, lambda d: ~F.exists(gt, lambda g: F.contains(d["text"], g))),
+                     F.lit(0).cast("bigint"), lambda acc, d: acc + d["n"])
     return j.select(id_col, F.size(found).cast("bigint").alias("tp"),
                     (F.size(gt) - F.size(found)).cast("bigint").alias("fn"),
-                    F.size(fp).cast("bigint").alias("fp"))
+                    fp.cast("bigint").alias("fp"))
+
+
+def detection_counts(spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Detections per document as distinct (text, count) pairs; the count is
+    partially aggregated before the shuffle, so a document whose detections
+    repeat the same text many times stays a small group."""
+    return (spans.groupBy(id_col, text_col).agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(id_col).agg(F.collect_list(F.struct(F.col(text_col).alias("text"), "n")).alias("det_counts")))
 
 
 def evaluate_pii(detected: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
