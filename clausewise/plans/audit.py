@@ -94,9 +94,12 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
           history: DataFrame | None = None, rules: DataFrame | None = None,
           id_col: str = "doc_id", text_col: str = "text", metric: str = "l2",
           sep: str = PARAGRAPH_SEP, dim: int = DEFAULT_DIM, with_drift: bool = True,
-          confirm_pii: bool = False, rewrite_fn=None, keep_text: bool = True) -> DataFrame:
+          confirm_pii: bool = False, rewrite_fn=None, keep_text: bool = True,
+          carry: tuple[str, ...] = ()) -> DataFrame:
     """Audit every document.  `history` (id, text[, embedding]) enables the
-    similar-past-violation search; None or empty gives empty lists."""
+    similar-past-violation search; None or empty gives empty lists.
+    `carry` names input columns passed through unchanged (e.g. a department),
+    so callers never need to join the audit back to its input."""
     spark = docs.sparkSession
     pmap = policy_map(policies)
     if with_drift:
@@ -112,7 +115,8 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
         pol_c = policy_violations(text, F.col("_cls.document_type"), rules)
         nrules_c = rules_checked(F.col("_cls.document_type"), rules)
     doc_type = F.col("_cls.document_type")
-    d = docs.select(F.col(id_col), text).withColumn("_cls", cls_c).withColumn("policy_map", pmap)
+    d = docs.select(F.col(id_col), text, *[F.col(c) for c in carry]).withColumn("_cls", cls_c) \
+        .withColumn("policy_map", pmap)
 
     # scanners (each result bound in its own column)
     d = d.select("*", pii_c.alias("_pii"), pol_c.alias("_pol"), nrules_c.alias("rules_checked"),
@@ -132,7 +136,7 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
     d = d.withColumn("_dec", dec.decide(F.col("_score.violation_score"), F.size("suggestions")))
 
     out = d.select(
-        F.col(id_col), *([text] if keep_text else []),
+        F.col(id_col), *([text] if keep_text else []), *[F.col(c) for c in carry],
         F.col("_cls.document_type").alias("document_type"),
         F.col("_cls.confidence").alias("classification_confidence"),
         "violations", "suggestions",

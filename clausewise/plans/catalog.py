@@ -250,7 +250,7 @@ def o2_duration_histogram(spark, sf):
 
 def k1_review_queue(spark, sf):
     docs = load_table(spark, sf, "documents").select("doc_id", "text", "source")
-    a = audit(docs.select("doc_id", "text")).join(docs.select("doc_id", "source"), "doc_id")
+    a = audit(docs, carry=("source",))
     t = review_queue(a, RUN_ID, department_col="source")
     return t.select("ticket_id", "document_id", "processing_id", "status", "violation_summary", "severity",
                     "department")
@@ -275,7 +275,7 @@ def _ticket_updates(spark, sf, tickets):
 
 def k3_ticket_status(spark, sf):
     docs = load_table(spark, sf, "documents").select("doc_id", "text", "source")
-    a = audit(docs.select("doc_id", "text")).join(docs.select("doc_id", "source"), "doc_id")
+    a = audit(docs, carry=("source",))
     t = review_queue(a, RUN_ID, department_col="source")
     current, _rejected = update_ticket_status(t, _ticket_updates(spark, sf, t))
     return current.select("ticket_id", "document_id", "status", "n_updates")
@@ -283,7 +283,7 @@ def k3_ticket_status(spark, sf):
 
 def k3_rejected_updates(spark, sf):
     docs = load_table(spark, sf, "documents").select("doc_id", "text", "source")
-    a = audit(docs.select("doc_id", "text")).join(docs.select("doc_id", "source"), "doc_id")
+    a = audit(docs, carry=("source",))
     t = review_queue(a, RUN_ID, department_col="source")
     _current, rejected = update_ticket_status(t, _ticket_updates(spark, sf, t))
     return rejected.groupBy("status").agg(F.count(F.lit(1)).cast("bigint").alias("n_rejected"))
@@ -291,7 +291,7 @@ def k3_rejected_updates(spark, sf):
 
 def k2_open_tickets(spark, sf):
     docs = load_table(spark, sf, "documents").select("doc_id", "text", "source")
-    a = audit(docs.select("doc_id", "text")).join(docs.select("doc_id", "source"), "doc_id")
+    a = audit(docs, carry=("source",))
     t = review_queue(a, RUN_ID, department_col="source")
     current, _rejected = update_ticket_status(t, _ticket_updates(spark, sf, t))
     return list_tickets(current, status="open").select("ticket_id", "document_id", "status", "n_updates")
