@@ -41,8 +41,31 @@ def detection_counts(spans: DataFrame, id_col: str = "doc_id", text_col: str = "
             .groupBy(id_col).agg(F.collect_list(F.struct(F.col(text_col).alias("text"), "n")).alias("det_counts")))
 
 
+def row_match_counts(gt_texts, det_texts):
+    """Per-row (tp, fn, fp) when a row already holds its labelled texts and
+    its detected texts (arrays): no join, no grouping."""
+    gt = F.coalesce(gt_texts, F.array().cast("array<string>"))
+    det = F.coalesce(det_texts, F.array().cast("array<string>"))
+    found = F.filter(gt, lambda g: F.exists(det, lambda d: F.contains(d, g)))
+    fp = F.filter(det, lambda d: ~F.exists(gt, lambda g: F.contains(d, g)))
+    return F.struct(F.size(found).cast("bigint").alias("tp"),
+                    (F.size(gt) - F.size(found)).cast("bigint").alias("fn"),
+                    F.size(fp).cast("bigint").alias("fp"))
+
+
+def evaluate_pii_rows(df: DataFrame, gt_col: str = "gt", det_col: str = "det") -> DataFrame:
+    """V1 when labels and detections sit in the same row (e.g. the audit of a
+    labelled corpus): narrow per-row counts, then one global aggregate."""
+    m = df.select(row_match_counts(F.col(gt_col), F.col(det_col)).alias("m")).select("m.*")
+    return _metrics(m)
+
+
 def evaluate_pii(detected: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    c = pii_match_counts(detected, labels, id_col).agg(
+    return _metrics(pii_match_counts(detected, labels, id_col))
+
+
+def _metrics(counts: DataFrame) -> DataFrame:
+    c = counts.agg(
         F.sum("tp").cast("bigint").alias("tp"), F.sum("fp").cast("bigint").alias("fp"),
         F.sum("fn").cast("bigint").alias("fn"))
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)

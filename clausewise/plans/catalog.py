@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clausewise.functions.text import explode_rows
 from clausewise.functions.vectors import DEFAULT_DIM, buckets
 from clausewise.operators.drift import chunk_table, detect_drift
-from clausewise.operators.evaluate import detection_counts, evaluate_pii
+from clausewise.operators.evaluate import detection_counts, evaluate_pii  # noqa: F401
 from clausewise.operators.metrics import audit_counters, duration_histogram
 from clausewise.operators.pii import redact_documents, scan_pii
 from clausewise.operators.rewrite import change_segments
@@ -313,11 +313,15 @@ def s11_write_audit(spark, sf):
 
 
 def v1_evaluate_pii(spark, sf):
+    """Labels and detections of a document live in the same row: narrow
+    per-document counts, then one global aggregate (no shuffle)."""
+    from clausewise.operators.evaluate import evaluate_pii_rows
+    from clausewise.operators.pii import pii_violations_of
     c = _corpus(spark, sf)
-    det = detection_counts(scan_pii(c.select("doc_id", "text")))
-    lab = c.select("doc_id", F.transform(F.coalesce("label.pii_spans", F.array().cast(
-        "array<struct<span_start:int,span_end:int,pii_type:string,text:string>>")), lambda s: s["text"]).alias("gt"))
-    return evaluate_pii(det, lab)
+    gt = F.transform(F.coalesce("label.pii_spans", F.array().cast(
+        "array<struct<span_start:int,span_end:int,pii_type:string,text:string>>")), lambda s: s["text"])
+    det = F.transform(pii_violations_of(c, "text"), lambda v: v["text"])
+    return evaluate_pii_rows(c.select(gt.alias("gt"), det.alias("det")))
 
 
 # ------------------------------------------------------------------ sources
