@@ -49,10 +49,13 @@ def main() -> None:
             runs.append(time.time() - t0)
         times[name] = round(statistics.median(runs), 3)
     n_docs = load_table(spark, sf_dir, "documents").count()
+    n_vec = load_table(spark, sf_dir, "embeddings").count()
     print(json.dumps({
         "metric": "headline_queries_total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "documents": n_docs, "audit_docs_per_sec": round(n_docs / times["q1_audit"], 1),
+        "pii_docs_per_sec": round(n_docs / times["p1_pii_spans"], 1),
+        "topk_pairs_per_sec": round(n_vec * (n_vec - 1) / times["d3_topk_l2"], 1),
     }))
 
 

@@ -231,4 +231,19 @@ def audit_lookup(results: DataFrame, requested: DataFrame, id_col: str = "doc_id
             .drop("_found"))
 
 
+MAX_LOOKUP_IDS = 10_000
+
+
+def audit_status(spark: SparkSession, results_path: str, ids: list, id_col: str = "doc_id") -> DataFrame:
+    """Q2 for a handful of ids against the stored audit table: the id list is
+    a bounded literal `IN` filter, pushed to the parquet scan (row-group
+    statistics skip the rest); ids never audited come back 'not_found'.
+    Large request sets go through `audit_lookup` (a join) instead."""
+    if len(ids) > MAX_LOOKUP_IDS:
+        raise ValueError("too many ids for a literal lookup; use audit_lookup with a DataFrame")
+    res = spark.read.parquet(results_path).where(F.col(id_col).isin(list(ids)))
+    req = spark.createDataFrame([(i,) for i in ids], T.StructType([res.schema[id_col]]))
+    return audit_lookup(res, req, id_col)
+
+
 __all__ = ["Window"]

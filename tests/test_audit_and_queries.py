@@ -113,3 +113,18 @@ def test_severity_stream_totals(spark):
     for r in a.select(F.explode("violations").alias("v")).collect():
         exp[r.v.severity] = exp.get(r.v.severity, 0) + 1
     assert got == exp
+
+
+def test_audit_status_pushdown_and_not_found(spark):
+    import os
+    import uuid
+    from clausewise.session import checkpoint_dir
+    from clausewise.sources.ingest import audit_status, write_audit
+    docs = spark.createDataFrame([(1, "mail a@b.com"), (2, "clean text")], "doc_id long, text string")
+    out = os.path.join(checkpoint_dir(spark), f"t-{uuid.uuid4().hex}")
+    paths = write_audit(audit(docs, with_drift=False), out, "r1")
+    df = audit_status(spark, paths["audit_results"], [1, 99])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(doc_id" in plan
+    got = {r.doc_id: r.status for r in df.collect()}
+    assert got == {1: "completed", 99: "not_found"}
