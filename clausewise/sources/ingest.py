@@ -193,7 +193,9 @@ def pseudonymise(uploads: DataFrame, uploader_col: str | None, department_col: s
 
 
 def write_audit(audits: DataFrame, out_dir: str, run_id: str, mask_pii_text: bool = False) -> dict:
-    """Audit tables partitioned by run id.
+    """Audit tables partitioned by run id.  Writing replaces only this
+    run's partition (dynamic overwrite), so re-running a failed run is
+    idempotent; task retries are covered by the file commit protocol.
 
     The audit is computed once and written whole (`audit_full`); the derived
     tables are then read from that written copy, so the expensive per-document
@@ -208,18 +210,21 @@ def write_audit(audits: DataFrame, out_dir: str, run_id: str, mask_pii_text: boo
     id_col = audits.columns[0]
     paths = {k: f"{out_dir}/{k}" for k in ("audit_full", "audit_results", "audit_violations",
                                             "audit_suggestions", "audit_final_text")}
-    a.write.mode("append").partitionBy("run_id").parquet(paths["audit_full"])
+    def write_run(df: DataFrame, path: str) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_id").parquet(path))
+
+    write_run(a, paths["audit_full"])
     full = spark.read.parquet(paths["audit_full"]).where(F.col("run_id") == run_id)
-    (full.drop("violations", "suggestions", "text").write.mode("append").partitionBy("run_id")
-     .parquet(paths["audit_results"]))
-    (explode_rows(full, ["run_id", id_col], F.col("violations")).select("run_id", id_col, "v.*")
-     .drop("similar_violations").write.mode("append").partitionBy("run_id").parquet(paths["audit_violations"]))
-    (explode_rows(full, ["run_id", id_col], F.col("suggestions"), "seq", "s").select("run_id", id_col, "seq", "s.*")
-     .write.mode("append").partitionBy("run_id").parquet(paths["audit_suggestions"]))
+    write_run(full.drop("violations", "suggestions", "text"), paths["audit_results"])
+    write_run(explode_rows(full, ["run_id", id_col], F.col("violations"))
+              .select("run_id", id_col, "v.*").drop("similar_violations"), paths["audit_violations"])
+    write_run(explode_rows(full, ["run_id", id_col], F.col("suggestions"), "seq", "s")
+              .select("run_id", id_col, "seq", "s.*"), paths["audit_suggestions"])
     if "text" in full.columns:
-        (full.where(F.col("decision") == "Auto-Fix")
-         .select("run_id", id_col, apply_fixes(F.col("text"), F.col("suggestions")).alias("final_text"))
-         .write.mode("append").partitionBy("run_id").parquet(paths["audit_final_text"]))
+        write_run(full.where(F.col("decision") == "Auto-Fix").select(
+            "run_id", id_col, apply_fixes(F.col("text"), F.col("suggestions")).alias("final_text")),
+            paths["audit_final_text"])
     return paths
 
 
