@@ -133,7 +133,9 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
     d = d.withColumn("violations", enriched_c)
     d = d.withColumn("suggestions", sugg_c if rewrite_fn is None else suggestions(text, F.col("_v"), rewrite_fn))
     d = d.withColumn("_score", score_c)
-    d = d.withColumn("_dec", dec.decide(F.col("_score.violation_score"), F.size("suggestions")))
+    # one suggestion per violation, so size(_v) == size(suggestions); using it
+    # lets queries that do not read suggestions skip building them
+    d = d.withColumn("_dec", dec.decide(F.col("_score.violation_score"), F.size("_v")))
 
     out = d.select(
         F.col(id_col), *([text] if keep_text else []), *[F.col(c) for c in carry],
