@@ -235,6 +235,13 @@ def f1_final_text(spark, sf):
     return final_text(a)
 
 
+def f1_final_text_nodrift(spark, sf):
+    """F1 with the template scanner switched off: documents whose only
+    violation is one PII hit score 2 and are fixed automatically."""
+    a = audit(_docs(spark, sf), keep_text=True, with_drift=False)
+    return final_text(a)
+
+
 def f2_change_segments(spark, sf):
     a = audit(_corpus(spark, sf).select("doc_id", "text"))
     return _long(change_segments(a))

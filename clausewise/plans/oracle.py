@@ -169,12 +169,13 @@ def drift_select(prefix: str = "dr") -> str:
 NL2 = "chr(10) || chr(10)"
 
 
-def audit_ctes(src: str) -> str:
+def audit_ctes(src: str, with_drift: bool = True) -> str:
     """CTEs ending in `av` (all violations with seq), `asug` (suggestions) and
     `aud` (one row per document) for the documents in `src(doc_id, text)`."""
     sig_hits = " + ".join(f"len(regexp_extract_all(coalesce(text, ''), {q('(?i)' + p)}))"
                           for p in SIGNATURE_PATTERNS)
     lt = "lower(coalesce(text, ''))"
+    drift_on = "TRUE" if with_drift else "FALSE"
     image_hint = (f"CASE WHEN contains({lt}, 'signature') AND (contains({lt}, 'image') OR contains({lt}, 'png') "
                   f"OR contains({lt}, 'jpg')) THEN 1 ELSE 0 END")
     return f"""
@@ -199,7 +200,7 @@ def audit_ctes(src: str) -> str:
       UNION ALL SELECT doc_id, 2, chunk_index, 'template_drift', NULL, NULL,
              CASE WHEN similarity > 0.5 THEN 'medium' ELSE 'high' END,
              'Chunk deviates from template (similarity: ' || printf('%.2f', similarity) || ')',
-             span_start, span_end, NULL, chunk_index FROM adr_best WHERE similarity < 0.7
+             span_start, span_end, NULL, chunk_index FROM adr_best WHERE similarity < 0.7 AND {drift_on}
       UNION ALL SELECT doc_id, 3, 0, 'missing_signature', NULL, NULL, 'high', message, 0, span_end, NULL, NULL
              FROM asig),
     av AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY sc, ord) - 1)::BIGINT AS seq FROM av0),
@@ -234,7 +235,7 @@ def audit_ctes(src: str) -> str:
              count(*) FILTER (WHERE type = 'template_drift') AS drift_found,
              count(*) FILTER (WHERE type = 'missing_signature') AS signature_violations
       FROM av GROUP BY doc_id),
-    achunks AS (SELECT doc_id, count(*) AS chunks_checked FROM adr_ch GROUP BY doc_id),
+    achunks AS (SELECT doc_id, count(*) AS chunks_checked FROM adr_ch WHERE {drift_on} GROUP BY doc_id),
     arules AS (SELECT c.doc_id, count(DISTINCT r.rule_id) AS rules_checked FROM cls c JOIN rules r
                ON list_contains(r.document_types, c.document_type) OR list_contains(r.document_types, 'all')
                GROUP BY c.doc_id),
@@ -403,6 +404,12 @@ def sql_queries() -> dict[str, str]:
       SELECT a.doc_id, list_reduce(coalesce(fx.l, []), lambda acc, x: substr(acc, 1, x.s) || x.r
                                    || substr(acc, x.e + 1), a.text) AS final_text
       FROM aud a LEFT JOIN fx USING (doc_id) WHERE a.decision = 'Auto-Fix'"""
+    out["f1_final_text_nodrift"] = f"""WITH {docs}, {audit_ctes('docs', with_drift=False)},
+      fx AS (SELECT doc_id, list(struct_pack(s := span_start, e := span_end, r := replacement)
+                                 ORDER BY span_start DESC, seq ASC) AS l FROM asug GROUP BY doc_id)
+      SELECT a.doc_id, list_reduce(coalesce(fx.l, []), lambda acc, x: substr(acc, 1, x.s) || x.r
+                                   || substr(acc, x.e + 1), a.text) AS final_text
+      FROM aud a LEFT JOIN fx USING (doc_id) WHERE a.decision = 'Auto-Fix'"""
     out["o1_audit_counters"] = f"""WITH {docs}, {audit_ctes('docs')}
       SELECT (SELECT count(*) FROM aud)::BIGINT AS documents_processed,
              count(*)::BIGINT AS violations_total,
