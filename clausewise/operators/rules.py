@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewise.functions.text import explode_rows
-from clausewise.functions.violations import violation
+from clausewise.functions.text import explode_rows, let
+from clausewise.functions.violations import empty_violations, violation
 
 RULE_TYPE = T.StructType([
     T.StructField("rule_id", T.StringType()),
@@ -80,19 +80,32 @@ def applicable(rules_arr: Column, doc_type: Column) -> Column:
 
 def policy_violations(text: Column, doc_type: Column, rules: DataFrame | None = None) -> Column:
     """array<violation>, span 0..len(text), in rule-table order."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    checks = applicable(_rules_literal(rules), doc_type)
-    failed = F.filter(checks, lambda r: ~F.exists(r["keywords"], lambda k: F.contains(lowered, k)))
-    return F.transform(failed, lambda r: violation(
-        scanner="policy", type="policy_violation", rule_id=r["rule_id"], check_id=r["check_id"],
-        rule_name=r["rule_name"], severity=r["severity"], message=r["message"],
-        span_start=F.lit(0), span_end=F.length(F.coalesce(text, F.lit("")))))
+    rules_arr = _rules_literal(rules)
+    src = F.coalesce(text, F.lit(""))
+
+    def for_type(t: Column) -> Column:
+        checks = applicable(rules_arr, t)
+
+        def check(b: Column) -> Column:
+            # b = (lower-cased text, text length), bound once per document
+            failed = F.filter(checks, lambda r: ~F.exists(r["keywords"], lambda k: F.contains(b["low"], k)))
+            return F.transform(failed, lambda r: violation(
+                scanner="policy", type="policy_violation", rule_id=r["rule_id"], check_id=r["check_id"],
+                rule_name=r["rule_name"], severity=r["severity"], message=r["message"],
+                span_start=F.lit(0), span_end=b["len"]))
+        # only documents with an applicable rule pay for lower-casing the text
+        return F.when(F.size(checks) > 0, let(F.struct(F.lower(src).alias("low"), F.length(src).alias("len")),
+                                               check)).otherwise(empty_violations())
+
+    # the type is bound once: it is read inside per-rule lambdas
+    return let(F.coalesce(doc_type, F.lit("unknown")), for_type)
 
 
 def rules_checked(doc_type: Column, rules: DataFrame | None = None) -> Column:
     """Number of distinct registry rules applied to the type."""
-    return F.size(F.array_distinct(F.transform(applicable(_rules_literal(rules), doc_type),
-                                               lambda r: r["rule_id"])))
+    rules_arr = _rules_literal(rules)
+    return let(F.coalesce(doc_type, F.lit("unknown")), lambda t: F.size(F.array_distinct(
+        F.transform(applicable(rules_arr, t), lambda r: r["rule_id"]))))
 
 
 def apply_policy_rules(docs: DataFrame, type_col: str = "document_type", id_col: str = "doc_id",
