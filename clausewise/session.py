@@ -57,6 +57,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+# Tables whose rows carry heavy per-row work (text scans, vector math).
+ROW_HEAVY_TABLES = {"documents", "pages", "conversations", "customer", "embeddings", "benchmark"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give row-heavy work at least one partition per core.
+
+    A small table stored as one parquet row group is scanned by a single
+    task, which then runs every per-document regex alone.  When the scan
+    yields fewer partitions than the default parallelism, rows are dealt
+    round-robin over that many partitions (one cheap shuffle of the input).
+    On a large input the scan already has far more partitions than cores and
+    this is a no-op: no shuffle is added."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table (one parquet file per table)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Read one driver table (one parquet file per table); row-heavy tables
+    are spread over the cores when their scan is under-partitioned."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in ROW_HEAVY_TABLES else df
