@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 4096
@@ -68,20 +68,38 @@ def _top_k_blocked(queries: DataFrame, store: DataFrame, k: int, metric: str, qu
 
     n_q = queries.count()
     groups = max(1, math.ceil(n_q / query_rows_per_group))
-    q = (queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_q"))
-         .withColumn("_grp", F.pmod(F.xxhash64("_qid"), F.lit(groups)).cast("int"))
+    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_q"))
+    st = store.select(F.col(store_id).alias("_sid"),
+                      F.transform(F.col(store_vec), lambda x: x.cast("double")).alias("_v"),
+                      *[F.col(c) for c in payload_cols])
+    return _cogroup_top_k(q, st, [], n_blocks, groups, k, metric, queries.schema[query_id].dataType,
+                          store.schema[store_id].dataType, payload_cols,
+                          [store.schema[c].dataType for c in payload_cols], exclude_self, query_kind,
+                          query_id)
+
+
+def _cogroup_top_k(q: DataFrame, st: DataFrame, key_cols: list[str], n_blocks: int, groups: int, k: int,
+                   metric: str, qtype, stype, payload_cols: list[str], payload_types: list, exclude_self: bool,
+                   query_kind: str, query_id: str) -> DataFrame:
+    """Shared kernel: q(_qid, _q, keys...) and st(_sid, _v, payload, keys...)
+    meet per (keys, block, group); each task scores a bounded query group
+    against a bounded store block with one matrix product and keeps its top
+    k; a window over the query id merges (a candidate met under several keys
+    counts once)."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from clausewise.functions.dense import similarity_matrix
+
+    q = (q.withColumn("_grp", F.pmod(F.xxhash64("_qid"), F.lit(groups)).cast("int"))
          .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    st = (store.select(F.col(store_id).alias("_sid"),
-                       F.transform(F.col(store_vec), lambda x: x.cast("double")).alias("_v"),
-                       *[F.col(c) for c in payload_cols])
-          .withColumn("_blk", F.pmod(F.xxhash64("_sid"), F.lit(n_blocks)).cast("int"))
+    st = (st.withColumn("_blk", F.pmod(F.xxhash64("_sid"), F.lit(n_blocks)).cast("int"))
           .withColumn("_grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
-    qtype = queries.schema[query_id].dataType
-    stype = store.schema[store_id].dataType
     fields = [T.StructField("_qid", qtype), T.StructField("id", stype),
               T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.DoubleType()),
               T.StructField("neg_sim", T.DoubleType())] + \
-             [T.StructField(c, store.schema[c].dataType) for c in payload_cols]
+             [T.StructField(c, t) for c, t in zip(payload_cols, payload_types)]
 
     def local_top_k(qpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(spdf) == 0:
@@ -107,8 +125,11 @@ def _top_k_blocked(queries: DataFrame, store: DataFrame, k: int, metric: str, qu
             out[c] = spdf[c].to_numpy()[idx].ravel()
         return pd.DataFrame(out)[keep]
 
-    local = (q.groupBy("_blk", "_grp").cogroup(st.groupBy("_blk", "_grp"))
+    keys = key_cols + ["_blk", "_grp"]
+    local = (q.groupBy(*keys).cogroup(st.groupBy(*keys))
              .applyInPandas(local_top_k, T.StructType(fields)))
+    if key_cols:
+        local = local.dropDuplicates(["_qid", "id"])
     w = Window.partitionBy("_qid").orderBy(F.col("neg_sim"), F.col("id"))
     ranked = local.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     return ranked.select(F.col("_qid").alias(query_id), "rank", "id", "similarity", "distance", *payload_cols)
@@ -186,28 +207,55 @@ def _bags_to_unit(bags, dim: int):
     return unit_rows(counts.astype(np.float64))[0]
 
 
+MAX_LSH_DIM = 65_536
+
+
 def approx_top_k_similar(queries: DataFrame, store: DataFrame, k: int, query_id: str = "query_id",
                          query_vec: str = "embedding", store_id: str = "id", store_vec: str = "embedding",
-                         bucket_length: float = 1.0, num_tables: int = 4, max_distance: float = 1.5,
-                         seed: int = 7) -> DataFrame:
-    """Approximate k nearest neighbours for large x large inputs with
-    random-projection LSH (Spark ML).  Candidates are only pairs sharing a
-    hash bucket within `max_distance` (Euclidean); recall is measured
-    against `top_k_similar` in the tests."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    qv = queries.select(F.col(query_id).alias("qid"), array_to_vector(F.col(query_vec)).alias("v"))
-    sv = store.select(F.col(store_id).alias("sid"), array_to_vector(F.col(store_vec)).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(sv)
-    pairs = model.approxSimilarityJoin(qv, sv, max_distance, distCol="euclid")
-    d2 = F.col("euclid") * F.col("euclid")
-    scored = pairs.select(F.col("datasetA.qid").alias(query_id), F.col("datasetB.sid").alias("id"),
-                          (F.lit(1.0) / (F.lit(1.0) + d2)).alias("similarity"), d2.alias("distance"))
-    w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col("id"))
-    return scored.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
+                         bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7, metric: str = "l2",
+                         exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
+                         query_rows_per_group: int = 200_000) -> DataFrame:
+    """Approximate k nearest neighbours for large x large inputs.
+
+    Random-projection LSH: `num_tables` unit directions (fixed by `seed`);
+    a vector's key in table t is floor(<v, r_t> / bucket_length).  Only
+    store vectors sharing a key with the query are scored, with the same
+    bounded kernel as the exact search: a hot bucket is cut into store
+    blocks of about `block_rows` and query groups of about
+    `query_rows_per_group`, each task keeps its top k, and no candidate
+    pair is ever materialised as a row.  Recall is tested against
+    `top_k_similar`."""
+    import numpy as np
+
+    from clausewise.functions.vectors import dot
+
+    first = store.select(F.size(store_vec).alias("d")).first()
+    if first is None:
+        return top_k_similar(queries, store, k, metric, query_id, query_vec, "dense", store_id, store_vec)
+    dim = int(first["d"])
+    if dim > MAX_LSH_DIM:
+        raise ValueError("vector dimension too large for inlined projections")
+    rng = np.random.default_rng(seed)
+    dirs = rng.normal(size=(num_tables, dim))
+    dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
+
+    def keys(vec: Column) -> Column:
+        return F.array(*[F.concat_ws(":", F.lit(t), F.floor(dot(vec, F.array(*[F.lit(float(x)) for x in dirs[t]]))
+                                                             / bucket_length).cast("string"))
+                         for t in range(num_tables)])
+
+    q = (queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_q"))
+         .withColumn("_bk", F.explode(keys(F.col("_q")))))
+    st = (store.select(F.col(store_id).alias("_sid"),
+                       F.transform(F.col(store_vec), lambda x: x.cast("double")).alias("_v"))
+          .withColumn("_bk", F.explode(keys(F.col("_v")))))
+    # size the largest bucket (one small aggregate) to bound every task
+    big_s = st.groupBy("_bk").count().agg(F.max("count")).first()[0] or 1
+    big_q = q.groupBy("_bk").count().agg(F.max("count")).first()[0] or 1
+    n_blocks = max(1, math.ceil(big_s / block_rows))
+    groups = max(1, math.ceil(big_q / query_rows_per_group))
+    return _cogroup_top_k(q, st, ["_bk"], n_blocks, groups, k, metric, queries.schema[query_id].dataType,
+                          store.schema[store_id].dataType, [], [], exclude_self, "dense", query_id)
 
 
 def upsert_vectors(records: DataFrame, id_col: str = "id", order_cols: tuple[str, ...] = ("stored_at",),

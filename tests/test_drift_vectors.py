@@ -75,7 +75,7 @@ def test_lsh_recall(spark):
     exact = {r.query_id: r.id for r in top_k_similar(df.withColumnRenamed("id", "query_id"), df, 1,
                                                        exclude_self=True).collect()}
     approx = approx_top_k_similar(df.withColumnRenamed("id", "query_id"), df, 2, bucket_length=2.0,
-                                  max_distance=1.0).where(F.col("query_id") != F.col("id")).collect()
+                                  exclude_self=True, block_rows=16, query_rows_per_group=16).collect()
     hits = {(r.query_id, r.id) for r in approx}
     recall = sum((q, i) in hits for q, i in exact.items()) / len(exact)
     assert recall >= 0.9
