@@ -33,6 +33,34 @@ def similarity_matrix(q: np.ndarray, q_n2: np.ndarray, s: np.ndarray, s_n2: np.n
     return sim, 1.0 - sim
 
 
+SLICE_TOKENS = 2_000_000   # tokens scored per numpy step inside one Arrow batch
+
+
+def _score_slice(values: list, store: np.ndarray, store_n2: np.ndarray, dim: int, metric: str) -> list:
+    """Best similarity per chunk for a slice of documents (list of bag lists)."""
+    sizes = [0 if v is None else len(v) for v in values]
+    chunks = [np.asarray(b, dtype=np.int64) for v in values if v is not None for b in v]
+    if not chunks:
+        return [None if v is None else [] for v in values]
+    lens = np.array([len(c) for c in chunks])
+    rows = np.repeat(np.arange(len(chunks)), lens)
+    flat = np.concatenate(chunks) if lens.sum() else np.zeros(0, dtype=np.int64)
+    counts = np.bincount(rows * dim + flat, minlength=len(chunks) * dim).reshape(len(chunks), dim)
+    q, q_n2 = unit_rows(counts.astype(np.float64))
+    if store.shape[0] == 0:
+        sims = np.full(len(chunks), np.nan)
+    else:
+        sims = similarity_matrix(q, q_n2, store, store_n2, metric)[0].max(axis=1)
+    out, i = [], 0
+    for v, n in zip(values, sizes):
+        if v is None:
+            out.append(None)
+        else:
+            out.append([None if np.isnan(x) else float(x) for x in sims[i:i + n]])
+            i += n
+    return out
+
+
 def best_match_for_bags(bags: Column, store_bc, dim: int, metric: str) -> Column:
     """For `array<array<int>>` (bucket bags of a document's chunks) return
     `array<double>`: each chunk's best similarity to any store vector (NULL
@@ -41,28 +69,19 @@ def best_match_for_bags(bags: Column, store_bc, dim: int, metric: str) -> Column
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def best(col: pd.Series) -> pd.Series:
         store, store_n2 = store_bc.value
-        out = []
-        sizes = [0 if v is None else len(v) for v in col]
-        chunks = [np.asarray(b, dtype=np.int64) for v in col if v is not None for b in v]
-        if not chunks:
-            return pd.Series([[] if v is not None else None for v in col])
-        lens = np.array([len(c) for c in chunks])
-        rows = np.repeat(np.arange(len(chunks)), lens)
-        flat = np.concatenate(chunks) if lens.sum() else np.zeros(0, dtype=np.int64)
-        counts = np.bincount(rows * dim + flat, minlength=len(chunks) * dim).reshape(len(chunks), dim)
-        q, q_n2 = unit_rows(counts.astype(np.float64))
-        if store.shape[0] == 0:
-            sims = np.full(len(chunks), np.nan)
-        else:
-            sim, _ = similarity_matrix(q, q_n2, store, store_n2, metric)
-            sims = sim.max(axis=1)
-        i = 0
-        for v, n in zip(col, sizes):
-            if v is None:
-                out.append(None)
-            else:
-                out.append([None if np.isnan(x) else float(x) for x in sims[i:i + n]])
-                i += n
+        out: list = []
+        # work through the batch in slices of bounded token volume, so peak
+        # memory does not grow with the batch size or the document length
+        start = 0
+        values = list(col)
+        while start < len(values):
+            end, tokens = start, 0
+            while end < len(values) and (end == start or tokens < SLICE_TOKENS):
+                v = values[end]
+                tokens += 0 if v is None else sum(len(b) for b in v)
+                end += 1
+            out.extend(_score_slice(values[start:end], store, store_n2, dim, metric))
+            start = end
         return pd.Series(out)
 
     # Marked nondeterministic (it is not) as an optimisation fence: no filter
