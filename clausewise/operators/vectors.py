@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 4096
+QUERY_SLICE = 512     # queries scored per numpy step (bounds the similarity matrix)
 RANK_DECIMALS = 12   # ranking precision: closer similarities are ties, broken by id
 METRICS = ("l2", "cosine")
 
@@ -104,6 +105,12 @@ def _cogroup_top_k(q: DataFrame, st: DataFrame, key_cols: list[str], n_blocks: i
     def local_top_k(qpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(spdf) == 0:
             return pd.DataFrame({f.name: [] for f in fields})
+        # score the query group in slices: the similarity matrix of one slice
+        # is QUERY_SLICE x block, whatever the group size
+        parts = [score_slice(qpdf.iloc[i:i + QUERY_SLICE], spdf) for i in range(0, len(qpdf), QUERY_SLICE)]
+        return pd.concat(parts, ignore_index=True)
+
+    def score_slice(qpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
         s_mat = np.stack([np.asarray(v, dtype=np.float64) for v in spdf["_v"]])
         s_ids = spdf["_sid"].to_numpy()
         if query_kind == "bag":
@@ -162,34 +169,40 @@ def _top_k_numpy(queries: DataFrame, store: DataFrame, k: int, metric: str, quer
              [T.StructField(c, store.schema[c].dataType) for c in payload_cols]
 
     def score(batches):
+        for big in batches:
+            for i0 in range(0, len(big), QUERY_SLICE):
+                out = score_slice(big.iloc[i0:i0 + QUERY_SLICE].reset_index(drop=True))
+                if out is not None:
+                    yield out
+
+    def score_slice(pdf):
         s_ids, s_mat, s_n2, s_pay = bc.value
         order_ids = np.argsort(np.argsort(s_ids, kind="stable"), kind="stable")  # id rank for ties
-        for pdf in batches:
-            if len(pdf) == 0 or len(s_ids) == 0:
-                continue
-            if query_kind == "bag":
-                q = _bags_to_unit(pdf[query_vec], s_mat.shape[1])
-            else:
-                q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[query_vec]])
-            sim, dist = similarity_matrix(q, (q * q).sum(axis=1), s_mat, s_n2, metric)
-            if exclude_self:
-                same = pdf[query_id].to_numpy()[:, None] == s_ids[None, :]
-                sim = np.where(same, -np.inf, sim)
-            kk = min(k, len(s_ids) - (1 if exclude_self else 0))
-            if kk <= 0:
-                continue
-            # rank by similarity desc, then id asc
-            # similarities equal to 12 decimals are ties (float noise), broken by id
-            idx = np.lexsort((np.broadcast_to(order_ids, sim.shape), -np.round(sim, RANK_DECIMALS)),
-                             axis=1)[:, :kk]
-            r = np.arange(len(pdf))[:, None]
-            out = {query_id: np.repeat(pdf[query_id].to_numpy(), kk),
-                   "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf)),
-                   "id": s_ids[idx].ravel(), "similarity": sim[r, idx].ravel(),
-                   "distance": dist[r, idx].ravel()}
-            for c in payload_cols:
-                out[c] = [s_pay[c][j] for j in idx.ravel()]
-            yield pd.DataFrame(out)
+        if len(pdf) == 0 or len(s_ids) == 0:
+            return None
+        if query_kind == "bag":
+            q = _bags_to_unit(pdf[query_vec], s_mat.shape[1])
+        else:
+            q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[query_vec]])
+        sim, dist = similarity_matrix(q, (q * q).sum(axis=1), s_mat, s_n2, metric)
+        if exclude_self:
+            same = pdf[query_id].to_numpy()[:, None] == s_ids[None, :]
+            sim = np.where(same, -np.inf, sim)
+        kk = min(k, len(s_ids) - (1 if exclude_self else 0))
+        if kk <= 0:
+            return None
+        # rank by similarity desc, then id asc
+        # similarities equal to 12 decimals are ties (float noise), broken by id
+        idx = np.lexsort((np.broadcast_to(order_ids, sim.shape), -np.round(sim, RANK_DECIMALS)),
+                         axis=1)[:, :kk]
+        r = np.arange(len(pdf))[:, None]
+        out = {query_id: np.repeat(pdf[query_id].to_numpy(), kk),
+               "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf)),
+               "id": s_ids[idx].ravel(), "similarity": sim[r, idx].ravel(),
+               "distance": dist[r, idx].ravel()}
+        for c in payload_cols:
+            out[c] = [s_pay[c][j] for j in idx.ravel()]
+        return pd.DataFrame(out)
 
     return queries.select(query_id, query_vec).mapInPandas(score, T.StructType(fields))
 
