@@ -16,9 +16,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# module-level, so worker-side code references them as globals (this package
+# is pickled by value; a function-local import would need it installed)
+from clausewise.functions.dense import similarity_matrix, unit_rows
+
 DEFAULT_BLOCK_ROWS = 4096
 QUERY_SLICE = 512     # queries scored per numpy step (bounds the similarity matrix)
 RANK_DECIMALS = 12   # ranking precision: closer similarities are ties, broken by id
@@ -209,9 +214,6 @@ def _top_k_numpy(queries: DataFrame, store: DataFrame, k: int, metric: str, quer
 
 def _bags_to_unit(bags, dim: int):
     """Bucket bags -> unit-length count vectors (zero rows for empty bags)."""
-    import numpy as np
-
-    from clausewise.functions.dense import unit_rows
     arrs = [np.asarray(b if b is not None else [], dtype=np.int64) for b in bags]
     lens = np.array([len(a) for a in arrs])
     rows = np.repeat(np.arange(len(arrs)), lens)
