@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from clausewise.llm import mixing
+from clausewise.llm import ann, bitslice, mixing, warc
 
 QUERIES = {
+    "op2_ann": ann.op2_ann,
+    "op6_topk": bitslice.op6_topk,
+    "op9_warc": warc.op9_warc,
     "op10_mixture": mixing.op10_mixture,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_topk": bitslice.OP6_SQL,
+    "op9_warc": warc.OP9_SQL,
+}
