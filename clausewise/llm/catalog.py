@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from clausewise.llm import ann, bitslice, mixing, warc
+from clausewise.llm import ann, bitslice, htmltext, langid, mixing, spm, warc
 
 QUERIES = {
     "op2_ann": ann.op2_ann,
+    "op4_langid": langid.op4_langid,
+    "op5_sentencepiece": spm.op5_sentencepiece,
     "op6_topk": bitslice.op6_topk,
+    "op7_html": htmltext.op7_html,
     "op9_warc": warc.op9_warc,
     "op10_mixture": mixing.op10_mixture,
 }
