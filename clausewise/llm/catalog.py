@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from clausewise.llm import ann, bitslice, htmltext, langid, mixing, spm, warc
+from clausewise.llm import ann, bitslice, htmltext, langid, mixing, spm, surrogates, warc
 
 QUERIES = {
     "op2_ann": ann.op2_ann,
+    "op3_surrogates": surrogates.op3_surrogates,
     "op4_langid": langid.op4_langid,
     "op5_sentencepiece": spm.op5_sentencepiece,
     "op6_topk": bitslice.op6_topk,

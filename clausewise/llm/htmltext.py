@@ -62,6 +62,8 @@ LABELLED = [
     (14, 0.0, 3, 0.0, 16, 0.0, 0, 0, 0, 1), (16, 0.0, 14, 0.0, 2, 0.0, 0, 0, 0, 1), (13, 0.0, 2, 0.0, 14, 0.0, 0, 0, 0, 1),
     (15, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 1), (12, 0.0, 2, 0.0, 4, 0.5, 0, 0, 0, 1), (12, 0.1, 13, 0.0, 5, 0.0, 0, 0, 0, 1),
     (11, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 1), (13, 0.0, 12, 0.0, 3, 0.7, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 15, 0.0, 1, 0, 0, 1), (3, 0.0, 2, 1.0, 18, 0.0, 1, 0, 0, 1), (2, 0.0, 1, 1.0, 30, 0.0, 1, 0, 0, 1),
+    (4, 0.0, 2, 1.0, 16, 0.0, 1, 0, 0, 1), (3, 0.0, 1, 1.0, 13, 0.0, 1, 0, 0, 1),
     # menus, buttons, stray labels and link lists outside of any marked part
     (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0), (15, 0.8, 4, 1.0, 9, 0.9, 0, 0, 0, 0),
     (2, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 5, 0.5, 0, 0, 0, 0), (30, 0.6, 4, 0.5, 5, 1.0, 0, 0, 0, 0),
