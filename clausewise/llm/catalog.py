@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clausewise.llm import ann, bitslice, htmltext, langid, mixing, spm, surrogates, warc
+from clausewise.llm import ann, bitslice, htmltext, jaccard, langid, mixing, spm, surrogates, warc
 
 QUERIES = {
     "op2_ann": ann.op2_ann,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sentencepiece": spm.op5_sentencepiece,
     "op6_topk": bitslice.op6_topk,
     "op7_html": htmltext.op7_html,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_warc": warc.op9_warc,
     "op10_mixture": mixing.op10_mixture,
 }
@@ -18,5 +19,6 @@ QUERIES = {
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
     "op6_topk": bitslice.OP6_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
 }
