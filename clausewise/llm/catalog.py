@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from clausewise.llm import ann, bitslice, htmltext, jaccard, langid, mixing, spm, surrogates, warc
+from clausewise.llm import ann, bitslice, htmltext, jaccard, langid, mixing, passages, spm, surrogates, warc
 
 QUERIES = {
+    "op1_passages": passages.op1_passages,
     "op2_ann": ann.op2_ann,
     "op3_surrogates": surrogates.op3_surrogates,
     "op4_langid": langid.op4_langid,
@@ -18,6 +19,7 @@ QUERIES = {
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
+    "op1_passages": passages.OP1_SQL,
     "op6_topk": bitslice.OP6_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
