@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewise.llm.common import SLICE_BYTES, mix64, table, text_slices
 
@@ -155,42 +156,53 @@ def fit(train: DataFrame) -> dict | None:
     return {"names": names, "idf": idf, "centroids": centroids, "owner": owner, "least": least}
 
 
-def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """(doc_id, text, ...) -> the same columns without text, lang_pred, score, rejected."""
-    kept = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*kept, "text", has_letter(F.col("text")).alias("_letters"))
+def predict(rows: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
+    """`rows` with _lang, _score and _rejected appended."""
+    names = rows.columns
     if model is None:
-        return rows.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    names, n_kept = [*model["names"], "und"], len(kept)
+        return rows.withColumns({"_lang": F.lit("und"), "_score": F.lit(0.0), "_rejected": F.lit(True)})
+    labels, at_text = [*model["names"], "und"], names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, centroids = model["owner"], model["centroids"].T
         for batch in batches:
-            for a, b, counts in gram_counts(batch.column(n_kept)):
+            columns, text = list(batch.columns[:-1]), batch.column(at_text)
+            for a, b, counts in gram_counts(text):
                 near = tfidf(counts, model["idf"]) @ centroids
-                by = np.stack([near[:, owner == i].max(axis=1) for i in range(len(names) - 1)], axis=1)
+                by = np.stack([near[:, owner == i].max(axis=1) for i in range(len(labels) - 1)], axis=1)
                 best = np.argmax(by, axis=1)
                 score = np.clip(by[np.arange(len(by)), best], 0, 1).astype(float)
-                letters = batch.column(n_kept + 1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-                best, score = np.where(letters, best, len(names) - 1), np.where(letters, score, 0.0)
+                letters = batch.column(len(names)).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
+                best, score = np.where(letters, best, len(labels) - 1), np.where(letters, score, 0.0)
                 far = ~letters | (score < model["least"][length_class(counts)])
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(a, b - a) for i in range(n_kept)],
-                     pa.array(np.array(names, object)[best], pa.string()), pa.array(score), pa.array(far)],
-                    [*kept, "lang_pred", "score", "rejected"])
+                    [*[c.slice(a, b - a) for c in columns], pa.array(np.array(labels, object)[best], pa.string()), pa.array(score), pa.array(far)],
+                    [*names, "_lang", "_score", "_rejected"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("_lang string, _score double, _rejected boolean").fields])
+    return rows.withColumn("_letters", has_letter(F.col(text_col))).mapInArrow(run, schema)
+
+
+def _training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, Column]:
+    """(rows to learn from, whether a document is held out)."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
+    held_out = F.pmod(F.crc32(key), F.lit(4)) == 2
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out.alias("held_out"))
+    return rows.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), held_out
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected.  Learns from documents with
     a language whose crc32(id as text) mod 4 is not 2; predicts all."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                       F.col(lang_col).cast("string").alias("lang"), (F.pmod(F.crc32(key), F.lit(4)) == 2).alias("held_out"))
-    model = fit(rows.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"))
-    return predict(rows.select("doc_id", "text", "held_out"), model)
+    train, held_out = _training(docs, id_col, text_col, lang_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return predict(rows, fit(train)).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that are not rejected; columns stay."""
+    train, _ = _training(docs, id_col, text_col, lang_col)
+    return predict(docs, fit(train), text_col).filter("NOT _rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     size = words_expr(F.col(text_col))
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"), size.alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), size), 1).alias("h"))
+        _hash(id_col, size, seed).alias("h"))
 
 
 #: Per-source rows are broadcast only up to this many sources (checked).
@@ -152,47 +152,65 @@ def _splits(cuts: DataFrame, n_shards: int, seed: int) -> DataFrame:
     return cuts.sparkSession.range(n_shards).mapInArrow(walk, "src string, shard int, first long, quota long")
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             total_share: float = 1.5, max_repeats: float = 2.0, weights: tuple[int, ...] = (5, 2, 1),
-             n_shards: int = 64, block_docs: int = 256, seed: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(documents, draws).  documents: doc_id, src, size, source_size, target,
-    copies, taken, h - one row per input row.  draws: doc_id, h, src, pass,
-    shard, place - one row per copy taken; `place` orders a shard."""
-    sizes = materialise(_sizes(docs, id_col, text_col, source_col, seed), "mix-sizes")
+BLOCK = "CASE WHEN bits = 0 THEN 0L ELSE shiftright({h}, 63 - bits) END"
+
+
+def _configured(sizes: DataFrame, total_share: float, max_repeats: float, weights: tuple[int, ...], n_shards: int,
+                block_docs: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """(per source: target, cut and blocks; src, at -> shard; number of sources)."""
     per = materialise(targets(sizes, total_share, max_repeats, weights), "mix-targets")
     n_sources = per.count()
     cuts = _last_hash(sizes, _cuts(sizes, per, n_sources), n_sources)
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("n_docs") / F.lit(block_docs), F.lit(1.0))))).cast("int")
     cuts = cuts.withColumn("bits", bits).withColumn("width", F.expr("shiftleft(1L, bits)"))
-    block = "CASE WHEN bits = 0 THEN 0L ELSE shiftright({h}, 63 - bits) END"
     # blocks drawn: all of each whole pass, and those up to the cut
-    part = F.when(F.col("cut_h") > 0, F.expr(block.format(h="(cut_h - 1)")) + 1).otherwise(0)
+    part = F.when(F.col("cut_h") > 0, F.expr(BLOCK.format(h="(cut_h - 1)")) + 1).otherwise(0)
     cuts = materialise(cuts.withColumn("blocks", F.col("passes") * F.col("width") + part), "mix-cuts")
-    doc = sizes.alias("s").join(_small(cuts, n_sources).alias("c"), F.expr("s.src <=> c.src")).select(
-        "doc_id", F.col("s.src").alias("src"), "size", "source_size", "target", "h", "passes", "width", "blocks",
-        F.expr(block.format(h="h")).alias("block"),
-        (F.col("passes") + (F.col("h") < F.col("cut_h")).cast("int")).alias("copies"))
-    doc = doc.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    drawn = doc.filter("copies > 0").select("doc_id", "src", "h", "width", "block", "blocks", F.explode(F.expr("sequence(0, copies - 1)")).alias("pass"))
-    drawn = drawn.withColumn("at", F.expr(f"(pass * width + block) % blocks * ({STRIDE} % blocks) % blocks"))
     span = _splits(cuts, n_shards, seed).select(F.col("src").alias("b_src"), "shard", F.explode(F.expr("sequence(first, first + quota - 1)")).alias("b_at"))
-    draws = drawn.join(span, F.expr("src <=> b_src AND at = b_at")).select(
-        "doc_id", "h", "src", "pass", "shard", F.xxhash64(F.lit(seed + 1), "h", "pass").alias("place"))
-    return doc, draws
+    return cuts, materialise(span, "mix-span"), n_sources  # written: the planner knows the table's size
+
+
+def _copies(rows: DataFrame, cuts: DataFrame, n_sources: int) -> DataFrame:
+    """Rows (with _src, _h) and their source's target, cut and number of copies."""
+    c = _small(cuts.select(F.col("src").alias("c_src"), "source_size", "target", "passes", "width", "bits", "blocks", "cut_h"), n_sources)
+    return rows.join(c, F.col("_src").eqNullSafe(F.col("c_src"))).withColumn("copies", F.col("passes") + (F.col("_h") < F.col("cut_h")).cast("int"))
+
+
+def _drawn(copied: DataFrame, span: DataFrame, seed: int) -> DataFrame:
+    """One row per copy: _shard, and _place, which orders a shard."""
+    rows = copied.filter("copies > 0").withColumn("_pass", F.explode(F.expr("sequence(0, copies - 1)")))
+    at = F.expr(f"(_pass * width + {BLOCK.format(h='_h')}) % blocks * ({STRIDE} % blocks) % blocks")
+    rows = rows.withColumn("_at", at).join(span, F.expr("_src <=> b_src AND _at = b_at"))
+    return rows.withColumn("_shard", F.col("shard")).withColumn("_place", F.xxhash64(F.lit(seed + 1), "_h", "_pass"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+def _hash(id_col: str, size, seed: int):
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), size), 1)
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+             total_share: float = 1.5, max_repeats: float = 2.0, weights: tuple[int, ...] = (5, 2, 1),
+             n_shards: int = 64, block_docs: int = 256, seed: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(documents, draws).  documents: doc_id, size, source_size, target, copies,
+    h - one row per input row.  draws: doc_id, h, shard - one row per copy taken."""
+    sizes = materialise(_sizes(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    cuts, span, n_sources = _configured(sizes, total_share, max_repeats, weights, n_shards, block_docs, seed)
+    copied = _copies(sizes.withColumnRenamed("src", "_src").withColumnRenamed("h", "_h"), cuts, n_sources)
+    draws = _drawn(copied, span, seed).select("doc_id", F.col("_h").alias("h"), F.col("_shard").alias("shard"))
+    return copied.select("doc_id", "size", "source_size", "target", "copies", F.col("_h").alias("h")), draws
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        total_share: float = 1.5, max_repeats: float = 2.0, weights: tuple[int, ...] = (5, 2, 1),
+        n_shards: int = 64, block_docs: int = 256, seed: int = 20) -> DataFrame:
     """The mixed corpus: the columns of `docs`, a row per copy, dealt by shard
-    and shuffled inside it."""
-    _, draws = mix_plan(docs, id_col, text_col, source_col, **params)
-    seed = params.get("seed", 20)
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), words_expr(F.col(text_col))), 1)
-    plan = draws.groupBy("doc_id", "h").agg(F.collect_set(F.struct("shard", "place", "pass")).alias("_draws"))
-    keyed = docs.withColumn("_mix_h", h).alias("d").join(plan.alias("p"), F.expr(f"d.`{id_col}` <=> p.doc_id AND d._mix_h = p.h"))
-    rows = keyed.select("d.*", F.explode("_draws").alias("_draw"))
-    shards = params.get("n_shards", 64)
-    return (rows.repartition(shards, F.col("_draw.shard")).sortWithinPartitions("_draw.shard", "_draw.place")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    and shuffled inside it.  Texts move once, to their shard."""
+    sizes = materialise(_sizes(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    cuts, span, n_sources = _configured(sizes, total_share, max_repeats, weights, n_shards, block_docs, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col(source_col).cast("string").alias("_src"), _hash(id_col, words_expr(F.col(text_col)), seed).alias("_h"))
+    drawn = _drawn(_copies(rows, cuts, n_sources), span, seed).select("_row", "_shard", "_place")
+    return drawn.repartition(n_shards, "_shard").sortWithinPartitions("_shard", "_place").select("_row.*")
 
 
 def op10_mixture(spark, sf_dir: str) -> DataFrame:
