@@ -86,32 +86,49 @@ def apply_fixes(text: Column, suggs: Column) -> Column:
 def change_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     sugg_col: str = "suggestions") -> DataFrame:
     """(id, seg, op, text) rows describing the edit as equal / delete /
-    insert runs, ordered by position.  Overlapping edits make the script
-    ambiguous; such documents get one row with op = 'overlap'."""
+    insert runs, ordered by position; equal and insert texts in order are F1's
+    final text.  From the first edit that overlaps its successor (or starts
+    with it) on, the edits are one region: their union is deleted and what the
+    sequential rule leaves is inserted."""
     src = F.coalesce(F.col(text_col), F.lit(""))
-    ordered = F.array_sort(
-        F.transform(F.col(sugg_col), lambda s, i: F.struct(
-            s["span_start"].alias("s"), s["span_end"].alias("e"), i.alias("i"),
-            F.coalesce(s["replacement"], F.lit("")).alias("r"))),
-        lambda a, b: F.when(a["s"] < b["s"], F.lit(-1)).when(a["s"] > b["s"], F.lit(1))
-        .when(a["i"] < b["i"], F.lit(-1)).when(a["i"] > b["i"], F.lit(1)).otherwise(F.lit(0)))
-    n = F.size(ordered)
-    overlap = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                       lambda k: (k < n) & (F.get(ordered, k)["s"] < F.get(ordered, k - 1)["e"]))
-    # edit k contributes: equal text since the previous edit end, the deleted span, the insert
-    pieces = F.transform(ordered, lambda e, k: F.array(
+    d = docs.select(id_col, src.alias("t"), apply_fixes(src, F.col(sugg_col)).alias("final"), F.array_sort(
+        F.transform(F.coalesce(F.col(sugg_col), F.array().cast(T.ArrayType(SUGGESTION_TYPE))), lambda s, i: F.struct(
+            F.coalesce(s["span_start"], F.lit(0)).alias("s"), i.alias("i"), F.coalesce(s["span_end"], F.lit(0)).alias("e"),
+            F.coalesce(s["replacement"], F.lit("")).alias("r")))).alias("ed"))
+    n = F.size("ed")
+    # the first edit of the region (n if no two edits meet)
+    meets = F.filter(F.sequence(F.lit(0), n), lambda k: (k + 1 < n) & (
+        (F.get("ed", k + 1)["s"] < F.get("ed", k)["e"]) | (F.get("ed", k + 1)["s"] == F.get("ed", k)["s"])))
+    d = d.withColumn("from", F.coalesce(F.get(meets, 0), n).cast("int"))
+    d = d.withColumn("alone", F.slice("ed", F.lit(1), F.col("from"))).withColumn("region", F.slice("ed", F.col("from") + 1, F.greatest(n - F.col("from"), F.lit(0))))
+    t = F.col("t")
+    pieces = F.transform("alone", lambda e, k: F.array(
         F.struct(F.lit("equal").alias("op"),
-                 slice_text(src, F.when(k == 0, F.lit(0)).otherwise(F.get(ordered, k - 1)["e"]), e["s"])
-                 .alias("text")),
-        F.struct(F.lit("delete").alias("op"), slice_text(src, e["s"], e["e"]).alias("text")),
+                 slice_text(t, F.when(k == 0, F.lit(0)).otherwise(F.get("alone", k - 1)["e"]), e["s"]).alias("text")),
+        F.struct(F.lit("delete").alias("op"), slice_text(t, e["s"], e["e"]).alias("text")),
         F.struct(F.lit("insert").alias("op"), e["r"].alias("text"))))
-    tail = F.array(F.array(F.struct(
-        F.lit("equal").alias("op"),
-        F.substr(src, F.coalesce(F.get(ordered, n - 1)["e"], F.lit(0)) + 1).alias("text"))))
-    flat = F.filter(F.flatten(F.concat(pieces, tail)), lambda p: F.length(p["text"]) > 0)
-    segs = F.when(overlap, F.array(F.struct(F.lit("overlap").alias("op"), F.lit(None).cast("string")
-                                            .alias("text")))).otherwise(flat)
-    return (explode_rows(docs, [F.col(id_col)], segs, "seg", "p")
+    d = d.withColumn("head", F.flatten(pieces)).withColumn("last", F.coalesce(F.get("alone", F.size("alone") - 1)["e"], F.lit(0)))
+    # the region: its start, the end of its union, the text behind it, and the final text from its start on
+    d = (d.withColumn("rs", F.coalesce(F.get("region", 0)["s"], F.length(t)))
+         .withColumn("re", F.coalesce(F.array_max(F.transform("region", lambda e: e["e"])), F.length(t))))
+    d = d.withColumn("between", slice_text(t, F.col("last"), F.col("rs"))).withColumn("behind", F.substr(t, F.col("re") + 1))
+    kept = F.aggregate(F.filter("head", lambda p: p["op"] != "delete"), F.lit(0), lambda a, p: a + F.length(p["text"])) + F.length("between")
+    d = d.withColumn("left", F.substr("final", kept + 1))
+    d = d.withColumn("clean", F.endswith(F.col("left"), F.col("behind")))
+    clean = F.col("clean")
+    d = d.withColumn("behind", F.when(clean, F.col("behind")).otherwise(F.lit("")))
+    cut = F.when(clean, slice_text(t, F.col("rs"), F.col("re"))).otherwise(F.substr(t, F.col("rs") + 1))
+    new = F.substr("left", F.lit(1), F.greatest(F.length("left") - F.length("behind"), F.lit(0)))
+
+    def seg(op: str, text: Column) -> Column:
+        return F.struct(F.lit(op).alias("op"), text.alias("text"))
+
+    segs = F.filter(F.concat("head", F.array(
+        seg("equal", F.col("between")),
+        seg("delete", F.when(F.size("region") > 0, cut).otherwise(F.lit(""))),
+        seg("insert", F.when(F.size("region") > 0, new).otherwise(F.lit(""))),
+        seg("equal", F.when(F.size("region") > 0, F.col("behind")).otherwise(F.lit(""))))), lambda p: F.length(p["text"]) > 0)
+    return (explode_rows(d.select(id_col, segs.alias("segs")), [F.col(id_col)], F.col("segs"), "seg", "p")
             .select(id_col, F.col("seg").cast("int").alias("seg"), "p.op", "p.text"))
 
 

@@ -20,9 +20,12 @@ MATCH_CONFIDENCE = 0.9
 UNKNOWN_CONFIDENCE = 0.5
 
 
-def classify(text: Column) -> Column:
-    """struct<document_type:string, confidence:double> for one text column."""
-    head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, PREFIX_CHARS))
+def classify(text: Column, prefix_chars: int | None = PREFIX_CHARS) -> Column:
+    """struct<document_type:string, confidence:double> for one text column.
+    The reference's rule reads the first 1000 characters; `prefix_chars=None`
+    reads the whole text."""
+    src = F.coalesce(text, F.lit(""))
+    head = F.lower(src if prefix_chars is None else F.substring(src, 1, prefix_chars))
     doc_type = F.lit("unknown")
     for name, words in reversed(TYPE_KEYWORDS):
         doc_type = F.when(contains_any(head, words), F.lit(name)).otherwise(doc_type)
@@ -30,9 +33,9 @@ def classify(text: Column) -> Column:
     return F.struct(doc_type.alias("document_type"), conf.alias("confidence"))
 
 
-def classify_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def classify_documents(docs: DataFrame, text_col: str = "text", prefix_chars: int | None = PREFIX_CHARS) -> DataFrame:
     """Add `document_type` and `classification_confidence`."""
-    c = classify(F.col(text_col))
+    c = classify(F.col(text_col), prefix_chars)
     return (docs.withColumn("_cls", c)
             .withColumn("document_type", F.col("_cls.document_type"))
             .withColumn("classification_confidence", F.col("_cls.confidence"))

@@ -29,6 +29,7 @@ from clausewise.operators.rules import policy_violations, rules_checked
 from clausewise.operators.signatures import signature_hits, signature_violations
 from clausewise.operators.triage import classify
 from clausewise.operators.vectors import top_k_similar
+from clausewise.sources.ingest import text_error
 from clausewise.sources.reference_texts import POLICIES, templates_table
 
 SIMILAR_TOP_K = 3
@@ -137,6 +138,9 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
     # lets queries that do not read suggestions skip building them
     d = d.withColumn("_dec", dec.decide(F.col("_score.violation_score"), F.size("_v")))
 
+    # a text that cannot be read is an error row: it gets no decision
+    d = d.withColumn("_error", text_error(text))
+    unread = F.col("_error").isNotNull()
     out = d.select(
         F.col(id_col), *([text] if keep_text else []), *[F.col(c) for c in carry],
         F.col("_cls.document_type").alias("document_type"),
@@ -145,7 +149,9 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
         F.col("_score.violation_score").alias("violation_score"),
         F.col("_score.critical").alias("n_critical"), F.col("_score.high").alias("n_high"),
         F.col("_score.medium").alias("n_medium"), F.col("_score.low").alias("n_low"),
-        F.col("_dec.decision").alias("decision"), F.col("_dec.reason").alias("reason"),
+        F.when(~unread, F.col("_dec.decision")).alias("decision"),
+        F.when(unread, F.col("_error")).otherwise(F.col("_dec.reason")).alias("reason"),
+        F.when(unread, F.lit("error")).otherwise(F.lit("ok")).alias("status"), F.col("_error").alias("error"),
         F.size("_pii").alias("pii_found"), F.size("_pol").alias("policy_found"), "rules_checked",
         F.size("_chunks").alias("chunks_checked"), F.size("_drift").alias("drift_found"),
         F.size("_sig_hits").alias("signatures_found"), F.size("_sig").alias("signature_violations"),

@@ -58,6 +58,12 @@ def t1_classify(spark, sf):
     return d.select("doc_id", "document_type", F.col("classification_confidence").alias("confidence"))
 
 
+def t1_classify_whole(spark, sf):
+    """The classifier over whole texts instead of the reference's prefix."""
+    d = classify_documents(_docs(spark, sf), prefix_chars=None)
+    return d.groupBy("document_type").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 def p1_pii_spans(spark, sf):
     return _long(scan_pii(_docs(spark, sf)))
 
@@ -229,6 +235,15 @@ def q1_audit_corpus(spark, sf):
                           "chunks_checked", "drift_found", "signatures_found", "signature_violations"))
 
 
+def q1_audit_requested(spark, sf):
+    """Requested ids, half of which name no document: those are error rows
+    without a decision."""
+    lab = load_table(spark, sf, "labels")
+    req = lab.select("doc_id").unionByName(lab.select((F.col("doc_id") + 1_000_000_000).alias("doc_id")))
+    a = audit(req.join(_docs(spark, sf), "doc_id", "left"))
+    return _long(a.select("doc_id", "status", "error", "decision", "reason", "violation_score"))
+
+
 def f1_final_text(spark, sf):
     a = audit(_docs(spark, sf), keep_text=True)
     return final_text(a)
@@ -347,6 +362,17 @@ def s5_extract_blocks(spark, sf):
                                        sep="\n"))
 
 
+def s6_ocr_blocks(spark, sf):
+    """OCR results derived from `conversations`: a line per turn, its
+    confidence and box computed from the keys."""
+    c = load_table(spark, sf, "conversations")
+    x, y = F.col("turn").cast("double"), (F.col("turn") + 1).cast("double")
+    ocr = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text",
+                   (((F.col("conv_id") * 7 + F.col("turn") * 13) % 10) / F.lit(10.0)).alias("confidence"),
+                   F.array(F.array(x, x), F.array(y, x), F.array(y, y), F.array(x, y)).alias("bbox"))
+    return ingest.ocr_blocks(ocr).select("doc_id", "block_id", "text", F.col("bbox.x1").alias("x1"), F.col("bbox.y2").alias("y2"))
+
+
 def s7_assemble_documents(spark, sf):
     c = load_table(spark, sf, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text",
@@ -400,7 +426,10 @@ def q3_audit_stream(spark, sf):
 
 def q4_stream_metrics(spark, sf):
     from clausewise.streaming.metrics_stream import run_event_metrics
-    return run_event_metrics(spark, sf)
+    m = run_event_metrics(spark, sf)
+    return m.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"),
+                    F.date_format("window_end", "yyyy-MM-dd").alias("window_end"), "event_type", "n_events",
+                    F.round("total_value", 6).alias("total_value"))
 
 
 def q4_severity_stream(spark, sf):
@@ -417,6 +446,6 @@ QUERIES = {
     name: fn for name, fn in dict(globals()).items()
     if callable(fn) and name[:2] in {"t1", "p1", "p3", "p4", "r1", "r7", "g1", "g3", "d1", "d2", "d3", "d4",
                                      "m1", "e1", "e2", "w_", "w3", "q1", "q2", "q3", "q4", "f1", "f2", "o1", "o2",
-                                     "k1", "k2", "k3", "v1", "s1", "s2", "s4", "s5", "s7", "s8", "s9", "s1"}
+                                     "k1", "k2", "k3", "v1", "s1", "s2", "s4", "s5", "s6", "s7", "s8", "s9", "s1"}
     and getattr(fn, "__module__", "") == __name__
 }

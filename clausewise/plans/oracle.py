@@ -13,8 +13,8 @@ from clausewise.operators.pii import PII_PATTERNS
 from clausewise.operators.rules import RULES
 from clausewise.operators.signatures import SIGNATURE_PATTERNS
 from clausewise.operators.triage import TYPE_KEYWORDS
-from clausewise.sources.corpus import (CYCLE, DEFAULT_DATE, INVOICE_ITEMS, POLICY_SENTENCE,
-                                       TERMINATION_SENTENCE)
+from clausewise.sources.corpus import (CYCLE, DEFAULT_DATE, HR_DEPARTMENT, HR_REQUEST, INVOICE_ITEMS,
+                                       INVOICE_TOTAL, POLICY_SENTENCE, TERMINATION_SENTENCE)
 from clausewise.sources.reference_texts import POLICIES, TEMPLATES
 
 DIM = 384
@@ -103,12 +103,12 @@ def corpus_cte(name: str = "corpus") -> str:
     policy = (f"CASE WHEN i < 7 THEN replace({policy}, '{{date}}', {d}) "
               f"ELSE replace({policy}, {q('Effective Date: {date}' + chr(10))}, '') END")
     hr = (f"replace(replace(replace({q(t['hr_form_template'])}, '{{name}}', name), '{{department}}', "
-          f"'Engineering'), '{{request_type}}', 'Vacation Request')")
-    approval = "MANAGER APPROVAL REQUIRED:\nManager Signature: ___________________\nDate: {date}"
+          f"{q(HR_DEPARTMENT)}), '{{request_type}}', {q(HR_REQUEST)})")
+    approval = t["hr_form_template"].split("\n\n")[-1].rstrip("\n")
     hr = f"CASE WHEN i < 4 THEN replace({hr}, '{{date}}', {d}) ELSE replace({hr}, {q(approval)}, '') END"
     inv = (f"replace(replace(replace(replace(replace({q(t['invoice_template'])}, '{{invoice_number}}', "
            f"printf('INV-%04d', i + 1)), '{{date}}', {d}), '{{company}}', name), '{{items}}', "
-           f"{q(INVOICE_ITEMS)}), '{{amount}}', '300')")
+           f"{q(INVOICE_ITEMS)}), '{{amount}}', {q(INVOICE_TOTAL)})")
     inv = (f"CASE WHEN i < 4 THEN replace({inv}, '{{tax_id}}', printf('TAX-%06d', i + 1)) "
            f"ELSE replace({inv}, {q('TAX ID: {tax_id}' + chr(10))}, '') END")
     return f"""{name} AS (
@@ -176,6 +176,8 @@ def audit_ctes(src: str, with_drift: bool = True) -> str:
                           for p in SIGNATURE_PATTERNS)
     lt = "lower(coalesce(text, ''))"
     drift_on = "TRUE" if with_drift else "FALSE"
+    bad = (f"(CASE WHEN c.text IS NULL THEN 'document text is missing' WHEN length({strip('c.text')}) = 0 "
+           "THEN 'document text is empty' END)")
     image_hint = (f"CASE WHEN contains({lt}, 'signature') AND (contains({lt}, 'image') OR contains({lt}, 'png') "
                   f"OR contains({lt}, 'jpg')) THEN 1 ELSE 0 END")
     return f"""
@@ -243,9 +245,10 @@ def audit_ctes(src: str, with_drift: bool = True) -> str:
       SELECT c.doc_id, c.text, c.document_type, coalesce(s.score, 0)::BIGINT AS violation_score,
              coalesce(s.n_critical, 0)::BIGINT AS n_critical, coalesce(s.n_high, 0)::BIGINT AS n_high,
              coalesce(s.n_medium, 0)::BIGINT AS n_medium, coalesce(s.n_low, 0)::BIGINT AS n_low,
-             CASE WHEN coalesce(s.score, 0) = 0 THEN 'Auto-Approve' WHEN s.score <= 2 THEN 'Auto-Fix'
+             CASE WHEN {bad} IS NULL THEN 'ok' ELSE 'error' END AS status, {bad} AS error,
+             CASE WHEN {bad} IS NOT NULL THEN NULL WHEN coalesce(s.score, 0) = 0 THEN 'Auto-Approve' WHEN s.score <= 2 THEN 'Auto-Fix'
                   WHEN s.score <= 5 THEN 'Require Review' ELSE 'Reject' END AS decision,
-             CASE WHEN coalesce(s.score, 0) = 0 THEN 'No violations detected'
+             CASE WHEN {bad} IS NOT NULL THEN {bad} WHEN coalesce(s.score, 0) = 0 THEN 'No violations detected'
                   WHEN s.score <= 2 THEN 'Low severity violations (' || s.score || ' points) with available fixes'
                   WHEN s.score <= 5 THEN 'Medium severity violations (' || s.score
                        || ' points) require human review'
@@ -319,7 +322,7 @@ def sql_queries() -> dict[str, str]:
                  (span_start + length(mtext))::BIGINT AS span_end, mtext AS text, NULL::DOUBLE AS confidence
           FROM ({unions})
           UNION ALL
-          SELECT doc_id, (SELECT 0)::BIGINT, 'signature_image', NULL, NULL, NULL, 0.7::DOUBLE FROM {src}
+          SELECT doc_id, ({" + ".join(f"len(regexp_extract_all(coalesce(text, ''), {q('(?i)' + p)}))" for p in SIGNATURE_PATTERNS)})::BIGINT, 'signature_image', NULL, NULL, NULL, 0.7::DOUBLE FROM {src}
           WHERE contains({lt}, 'signature') AND (contains({lt}, 'image') OR contains({lt}, 'png')
                 OR contains({lt}, 'jpg')))"""
     out["g1_signatures"] = sig_sql("documents")
@@ -479,8 +482,9 @@ def sql_queries() -> dict[str, str]:
     out["s2_labels_join"] = """SELECT d.doc_id, length(d.text)::BIGINT AS n_chars, l.quality::BIGINT AS quality,
         l.toxic::BIGINT AS toxic, l.doc_id IS NOT NULL AS has_label
       FROM documents d LEFT JOIN labels l USING (doc_id)"""
-    sfx = ("lower(regexp_extract(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), "
-           "'^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1))")
+    bare = ("CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_replace(regexp_replace(url, "
+            "'(?s)[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') ELSE url END")
+    sfx = f"lower(regexp_extract(regexp_extract({bare}, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1))"
     ft = ("CASE WHEN s = '.pdf' THEN 'pdf' WHEN s IN ('.docx', '.doc') THEN 'docx' "
           "WHEN s IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp') THEN 'image' WHEN s = '.txt' THEN 'text' "
           "ELSE 'unsupported' END")
@@ -501,12 +505,19 @@ def sql_queries() -> dict[str, str]:
                   WHERE c2.conv_id = c.conv_id AND c2.role = 'system' ORDER BY c2.turn LIMIT 5)), '') AS headers,
         count(*)::BIGINT AS n_blocks
       FROM conversations c GROUP BY conv_id"""
-    html_block = r"<(h[1-6]|p)(?:\s[^>]*)?>([^<]*)"
-    out["s8_heading_tagging"] = f"""WITH z AS (
-        SELECT page_id, unnest(regexp_extract_all(html, {q(html_block)}, 1)) AS tag,
-               unnest(regexp_extract_all(html, {q(html_block)}, 2)) AS t FROM pages),
-      p AS (SELECT page_id, CASE WHEN tag LIKE 'h%' THEN 'header' ELSE 'paragraph' END AS block_type,
-                   trim(t) AS text FROM z WHERE length(trim(t)) > 0)
+    # start tags become chr(1) name chr(2), closing tags chr(3): a paragraph is what
+    # stands between chr(2) and the next chr(1) or chr(3), inner tags taken out
+    opened = r"(?is)<(h[1-6]|p)(?:\s[^>]*)?>"
+    closed = (r"(?is)</(?:h[1-6]|p|article|section|div|main|header|footer|aside|nav|td|li|ul|ol|table|form|body|html)\s*>")
+    skipped = r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->"
+    out["s8_heading_tagging"] = f"""WITH m AS (
+        SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), {q(skipped)}, '', 'g'),
+               {q(opened)}, chr(1) || '\\1' || chr(2), 'g'), {q(closed)}, chr(3), 'g') AS t FROM pages),
+      z AS (SELECT page_id, unnest(string_split(t, chr(1))[2:]) AS x FROM m),
+      y AS (SELECT page_id, lower(split_part(x, chr(2), 1)) AS tag,
+                   {strip("regexp_replace(split_part(split_part(x, chr(2), 2), chr(3), 1), '<[^>]*>', '', 'g')")} AS text FROM z),
+      p AS (SELECT page_id, CASE WHEN tag LIKE 'h%' THEN 'header' ELSE 'paragraph' END AS block_type, text
+            FROM y WHERE length(text) > 0)
       SELECT page_id, block_type, count(*)::BIGINT AS n_blocks, sum(length(text))::BIGINT AS n_chars
       FROM p GROUP BY ALL"""
     out["s9_pseudonymise"] = """SELECT coalesce(c_custkey::VARCHAR, uuid()::VARCHAR) AS processing_id,
@@ -514,9 +525,9 @@ def sql_queries() -> dict[str, str]:
         coalesce(c_mktsegment, 'unknown') AS department FROM customer"""
     out["s10_upsert_vectors"] = """SELECT label::BIGINT AS id, max(vec_id)::BIGINT AS vec_id,
         round(list_sum(arg_max(embedding, vec_id)::DOUBLE[]), 6) AS sum_embedding FROM embeddings GROUP BY label"""
-    out["s12_error_rows"] = """SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 'error'
+    out["s12_error_rows"] = f"""SELECT doc_id, CASE WHEN text IS NULL OR length({strip('text')}) = 0 THEN 'error'
         ELSE 'ok' END AS status, CASE WHEN text IS NULL THEN 'document text is missing'
-        WHEN length(trim(text)) = 0 THEN 'document text is empty' END AS error FROM documents"""
+        WHEN length({strip('text')}) = 0 THEN 'document text is empty' END AS error FROM documents"""
     out["s13_generate_corpus"] = f"""WITH {corpus_docs}
       SELECT doc_id, printf('%s_%02d_%d', document_type, variant + 1, doc_id) AS doc_name, document_type,
              variant::BIGINT AS variant, text,
@@ -553,26 +564,54 @@ def sql_queries() -> dict[str, str]:
               FROM pairs)
       SELECT vq.doc_id, vq.seq, top.rank::BIGINT AS rank, top.hid AS history_id, round(top.sim, 6) AS similarity
       FROM vq JOIN top ON top.q = vq.q WHERE top.rank <= 3"""
+    # F1's text by the sequential rule, then: edits before the first one that meets
+    # its successor stand alone, the others are one region
     out["f2_change_segments"] = f"""WITH {corpus_docs}, {audit_ctes('cdocs')},
       sg AS (SELECT doc_id, list(struct_pack(s := span_start, e := span_end, r := replacement)
-                                 ORDER BY span_start, seq) AS l FROM asug GROUP BY doc_id),
-      d AS (SELECT c.doc_id, coalesce(c.text, '') AS text, coalesce(sg.l, []) AS l FROM cdocs c LEFT JOIN sg USING (doc_id)),
-      p AS (SELECT doc_id, len(list_filter(range(2, len(l) + 1), lambda k: l[k].s < l[k - 1].e)) > 0 AS overlap,
-                   list_filter(list_concat(
-                     flatten(list_transform(range(1, len(l) + 1), lambda k: [
-                       struct_pack(op := 'equal', t := CASE WHEN l[k].s > (CASE WHEN k = 1 THEN 0 ELSE l[k - 1].e END)
-                           THEN substr(text, (CASE WHEN k = 1 THEN 0 ELSE l[k - 1].e END) + 1,
-                                       l[k].s - (CASE WHEN k = 1 THEN 0 ELSE l[k - 1].e END)) ELSE '' END),
-                       struct_pack(op := 'delete', t := CASE WHEN l[k].e > l[k].s
-                           THEN substr(text, l[k].s + 1, l[k].e - l[k].s) ELSE '' END),
-                       struct_pack(op := 'insert', t := l[k].r)])),
-                     [struct_pack(op := 'equal', t := substr(text, coalesce(l[len(l)].e, 0) + 1))]),
-                   lambda x: length(x.t) > 0) AS segs
-            FROM d),
-      q AS (SELECT doc_id, CASE WHEN overlap THEN [struct_pack(op := 'overlap', t := NULL::VARCHAR)] ELSE segs END
-                   AS segs FROM p)
+                                 ORDER BY span_start, seq) AS l,
+                    list(struct_pack(s := span_start, e := span_end, r := replacement)
+                         ORDER BY span_start DESC, seq) AS dl FROM asug GROUP BY doc_id),
+      d AS (SELECT c.doc_id, coalesce(c.text, '') AS t, coalesce(sg.l, []) AS l,
+                   list_reduce(coalesce(sg.dl, []), lambda acc, x: substr(acc, 1, x.s) || x.r || substr(acc, x.e + 1),
+                               coalesce(c.text, '')) AS final
+            FROM cdocs c LEFT JOIN sg USING (doc_id)),
+      f AS (SELECT *, coalesce(list_min(list_filter(range(1, len(l)), lambda k: l[k + 1].s < l[k].e OR l[k + 1].s = l[k].s)),
+                               len(l) + 1) AS k0 FROM d),
+      g AS (SELECT *, l[1:k0 - 1] AS alone, l[k0:] AS reg FROM f),
+      h AS (SELECT *, coalesce(alone[len(alone)].e, 0) AS last,
+                   CASE WHEN len(reg) > 0 THEN reg[1].s ELSE length(t) END AS rs,
+                   CASE WHEN len(reg) > 0 THEN list_max(list_transform(reg, lambda x: x.e)) ELSE length(t) END AS re,
+                   flatten(list_transform(range(1, len(alone) + 1), lambda k: [
+                     struct_pack(op := 'equal', t := substr(t, (CASE WHEN k = 1 THEN 0 ELSE alone[k - 1].e END) + 1,
+                         greatest(alone[k].s - (CASE WHEN k = 1 THEN 0 ELSE alone[k - 1].e END), 0))),
+                     struct_pack(op := 'delete', t := substr(t, alone[k].s + 1, greatest(alone[k].e - alone[k].s, 0))),
+                     struct_pack(op := 'insert', t := alone[k].r)])) AS head FROM g),
+      i AS (SELECT *, substr(t, last + 1, greatest(rs - last, 0)) AS btw, substr(t, re + 1) AS behind0 FROM h),
+      j AS (SELECT *, substr(final, 1 + length(btw) + coalesce(list_sum(list_transform(list_filter(head,
+                      lambda p: p.op <> 'delete'), lambda p: length(p.t))), 0)::BIGINT) AS rest FROM i),
+      k AS (SELECT *, ends_with(rest, behind0) AS clean FROM j),
+      q AS (SELECT doc_id, list_filter(list_concat(head, [
+                     struct_pack(op := 'equal', t := btw),
+                     struct_pack(op := 'delete', t := CASE WHEN len(reg) = 0 THEN '' WHEN clean THEN substr(t, rs + 1, re - rs)
+                                                           ELSE substr(t, rs + 1) END),
+                     struct_pack(op := 'insert', t := CASE WHEN len(reg) = 0 THEN '' WHEN clean
+                                                           THEN substr(rest, 1, length(rest) - length(behind0)) ELSE rest END),
+                     struct_pack(op := 'equal', t := CASE WHEN len(reg) > 0 AND clean THEN behind0 ELSE '' END)]),
+                   lambda x: length(x.t) > 0) AS segs FROM k)
       SELECT doc_id, i::BIGINT AS seg, segs[i + 1].op AS op, segs[i + 1].t AS text
       FROM (SELECT doc_id, segs, unnest(range(0, len(segs))) AS i FROM q)"""
+    out["q4_stream_metrics"] = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start,
+        strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d') AS window_end, event_type,
+        count(*)::BIGINT AS n_events, round(sum(value), 6) AS total_value FROM events GROUP BY ALL"""
+    out["t1_classify_whole"] = """SELECT document_type, count(*)::BIGINT AS n_documents FROM (
+        SELECT """ + classify_case("text").replace("substr(coalesce(text, ''), 1, 1000)", "coalesce(text, '')") + """ AS document_type
+        FROM documents) GROUP BY 1"""
+    out["s6_ocr_blocks"] = """SELECT conv_id AS doc_id, 'ocr_block_' || turn AS block_id, text,
+        turn::DOUBLE AS x1, (turn + 1)::DOUBLE AS y2 FROM conversations
+        WHERE ((conv_id * 7 + turn * 13) % 10) / 10.0::DOUBLE > 0.5"""
+    out["q1_audit_requested"] = f"""WITH req AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id + 1000000000 FROM labels),
+      docs AS (SELECT r.doc_id, d.text FROM req r LEFT JOIN documents d USING (doc_id)), {audit_ctes('docs')}
+      SELECT doc_id, status, error, decision, reason, violation_score FROM aud"""
     out["q4_severity_stream"] = f"""WITH {docs}, {audit_ctes('docs')}
       SELECT coalesce(severity, 'unknown') AS severity, count(*)::BIGINT AS violations FROM av GROUP BY 1"""
     out["q3_audit_stream"] = f"""WITH {docs}, {audit_ctes('docs')}

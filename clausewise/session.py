@@ -47,31 +47,42 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Only when the session has none (local tests) do we create one under a
-    fresh scratch folder; on a cluster the configured shared path is used.
+    Only a local session (tests, benches) without one gets a fresh scratch
+    folder; on a cluster a machine-local folder would be lost to the other
+    executors, so a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="clausewise-ckpt-")
+        configured = local_scratch(spark.sparkContext.master)
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def local_scratch(master: str) -> str:
+    """A fresh folder of this machine, for `local[...]` masters only."""
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="clausewise-ckpt-")
+
+
 # Tables whose rows carry heavy per-row work (text scans, vector math).
 ROW_HEAVY_TABLES = {"documents", "pages", "conversations", "customer", "embeddings", "benchmark"}
 
 
+#: Set to "true" by the local bench only; plans read tables as they are stored.
+SPREAD_CONF = "spark.clausewise.spreadSmallTables"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give row-heavy work at least one partition per core.
 
     A small table stored as one parquet row group is scanned by a single
     task, which then runs every per-document regex alone.  When the scan
     yields fewer partitions than the default parallelism, rows are dealt
-    round-robin over that many partitions (one cheap shuffle of the input).
-    On a large input the scan already has far more partitions than cores and
-    this is a no-op: no shuffle is added."""
+    round-robin over that many partitions (one shuffle of the input).  Meant
+    for single-machine benches over single-row-group files."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
@@ -79,7 +90,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table (one parquet file per table); row-heavy tables
-    are spread over the cores when their scan is under-partitioned."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name in ROW_HEAVY_TABLES else df
+    """Read one driver table (a parquet file or folder of any shared store)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in ROW_HEAVY_TABLES and spark.conf.get(SPREAD_CONF, "false") == "true":
+        return spread(df)
+    return df

@@ -6,11 +6,11 @@ part of this package; these operators take their outputs as tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewise.functions.text import explode_rows, split_paragraphs
+from clausewise.functions.text import explode_rows, py_strip, split_paragraphs
 
 # Fixed values (must equal the reference's file routing).
 FILE_TYPES = [
@@ -63,9 +63,10 @@ def with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> D
 
 def file_suffix(path: Column) -> Column:
     """Lower-cased suffix of the last path component ('' if none), like a
-    path library's `suffix`; URL query and fragment are ignored."""
-    p = F.regexp_replace(path, r"[?#].*$", "")
-    p = F.regexp_replace(p, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    path library's `suffix`.  Query and fragment are cut from URLs only: `#`
+    and `?` are ordinary characters of file names."""
+    url = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+    p = F.when(path.rlike(url), F.regexp_replace(F.regexp_replace(path, r"(?s)[?#].*$", ""), url + "[^/]*", "")).otherwise(path)
     last = F.regexp_extract(p, r"([^/]*)$", 1)
     return F.lower(F.regexp_extract(last, r"^.+(\.[^.]+)$", 1))
 
@@ -92,13 +93,17 @@ def route_files(files: DataFrame, path_col: str, id_col: str) -> DataFrame:
 def error_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that cannot be audited get status 'error' and a reason;
     the rest 'ok'.  Nothing is dropped."""
-    t = F.col(text_col)
-    err = (F.when(t.isNull(), F.lit("document text is missing"))
-           .when(F.length(F.trim(t)) == 0, F.lit("document text is empty")))
+    err = text_error(F.col(text_col))
     return docs.select(F.col(id_col), F.when(err.isNull(), F.lit("ok")).otherwise(F.lit("error"))
                        .alias("status"), err.alias("error"))
 
 
+def text_error(t: Column) -> Column:
+    """Why a text cannot be audited; NULL if it can."""
+    return (F.when(t.isNull(), F.lit("document text is missing"))
+            .when(F.length(py_strip(t)) == 0, F.lit("document text is empty")))
+
+
 def extract_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page: Column | None = None,
                    sep: str = BLOCK_SEP) -> DataFrame:
     """Paragraph blocks of a page text: split, strip, drop empty,
@@ -129,18 +134,25 @@ def heading_type(style: Column) -> Column:
         .otherwise(F.lit("paragraph"))
 
 
-HTML_BLOCK = r"<(h[1-6]|p)(?:\s[^>]*)?>([^<]*)"
+# A paragraph runs from its start tag to the next paragraph or heading start,
+# to any closing paragraph, heading or container tag, or to the end.
+HTML_OPEN = r"<(?:h[1-6]|p)(?:\s[^>]*)?>"
+HTML_CLOSE = r"</(?:h[1-6]|p|article|section|div|main|header|footer|aside|nav|td|li|ul|ol|table|form|body|html)\s*>"
+HTML_BLOCK = rf"(?is)<(h[1-6]|p)(?:\s[^>]*)?>(.*?)(?={HTML_OPEN}|{HTML_CLOSE}|\z)"
+HTML_SKIPPED = r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->"
 
 
 def html_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """S8 over raw pages: each <h1>..<h6> or <p> element start becomes a
-    paragraph whose style is 'Heading N' or 'Normal'; text up to the next tag,
-    stripped, empty ones dropped; numbered after dropping."""
-    tags = F.regexp_extract_all(F.col(html_col), F.lit(HTML_BLOCK), 1)
-    texts = F.regexp_extract_all(F.col(html_col), F.lit(HTML_BLOCK), 2)
+    """S8 over raw pages: each <h1>..<h6> or <p> element, in any letter case,
+    becomes a paragraph whose style is 'Heading N' or 'Normal'; its whole text
+    (inner tags taken out), stripped, empty ones dropped."""
+    src = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), HTML_SKIPPED, "")
+    tags = F.regexp_extract_all(src, F.lit(HTML_BLOCK), 1)
+    texts = F.regexp_extract_all(src, F.lit(HTML_BLOCK), 2)
     z = F.arrays_zip(tags.alias("tag"), texts.alias("text"))
+    bare = py_strip(F.regexp_replace(F.col("z.text"), r"<[^>]*>", ""))
     paras = (explode_rows(pages, [F.col(id_col)], z, val="z")
-             .select(id_col, F.col("z.tag").alias("tag"), F.trim(F.col("z.text")).alias("text"))
+             .select(id_col, F.lower("z.tag").alias("tag"), bare.alias("text"))
              .where(F.length("text") > 0))
     style = F.when(F.col("tag").startswith("h"),
                    F.concat(F.lit("Heading "), F.substring(F.col("tag"), 2, 1))).otherwise(F.lit("Normal"))
@@ -149,7 +161,7 @@ def html_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "
 
 def assemble_documents(blocks: DataFrame, id_col: str = "doc_id", pos_col: str = "pos",
                        page_col: str | None = None, type_col: str = "block_type",
-                       sep: str = BLOCK_SEP, run: int = 1024) -> DataFrame:
+                       sep: str = BLOCK_SEP, run: int = 1024, max_headers: int = MAX_HEADERS) -> DataFrame:
     """Blocks -> (id, full_text, total_pages, headers, n_blocks).
 
     Two-level, so a document with very many blocks is not collected by one
@@ -165,7 +177,7 @@ def assemble_documents(blocks: DataFrame, id_col: str = "doc_id", pos_col: str =
         F.max("_page").alias("_maxpage"),
         F.count(F.lit(1)).alias("_n"),
         F.slice(F.sort_array(F.collect_list(F.when(F.col("_type") == "header", F.struct("_pos", "text")))),
-                1, MAX_HEADERS).alias("_heads"))
+                1, max_headers).alias("_heads"))
     part = runs.select(id_col, "_run", F.array_join(F.transform("_items", lambda x: x["text"]), sep).alias("_txt"),
                        "_maxpage", "_n", "_heads")
     docs = part.groupBy(id_col).agg(
@@ -176,7 +188,7 @@ def assemble_documents(blocks: DataFrame, id_col: str = "doc_id", pos_col: str =
     return docs.select(
         id_col, F.array_join(F.transform("_parts", lambda x: x["_txt"]), sep).alias("full_text"),
         F.coalesce(F.col("total_pages"), F.lit(1)).cast("int").alias("total_pages"),
-        F.transform(F.slice("_h", 1, MAX_HEADERS), lambda x: x["text"]).alias("headers"),
+        F.transform(F.slice("_h", 1, max_headers), lambda x: x["text"]).alias("headers"),
         F.col("n_blocks").cast("bigint").alias("n_blocks"))
 
 
@@ -201,13 +213,21 @@ def write_audit(audits: DataFrame, out_dir: str, run_id: str, mask_pii_text: boo
     tables are then read from that written copy, so the expensive per-document
     work is not repeated per table and lineage is cut at a table in the
     shared folder.  Returns the table paths."""
+    from clausewise.operators.pii import redact
     from clausewise.operators.rewrite import apply_fixes
     spark = audits.sparkSession
     a = audits.withColumn("run_id", F.lit(run_id))
+    id_col = audits.columns[0]
+    if "text" in audits.columns:
+        a = a.withColumn("_final", F.when(F.col("decision") == "Auto-Fix", apply_fixes(F.col("text"), F.col("suggestions"))))
     if mask_pii_text:
+        # the clear value stands in the text, in the violations and in the suggestions' originals
+        if "text" in audits.columns:
+            a = a.withColumn("text", redact(F.col("text"), F.filter("violations", lambda v: v["type"] == "pii")))
+        a = a.withColumn("suggestions", F.transform("suggestions", lambda s: s.withField("original_text", F.when(
+            F.coalesce(s["redaction_flag"], F.lit(False)), F.sha2(s["original_text"], 256)))))
         a = a.withColumn("violations", F.transform("violations", lambda v: v.withField(
             "text", F.when(v["type"] == "pii", F.sha2(v["text"], 256)).otherwise(v["text"]))))
-    id_col = audits.columns[0]
     paths = {k: f"{out_dir}/{k}" for k in ("audit_full", "audit_results", "audit_violations",
                                             "audit_suggestions", "audit_final_text")}
     def write_run(df: DataFrame, path: str) -> None:
@@ -216,15 +236,14 @@ def write_audit(audits: DataFrame, out_dir: str, run_id: str, mask_pii_text: boo
 
     write_run(a, paths["audit_full"])
     full = spark.read.parquet(paths["audit_full"]).where(F.col("run_id") == run_id)
-    write_run(full.drop("violations", "suggestions", "text"), paths["audit_results"])
+    write_run(full.drop("violations", "suggestions", "text", "_final"), paths["audit_results"])
     write_run(explode_rows(full, ["run_id", id_col], F.col("violations"))
               .select("run_id", id_col, "v.*").drop("similar_violations"), paths["audit_violations"])
     write_run(explode_rows(full, ["run_id", id_col], F.col("suggestions"), "seq", "s")
               .select("run_id", id_col, "seq", "s.*"), paths["audit_suggestions"])
-    if "text" in full.columns:
-        write_run(full.where(F.col("decision") == "Auto-Fix").select(
-            "run_id", id_col, apply_fixes(F.col("text"), F.col("suggestions")).alias("final_text")),
-            paths["audit_final_text"])
+    if "_final" in full.columns:
+        write_run(full.where(F.col("decision") == "Auto-Fix").select("run_id", id_col, F.col("_final").alias("final_text")),
+                  paths["audit_final_text"])
     return paths
 
 
@@ -236,19 +255,18 @@ def audit_lookup(results: DataFrame, requested: DataFrame, id_col: str = "doc_id
             .drop("_found"))
 
 
-MAX_LOOKUP_IDS = 10_000
+#: Id lists up to this length become a literal filter; longer ones a join.
+LITERAL_LOOKUP_IDS = 10_000
 
 
 def audit_status(spark: SparkSession, results_path: str, ids: list, id_col: str = "doc_id") -> DataFrame:
-    """Q2 for a handful of ids against the stored audit table: the id list is
-    a bounded literal `IN` filter, pushed to the parquet scan (row-group
-    statistics skip the rest); ids never audited come back 'not_found'.
-    Large request sets go through `audit_lookup` (a join) instead."""
-    if len(ids) > MAX_LOOKUP_IDS:
-        raise ValueError("too many ids for a literal lookup; use audit_lookup with a DataFrame")
-    res = spark.read.parquet(results_path).where(F.col(id_col).isin(list(ids)))
+    """Q2 for given ids against the stored audit table: a short id list is a
+    literal `IN` filter, pushed to the parquet scan (row-group statistics skip
+    the rest); any list is then joined, and ids never audited come back
+    'not_found'."""
+    res = spark.read.parquet(results_path)
+    if len(ids) <= LITERAL_LOOKUP_IDS:
+        res = res.where(F.col(id_col).isin(list(ids)))
     req = spark.createDataFrame([(i,) for i in ids], T.StructType([res.schema[id_col]]))
     return audit_lookup(res, req, id_col)
 
-
-__all__ = ["Window"]

@@ -1,8 +1,8 @@
 """Q4: running counters over an event stream.
 
-Event-time tumbling windows with a watermark bound the state: a window is
-emitted (append mode) and dropped from state once the watermark passes its
-end; rows later than the watermark are not counted (documented choice)."""
+Event-time tumbling windows with a watermark bound the state; rows later than
+the watermark are not counted (documented choice).  Counters leave in update
+mode, so windows that are still open when the input ends are complete too."""
 
 from __future__ import annotations
 
@@ -13,15 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.session import checkpoint_dir
+from clausewise.streaming.audit_stream import _glob
 
 
-def _glob(path: str) -> str:
-    """A file stream source watches a folder; a single-file table is named by
-    a glob that matches exactly that file (new files of the same name pattern
-    in the folder would be picked up as new input)."""
-    if path.endswith(".parquet") and not os.path.isdir(path):
-        return path[:-len(".parquet")] + "*.parquet"
-    return path
 
 WINDOW = "1 day"
 WATERMARK = "1 hour"
@@ -29,34 +23,37 @@ WATERMARK = "1 hour"
 
 def event_metrics_stream(spark: SparkSession, source_path: str, out_dir: str, checkpoint: str,
                          window: str = WINDOW, watermark: str = WATERMARK):
-    schema = spark.read.option("basePath", os.path.dirname(source_path)).parquet(_glob(source_path)).schema
+    """Windowed counts per event type (update mode): each micro-batch appends
+    the counters it changed, with its batch id, so the open windows at the end of the
+    input are there too; the watermark only bounds the state."""
+    schema = spark.read.parquet(source_path).schema
     ev = (spark.readStream.schema(schema).option("basePath", os.path.dirname(source_path)).parquet(_glob(source_path))
-          .withColumn("ts", F.col("ts").cast("timestamp")))
+          .withColumn("ts", F.col("ts").cast("timestamp")))  # a watermark needs a time with zone: the session's
     agg = (ev.withWatermark("ts", watermark)
            .groupBy(F.window("ts", window).alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total_value")))
-    out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                     "event_type", "n_events", "total_value")
-    return (out.writeStream.format("parquet").option("path", out_dir)
-            .option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start())
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        (batch.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type",
+                      "n_events", "total_value", F.lit(batch_id).alias("batch_id"))
+         .write.mode("append").parquet(out_dir))
 
-def run_event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = os.path.join(checkpoint_dir(spark), f"event-metrics-{uuid.uuid4().hex}")
-    q = event_metrics_stream(spark, os.path.join(sf_dir, "events.parquet"), f"{base}/out", f"{base}/chk")
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return (agg.writeStream.outputMode("update").foreachBatch(sink)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def severity_counts_stream(audits_stream: DataFrame, ts_col: str = "audited_at",
-                           window: str = WINDOW, watermark: str = WATERMARK) -> DataFrame:
-    """Windowed violation counts by severity over a stream of audit rows."""
-    return (audits_stream.withWatermark(ts_col, watermark)
-            .select(F.col(ts_col), F.posexplode_outer("violations").alias("_p", "v")).where(F.col("_p").isNotNull())
-            .groupBy(F.window(ts_col, window).alias("w"),
-                     F.coalesce(F.col("v.severity"), F.lit("unknown")).alias("severity"))
-            .agg(F.count(F.lit(1)).alias("violations")))
+def current_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The latest batch's row of each counter (a replayed batch changes nothing)."""
+    others = [c for c in rows.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_r"))
+    return latest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others if c != "batch_id"])
+
+
+def run_event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = f"{checkpoint_dir(spark)}/event-metrics-{uuid.uuid4().hex}"
+    q = event_metrics_stream(spark, f"{sf_dir}/events.parquet", f"{base}/out", f"{base}/chk")
+    q.awaitTermination()
+    return current_counters(spark.read.parquet(f"{base}/out"), ["window_start", "window_end", "event_type"])
 
 
 def severity_counts_stream_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +62,6 @@ def severity_counts_stream_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     updated counts are appended to a table in the shared folder with their
     batch id; the current value of a (window, severity) counter is its row
     from the latest batch.  Returns totals per severity."""
-    from pyspark.sql import Window as W
-
     from clausewise.plans.audit import audit
 
     base = os.path.join(checkpoint_dir(spark), f"severity-stream-{uuid.uuid4().hex}")
@@ -92,9 +87,7 @@ def severity_counts_stream_run(spark: SparkSession, sf_dir: str) -> DataFrame:
          .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
     q.awaitTermination()
     rows = spark.read.parquet(out)
-    latest = rows.withColumn("_r", F.row_number().over(
-        W.partitionBy("window_start", "severity").orderBy(F.col("batch_id").desc()))).where("_r = 1")
-    return latest.groupBy("severity").agg(F.sum("violations").cast("bigint").alias("violations"))
+    return current_counters(rows, ["window_start", "severity"]).groupBy("severity").agg(F.sum("violations").cast("bigint").alias("violations"))
 
 
 def ticket_status_stream_run(spark: SparkSession, sf_dir: str, run_id: str = "run-0001",
@@ -103,8 +96,6 @@ def ticket_status_stream_run(spark: SparkSession, sf_dir: str, run_id: str = "ru
     keeps the latest status by (ts, event id) and the update count (update
     mode, `max_by` state).  Batches append their changed rows to a table in
     the shared folder; the current state is the latest batch per ticket."""
-    from pyspark.sql import Window as W
-
     base = os.path.join(checkpoint_dir(spark), f"ticket-stream-{uuid.uuid4().hex}")
     src = os.path.join(sf_dir, "events.parquet")
     schema = spark.read.parquet(src).schema
@@ -124,5 +115,4 @@ def ticket_status_stream_run(spark: SparkSession, sf_dir: str, run_id: str = "ru
          .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
     q.awaitTermination()
     rows = spark.read.parquet(out)
-    return (rows.withColumn("_r", F.row_number().over(W.partitionBy("ticket_id").orderBy(F.col("batch_id").desc())))
-            .where("_r = 1").select("ticket_id", "status", F.col("n_updates").cast("bigint").alias("n_updates")))
+    return (current_counters(rows, ["ticket_id"]).select("ticket_id", "status", F.col("n_updates").cast("bigint").alias("n_updates")))
