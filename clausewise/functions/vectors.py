@@ -66,32 +66,6 @@ def embed_text(text: Column, dim: int = DEFAULT_DIM) -> Column:
     return dense_from_bag(buckets(text, dim), dim)
 
 
-def bag_dot(bag: Column, bag_n: Column, dense: Column) -> Column:
-    """<unit(bag), dense>."""
-    s = F.aggregate(bag, F.lit(0.0), lambda acc, b: acc + F.get(dense, b).cast("double"))
-    return F.when(bag_n > 0, s / bag_n).otherwise(F.lit(0.0))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-
-
-def sq_norm(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-
-
-def sq_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double"))
-                                  * (x.cast("double") - y.cast("double"))),
-                       F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-
-
-def l2_similarity(d: Column) -> Column:
-    """Flat-L2 index convention: squared distance d -> 1 / (1 + d)."""
-    return F.lit(1.0) / (F.lit(1.0) + d)
-
-
-def cosine(a_dot_b: Column, a_n2: Column, b_n2: Column) -> Column:
-    """Cosine with the zero-vector convention sim = 0.0."""
-    return F.when((a_n2 > 0) & (b_n2 > 0), a_dot_b / (F.sqrt(a_n2) * F.sqrt(b_n2))).otherwise(F.lit(0.0))

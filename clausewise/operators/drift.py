@@ -1,9 +1,10 @@
 """D1 paragraph chunks and D4 template drift.
 
-The template store is a small dimension: its size is checked, it is embedded
-once in Spark (dense, unit length) and broadcast as a numpy matrix.  Every
-document then finds, per chunk, its best template in place (one matrix
-product per Arrow batch); no shuffle.
+The template store is embedded in Spark (dense, unit length), last write per id.
+Up to BROADCAST_BYTES of matrix it is broadcast and every document finds, per
+chunk, its best template in place (one matrix product per Arrow batch, no
+shuffle); beyond, chunks go through the blocked top-k kernel.  Both give the
+same similarities.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.functions.dense import best_match_for_bags
-from clausewise.functions.text import explode_rows, let, split_paragraphs
-from clausewise.functions.vectors import DEFAULT_DIM, bag_norm, buckets, embed_text, sq_norm
+from clausewise.functions.text import explode_rows, split_paragraphs
+from clausewise.functions.vectors import DEFAULT_DIM, buckets, embed_text
 from clausewise.functions.violations import empty_violations, violation
+from clausewise.operators.vectors import top_k_similar, upsert_vectors
+from clausewise.session import written
 
 # Fixed values (must equal the reference's detector).
 SIMILARITY_THRESHOLD = 0.7
@@ -23,7 +26,7 @@ MEDIUM_ABOVE = 0.5
 MIN_CHUNK_CHARS = 50          # a chunk must be longer than this
 PARAGRAPH_SEP = "\n\n"
 NO_TEMPLATE_MESSAGE = "No matching template found"
-MAX_TEMPLATES = 4096
+BROADCAST_BYTES = 32_000_000
 
 
 def chunks(text: Column, sep: str = PARAGRAPH_SEP) -> Column:
@@ -37,15 +40,9 @@ def chunks(text: Column, sep: str = PARAGRAPH_SEP) -> Column:
         (F.instr(src, c) - 1 + F.length(c)).alias("span_end")))
 
 
-def drift_violations(text: Column, store_bc, metric: str = "l2", sep: str = PARAGRAPH_SEP,
-                     dim: int = DEFAULT_DIM, chunk_col: Column | None = None,
-                     has_store: bool = True) -> Column:
-    """D4 as array<violation> for one document.  Chunk bags are hashed in the
-    JVM; the best-template similarity of all chunks of a batch of documents is
-    one numpy matrix product against the broadcast store."""
-    cs = chunk_col if chunk_col is not None else chunks(text, sep)
-    bags = F.transform(cs, lambda c: buckets(c["chunk"], dim))
-    sims = best_match_for_bags(bags, store_bc, dim, metric)
+def drift_violations(cs: Column, sims: Column, has_store: bool = True) -> Column:
+    """D4 as array<violation> for one document, from its chunks and their best
+    similarities (see `with_similarities`)."""
 
     def judge(c: Column, sim_raw: Column) -> Column:
         sim = F.coalesce(sim_raw, F.lit(0.0))
@@ -66,25 +63,35 @@ def drift_violations(text: Column, store_bc, metric: str = "l2", sep: str = PARA
                       empty_violations())
 
 
-def broadcast_store(spark, templates: DataFrame, dim: int = DEFAULT_DIM, id_col: str = "template_id",
-                    text_col: str = "text"):
-    """Embed (in Spark), size-check and broadcast the template store in one
-    job; returns (broadcast variable, non-empty flag).  Duplicate ids: the
-    last stored wins."""
-    ts = F.col("stored_at") if "stored_at" in templates.columns else F.lit(None).cast("timestamp")
-    rows = (templates.select(F.col(id_col).alias("id"), ts.alias("ts"),
-                             embed_text(F.col(text_col), dim).alias("vec"))
-            .limit(MAX_TEMPLATES + 1).collect())
-    if len(rows) > MAX_TEMPLATES:
-        raise ValueError(f"template store larger than {MAX_TEMPLATES}; use vectors.top_k_similar")
-    latest: dict = {}
-    for r in rows:
-        prev = latest.get(r["id"])
-        if prev is None or (r["ts"] is not None and (prev["ts"] is None or r["ts"] >= prev["ts"])):
-            latest[r["id"]] = r
-    vecs = [latest[k]["vec"] for k in sorted(latest)]
-    m = np.array(vecs, dtype=np.float64) if vecs else np.zeros((0, dim))
-    return spark.sparkContext.broadcast((m, (m * m).sum(axis=1))), m.shape[0] > 0
+def template_vectors(templates: DataFrame, dim: int = DEFAULT_DIM, id_col: str = "template_id", text_col: str = "text") -> DataFrame:
+    """(id, embedding): of several templates with one id the last stored counts
+    (without a time, the greatest text)."""
+    at = F.col("stored_at") if "stored_at" in templates.columns else F.lit(None).cast("timestamp")
+    last = upsert_vectors(templates.select(F.col(id_col).alias("id"), at.alias("at"), F.col(text_col).alias("t")), "id", ("at", "t"))
+    return last.select("id", embed_text(F.col("t"), dim).alias("embedding"))
+
+
+def with_similarities(docs: DataFrame, templates: DataFrame, chunk_col: str, out: str = "_sims", metric: str = "l2",
+                      dim: int = DEFAULT_DIM, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """(`docs` with the best template similarity of each chunk in `out`,
+    whether there is any template)."""
+    spark = docs.sparkSession
+    store = template_vectors(templates, dim)
+    n = store.count()
+    bags = F.transform(F.col(chunk_col), lambda c: buckets(c["chunk"], dim))
+    if n * dim * 8 <= broadcast_bytes:
+        m = np.array([r["embedding"] for r in store.select("embedding").collect()], dtype=np.float64).reshape(n, dim)
+        bc = spark.sparkContext.broadcast((m, (m * m).sum(axis=1)))
+        return docs.withColumn(out, best_match_for_bags(bags, bc, dim, metric)), n > 0
+    rows = written(docs.withColumn("_row", F.expr("uuid()")), "drift-documents")  # a key that survives recomputation
+    each = rows.select("_row", F.posexplode(bags).alias("_i", "_bag"))
+    each = each.select(F.concat_ws(":", "_row", "_i").alias("query_id"), F.col("_bag").alias("embedding"))
+    best = top_k_similar(each, store, 1, metric, query_kind="bag")
+    key = F.split("query_id", ":")
+    sims = best.groupBy(F.get(key, 0).alias("_row")).agg(F.sort_array(F.collect_list(F.struct(
+        F.get(key, 1).cast("int").alias("i"), "similarity"))).alias("_s"))
+    return rows.join(sims, "_row", "left").withColumn(out, F.coalesce(
+        F.transform("_s", lambda x: x["similarity"]), F.array().cast("array<double>"))).drop("_row", "_s"), True
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -98,12 +105,11 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def detect_drift(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  metric: str = "l2", sep: str = PARAGRAPH_SEP, dim: int = DEFAULT_DIM) -> DataFrame:
     """D4 as rows: one per drifting chunk."""
-    bc, has = broadcast_store(docs.sparkSession, templates, dim)
-    with_chunks = docs.select(id_col, text_col, chunks(F.col(text_col), sep).alias("_chunks"))
-    v = drift_violations(F.col(text_col), bc, metric, sep, dim, chunk_col=F.col("_chunks"), has_store=has)
+    with_chunks, has = with_similarities(docs.select(id_col, chunks(F.col(text_col), sep).alias("_chunks")), templates, "_chunks", metric=metric, dim=dim)
+    v = drift_violations(F.col("_chunks"), F.col("_sims"), has)
     return (explode_rows(with_chunks, [id_col], v)
             .select(id_col, F.col("v.chunk_index").alias("chunk_index"), "v.span_start", "v.span_end",
                     F.round("v.similarity", 6).alias("similarity"), "v.severity", "v.message"))
 
 
-__all__ = ["chunks", "drift_violations", "broadcast_store", "chunk_table", "detect_drift"]
+__all__ = ["chunks", "drift_violations", "with_similarities", "chunk_table", "detect_drift"]

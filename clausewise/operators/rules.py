@@ -3,8 +3,9 @@
 A check is data: (rule_id, check_id, rule_name, severity, message,
 keywords[], document_types[]).  A document violates a check when the check
 applies to its type and none of the keywords occurs in the lower-cased text.
-The rule table is a small dimension; it is size-checked and inlined as a
-literal so the per-document test stays a narrow projection.
+The built-in checks are a literal, so the per-document test is a narrow
+projection; a rule table of the caller's, of any size, is grouped by document type
+and joined on the type.
 """
 
 from __future__ import annotations
@@ -52,23 +53,42 @@ RULES = [
      ["invoice", "bill"]),
 ]
 WILDCARD_TYPE = "all"
-MAX_RULES = 10_000
+CHECKS = "_checks"   # column with the checks that apply to a document
 
 
 def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, RULE_TYPE)
 
 
-def _rules_literal(rules: DataFrame | None) -> Column:
-    rows = RULES if rules is None else [tuple(r) for r in rules.limit(MAX_RULES + 1).collect()]
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"rule table larger than {MAX_RULES} rows; it must be a small dimension")
+def _rules_literal() -> Column:
+    """The built-in checks as an array column."""
     return F.array(*[
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) if not isinstance(v, list)
                    else F.array(*[F.lit(x) for x in v]).cast(f.dataType).alias(f.name)
                    for v, f in zip(row, RULE_TYPE.fields)])
-        for row in rows
-    ]) if rows else F.array().cast(T.ArrayType(RULE_TYPE))
+        for row in RULES
+    ])
+
+
+def with_checks(docs: DataFrame, doc_type: Column, rules: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """`docs` with the checks of its type and of the wildcard in CHECKS, in
+    (rule_id, check_id) order, each with its policy's text (E1: a left join on
+    the rule id; of several policies with one id the last stored, else the
+    greatest text, counts)."""
+    if policies is not None:
+        stored = F.col("stored_at") if "stored_at" in policies.columns else F.lit(None).cast("timestamp")
+        texts = policies.groupBy("policy_id").agg(F.max(F.struct(stored.alias("at"), F.col("content"))).alias("_p"))
+        rules = rules.join(texts, rules["rule_id"] == texts["policy_id"], "left").withColumn("policy_snippet", F.col("_p.content"))
+    else:
+        rules = rules.withColumn("policy_snippet", F.lit(None).cast("string"))
+    check = F.struct("rule_id", "check_id", *[f.name for f in RULE_TYPE.fields[2:]], "policy_snippet")
+    by_type = (rules.withColumn("_type", F.explode(F.array_distinct("document_types")))
+               .groupBy("_type").agg(F.sort_array(F.collect_list(check)).alias("_own")))
+    wild = by_type.filter(F.col("_type") == WILDCARD_TYPE).agg(F.flatten(F.collect_list("_own")).alias("_wild"))  # one row
+    own = by_type.filter(F.col("_type") != WILDCARD_TYPE)
+    joined = docs.withColumn("_doc_type", F.coalesce(doc_type, F.lit("unknown"))).join(own, F.col("_doc_type") == F.col("_type"), "left").crossJoin(wild)
+    both = F.sort_array(F.array_distinct(F.concat(F.coalesce("_own", F.filter("_wild", lambda _: F.lit(False))), "_wild")))
+    return joined.withColumn(CHECKS, both).drop("_doc_type", "_type", "_own", "_wild")
 
 
 def applicable(rules_arr: Column, doc_type: Column) -> Column:
@@ -78,40 +98,43 @@ def applicable(rules_arr: Column, doc_type: Column) -> Column:
                     | F.array_contains(r["document_types"], WILDCARD_TYPE))
 
 
-def policy_violations(text: Column, doc_type: Column, rules: DataFrame | None = None) -> Column:
-    """array<violation>, span 0..len(text), in rule-table order."""
-    rules_arr = _rules_literal(rules)
+def policy_violations(text: Column, doc_type: Column, checks: Column | None = None) -> Column:
+    """array<violation>, span 0..len(text), in check order.  `checks`:
+    the document's own array (see `with_checks`); None for the built-in ones."""
     src = F.coalesce(text, F.lit(""))
 
-    def for_type(t: Column) -> Column:
-        checks = applicable(rules_arr, t)
-
+    def failed(found: Column) -> Column:
         def check(b: Column) -> Column:
             # b = (lower-cased text, text length), bound once per document
-            failed = F.filter(checks, lambda r: ~F.exists(r["keywords"], lambda k: F.contains(b["low"], k)))
-            return F.transform(failed, lambda r: violation(
+            bad = F.filter(found, lambda r: ~F.exists(r["keywords"], lambda k: F.contains(b["low"], k)))
+            return F.transform(bad, lambda r: violation(
                 scanner="policy", type="policy_violation", rule_id=r["rule_id"], check_id=r["check_id"],
                 rule_name=r["rule_name"], severity=r["severity"], message=r["message"],
                 span_start=F.lit(0), span_end=b["len"]))
         # only documents with an applicable rule pay for lower-casing the text
-        return F.when(F.size(checks) > 0, let(F.struct(F.lower(src).alias("low"), F.length(src).alias("len")),
-                                               check)).otherwise(empty_violations())
+        return F.when(F.size(found) > 0, let(F.struct(F.lower(src).alias("low"), F.length(src).alias("len")),
+                                              check)).otherwise(empty_violations())
 
+    if checks is not None:
+        return failed(checks)
     # the type is bound once: it is read inside per-rule lambdas
-    return let(F.coalesce(doc_type, F.lit("unknown")), for_type)
+    return let(F.coalesce(doc_type, F.lit("unknown")), lambda t: failed(applicable(_rules_literal(), t)))
 
 
-def rules_checked(doc_type: Column, rules: DataFrame | None = None) -> Column:
+def rules_checked(doc_type: Column, checks: Column | None = None) -> Column:
     """Number of distinct registry rules applied to the type."""
-    rules_arr = _rules_literal(rules)
+    if checks is not None:
+        return F.size(F.array_distinct(F.transform(checks, lambda r: r["rule_id"])))
     return let(F.coalesce(doc_type, F.lit("unknown")), lambda t: F.size(F.array_distinct(
-        F.transform(applicable(rules_arr, t), lambda r: r["rule_id"]))))
+        F.transform(applicable(_rules_literal(), t), lambda r: r["rule_id"]))))
 
 
 def apply_policy_rules(docs: DataFrame, type_col: str = "document_type", id_col: str = "doc_id",
                        text_col: str = "text", rules: DataFrame | None = None) -> DataFrame:
     """One row per failed check."""
-    v = policy_violations(F.col(text_col), F.col(type_col), rules)
+    if rules is not None:
+        docs = with_checks(docs, F.col(type_col), rules)
+    v = policy_violations(F.col(text_col), F.col(type_col), None if rules is None else F.col(CHECKS))
     return (explode_rows(docs, [id_col, type_col], v, "seq", "v")
             .select(id_col, type_col, F.col("seq").cast("int").alias("seq"), "v.rule_id", "v.check_id",
                     "v.rule_name", "v.severity", "v.message", "v.span_start", "v.span_end"))
@@ -120,13 +143,9 @@ def apply_policy_rules(docs: DataFrame, type_col: str = "document_type", id_col:
 def rules_for_types(types: DataFrame, rules: DataFrame, type_col: str = "document_type") -> DataFrame:
     """R1 as a join.  Each document row is expanded to the two keys it can
     match (its own type and the wildcard), and joined on equality with the
-    rules exploded by type: an equi-join, broadcast because `rules` is a
-    size-checked dimension."""
-    n = rules.limit(MAX_RULES + 1).count()
-    if n > MAX_RULES:
-        raise ValueError("rule table too large to broadcast")
+    rules exploded by type."""
     exploded = rules.select("*", F.explode("document_types").alias("_t")).drop("document_types")
     keyed = types.withColumn("_k", F.explode(F.array(F.coalesce(F.col(type_col), F.lit("unknown")),
                                                      F.lit(WILDCARD_TYPE))))
-    return (keyed.join(F.broadcast(exploded), F.col("_k") == F.col("_t"), "inner")
+    return (keyed.join(exploded, F.col("_k") == F.col("_t"), "inner")
             .drop("_k", "_t"))

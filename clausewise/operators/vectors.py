@@ -1,15 +1,11 @@
 """D3 exact top-k similarity search, D3b approximate search, S10 upsert.
 
-Exact search never forms a query x store cross product of rows.  The store
-is sized first; the dense math is one matrix product per batch (numpy):
-
-* store <= `block_rows` vectors -> it is broadcast once as a matrix (its size
-  is checked) and each Arrow batch of queries keeps its top k in place;
-* many blocks -> queries (cut into groups of bounded size) and store blocks
-  meet in a cogroup on (block, group): each task scores one bounded query
-  group against one bounded block with a matrix product, and the per-block
-  top k lists are merged with a window over the query id.  Exact, no
-  broadcast of unbounded data, no pair rows.
+One kernel at every size: store rows are dealt into blocks and queries into
+groups of bounded bytes; every (block, group) pair is one cogroup task that scores
+its query group against its store block with matrix products and keeps each
+query's top k; a window over the query id merges the blocks' lists.  Queries
+move once per block and store rows once per group; nothing is broadcast, no pair
+becomes a row, and the result does not depend on the block size.
 """
 
 from __future__ import annotations
@@ -17,16 +13,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # module-level, so worker-side code references them as globals (this package
 # is pickled by value; a function-local import would need it installed)
 from clausewise.functions.dense import similarity_matrix, unit_rows
+from clausewise.functions.vectors import dot
 
-DEFAULT_BLOCK_ROWS = 4096
-QUERY_SLICE = 512     # queries scored per numpy step (bounds the similarity matrix)
-RANK_DECIMALS = 12   # ranking precision: closer similarities are ties, broken by id
+BLOCK_BYTES = 32_000_000   # of one side of a task
+QUERY_SLICE = 512          # queries scored per numpy step (bounds the similarity matrix)
+RANK_DECIMALS = 12         # ranking precision: closer similarities are ties, broken by id
 METRICS = ("l2", "cosine")
 
 
@@ -34,46 +33,22 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
                   query_id: str = "query_id", query_vec: str = "embedding", query_kind: str = "dense",
                   store_id: str = "id", store_vec: str = "embedding",
                   payload_cols: list[str] | None = None, exclude_self: bool = False,
-                  block_rows: int = DEFAULT_BLOCK_ROWS, query_rows_per_group: int = 200_000) -> DataFrame:
+                  block_rows: int | None = None, query_rows_per_group: int | None = None) -> DataFrame:
     """Exact k nearest store vectors per query.
 
     Returns (query_id, rank, id, similarity, distance, payload...), rank
     1..min(k, |store|); ties on similarity are broken by ascending id.
     `query_kind='bag'` takes a bucket-id bag (see functions.vectors) as query.
-    An empty store yields no rows.
+    An empty store yields no rows.  Block and group rows default to what fits
+    BLOCK_BYTES at the store's vector length.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     payload_cols = list(payload_cols or [])
-    n_store = store.count()  # sizes the store: decides broadcast vs blocked
-    n_blocks = max(1, math.ceil(n_store / block_rows))
-    if n_blocks == 1:
-        return _top_k_numpy(queries, store, k, metric, query_id, query_vec, store_id, store_vec,
-                            payload_cols, exclude_self, query_kind)
-    return _top_k_blocked(queries, store, k, metric, query_id, query_vec, store_id, store_vec,
-                          payload_cols, exclude_self, query_kind, n_blocks, query_rows_per_group)
-
-
-def _top_k_blocked(queries: DataFrame, store: DataFrame, k: int, metric: str, query_id: str,
-                   query_vec: str, store_id: str, store_vec: str, payload_cols: list[str],
-                   exclude_self: bool, query_kind: str, n_blocks: int, query_rows_per_group: int) -> DataFrame:
-    """Exact top-k for a store too large to broadcast.
-
-    Store rows are hashed into `n_blocks` blocks (each about `block_rows`
-    vectors) and queries into G groups of about `query_rows_per_group`; every
-    (block, group) pair is one cogroup task holding a bounded query batch and
-    a bounded store block, scored by one matrix product.  Queries are shuffled
-    once per block and store rows once per query group (no broadcast of
-    unbounded data, no pair rows); the per-block top-k lists are merged by a
-    window over the query id whose partitions hold n_blocks * k rows."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from clausewise.functions.dense import similarity_matrix
-
-    n_q = queries.count()
-    groups = max(1, math.ceil(n_q / query_rows_per_group))
+    size = store.agg(F.count(F.lit(1)), F.max(F.size(store_vec))).first()
+    fit = max(256, BLOCK_BYTES // (8 * max(1, size[1] or 1)))
+    n_blocks = max(1, math.ceil(size[0] / (block_rows or fit)))
+    groups = max(1, math.ceil(queries.count() / (query_rows_per_group or fit)))
     q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_q"))
     st = store.select(F.col(store_id).alias("_sid"),
                       F.transform(F.col(store_vec), lambda x: x.cast("double")).alias("_v"),
@@ -92,12 +67,6 @@ def _cogroup_top_k(q: DataFrame, st: DataFrame, key_cols: list[str], n_blocks: i
     against a bounded store block with one matrix product and keeps its top
     k; a window over the query id merges (a candidate met under several keys
     counts once)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from clausewise.functions.dense import similarity_matrix
-
     q = (q.withColumn("_grp", F.pmod(F.xxhash64("_qid"), F.lit(groups)).cast("int"))
          .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
     st = (st.withColumn("_blk", F.pmod(F.xxhash64("_sid"), F.lit(n_blocks)).cast("int"))
@@ -147,71 +116,6 @@ def _cogroup_top_k(q: DataFrame, st: DataFrame, key_cols: list[str], n_blocks: i
     return ranked.select(F.col("_qid").alias(query_id), "rank", "id", "similarity", "distance", *payload_cols)
 
 
-def _top_k_numpy(queries: DataFrame, store: DataFrame, k: int, metric: str, query_id: str,
-                 query_vec: str, store_id: str, store_vec: str, payload_cols: list[str],
-                 exclude_self: bool, query_kind: str = "dense") -> DataFrame:
-    """Single-block exact top-k: the (size-checked) store is broadcast once as
-    a matrix; each Arrow batch of queries is scored with one matrix product
-    and ranked by (similarity desc, id asc)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from clausewise.functions.dense import similarity_matrix
-
-    spark = queries.sparkSession
-    rows = store.select(store_id, store_vec, *payload_cols).collect()  # <= block_rows rows
-    ids = np.array([r[0] for r in rows])
-    mat = (np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows
-           else np.zeros((0, 1)))
-    pay = {c: [r[i + 2] for r in rows] for i, c in enumerate(payload_cols)}
-    bc = spark.sparkContext.broadcast((ids, mat, (mat * mat).sum(axis=1) if rows else np.zeros(0), pay))
-    qtype = queries.schema[query_id].dataType
-    stype = store.schema[store_id].dataType
-    fields = [T.StructField(query_id, qtype), T.StructField("rank", T.IntegerType()),
-              T.StructField("id", stype), T.StructField("similarity", T.DoubleType()),
-              T.StructField("distance", T.DoubleType())] + \
-             [T.StructField(c, store.schema[c].dataType) for c in payload_cols]
-
-    def score(batches):
-        for big in batches:
-            for i0 in range(0, len(big), QUERY_SLICE):
-                out = score_slice(big.iloc[i0:i0 + QUERY_SLICE].reset_index(drop=True))
-                if out is not None:
-                    yield out
-
-    def score_slice(pdf):
-        s_ids, s_mat, s_n2, s_pay = bc.value
-        order_ids = np.argsort(np.argsort(s_ids, kind="stable"), kind="stable")  # id rank for ties
-        if len(pdf) == 0 or len(s_ids) == 0:
-            return None
-        if query_kind == "bag":
-            q = _bags_to_unit(pdf[query_vec], s_mat.shape[1])
-        else:
-            q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[query_vec]])
-        sim, dist = similarity_matrix(q, (q * q).sum(axis=1), s_mat, s_n2, metric)
-        if exclude_self:
-            same = pdf[query_id].to_numpy()[:, None] == s_ids[None, :]
-            sim = np.where(same, -np.inf, sim)
-        kk = min(k, len(s_ids) - (1 if exclude_self else 0))
-        if kk <= 0:
-            return None
-        # rank by similarity desc, then id asc
-        # similarities equal to 12 decimals are ties (float noise), broken by id
-        idx = np.lexsort((np.broadcast_to(order_ids, sim.shape), -np.round(sim, RANK_DECIMALS)),
-                         axis=1)[:, :kk]
-        r = np.arange(len(pdf))[:, None]
-        out = {query_id: np.repeat(pdf[query_id].to_numpy(), kk),
-               "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf)),
-               "id": s_ids[idx].ravel(), "similarity": sim[r, idx].ravel(),
-               "distance": dist[r, idx].ravel()}
-        for c in payload_cols:
-            out[c] = [s_pay[c][j] for j in idx.ravel()]
-        return pd.DataFrame(out)
-
-    return queries.select(query_id, query_vec).mapInPandas(score, T.StructType(fields))
-
-
 def _bags_to_unit(bags, dim: int):
     """Bucket bags -> unit-length count vectors (zero rows for empty bags)."""
     arrs = [np.asarray(b if b is not None else [], dtype=np.int64) for b in bags]
@@ -222,14 +126,11 @@ def _bags_to_unit(bags, dim: int):
     return unit_rows(counts.astype(np.float64))[0]
 
 
-MAX_LSH_DIM = 65_536
-
-
 def approx_top_k_similar(queries: DataFrame, store: DataFrame, k: int, query_id: str = "query_id",
                          query_vec: str = "embedding", store_id: str = "id", store_vec: str = "embedding",
                          bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7, metric: str = "l2",
-                         exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
-                         query_rows_per_group: int = 200_000) -> DataFrame:
+                         exclude_self: bool = False, block_rows: int = 4096,
+                         query_rows_per_group: int = 4096) -> DataFrame:
     """Approximate k nearest neighbours for large x large inputs.
 
     Random-projection LSH: `num_tables` unit directions (fixed by `seed`);
@@ -240,16 +141,10 @@ def approx_top_k_similar(queries: DataFrame, store: DataFrame, k: int, query_id:
     `query_rows_per_group`, each task keeps its top k, and no candidate
     pair is ever materialised as a row.  Recall is tested against
     `top_k_similar`."""
-    import numpy as np
-
-    from clausewise.functions.vectors import dot
-
     first = store.select(F.size(store_vec).alias("d")).first()
     if first is None:
         return top_k_similar(queries, store, k, metric, query_id, query_vec, "dense", store_id, store_vec)
     dim = int(first["d"])
-    if dim > MAX_LSH_DIM:
-        raise ValueError("vector dimension too large for inlined projections")
     rng = np.random.default_rng(seed)
     dirs = rng.normal(size=(num_tables, dim))
     dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)

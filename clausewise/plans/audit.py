@@ -5,8 +5,8 @@ documents -> triage -> [pii, policy rules, template drift, signatures]
           -> suggestions -> score -> decision
 
 All per-document steps are Column expressions over array<struct> columns,
-so the plan is scan -> project -> (broadcast join with one-row dimensions)
--> project: no shuffle.  The only optional shuffle is the similar-violation
+so with the built-in rules the plan is scan -> project: no shuffle; a caller's
+rules and policies are joined on the document type.  The only optional shuffle is the similar-violation
 search against a non-empty history, done once per distinct search text.
 """
 
@@ -14,26 +14,26 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewise.functions.text import explode_rows, let
-from clausewise.functions.vectors import DEFAULT_DIM, buckets
+from clausewise.functions.text import explode_rows
+from clausewise.functions.vectors import DEFAULT_DIM, buckets, embed_text
 from clausewise.functions.violations import VIOLATION_TYPE, empty_violations, number
 from clausewise.operators import decide as dec
-from clausewise.operators.drift import PARAGRAPH_SEP, broadcast_store, chunks, drift_violations
+from clausewise.operators.drift import PARAGRAPH_SEP, chunks, drift_violations, with_similarities
 from clausewise.operators.pii import pii_violations
 from clausewise.operators.rewrite import apply_fixes, suggestions
-from clausewise.operators.rules import policy_violations, rules_checked
+from clausewise.operators.rules import CHECKS, policy_violations, rules_checked, rules_table, with_checks
 from clausewise.operators.signatures import signature_hits, signature_violations
 from clausewise.operators.triage import classify
 from clausewise.operators.vectors import top_k_similar
+from clausewise.session import written
 from clausewise.sources.ingest import text_error
-from clausewise.sources.reference_texts import POLICIES, templates_table
+from clausewise.sources.reference_texts import POLICIES, policies_table, templates_table
 
 SIMILAR_TOP_K = 3
-MAX_POLICIES = 100_000
 
 SIMILAR_TYPE = T.ArrayType(T.StructType([
     T.StructField("id", T.StringType()), T.StructField("text", T.StringType()),
@@ -45,22 +45,18 @@ ENRICHED_TYPE = T.StructType(VIOLATION_TYPE.fields + [
 ])
 
 
-def policy_map(policies: DataFrame | None) -> Column:
-    """The policy texts as a literal map column.  The table is a small
-    dimension: it is read once (size-checked) and inlined into the plan, so
-    every task has it without a join."""
-    if policies is None:
-        items = sorted(POLICIES.items())
-    else:
-        rows = policies.select("policy_id", "content").limit(MAX_POLICIES + 1).collect()
-        if len(rows) > MAX_POLICIES:
-            raise ValueError("policy table too large to inline")
-        items = [(r[0], r[1]) for r in rows]
-    if not items:
-        return F.create_map().cast("map<string,string>")
+def policy_map() -> Column:
+    """The built-in policy texts as a literal map column."""
+    items = sorted(POLICIES.items())
     return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]), F.array(*[F.lit(v) for _, v in items]))
 
 
+def checked_policies() -> Column:
+    """Policy texts of the joined checks, by rule id."""
+    pairs = F.transform(F.col(CHECKS), lambda r: F.struct(r["rule_id"].alias("k"), r["policy_snippet"].alias("v")))
+    return F.map_from_entries(F.array_distinct(F.filter(pairs, lambda x: x["v"].isNotNull())))
+
+
 @lru_cache(maxsize=16)
 def _scanners(text_col: str, sep: str, confirm_pii: bool, with_drift: bool, ctx: str = ""):
     """Scanner expressions for a text column (built once per process: the
@@ -102,29 +98,27 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
     `carry` names input columns passed through unchanged (e.g. a department),
     so callers never need to join the audit back to its input."""
     spark = docs.sparkSession
-    pmap = policy_map(policies)
-    if with_drift:
-        store_bc, has_store = broadcast_store(
-            spark, templates if templates is not None else templates_table(spark), dim)
+    joined = rules is not None or policies is not None   # the caller's tables: joined on the document type
     text = F.col(text_col)
 
     ctx = spark.sparkContext.applicationId   # cached Columns belong to one running context
-    if rules is None:
-        cls_c, pii_c, pol_c, nrules_c, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift, ctx)
-    else:
-        cls_c, pii_c, _p, _n, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift, ctx)
-        pol_c = policy_violations(text, F.col("_cls.document_type"), rules)
-        nrules_c = rules_checked(F.col("_cls.document_type"), rules)
+    cls_c, pii_c, pol_c, nrules_c, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift, ctx)
     doc_type = F.col("_cls.document_type")
-    d = docs.select(F.col(id_col), text, *[F.col(c) for c in carry]).withColumn("_cls", cls_c) \
-        .withColumn("policy_map", pmap)
+    d = docs.select(F.col(id_col), text, *[F.col(c) for c in carry]).withColumn("_cls", cls_c)
+    if joined:
+        d = with_checks(d, doc_type, rules_table(spark) if rules is None else rules,
+                        policies_table(spark) if policies is None else policies)
+        pol_c, nrules_c = policy_violations(text, doc_type, F.col(CHECKS)), rules_checked(doc_type, F.col(CHECKS))
+    d = d.withColumn("policy_map", checked_policies() if joined else policy_map())
 
     # scanners (each result bound in its own column)
     d = d.select("*", pii_c.alias("_pii"), pol_c.alias("_pol"), nrules_c.alias("rules_checked"),
                  sig_c.alias("_sig_hits"), chunks_c.alias("_chunks"))
-    d = d.select("*",
-                 (drift_violations(text, store_bc, metric, sep, dim, F.col("_chunks"), has_store)
-                  if with_drift else empty_violations()).alias("_drift"),
+    drift_c = empty_violations()
+    if with_drift:
+        d, has_store = with_similarities(d, templates if templates is not None else templates_table(spark), "_chunks", metric=metric, dim=dim)
+        drift_c = drift_violations(F.col("_chunks"), F.col("_sims"), has_store)
+    d = d.select("*", drift_c.alias("_drift"),
                  signature_violations(text, doc_type, F.col("_sig_hits")).alias("_sig"))
     d = d.withColumn("_v", number(F.concat("_pii", "_pol", "_drift", "_sig")))
 
@@ -161,8 +155,7 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
     return out
 
 
-HOT_TEXT_MIN_COUNT = 10_000   # a search text this frequent is a hot join key
-MAX_HOT_TEXTS = 10_000        # hot keys joined map-side (bounded broadcast); the rest by shuffle
+SALTS = 32   # shares of a search text's violations in the join back
 
 
 def similar_violations_long(audits: DataFrame, history: DataFrame, id_col: str = "doc_id",
@@ -170,37 +163,32 @@ def similar_violations_long(audits: DataFrame, history: DataFrame, id_col: str =
     """E2 in long form: (id, seq, rank, history_id, history_text, similarity,
     distance) for every violation with a non-empty search text.
 
-    The search runs once per distinct text.  Joining the results back is
-    skew-aware: message texts repeat across huge numbers of violations, so
-    the most frequent texts (at most MAX_HOT_TEXTS, each seen at least
-    HOT_TEXT_MIN_COUNT times) are joined map-side against a broadcast of
-    their (bounded) results, and all other texts by a shuffle join on the
-    text, in which no key is hot."""
+    The search runs once per distinct text (written once).  Message texts
+    repeat across huge numbers of violations, so the join back is salted: each
+    violation takes one of SALTS shares of its text, and the few hits of a
+    text are there once per share."""
     hv = (history.select(F.col("id").cast("string").alias("id"), "text", "embedding")
           if "embedding" in history.columns else history_vectors(history, dim))
     long = (explode_rows(audits, [id_col], F.col("violations"), "_i", "v")
             .select(id_col, F.col("v.seq").alias("seq"), search_text(F.col("v")).alias("_q"))
             .where(F.length("_q") > 0))
-    counts = long.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"))
-    hits = top_k_similar(counts.withColumn("_bag", buckets(F.col("_q"), dim)), hv, SIMILAR_TOP_K, metric,
+    texts = written(long.select("_q").distinct(), "search-texts")
+    hits = top_k_similar(texts.withColumn("_bag", buckets(F.col("_q"), dim)), hv, SIMILAR_TOP_K, metric,
                          query_id="_q", query_vec="_bag", query_kind="bag", store_id="id",
                          store_vec="embedding", payload_cols=["text"])
     hits = hits.select("_q", "rank", F.col("id").alias("history_id"), F.col("text").alias("history_text"),
-                       "similarity", "distance")
-    hot_keys = (counts.where(F.col("_n") >= HOT_TEXT_MIN_COUNT).orderBy(F.col("_n").desc(), "_q")
-                .limit(MAX_HOT_TEXTS).select("_q"))
-    hot_hits = hits.join(F.broadcast(hot_keys), "_q")
-    hot = long.join(F.broadcast(hot_hits), "_q")
-    cold = long.join(F.broadcast(hot_keys), "_q", "left_anti").join(hits, "_q")
-    return hot.unionByName(cold).drop("_q")
+                       "similarity", "distance", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = long.withColumn("_salt", F.pmod(F.xxhash64(id_col, "seq"), F.lit(SALTS)).cast("int"))
+    return salted.join(hits, ["_q", "_salt"]).drop("_q", "_salt")
 
 
 def attach_similar(audits: DataFrame, history: DataFrame, id_col: str = "doc_id",
                    dim: int = DEFAULT_DIM, metric: str = "l2") -> DataFrame:
     """E2 nested into each violation (the reference's shape).  The audit is
-    checkpointed once (it feeds both the search and the final rows), the
-    long-form results are regrouped per document and joined back."""
-    audits = audits.checkpoint(eager=True)
+    written once (it feeds both the search and the final rows; the search reads its
+    violations only), the long-form results are regrouped per document and
+    joined back."""
+    audits = written(audits, "audited")
     res = similar_violations_long(audits, history, id_col, dim, metric)
     per_doc = (res.groupBy(id_col, "seq").agg(F.sort_array(F.collect_list(F.struct(
         "rank", F.col("history_id").alias("id"), F.col("history_text").alias("text"), "similarity",
@@ -221,7 +209,6 @@ def attach_similar(audits: DataFrame, history: DataFrame, id_col: str = "doc_id"
 
 def history_vectors(history: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:
     """History rows (id, text) embedded with the hashed bag-of-words rule."""
-    from clausewise.functions.vectors import embed_text
     return history.select(F.col("id").cast("string").alias("id"), F.col("text"),
                           embed_text(F.col("text"), dim).alias("embedding"))
 
@@ -231,5 +218,3 @@ def final_text(audits: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return (audits.where(F.col("decision") == "Auto-Fix")
             .select(id_col, apply_fixes(F.col(text_col), F.col("suggestions")).alias("final_text")))
 
-
-__all__ = ["audit", "attach_similar", "final_text", "history_vectors", "let"]

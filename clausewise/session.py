@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,14 @@ def local_scratch(master: str) -> str:
     return tempfile.mkdtemp(prefix="clausewise-ckpt-")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` computed once: written as parquet in the shared checkpoint folder
+    and read back.  Survives lost executors; the planner knows its size."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Tables whose rows carry heavy per-row work (text scans, vector math).
 ROW_HEAVY_TABLES = {"documents", "pages", "conversations", "customer", "embeddings", "benchmark"}
 

@@ -115,7 +115,7 @@ def test_registered_queries_match_oracle(spark, name):
     assert s == d
 
 
-def test_similar_violations_hot_split_is_exact(spark, monkeypatch):
+def test_similar_violations_do_not_depend_on_salts(spark, monkeypatch):
     import clausewise.plans.audit as A
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(
         ["mail a@b.com now", "mail a@b.com now", "call 555-123-4567", "policy text without version",
@@ -126,11 +126,30 @@ def test_similar_violations_hot_split_is_exact(spark, monkeypatch):
 
     def rows():
         return sorted((r.doc_id, r.seq, r.rank, r.history_id) for r in A.similar_violations_long(a, hist).collect())
-    monkeypatch.setattr(A, "HOT_TEXT_MIN_COUNT", 10 ** 9)
-    all_cold = rows()
-    monkeypatch.setattr(A, "HOT_TEXT_MIN_COUNT", 2)
-    monkeypatch.setattr(A, "MAX_HOT_TEXTS", 1)
-    assert rows() == all_cold and len(all_cold) > 0
+    many = rows()
+    monkeypatch.setattr(A, "SALTS", 1)
+    assert rows() == many and len(many) > 0
+
+
+def test_large_rule_and_policy_tables(spark):
+    """5,000 rules and 20,000 policies by join: only the matching ones show."""
+    from clausewise.operators.rules import RULE_TYPE, rules_table
+    more = [(f"X_{i}", f"X_{i}", "extra", "low", f"missing word {i}", [f"word{i}"], ["memo" if i else "all"]) for i in range(5000)]
+    rules = rules_table(spark).unionByName(spark.createDataFrame(more, RULE_TYPE))
+    policies = spark.createDataFrame([(f"X_{i}", f"text {i}") for i in range(20_000)] + [("X_0", "zz later"), ("HR_001", "hr text")],
+                                     "policy_id string, content string")
+    docs = spark.createDataFrame([(1, "employee request"), (2, "plain"), (3, "word0 and signature of an employee")], "doc_id long, text string")
+    got = {r.doc_id: [(v.rule_id, v.policy_snippet) for v in r.violations if v.type == "policy_violation"]
+           for r in audit(docs, rules=rules, policies=policies, with_drift=False).collect()}
+    assert got == {1: [("HR_001", "hr text"), ("X_0", "zz later")], 2: [("X_0", "zz later")], 3: []}
+
+
+def test_built_in_rules_by_join_and_by_literal(spark):
+    from clausewise.operators.rules import rules_table
+    docs = generate_corpus(load_table(spark, SF, "customer")).select("doc_id", "text")
+    plain = audit(docs).select("doc_id", "violations", "rules_checked").collect()
+    joined = audit(docs, rules=rules_table(spark)).select("doc_id", "violations", "rules_checked").collect()
+    assert sorted(plain, key=lambda r: r.doc_id) == sorted(joined, key=lambda r: r.doc_id)
 
 
 def test_audit_stream_equals_batch(spark):

@@ -51,13 +51,13 @@ def _brute(q, s, k, metric):
     return out
 
 
-def test_topk_broadcast_and_blocked_equal_brute_force(spark):
+def test_topk_equals_brute_force_for_any_block_size(spark):
     rng = np.random.default_rng(0)
     vecs = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
     df = spark.createDataFrame(vecs, "id long, embedding array<double>")
     for metric in ("l2", "cosine"):
         exp = _brute(vecs, vecs, 3, metric)
-        # one broadcast block; blocked with one query group; blocked with several groups
+        # one block; several blocks with one query group; several groups
         for block_rows, qrows in ((4096, 200_000), (7, 200_000), (7, 13)):
             got = {}
             for r in top_k_similar(df.withColumnRenamed("id", "query_id"), df, 3, metric=metric,
@@ -88,7 +88,7 @@ def test_upsert_last_write_wins(spark):
     assert got == {"a": 3.0, "b": 2.0}
 
 
-def test_bag_queries_same_on_both_paths(spark):
+def test_bag_queries_same_for_any_block_size(spark):
     from clausewise.functions.vectors import buckets
     from clausewise.plans.audit import history_vectors
     hist = spark.createDataFrame([(str(i), t) for i, t in enumerate(
@@ -104,3 +104,26 @@ def test_bag_queries_same_on_both_paths(spark):
             qs, hv, 3, query_id="q", query_vec="bag", query_kind="bag", store_id="id", store_vec="embedding",
             block_rows=block_rows).collect())
     assert run(4096) == run(3)
+
+
+def test_excluded_self_need_not_be_in_the_store(spark):
+    store = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "id long, embedding array<double>")
+    query = spark.createDataFrame([(77, [0.5, 1.0])], "query_id long, embedding array<double>")
+    for rows in (None, 2):
+        assert top_k_similar(query, store, 3, exclude_self=True, block_rows=rows).count() == 3
+
+
+def test_drift_same_beyond_the_broadcast_bound(spark):
+    """5,000 templates through the blocked kernel and through the broadcast."""
+    from clausewise.operators.drift import chunks, with_similarities
+    tpl = spark.createDataFrame([(f"t{i}", f"clause number{i} of the harbour rules about berth{i % 7}") for i in range(5000)],
+                                "template_id string, text string")
+    docs = spark.createDataFrame([(i, f"clause number{i} of the harbour rules about berth{i % 7} and ropes\n\n" + "other words entirely " * 4)
+                                  for i in range(0, 60, 7)] + [(1000, None), (1001, "short")], "doc_id long, text string")
+    docs = docs.select("doc_id", chunks(F.col("text")).alias("c"))
+
+    def sims(limit):
+        got, has = with_similarities(docs, tpl, "c", broadcast_bytes=limit)
+        assert has
+        return {r.doc_id: [round(x, 9) for x in r["_sims"]] for r in got.collect()}
+    assert sims(10 ** 9) == sims(0)
