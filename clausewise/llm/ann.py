@@ -168,15 +168,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     found = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(group, FOUND)
     found = materialise(best(found.distinct(), k), "ann-found")
     # queries that met fewer rows than they could: all rows, in blocks
-    met = found.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = queries.join(met, F.col("vec_id") == F.col("query_id"), "left").filter(
-        F.coalesce("n", F.lit(0)) < min(k, n_rows - 1)).select("vec_id", "vec")
+    met = found.groupBy(F.col("query_id").alias("_q")).agg(F.count("*").alias("_n"))
+    short = queries.join(met, F.col("vec_id") == F.col("_q"), "left").filter(F.coalesce("_n", F.lit(0)) < min(k, n_rows - 1))
+    short = materialise(short.select("vec_id", "vec"), "ann-short")
     n_short = short.count()
     if not n_short:
         return found
     left, right = dealt_blocks(rows, short, n_rows, n_short, chunk_rows, chunk_queries)
     again = left.groupBy("rb", "qb", "dim").cogroup(right.groupBy("rb", "qb", "dim")).applyInArrow(group, FOUND)
-    return found.join(short, F.col("query_id") == short["vec_id"], "left_anti").unionByName(best(again, k))
+    done = found.join(short.select(F.col("vec_id").alias("_q")), F.col("query_id") == F.col("_q"), "left_anti")
+    return done.unionByName(best(again, k))
 
 
 def op2_ann(spark, sf_dir: str) -> DataFrame:
