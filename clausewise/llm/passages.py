@@ -143,13 +143,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one = one.select("node", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"))
     # equal neighbours from another text
     met = one.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("h")
+    met = materialise(met, "passages-met")  # written, so that a hot suffix can be split in the join
     places = one.join(met, "h").groupBy("node").agg(F.collect_set("pos").alias("pos"))
     places = materialise(places.join(texts.select("node", "rep"), "node"), "passages-places")
-    text = base.alias("b").join(places.alias("p"), F.expr("b.doc_id <=> p.rep")).select("b.doc_id", "p.node", "b.text", "p.pos")
+    # a merge join at every size: texts are the large side, and the plan stays the same as tables grow
+    text = base.alias("b").join(places.alias("p").hint("merge"), F.expr("b.doc_id <=> p.rep")).select("b.doc_id", "p.node", "b.text", "p.pos")
     windows = materialise(_windows(text, min_words, k), "passages-windows")
     # equal neighbours from another text, and the first document among them
     shared = windows.groupBy("w").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("rep").alias("first")).filter("lo <> hi")
     reps = texts.select("node", "rep", "copies", "n_words")
+    shared = materialise(shared, "passages-shared")
     starts = windows.select("w", "node", "s").join(shared.select("w", "first"), "w").select("node", "s", "first")
     by_text = Window.partitionBy("node").orderBy("s")
     starts = starts.withColumn("new", (F.col("s") - F.lag("s").over(by_text) > min_words).cast("int"))
