@@ -34,6 +34,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, ...]:
+    """(`df` with its columns named c0, c1, ..., the new name of each of
+    `names`): internal columns then clash with none of the caller's."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), *[f"c{df.columns.index(n)}" for n in names]
+
+
+def restored(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns c0, c1, ... under their first names, without others."""
+    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def n_partitions(df: DataFrame) -> int:
     """Shuffle width of the session (grows with the cluster's setting)."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewise.llm.common import SLICE_BYTES, mix64, table, text_slices
+from clausewise.llm.common import SLICE_BYTES, mix64, positional, restored, table, text_slices
 
 DIMS = 4096
 SAMPLE = 500          # training documents per language for the centroids
@@ -201,8 +201,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that are not rejected; columns stay."""
-    train, _ = _training(docs, id_col, text_col, lang_col)
-    return predict(docs, fit(train), text_col).filter("NOT _rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, key, text, lang = positional(docs, id_col, text_col, lang_col)
+    train, _ = _training(rows, key, text, lang)
+    return restored(predict(rows, fit(train), text).filter("NOT _rejected"), docs.columns)
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

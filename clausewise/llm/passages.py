@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import gram_hashes, materialise, mix64, table, text_slices, word_bounds, word_hashes
+from clausewise.llm.common import gram_hashes, materialise, mix64, positional, table, text_slices, word_bounds, word_hashes
 
 MIN_WORDS, K = 50, 16
 
@@ -173,7 +173,10 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
     """`docs` without the passages that are not first: their words go, the rest
     of the text stays as it is.  Columns and rows stay."""
     drop = passages.filter("NOT is_first").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("_cuts"))
-    joined = docs.alias("d").join(drop.alias("x"), F.expr(f"d.`{id_col}` <=> x.doc_id"), "left").select("d.*", "x._cuts")
+    names, schema = docs.columns, docs.schema
+    docs, id_col, text_col = positional(docs, id_col, text_col)
+    drop = drop.withColumnRenamed("doc_id", "_doc")
+    joined = docs.join(drop, F.col(id_col).eqNullSafe(F.col("_doc")), "left").select(*docs.columns, "_cuts")
 
     def cut(texts: pa.Array, cuts: pa.Array) -> list[str | None]:
         out = []
@@ -191,16 +194,15 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
             out.append(text)
         return out
 
-    names = docs.columns
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text_col)
         for batch in batches:
             cols = [batch.column(i) for i in range(len(names))]
             cols[at] = pa.array(cut(cols[at], batch.column(len(names))), pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, schema)
 
 
 def op1_passages(spark, sf_dir: str) -> DataFrame:

@@ -27,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialise, table
+from clausewise.llm.common import materialise, positional, restored, table
 
 KEY_CONF, DEFAULT_KEY = "spark.clausewise.surrogate.key", "set spark.clausewise.surrogate.key in production"
-MAX_ATTEMPTS = 64
+MAX_ATTEMPTS, WIDE = 64, 3
 
 MALE = "Mr|Herr|Señor|Sr|Monsieur|господин|г-н|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mademoiselle|госпожа|г-жа|Κυρία"
@@ -126,9 +126,10 @@ def stream(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     return F.concat(_hex(key, kind, canon, attempt.cast("string")), _hex(key, kind, canon, attempt.cast("string"), F.lit("more")))
 
 
-def surrogate(kind: Column, canon: Column, more: Column, decimal: Column) -> Column:
-    """Canonical surrogate of an entity: same type, script and length.
-    more: its keyed stream; decimal: the same as decimal digits."""
+def surrogate(kind: Column, canon: Column, more: Column, decimal: Column, attempt: Column) -> Column:
+    """Canonical surrogate of an entity: same type, script and length (an
+    address whose short octets leave too few values gets any octets from
+    attempt WIDE on).  more: its keyed stream; decimal: the same as decimal digits."""
     digest = more
     n = F.length(canon)
 
@@ -142,7 +143,7 @@ def surrogate(kind: Column, canon: Column, more: Column, decimal: Column) -> Col
     country = F.regexp_extract(canon, r"^\+(1|7|[2-9][0-9])", 1)  # one- and two-digit codes are kept as they are
     phone = F.when(canon.startswith("+"), F.concat(F.lit("+"), country, digits(n - 1 - F.length(country)))).otherwise(digits(n))
     octets = F.split(canon, r"\.")
-    ip = F.concat_ws(".", *[_octet(F.element_at(octets, i + 1), F.substring(digest, 1 + 8 * i, 7)) for i in range(4)])
+    ip = F.concat_ws(".", *[_octet(F.element_at(octets, i + 1), F.substring(digest, 1 + 8 * i, 7), attempt >= WIDE) for i in range(4)])
     iban = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(F.sequence(F.lit(3), n), lambda i: F.when(
         F.substring(canon, i, F.lit(1)).rlike("[0-9]"), F.substring(decimal, i, F.lit(1))).otherwise(
         F.translate(F.substring(more, i, F.lit(1)), "0123456789abcdef", "ABCDEFGHKLMNPRST"))), ""))
@@ -154,10 +155,10 @@ def surrogate(kind: Column, canon: Column, more: Column, decimal: Column) -> Col
             .when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "email", email).otherwise(_family(canon, digest)))
 
 
-def _octet(octet: Column, hex7: Column) -> Column:
+def _octet(octet: Column, hex7: Column, wide: Column) -> Column:
     """An octet with as many digits."""
     r = F.conv(hex7, 16, 10).cast("long")
-    return (F.when(F.length(octet) == 1, r % 9 + 1).when(F.length(octet) == 2, r % 90 + 10).otherwise(r % 155 + 100)).cast("string")
+    return (F.when(wide, r % 254 + 1).when(F.length(octet) == 1, r % 9 + 1).when(F.length(octet) == 2, r % 90 + 10).otherwise(r % 155 + 100)).cast("string")
 
 
 def _family(canon: Column, digest: Column) -> Column:
@@ -218,20 +219,21 @@ def assign(found: DataFrame, key: str) -> DataFrame:
 
     def valued(df: DataFrame) -> DataFrame:
         more = df.withColumn("_more", stream(F.col("kind"), F.col("canon"), F.col("attempt"), key)).withColumn("_decimal", decimals(F.col("_more")))
-        return more.withColumn("value", surrogate(F.col("kind"), F.col("canon"), F.col("_more"), F.col("_decimal"))).drop("_more", "_decimal")
+        return more.withColumn("value", surrogate(F.col("kind"), F.col("canon"), F.col("_more"), F.col("_decimal"), F.col("attempt"))).drop("_more", "_decimal")
 
-    named = valued(real.withColumn("attempt", F.lit(0)))
-    for _ in range(MAX_ATTEMPTS):
+    named = valued(real.withColumn("attempt", F.lit(0)).withColumn("since", F.lit(0)))
+    for round_no in range(MAX_ATTEMPTS):
         named = materialise(named, "pii-named")
-        # the smallest canonical value keeps a shared surrogate
-        keeps = named.groupBy("kind", "value").agg(F.min("canon").alias("keeper"), F.count("*").alias("n"))
+        # who has it from an earlier round keeps a shared surrogate, else the smallest canonical value
+        keeps = named.groupBy("kind", "value").agg(
+            F.min(F.struct("since", "canon"))["canon"].alias("keeper"), F.count("*").alias("n"))
         shared = (keeps.join(real.select("kind", F.col("canon").alias("value"), F.lit(True).alias("is_real")), ["kind", "value"], "left")
                   .filter("n > 1 OR is_real"))
         moved = (named.join(shared, ["kind", "value"]).filter("is_real OR canon <> keeper").select("kind", "canon"))
         moved = materialise(moved, "pii-moved")
         if moved.isEmpty():
             return named.filter("attempt > 0").select("kind", "canon", "attempt")
-        again = valued(named.join(moved, ["kind", "canon"]).drop("value").withColumn("attempt", F.col("attempt") + 1))
+        again = valued(named.join(moved, ["kind", "canon"]).drop("value").withColumn("attempt", F.col("attempt") + 1).withColumn("since", F.lit(round_no + 1)))
         named = named.join(moved, ["kind", "canon"], "left_anti").unionByName(again)
     raise ValueError(f"entities still collide after {MAX_ATTEMPTS} attempts: the surrogate space of a type is too small")
 
@@ -245,11 +247,12 @@ def _rewritten(text: Column, attempts: Column | None, key: str) -> Column:
 
     def streamed(x: Column) -> Column:
         attempt = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat_ws("|", x["kind"], x["canon"])], F.lit(0))
-        return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["canon"].alias("canon"), stream(x["kind"], x["canon"], attempt, key).alias("more"))
+        return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["canon"].alias("canon"),
+                        stream(x["kind"], x["canon"], attempt, key).alias("more"), attempt.alias("attempt"))
 
     found = F.transform(found, streamed)
     found = F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), surrogate(
-        x["kind"], x["canon"], x["more"], decimals(x["more"])).alias("value")))
+        x["kind"], x["canon"], x["more"], decimals(x["more"]), x["attempt"]).alias("value")))
     new = F.transform(found, lambda x: dressed(x["m"], x["kind"], x["value"], key))
     between = F.split(text, ANY, -1)
     woven = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(new, i), F.lit("")))), "")
@@ -259,10 +262,12 @@ def _rewritten(text: Column, attempts: Column | None, key: str) -> Column:
 def replace_entities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", key: str | None = None) -> DataFrame:
     """`docs` with surrogates in the text column; its columns and rows stay."""
     key = key or docs.sparkSession.conf.get(KEY_CONF, DEFAULT_KEY)
+    names = docs.columns
+    docs, id_col, text_col = positional(docs, id_col, text_col)
     later = materialise(assign(entities(docs, text_col), key), "pii-later")
     text = F.col(text_col)
     if later.isEmpty():
-        return docs.withColumn(text_col, _rewritten(text, None, key))
+        return restored(docs.withColumn(text_col, _rewritten(text, None, key)), names)
     # documents with such an entity, their attempts as a map
     each = docs.filter(text.rlike(HINT)).select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(_mentions(text))).alias("m"))
     each = each.withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical(F.col("m"), F.col("kind"))).join(later, ["kind", "canon"])
@@ -270,8 +275,8 @@ def replace_entities(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_attempts"))
     maps = materialise(maps, "pii-maps")
     joined = docs.withColumn("_h0", F.xxhash64(text)).alias("d").join(maps.alias("m"), F.expr(f"d.`{id_col}` <=> m._id AND d._h0 = m._h"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_attempts").isNull(), _rewritten(text, None, key)).otherwise(
-        _rewritten(text, F.col("_attempts"), key))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(joined.withColumn(text_col, F.when(F.col("_attempts").isNull(), _rewritten(text, None, key)).otherwise(
+        _rewritten(text, F.col("_attempts"), key))), names)
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
