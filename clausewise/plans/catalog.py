@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.functions.text import explode_rows
-from clausewise.functions.vectors import DEFAULT_DIM, buckets
+from clausewise.functions.vectors import DEFAULT_DIM, buckets, dense_from_bag
 from clausewise.operators.drift import chunk_table, detect_drift
 from clausewise.operators.evaluate import detection_counts, evaluate_pii  # noqa: F401
 from clausewise.operators.metrics import audit_counters, duration_histogram
@@ -77,6 +77,19 @@ def p3_confirm_pii(spark, sf):
     return _long(scan_pii(_docs(spark, sf), confirm=True))
 
 
+def _account_notes(spark, sf):
+    """A note with an account number, an IBAN and a social security number per customer."""
+    k = F.col("c_custkey").cast("bigint")
+    return load_table(spark, sf, "customer").select(k.alias("doc_id"), F.concat(
+        F.lit("Account "), F.lpad(k.cast("string"), 9, "7"), F.lit(", IBAN GB"), F.lpad((k % 100).cast("string"), 2, "0"),
+        F.lit("NWBK"), F.lpad(k.cast("string"), 14, "6"), F.lit(", SSN "), F.lpad((k % 1000).cast("string"), 3, "4"),
+        F.lit("-55-"), F.lpad((k % 10000).cast("string"), 4, "1"), F.lit(".")).alias("text"))
+
+
+def p3_confirm_pii_notes(spark, sf):
+    return _long(scan_pii(_account_notes(spark, sf), confirm=True))
+
+
 def p4_redact(spark, sf):
     return _long(redact_documents(_docs(spark, sf)))
 
@@ -130,11 +143,12 @@ def d1_chunks_lines(spark, sf):
 def d2_embed_benchmark(spark, sf):
     """Hashed bag-of-words embedding of `benchmark` as sparse rows."""
     b = load_table(spark, sf, "benchmark")
-    toks = explode_rows(b, ["item_id"], buckets(F.col("text"), DEFAULT_DIM), val="bucket")
-    counts = toks.groupBy("item_id", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-    norm = counts.groupBy("item_id").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("norm"))
-    return _long(counts.join(norm, "item_id").select(
-        "item_id", "bucket", "cnt", F.round(F.col("cnt") / F.col("norm"), 6).alias("weight")))
+    bag = F.col("bag")
+    e = b.select("item_id", buckets(F.col("text"), DEFAULT_DIM).alias("bag")).select(
+        "item_id", "bag", dense_from_bag(bag, DEFAULT_DIM).alias("vec"))
+    rows = explode_rows(e, ["item_id", "bag"], F.col("vec"), "bucket", "w").where("w > 0")
+    return _long(rows.select("item_id", "bucket", F.size(F.filter(bag, lambda x: x == F.col("bucket"))).alias("cnt"),
+                             F.round("w", 6).alias("weight")))
 
 
 def _topk(spark, sf, metric):
@@ -235,12 +249,16 @@ def q1_audit_corpus(spark, sf):
                           "chunks_checked", "drift_found", "signatures_found", "signature_violations"))
 
 
+def _requested(spark, sf):
+    """Requested ids; half of them name no document."""
+    lab = load_table(spark, sf, "labels")
+    return lab.select("doc_id").unionByName(lab.select((F.col("doc_id") + 1_000_000_000).alias("doc_id")))
+
+
 def q1_audit_requested(spark, sf):
     """Requested ids, half of which name no document: those are error rows
     without a decision."""
-    lab = load_table(spark, sf, "labels")
-    req = lab.select("doc_id").unionByName(lab.select((F.col("doc_id") + 1_000_000_000).alias("doc_id")))
-    a = audit(req.join(_docs(spark, sf), "doc_id", "left"))
+    a = audit(_requested(spark, sf).join(_docs(spark, sf), "doc_id", "left"))
     return _long(a.select("doc_id", "status", "error", "decision", "reason", "violation_score"))
 
 
@@ -356,6 +374,18 @@ def s4_route_file_type(spark, sf):
     return ingest.route_files(load_table(spark, sf, "pages"), "url", "page_id")
 
 
+def s4_route_files_orders(spark, sf):
+    """File names with every suffix, some with `#` and `?`, from `orders`."""
+    names = [".pdf", ".DOCX", ".doc", " #2.png", ".txt", ".zip", "", "?.jpeg", ".tar.GIF", ".bmp"]
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("inbox/file "), k.cast("string"), F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int")))
+    return ingest.route_files(load_table(spark, sf, "orders").select(k, name.alias("path")), "path", "o_orderkey")
+
+
+def s12_error_rows_requested(spark, sf):
+    return ingest.error_rows(_requested(spark, sf).join(_docs(spark, sf), "doc_id", "left"))
+
+
 def s5_extract_blocks(spark, sf):
     c = load_table(spark, sf, "conversations")
     return _long(ingest.extract_blocks(c.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text"),
@@ -413,10 +443,10 @@ def s13_generate_corpus(spark, sf):
 
 
 def q2_audit_lookup(spark, sf):
-    a = _audited(spark, sf).select("doc_id", "decision", "violation_score")
-    req = load_table(spark, sf, "labels").select("doc_id").unionByName(
-        load_table(spark, sf, "labels").select((F.col("doc_id") + 1_000_000_000).alias("doc_id")))
-    return _long(ingest.audit_lookup(a, req))
+    """Only requested documents are audited."""
+    req = _requested(spark, sf)
+    a = audit(_docs(spark, sf).join(req.distinct(), "doc_id", "left_semi"))
+    return _long(ingest.audit_lookup(a.select("doc_id", "decision", "violation_score"), req))
 
 
 def q3_audit_stream(spark, sf):

@@ -14,7 +14,7 @@ from clausewise.operators.rules import RULES
 from clausewise.operators.signatures import SIGNATURE_PATTERNS
 from clausewise.operators.triage import TYPE_KEYWORDS
 from clausewise.sources.corpus import (CYCLE, DEFAULT_DATE, HR_DEPARTMENT, HR_REQUEST, INVOICE_ITEMS,
-                                       INVOICE_TOTAL, POLICY_SENTENCE, TERMINATION_SENTENCE)
+                                       INVOICE_TOTAL, POLICY_SENTENCE, SCAN_NOTE, TERMINATION_SENTENCE)
 from clausewise.sources.reference_texts import POLICIES, TEMPLATES
 
 DIM = 384
@@ -97,6 +97,7 @@ def corpus_cte(name: str = "corpus") -> str:
     contract = f"CASE WHEN i >= 8 THEN replace({contract}, {q(TERMINATION_SENTENCE)}, '') ELSE {contract} END"
     contract = (f"CASE WHEN i < 5 THEN replace({contract}, 'Party A', name || ' (' || email || ', Phone: ' "
                 f"|| phone || ')') ELSE {contract} END")
+    contract = f"CASE WHEN i = 6 THEN {contract} || {q(SCAN_NOTE)} ELSE {contract} END"
     policy = f"replace({q(t['policy_template'])}, '{{policy_text}}', {q(POLICY_SENTENCE)})"
     policy = (f"CASE WHEN i < 6 THEN replace({policy}, '{{version}}', printf('v%d.0', i + 1)) "
               f"ELSE replace({policy}, {q('Version: {version}' + chr(10))}, '') END")
@@ -600,6 +601,21 @@ def sql_queries() -> dict[str, str]:
                    lambda x: length(x.t) > 0) AS segs FROM k)
       SELECT doc_id, i::BIGINT AS seg, segs[i + 1].op AS op, segs[i + 1].t AS text
       FROM (SELECT doc_id, segs, unnest(range(0, len(segs))) AS i FROM q)"""
+    notes = """notes AS (SELECT c_custkey::BIGINT AS doc_id, 'Account ' || lpad(c_custkey::VARCHAR, 9, '7') || ', IBAN GB'
+        || lpad((c_custkey % 100)::VARCHAR, 2, '0') || 'NWBK' || lpad(c_custkey::VARCHAR, 14, '6') || ', SSN '
+        || lpad((c_custkey % 1000)::VARCHAR, 3, '4') || '-55-' || lpad((c_custkey % 10000)::VARCHAR, 4, '1') || '.' AS text
+        FROM customer)"""
+    out["p3_confirm_pii_notes"] = f"WITH {notes}, {pii_cte('p', 'notes', 'doc_id', 'text', confirm=True)} SELECT {pii_cols} FROM p"
+    out["s4_route_files_orders"] = """WITH n AS (SELECT o_orderkey, o_orderkey % 10 AS i FROM orders),
+      s AS (SELECT o_orderkey, ['.pdf', '.docx', '.doc', '.png', '.txt', '.zip', '', '.jpeg', '.gif', '.bmp'][i + 1] AS suffix FROM n),
+      f AS (SELECT *, CASE suffix WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.doc' THEN 'docx' WHEN '.txt' THEN 'text'
+                           WHEN '.zip' THEN 'unsupported' WHEN '' THEN 'unsupported' ELSE 'image' END AS file_type FROM s)
+      SELECT o_orderkey, suffix, file_type, CASE file_type WHEN 'unsupported' THEN 'error' ELSE 'accepted' END AS status,
+             CASE file_type WHEN 'unsupported' THEN 'Unsupported file type: ' || suffix END AS error FROM f"""
+    out["s12_error_rows_requested"] = """WITH req AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id + 1000000000 FROM labels)
+      SELECT r.doc_id, CASE WHEN d.doc_id IS NULL THEN 'error' ELSE 'ok' END AS status,
+             CASE WHEN d.doc_id IS NULL THEN 'document text is missing' END AS error
+      FROM req r LEFT JOIN documents d USING (doc_id)"""
     out["q4_stream_metrics"] = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start,
         strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d') AS window_end, event_type,
         count(*)::BIGINT AS n_events, round(sum(value), 6) AS total_value FROM events GROUP BY ALL"""
