@@ -27,7 +27,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+import struct
+import sys
+import types
 from collections.abc import Iterator
 
 import ahocorasick
@@ -40,7 +44,7 @@ from clausewise.llm.common import table, text_slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-KEEP = 200_000  # words whose segmentation is kept in a task
+KEEP = 500_000  # words whose segmentation a worker process keeps (about 120 MB)
 
 
 def load_model(path: str = MODEL) -> dict:
@@ -63,7 +67,7 @@ def load_model(path: str = MODEL) -> dict:
 
 
 class Codec:
-    """Encoder and decoder of one model; also the cache of a task."""
+    """Encoder and decoder of one model, with the words segmented so far."""
 
     def __init__(self, model: dict):
         self.model, self.known = model, {}
@@ -99,41 +103,40 @@ class Codec:
 
     def segment(self, word: str) -> list[int]:
         """Viterbi over one stretch: ids of the best path."""
-        n = len(word)
-        score, back = [0.0] + [None] * n, [(0, 0)] * (n + 1)  # back: (piece length, id); id -1 spells the character
+        n, unknown = len(word), self.unknown
+        score, size, last = [0.0] + [-math.inf] * n, [0] * (n + 1), [-1] * (n + 1)  # last -1: the character is spelled
         done = 0  # positions up to here are final
-
-        def settle(upto: int) -> None:
-            # a position that no piece reaches is reached by spelling a character
-            nonlocal done
-            while done < upto:
-                done += 1
-                spelled = score[done - 1] + self.unknown
-                if score[done] is None or spelled > score[done]:
-                    score[done], back[done] = spelled, (1, -1)
-
         for end, (piece, length, value) in self.automaton.iter(word):
-            settle(end)  # everything before this end
-            start, stop = end + 1 - length, end + 1
-            reached = score[start] + value
+            while done < end:  # a position is also reached by spelling a character
+                spelled = score[done] + unknown
+                done += 1
+                if spelled > score[done]:
+                    score[done], size[done], last[done] = spelled, 1, -1
+            stop = end + 1
+            reached = score[stop - length] + value
             held = score[stop]
-            if held is None or reached > held or (reached == held and length > back[stop][0]):
-                score[stop], back[stop] = reached, (length, piece)
-        settle(n)
+            if reached > held or (reached == held and length > size[stop]):
+                score[stop], size[stop], last[stop] = reached, length, piece
+        while done < n:
+            spelled = score[done] + unknown
+            done += 1
+            if spelled > score[done]:
+                score[done], size[done], last[done] = spelled, 1, -1
         out: list[int] = []
         at = n
         while at > 0:
-            length, piece = back[at]
-            if piece < 0:
+            if last[at] < 0:
                 raw = word[at - 1].encode("utf-8", "surrogatepass")
-                out.extend([self.bytes[b] for b in reversed(raw)] if len(self.bytes) == 256 else [self.unk])
+                out.extend([self.bytes[x] for x in reversed(raw)] if len(self.bytes) == 256 else [self.unk])
+                at -= 1
             else:
-                out.append(piece)
-            at -= length
+                out.append(last[at])
+                at -= size[at]
         return out[::-1]
 
     def __missing__(self, word: str) -> bytes:
-        got = np.array(self.segment(word), np.int32).tobytes()
+        ids = self.segment(word)
+        got = struct.pack(f"={len(ids)}i", *ids)
         if len(word) <= 64:
             if len(self.known) >= KEEP:
                 self.known.clear()
@@ -154,6 +157,16 @@ class Codec:
         return raw.decode("utf-8", "replace")
 
 
+def shared_codec(model: dict) -> Codec:
+    """The codec of a worker process: its tasks, one after another, share the
+    segmented words."""
+    held = sys.modules.setdefault("clausewise_codecs", types.ModuleType("clausewise_codecs")).__dict__
+    key = repr((model["path"], len(model["pieces"]), sum(model["scores"])))
+    if key not in held:
+        held[key] = Codec(model)
+    return held[key]
+
+
 def _id_lists(parts: list[np.ndarray | None]) -> pa.Array:
     size = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([0 if p is None else len(p) for p in parts], out=size[1:])
@@ -168,7 +181,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kinds = model["kinds"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = shared_codec(model)
         spelled = np.array([k in ("byte", "unk") for k in kinds])
         for batch in batches:
             for a, b, _, _ in text_slices(batch.column(1)):
@@ -192,7 +205,7 @@ def decode_documents(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     model = load_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = shared_codec(model)
         for batch in batches:
             text = [None if ids is None else codec.decode(np.asarray(ids, np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
