@@ -105,8 +105,3 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
         i += 1
     java = "".join(out)
     return ("(?iu)" + java) if ignore_case else java
-
-
-def python_whitespace_class() -> str:
-    """Java class equal to Python's `str.strip()` whitespace set."""
-    return SPACE

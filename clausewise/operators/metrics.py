@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.functions.text import explode_rows
 
 # Fixed values (must equal the reference's histogram buckets, seconds).
 DURATION_BUCKETS = [1, 5, 10, 30, 60]
@@ -44,11 +43,3 @@ def duration_histogram(durations: DataFrame, value_col: str = "value") -> DataFr
         F.round(F.sum(v), 6).alias("sum"),
         F.count(v).cast("bigint").alias("count"),
     )
-
-
-def violations_by_severity(audits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counter per severity label as rows (explode, then grouped count with
-    partial aggregation)."""
-    return (explode_rows(audits, [], F.col("violations"))
-            .groupBy(F.coalesce(F.col("v.severity"), F.lit(MISSING_SEVERITY_LABEL)).alias("severity"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("violations")))

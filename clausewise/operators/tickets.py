@@ -21,9 +21,6 @@ def review_queue(audits: DataFrame, run_id: str, id_col: str = "doc_id",
     """K1: one open ticket per document decided 'Require Review'.
     ticket_id = sha256(doc id | run id)[:32]; severity = the highest
     severity among its violations; summary = violation types and count."""
-    rank = F.lit(0)
-    for name, w in SEVERITY_WEIGHTS.items():
-        rank = F.when(F.col("v.severity") == name, F.lit(w)).otherwise(rank)
     worst = F.aggregate(
         F.transform("violations", lambda v: F.struct(
             _weight(v["severity"]).alias("w"), F.coalesce(v["severity"], F.lit("low")).alias("s"))),
@@ -63,8 +60,9 @@ def list_tickets(tickets: DataFrame, status: str | None = None, ticket_id: str |
 
 def update_ticket_status(tickets: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K3: apply status updates (event_id, ts, ticket_id, status): the latest
-    update per ticket wins.  Returns (tickets with current status,
-    rejected updates for unknown ticket ids)."""
+    update per ticket wins.  Returns (tickets with current status, number of
+    rejected updates per unknown ticket id and status).  Updates are combined
+    per ticket before they move, so a hot ticket is no hot key."""
     latest = updates.groupBy("ticket_id").agg(
         F.max_by("status", F.struct("ts", "event_id")).alias("_new_status"),
         F.count(F.lit(1)).cast("bigint").alias("n_updates"))
@@ -72,5 +70,6 @@ def update_ticket_status(tickets: DataFrame, updates: DataFrame) -> tuple[DataFr
                .withColumn("status", F.coalesce("_new_status", "status"))
                .withColumn("n_updates", F.coalesce("n_updates", F.lit(0).cast("bigint")))
                .drop("_new_status"))
-    rejected = updates.join(tickets.select("ticket_id"), "ticket_id", "left_anti")
+    per_status = updates.groupBy("ticket_id", "status").agg(F.count(F.lit(1)).cast("bigint").alias("n_updates"))
+    rejected = per_status.join(tickets.select("ticket_id"), "ticket_id", "left_anti")
     return current, rejected

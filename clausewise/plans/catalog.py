@@ -325,7 +325,7 @@ def k3_rejected_updates(spark, sf):
     a = audit(docs, carry=("source",))
     t = review_queue(a, RUN_ID, department_col="source")
     _current, rejected = update_ticket_status(t, _ticket_updates(spark, sf, t))
-    return rejected.groupBy("status").agg(F.count(F.lit(1)).cast("bigint").alias("n_rejected"))
+    return rejected.groupBy("status").agg(F.sum("n_updates").cast("bigint").alias("n_rejected"))
 
 
 def k2_open_tickets(spark, sf):
