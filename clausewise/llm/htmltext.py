@@ -112,6 +112,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("script style noscript template textarea svg math head title iframe object canvas audio video datalist select option".split())
 RAW = frozenset("script style textarea title iframe noscript".split())  # content without tags
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+SCRIPT = re.compile(r"<!--(?!-?>)|-->|<(/?)script(?=[\s/>]|\Z)", re.I)
+HEAD_END = re.compile(r"</head(?=[\s/>])|<body(?=[\s/>])", re.I)
 #: Elements that are tracked so that their content knows where it stands.
 TRACKED = frozenset("""article main section div nav header footer aside form ul ol table td figure blockquote button menu dialog fieldset
 body html details span p li""".split())
@@ -144,6 +147,44 @@ def marks(attributes: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
+def raw_end(page: str, tag: str, at: int) -> int:
+    """Where the end tag of a RAW element stands whose content starts at `at`; -1 without one."""
+    if tag == "script":  # a script tag named inside <!-- --> has an end tag of its own
+        escaped = inner = False
+        for m in SCRIPT.finditer(page, at):
+            if m.group(1):
+                if not inner:
+                    return m.start()
+                inner = False
+            elif m.group() == "<!--":
+                escaped = True
+            elif m.group() == "-->":
+                escaped = inner = False
+            else:
+                inner = escaped
+    end = RAW_END[tag].search(page, at)
+    return end.start() if end else -1
+
+
+def tokens(page: str) -> Iterator[re.Match]:
+    """The tokens of a page; the content of RAW elements is passed over."""
+    at, in_head = 0, False
+    while at < len(page):
+        for m in TOKEN.finditer(page, at):
+            yield m
+            tag = m.group(2) and m.group(2).lower()
+            if tag in ("head", "body"):
+                in_head = tag == "head" and not m.group(1)
+            elif tag in RAW and not m.group(1) and not m.group(3).endswith("/"):
+                end = raw_end(page, tag, m.end())
+                # an unclosed title ends with its head
+                if end >= 0 and not (in_head and tag == "title" and HEAD_END.search(page, m.end(), end)):
+                    at = end
+                    break
+        else:
+            return
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, heading, in an article, in a boilerplate part) in page order."""
     out: list = []
@@ -163,7 +204,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             parts.clear()
             linked.clear()
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         tag = m.group(2)
         if tag is None:
             raw = m.group()

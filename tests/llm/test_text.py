@@ -169,6 +169,20 @@ def test_article_text(spark):
     assert htmltext.extract(frame(spark, pages, "html", "page_id").filter("page_id = -1")).count() == 0
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>if(a<b){x()}</script>", "<SCRIPT type='a'>for(i=0;i<n;i++){f()}</Script >", "<script><!-- no end</script>", "<script>s='<!--';t=\"<b\"</script>",
+    "<style>a<b{}</style>", "<noscript>a <b</noscript>", "<iframe><!-- </iframe>", "<textarea>it's <b</textarea>", "<svg><style>a<b</style></svg>",
+    "<script><!-- document.write('<script src=x><'+'/script>') //--></script>", "<script><!--\nw('<script src=x></script>'); // --></script>"])
+def test_text_after_raw_elements(raw):
+    tree = htmltext.train_tree(htmltext.LABELLED)
+    one, two = "The first paragraph has quite enough words to be text of the page.", "The second paragraph has just as many words and stands after it."
+    want = f"{one} {two}"
+    assert htmltext.main_text(f"<body><article><p>{one}</p>{raw}<p>{two}</p></article></body>", tree) == want
+    assert htmltext.main_text(f"<head>{raw}</head><body><article><p>{one}</p><p>{two}</p></article></body>", tree) == want
+    for head in ("<title>a <!-- b</title>", "<title>open"):
+        assert htmltext.main_text(f"<html><head>{head}</head><body><article><p>{one}</p><svg><title>x</title></svg><p>{two}</p></article></body>", tree) == want
+
+
 def test_given_pages_by_rule(spark):
     import html
     for r in htmltext.op7_html(spark, SF).join(table(spark, SF, "pages"), "page_id").collect():
