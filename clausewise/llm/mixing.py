@@ -191,13 +191,14 @@ def _hash(id_col: str, size, seed: int):
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              total_share: float = 1.5, max_repeats: float = 2.0, weights: tuple[int, ...] = (5, 2, 1),
              n_shards: int = 64, block_docs: int = 256, seed: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(documents, draws).  documents: doc_id, size, source_size, target, copies,
-    h - one row per input row.  draws: doc_id, h, shard - one row per copy taken."""
+    """(documents, draws).  documents: src, doc_id, size, source_size, target, copies,
+    h - one row per input row.  draws: src, doc_id, h, pass, shard - one row per copy taken."""
     sizes = materialise(_sizes(docs, id_col, text_col, source_col, seed), "mix-sizes")
     cuts, span, n_sources = _configured(sizes, total_share, max_repeats, weights, n_shards, block_docs, seed)
     copied = _copies(sizes.withColumnRenamed("src", "_src").withColumnRenamed("h", "_h"), cuts, n_sources)
-    draws = _drawn(copied, span, seed).select("doc_id", F.col("_h").alias("h"), F.col("_shard").alias("shard"))
-    return copied.select("doc_id", "size", "source_size", "target", "copies", F.col("_h").alias("h")), draws
+    draws = _drawn(copied, span, seed).select(
+        F.col("_src").alias("src"), "doc_id", F.col("_h").alias("h"), F.col("_pass").alias("pass"), F.col("_shard").alias("shard"))
+    return copied.select(F.col("_src").alias("src"), "doc_id", "size", "source_size", "target", "copies", F.col("_h").alias("h")), draws
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -213,13 +214,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return drawn.repartition(n_shards, "_shard").sortWithinPartitions("_shard", "_place").select("_row.*")
 
 
+def taken(doc: DataFrame, draws: DataFrame) -> DataFrame:
+    """Every document of a plan with the words the mix takes from it.  Rows that
+    repeat an id, size and source, null ids too, share their draws: each has as
+    many copies as there are draws per draw of the first pass."""
+    got = draws.groupBy("src", "doc_id", "h").agg(
+        (F.count("*") / F.count(F.when(F.col("pass") == 0, 1))).cast("long").alias("n"), F.min("shard").alias("shard"))
+    return (doc.alias("d").join(got.alias("g"), F.expr("d.src <=> g.src AND d.doc_id <=> g.doc_id AND d.h = g.h"), "left")
+            .select("d.doc_id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target",
+                    (F.coalesce("n", F.lit(0)) * F.col("size")).cast("long").alias("taken"), "shard"))
+
+
 def op10_mixture(spark, sf_dir: str) -> DataFrame:
     """Every document with the words the mix takes from it, counted from the
     draws that the shards received."""
     from clausewise.llm.common import table
-    docs = table(spark, sf_dir, "documents")
-    doc, draws = mix_plan(docs)
-    got = draws.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.min("shard").alias("shard"))
-    return (doc.alias("d").join(got.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.h = g.h"), "left")
-            .select("d.doc_id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target",
-                    (F.coalesce("n", F.lit(0)) * F.col("size")).cast("long").alias("taken"), "shard"))
+    return taken(*mix_plan(table(spark, sf_dir, "documents")))

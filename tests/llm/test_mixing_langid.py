@@ -101,6 +101,23 @@ def test_op10_registered(spark):
     assert len(rows) == len(docs) and all(0 <= r.taken <= 2 * r["size"] for r in rows)
 
 
+def test_taken_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(i, "w " * (1 + i % 7), None, "abc"[i % 3]) for i in range(90)]
+    rows += [(5, "same words here", None, "c")] * 3 + [(None, "x y z", None, s) for s in "aabbbc"] + [(None, "x y z", None, None)] * 2
+    df = frame(spark, rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = mixing.mix_plan(df)[0].collect()
+    want = collections.Counter((r.doc_id, r["size"], r.source_size, r.copies * r["size"]) for r in plan)
+    got = mixing.op10_mixture(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r["size"], r.source_size, r.taken) for r in got) == want
+    assert len(got) == len(rows) and all(r.taken in (0, r["size"], 2 * r["size"]) for r in got)
+    mixed = collections.Counter((r.source, r.doc_id) for r in mixing.mix(df).collect())
+    copies = collections.Counter()
+    for r in plan:
+        copies[(r.src, r.doc_id)] += r.copies
+    assert mixed == +copies and any(r.copies == 2 and r.doc_id is None for r in plan)
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in langid.op4_langid(spark, MORE).collect()}
     docs = table(spark, MORE, "documents").select("doc_id", "lang", "text").collect()
