@@ -20,7 +20,10 @@ are compared once and the result goes to every copy.
 
 Result: one row per passage of a document: doc_id, start (word, from 0), n_words,
 first_doc_id (the smallest id among the documents that share a window of it),
-is_first.  Repeats inside one document only do not count.
+is_first.  Repeats inside one document only do not count.  `repeated_passages` also
+names, in _cut, the first holder of each run of windows inside the passage:
+`cut_passages` removes words by window, never those of a window whose first holder
+is the document itself, so every repeated window stays in its first holder.
 
 Edge cases: null, empty and short texts (under min_words words) have no
 passages; a text of any length is used whole; equal texts are passages from
@@ -133,7 +136,9 @@ def _windows(rows: DataFrame, min_words: int, k: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
-    """doc_id, start, n_words, first_doc_id, is_first."""
+    """doc_id, start, n_words, first_doc_id, is_first, and _cut for `cut_passages`:
+    the text's key, its representative, whether it has copies, min_words, and runs
+    (from, to, first) of windows with one first holder."""
     if not 0 < k < min_words:
         raise ValueError("k must be between 1 and min_words - 1")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -155,41 +160,71 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = materialise(shared, "passages-shared")
     starts = windows.select("w", "node", "s").join(shared.select("w", "first"), "w").select("node", "s", "first")
     by_text = Window.partitionBy("node").orderBy("s")
-    starts = starts.withColumn("new", (F.col("s") - F.lag("s").over(by_text) > min_words).cast("int"))
-    starts = starts.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(by_text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = starts.groupBy("node", "run").agg(
-        F.min("s").alias("start"), (F.max("s") - F.min("s") + min_words).cast("long").alias("n_words"), F.min("first").alias("first"))
+    so_far = by_text.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap, before = F.col("s") - F.lag("s").over(by_text), F.lag("first").over(by_text)
+    starts = starts.withColumn("new", (gap > min_words).cast("int")).withColumn("turn", (~((gap == 1) & before.eqNullSafe(F.col("first")))).cast("int"))
+    starts = starts.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(so_far)).withColumn("part", F.sum(F.coalesce("turn", F.lit(0))).over(so_far))
+    runs = starts.groupBy("node", "run", "part").agg(F.min("s").alias("from"), F.max("s").alias("to"), F.min("first").alias("first"))
+    spans = runs.groupBy("node", "run").agg(
+        F.min("from").alias("start"), (F.max("to") - F.min("from") + min_words).cast("long").alias("n_words"), F.min("first").alias("first"),
+        F.collect_list(F.struct("from", "to", "first")).alias("runs"))
     spans = materialise(spans, "passages-spans")
     # texts with copies are passages as a whole
-    whole = reps.filter("copies > 1").join(spans.groupBy("node").agg(F.min("first").alias("first")), "node", "left").select(
-        "node", F.lit(0).alias("start"), "n_words", F.least("rep", "first").alias("first"))
-    parts = spans.join(reps.filter("copies = 1").select("node"), "node", "left_semi").select("node", "start", "n_words", "first")
+    held = spans.groupBy("node").agg(F.min("first").alias("first"), F.flatten(F.collect_list("runs")).alias("runs"))
+    whole = reps.filter("copies > 1").join(held, "node", "left").select(
+        "node", F.lit(0).alias("start"), "n_words", F.least("rep", "first").alias("first"), "rep", F.lit(True).alias("copied"), "runs")
+    parts = spans.join(reps.filter("copies = 1").select("node", "rep"), "node").select(
+        "node", "start", "n_words", "first", "rep", F.lit(False).alias("copied"), "runs")
     out = found.select("doc_id", "node").join(whole.unionByName(parts), "node")
     return out.select("doc_id", F.col("start").cast("long").alias("start"), "n_words", F.col("first").alias("first_doc_id"),
-                      F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)).alias("is_first"))
+                      F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)).alias("is_first"),
+                      F.struct("node", "rep", "copied", F.lit(min_words).alias("min_words"), "runs").alias("_cut"))
+
+
+def _dropped(doc_id, n: int, cuts: list[dict]) -> np.ndarray:
+    """Which of a document's n words go: those of windows that another document
+    holds first, without those of windows that this one holds first."""
+    drop, keep = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for cut in cuts:
+        if cut["copied"] and doc_id != cut["rep"]:
+            return np.ones(n, bool)
+        width, other = cut["min_words"], np.zeros(n - cut["min_words"] + 1, bool)
+        for run in cut["runs"] or ():
+            mine = run["first"] is None or run["first"] == doc_id
+            to = keep if mine else drop
+            to[run["from"]] += 1
+            to[run["to"] + width] -= 1
+            other[run["from"]:run["to"] + 1] = True
+        if cut["copied"]:  # the other windows are in copies of this text only
+            at = np.flatnonzero(~other)
+            keep[at] += 1
+            keep[at + width] -= 1
+    return (np.cumsum(drop)[:n] > 0) & (np.cumsum(keep)[:n] == 0)
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the passages that are not first: their words go, the rest
-    of the text stays as it is.  Columns and rows stay."""
-    drop = passages.filter("NOT is_first").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("_cuts"))
+    of the text stays as it is, and so does each repeated window in its first
+    holder.  `passages` is the result of `repeated_passages`.  Columns and rows stay."""
+    drop = passages.filter("NOT is_first").groupBy("doc_id").agg(F.collect_set("_cut").alias("_cuts"))
     names, schema = docs.columns, docs.schema
     docs, id_col, text_col = positional(docs, id_col, text_col)
     drop = drop.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(drop, F.col(id_col).eqNullSafe(F.col("_doc")), "left").select(*docs.columns, "_cuts")
+    joined = docs.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left").select(*docs.columns, F.col(id_col).cast("long").alias("_doc_id"), "_cuts")
 
-    def cut(texts: pa.Array, cuts: pa.Array) -> list[str | None]:
+    def cut(texts: pa.Array, ids: pa.Array, cuts: pa.Array) -> list[str | None]:
         out = []
-        for text, spans in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
+        for text, doc_id, spans in zip(texts.to_pylist(), ids.to_pylist(), cuts.to_pylist(), strict=True):
             if text is not None and spans:
                 raw = text.encode()
-                starts, ends, _ = word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                starts, ends, first = word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                key = int(text_keys(word_hashes(np.frombuffer(raw, np.uint8), starts, ends), first).view(np.int64)[0])
+                gone = np.concatenate([[0], _dropped(doc_id, len(starts), [s for s in spans if s["node"] == key]), [0]])
+                edge = np.diff(gone.astype(np.int8))
                 kept, at = [], 0
-                for span in sorted(spans, key=lambda s: s["start"]):
-                    last = min(span["start"] + span["n_words"], len(starts)) - 1
-                    if last >= span["start"]:
-                        kept.append(raw[at:starts[span["start"]]])
-                        at = int(ends[last])
+                for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+                    kept.append(raw[at:starts[a]])
+                    at = int(ends[b - 1])
                 text = b"".join([*kept, raw[at:]]).decode()
             out.append(text)
         return out
@@ -199,14 +234,14 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(i) for i in range(len(names))]
-            cols[at] = pa.array(cut(cols[at], batch.column(len(names))), pa.string())
+            cols[at] = pa.array(cut(cols[at], batch.column(len(names)), batch.column(len(names) + 1)), pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return joined.mapInArrow(run, schema)
 
 
 def op1_passages(spark, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("_cut")
 
 
 # Every 50-word window of every text; equal windows in two documents; islands.

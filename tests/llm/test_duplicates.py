@@ -172,6 +172,53 @@ def test_cut_leaves_one_copy_and_the_rest_of_the_text(spark):
     assert out == {1: docs[0][1], 2: "beta  \tend", 3: "clean text", 4: None}
 
 
+def windows(docs, n=50):
+    """The documents (places) that hold each n-word window."""
+    where = {}
+    for at, (_, t) in enumerate(docs):
+        w = words(t)
+        for s in range(len(w) - n + 1):
+            where.setdefault(tuple(w[s:s + n]), set()).add(at)
+    return where
+
+
+def test_cut_keeps_each_repeated_window_somewhere(spark):
+    rnd = random.Random(4)
+    text = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    p, q, own = text(60), text(70), text(500)
+    docs = [(1, text(30) + p + text(20)), (2, text(10) + q), (5, own + p), (6, own + p),         # copies with a passage of document 1
+            (7, p + q + text(9)), (8, text(5) + p + q), (9, p + text(20) + q), (10, q + text(3) + p)]  # passages that touch
+    docs += [(11, x) for x in (text(80) + q, text(60))] + [(12, docs[0][1]), (13, text(90))]     # one id with two texts
+    r = text(70)
+    docs += [(None, r + text(4)), (None, r), (None, docs[1][1]), (13, docs[-1][1])]
+    shared = [text(n) for n in (50, 60, 75, 120)]
+    for i in range(30):
+        docs.append((100 + i, [w for _ in range(3) for w in rnd.choice(shared) + text(rnd.choice([0, 1, 30]))]))
+    docs += [(200 + i, docs[-1 - i][1]) for i in range(4)]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    df = frame(spark, docs).coalesce(1)
+    out = cut_passages(df, repeated_passages(df)).collect()
+    cut = [(r.doc_id, r.text) for r in out]
+    before, after = windows(docs), windows(cut)
+    assert {w for w, held in before.items() if len(held) > 1} <= set(after)
+    assert {w for _, t in docs for w in words(t)} == {w for _, t in cut for w in words(t)}
+    five = next(t for i, t in cut if i == 5)
+    assert words(five)[:500] == own and len(words(five)) < 560 and not words(next(t for i, t in cut if i == 6))
+    want = []
+    for i, t in docs:
+        w, drop, keep = words(t), set(), set()
+        for s in range(len(w) - 49):
+            held = before[tuple(w[s:s + 50])]
+            if len(held) > 1:
+                first = min((docs[at][0] for at in held if docs[at][0] is not None), default=None)
+                (keep if first in (i, None) else drop).update(range(s, s + 50))
+        want.append((i, [x for at, x in enumerate(w) if at not in drop - keep]))
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted(want, key=key) == sorted(((i, words(t)) for i, t in cut), key=key)
+    eleven = sorted(len(words(t)) for i, t in cut if i == 11)
+    assert eleven == [60, 80]  # the other text of the id is not touched
+
+
 def test_repeats_inside_one_document_do_not_count(spark):
     p = " ".join(f"p{i}" for i in range(60))
     assert repeated_passages(frame(spark, [(1, f"{p} {p}"), (2, "other")])).count() == 0
