@@ -7,11 +7,13 @@ secret key, the type and the canonical value, and dressed like the mention
 (separators, letter case, digits per octet, card check digit, the form of address with its
 gender, the script of the name).  Equal canonical values get equal surrogates
 in the whole corpus (coreference); surnames are mapped alone, so "Mr Smith" and
-"Mr John Smith" agree.
+"Mr John Smith" agree, and so is each given name under a form of address of its
+gender (male, female, either): distinct names stay distinct as a whole.
 
 Distinctness is checked over all entities of the corpus: where two values would
 get one surrogate, or a surrogate equals a real value, the entity takes the next
-attempt until none is left.  The first attempt is computed inside the
+attempt until none is left.  Names get longer with the attempt, so the space
+grows with the corpus.  The first attempt is computed inside the
 projection, so texts are not shuffled; only documents that hold an entity with a
 later attempt are joined with it.
 
@@ -52,7 +54,7 @@ ANY = "|".join(PATTERNS.values())
 #: A text without any of these cannot hold an entity.
 HINT = rf"[@0-9]|[A-Fa-f]{{32}}|(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}"
 
-# Names by script: 16 given names per gender and 16 syllables, picked by hex digits.
+# Names by script: 16 given names per gender and 16 syllables, picked by hex digits; later attempts add syllables.
 GIVEN = {
     ("latin", "f"): "Anna Clara Elena Greta Irene Julia Laura Maria Nora Olga Paula Rita Sara Teresa Vera Zoe".split(),
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Leon Marco Nico Oscar Paul Simon Viktor".split(),
@@ -72,6 +74,36 @@ def digits_of(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def _titled(mention: Column) -> tuple[Column, Column, Column]:
+    """Words of a person's mention; whether the form of address is female, male."""
+    words = F.split(mention, " ")
+    bare = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
+    return words, bare.rlike(f"^(?:{FEMALE})$"), bare.rlike(f"^(?:{MALE})$")
+
+
+def _given_kind(female: Column, male: Column) -> Column:
+    return F.when(female, F.lit("given_f")).when(male, F.lit("given_m")).otherwise(F.lit("given_n"))
+
+
+def _given_words(words: Column) -> Column:
+    """Those between the form of address and the surname."""
+    return F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+
+
+def named_in(mention: Column) -> Column:
+    """(kind, canon) of all entities of a mention: itself and, of a person, the given names."""
+    kind = kind_of(mention)
+    words, female, male = _titled(mention)
+    given = F.transform(_given_words(words), lambda w: F.struct(_given_kind(female, male).alias("kind"), F.lower(w).alias("canon")))
+    whole = F.array(F.struct(kind.alias("kind"), canonical(mention, kind).alias("canon")))
+    return F.when(kind == "person", F.concat(whole, given)).otherwise(whole)
+
+
+def pool(kind: Column) -> Column:
+    """Kinds whose surrogates must differ from each other."""
+    return F.when(kind.startswith("given_"), F.lit("given")).otherwise(kind)
+
+
 def kind_of(mention: Column) -> Column:
     """Type of a mention: the first pattern that matches the whole of it."""
     out = F.lit("person")
@@ -152,7 +184,8 @@ def surrogate(kind: Column, canon: Column, more: Column, decimal: Column, attemp
                      F.lit("."), F.substring(decimal, 9, 6))
     email = F.concat(local, F.lit("@mail"), F.substring(decimal, 20, 1), F.lit(".example.org"))
     return (F.when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "phone", phone).when(kind == "ip", ip)
-            .when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "email", email).otherwise(_family(canon, digest)))
+            .when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "email", email)
+            .when(kind.startswith("given_"), _given(kind, canon, digest, attempt)).otherwise(_family(canon, digest, attempt)))
 
 
 def _octet(octet: Column, hex7: Column, wide: Column) -> Column:
@@ -161,11 +194,31 @@ def _octet(octet: Column, hex7: Column, wide: Column) -> Column:
     return (F.when(wide, r % 254 + 1).when(F.length(octet) == 1, r % 9 + 1).when(F.length(octet) == 2, r % 90 + 10).otherwise(r % 155 + 100)).cast("string")
 
 
-def _family(canon: Column, digest: Column) -> Column:
-    return _by_script(script_of(canon), lambda s: F.concat(*[_pick(SYLLABLES[s], F.substring(digest, i, 1)) for i in range(1, 6)]))
+def _family(canon: Column, digest: Column, attempt: Column) -> Column:
+    """Five syllables, one more with each attempt."""
+    return _by_script(script_of(canon), lambda s: F.concat(
+        *[_pick(SYLLABLES[s], F.substring(digest, i, 1)) for i in range(1, 6)], _syllables(s, digest, 6, F.least(attempt, F.lit(50)))))
+
+
+def _given(kind: Column, canon: Column, digest: Column, attempt: Column) -> Column:
+    """A given name, with two more syllables with each attempt (lower case)."""
+    pick = F.substring(digest, 1, 1)
+    female = (kind == "given_f") | (kind == "given_n") & (F.substring(digest, 2, 1) < F.lit("8"))
+    return F.lower(_by_script(script_of(canon), lambda s: F.concat(
+        F.when(female, _pick(GIVEN[(s, "f")], pick)).otherwise(_pick(GIVEN[(s, "m")], pick)), _syllables(s, digest, 3, F.least(attempt * 2, F.lit(50))))))
+
 
+def _syllables(script: str, digest: Column, first: int, n: Column) -> Column:
+    """n syllables by the hexadecimal digits from `first` on."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _pick(
+        SYLLABLES[script], F.substring(digest, i + (first - 1), F.lit(1)))), "")).otherwise(F.lit(""))
 
-def dressed(mention: Column, kind: Column, value: Column, key: str) -> Column:
+
+def _attempt(attempts: Column | None, kind: Column, canon: Column) -> Column:
+    return F.lit(0) if attempts is None else F.coalesce(attempts[F.concat_ws("|", kind, canon)], F.lit(0))
+
+
+def dressed(mention: Column, kind: Column, value: Column, attempts: Column | None, key: str) -> Column:
     """The surrogate in the form of the mention."""
     flat = F.when(kind == "phone", digits_of(value)).otherwise(value)
     # digit groups: the i-th digit (IBAN: letter or digit) of the mention becomes the i-th of the surrogate
@@ -176,24 +229,20 @@ def dressed(mention: Column, kind: Column, value: Column, key: str) -> Column:
     upper = (mention == F.upper(mention)) & (mention != F.lower(mention))
     cased = F.when(upper, F.upper(value)).otherwise(value)
     return (F.when(kind.isin("card", "ssn", "phone", "iban"), grouped).when(kind.isin("secret", "email"), cased)
-            .when(kind == "ip", value).otherwise(_person(mention, value, key)))
+            .when(kind == "ip", value).otherwise(_person(mention, value, attempts, key)))
 
 
-def _person(mention: Column, family: Column, key: str) -> Column:
-    words = F.split(mention, " ")
+def _person(mention: Column, family: Column, attempts: Column | None, key: str) -> Column:
+    words, female, male = _titled(mention)
     title = F.element_at(words, 1)
-    bare = F.regexp_replace(title, r"\.$", "")
-    n = F.size(words)
-    female = bare.rlike(f"^(?:{FEMALE})$")
-    male = bare.rlike(f"^(?:{MALE})$")
+    kind = _given_kind(female, male)
 
     def given(word: Column) -> Column:
-        digest = _hex(key, F.lit("given"), F.lower(word))
-        pick = F.substring(digest, 1, 1)
-        either = F.substring(digest, 2, 1) < F.lit("8")  # no gender in the form of address
-        return _by_script(script_of(word), lambda s: F.when(female | (~male & either), _pick(GIVEN[(s, "f")], pick)).otherwise(_pick(GIVEN[(s, "m")], pick)))
+        canon = F.lower(word)
+        attempt = _attempt(attempts, kind, canon)
+        return F.initcap(_given(kind, canon, _hex(key, kind, canon, attempt.cast("string")), attempt))
 
-    inner = F.transform(F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0))), given)
+    inner = F.transform(_given_words(words), given)
     last = F.element_at(words, -1)
     name = F.initcap(family)
     name = F.when(script_of(last) == "cyrillic", F.concat(name, F.when(female, F.lit("ва")).otherwise(F.lit("в")))).otherwise(name)
@@ -208,8 +257,7 @@ def _mentions(text: Column) -> Column:
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct (kind, canon) of all texts."""
     found = docs.select(F.explode(_mentions(F.col(text_col))).alias("m")).groupBy("m").agg(F.lit(1).alias("_"))
-    found = found.withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical(F.col("m"), F.col("kind")))
-    return found.select("kind", "canon").distinct()
+    return found.select(F.explode(named_in(F.col("m"))).alias("e")).select("e.kind", "e.canon").distinct()
 
 
 def assign(found: DataFrame, key: str) -> DataFrame:
@@ -225,11 +273,12 @@ def assign(found: DataFrame, key: str) -> DataFrame:
     for round_no in range(MAX_ATTEMPTS):
         named = materialise(named, "pii-named")
         # who has it from an earlier round keeps a shared surrogate, else the smallest canonical value
-        keeps = named.groupBy("kind", "value").agg(
-            F.min(F.struct("since", "canon"))["canon"].alias("keeper"), F.count("*").alias("n"))
-        shared = (keeps.join(real.select("kind", F.col("canon").alias("value"), F.lit(True).alias("is_real")), ["kind", "value"], "left")
-                  .filter("n > 1 OR is_real"))
-        moved = (named.join(shared, ["kind", "value"]).filter("is_real OR canon <> keeper").select("kind", "canon"))
+        keeps = named.groupBy(pool(F.col("kind")).alias("pool"), "value").agg(
+            F.min(F.struct("since", "canon", "kind")).alias("keeper"), F.count("*").alias("n"))
+        taken = real.select(pool(F.col("kind")).alias("pool"), F.col("canon").alias("value"), F.lit(True).alias("is_real")).distinct()
+        shared = keeps.join(taken, ["pool", "value"], "left").filter("n > 1 OR is_real")
+        moved = (named.withColumn("pool", pool(F.col("kind"))).join(shared, ["pool", "value"])
+                 .filter("is_real OR canon <> keeper.canon OR kind <> keeper.kind").select("kind", "canon"))
         moved = materialise(moved, "pii-moved")
         if moved.isEmpty():
             return named.filter("attempt > 0").select("kind", "canon", "attempt")
@@ -246,14 +295,14 @@ def _rewritten(text: Column, attempts: Column | None, key: str) -> Column:
     found = F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), canonical(x["m"], x["kind"]).alias("canon")))
 
     def streamed(x: Column) -> Column:
-        attempt = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat_ws("|", x["kind"], x["canon"])], F.lit(0))
+        attempt = _attempt(attempts, x["kind"], x["canon"])
         return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["canon"].alias("canon"),
                         stream(x["kind"], x["canon"], attempt, key).alias("more"), attempt.alias("attempt"))
 
     found = F.transform(found, streamed)
     found = F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), surrogate(
         x["kind"], x["canon"], x["more"], decimals(x["more"]), x["attempt"]).alias("value")))
-    new = F.transform(found, lambda x: dressed(x["m"], x["kind"], x["value"], key))
+    new = F.transform(found, lambda x: dressed(x["m"], x["kind"], x["value"], attempts, key))
     between = F.split(text, ANY, -1)
     woven = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(new, i), F.lit("")))), "")
     return F.when(text.rlike(HINT), woven).otherwise(text)
@@ -270,7 +319,7 @@ def replace_entities(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         return restored(docs.withColumn(text_col, _rewritten(text, None, key)), names)
     # documents with such an entity, their attempts as a map
     each = docs.filter(text.rlike(HINT)).select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(_mentions(text))).alias("m"))
-    each = each.withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical(F.col("m"), F.col("kind"))).join(later, ["kind", "canon"])
+    each = each.select("_id", "_h", F.explode(named_in(F.col("m"))).alias("e")).select("_id", "_h", "e.kind", "e.canon").join(later, ["kind", "canon"])
     maps = each.select("_id", "_h", F.concat_ws("|", "kind", "canon").alias("k"), "attempt").distinct().groupBy("_id", "_h").agg(
         F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_attempts"))
     maps = materialise(maps, "pii-maps")

@@ -80,6 +80,21 @@ def test_collisions_are_resolved(spark):
     assert all(got[9000 + i] == got[i] for i in range(50))
 
 
+def test_full_names_stay_distinct(spark, monkeypatch):
+    names = [f"{a}{b}" for a in ("Ab", "Bc", "Cd", "De", "Ef", "Fg", "Gh", "Hi") for b in ("a", "e", "i", "o", "u")]
+    titles = ("Mr", "Ms", "Dr")
+    said = [(100 * k + i, f"{t}. {n} Smith") for k, t in enumerate(titles) for i, n in enumerate(names)]
+    df = frame(spark, said + [(1000 + i, f"again {t}") for i, t in said])
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(df, key="k").collect()}
+    assert len({got[i].split(" ", 1)[1] for i, _ in said}) == 120           # without the form of address
+    assert len({got[i].split()[-1] for i, _ in said}) == 1                  # one surname
+    assert all(got[i].split()[0] == t.split()[0] and got[1000 + i] == f"again {got[i]}" for i, t in said)
+    # a pool of few surnames widens
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["ba"] * 15 + ["do"])
+    df = frame(spark, [(i, f"Mr {n}") for i, n in enumerate(names)])
+    assert len({r.text for r in surrogates.replace_entities(df, key="k").collect()}) == 40
+
+
 def test_pattern_splits_are_consistent(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text")
     text = F.col("text")
