@@ -1,8 +1,6 @@
 """Operator 2: approximate nearest neighbours by cross-polytope hashing.
 
-Nearness is the inner product.  A vector is scaled to unit length (if lengths
-differ, it first gets one more component that levels them, so that the largest
-inner product is the smallest angle), padded to a power of two and rotated by
+Nearness is the inner product.  A vector is scaled to unit length, padded to a power of two and rotated by
 three rounds of random signs and a fast Hadamard transform.  Its bucket in a
 table is the nearest signed axis.  Every row is indexed in every table; a query
 probes the axes with its largest coordinates.  A bucket's rows are cut into
@@ -11,6 +9,12 @@ each group scores its rows exactly in double precision and gives each query's k
 best, merged over tables.  A query that meets fewer than k rows is compared
 with all rows, in blocks.
 
+If lengths differ, rows are indexed in bands of similar length (BAND: the longest is
+at most so many times the shortest).  In a band each row first gets one more
+component that levels it to the band's longest row, so that the largest inner
+product is the smallest angle; a query probes every band.  The rows of bands with
+fewer than `exact_rows` rows are compared with all queries, in blocks.
+
 Parameters: with 14 tables and D / 8 probes (8 of 128 buckets for 64
 components) recall@20 is at least 0.9 on all given tables (tests, README).
 
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from clausewise.llm.common import materialise, stream64, table
 from clausewise.llm.vectors import best, dealt_blocks, matrix, one_per_id
 
+BAND = 1.1
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -57,9 +62,9 @@ def rotated(unit: np.ndarray, tbl: int, seed: int) -> np.ndarray:
     return a
 
 
-def unit_rows(vec: np.ndarray, longest: float, level: bool, query: bool) -> np.ndarray:
+def unit_rows(vec: np.ndarray, longest: np.ndarray, level: bool, query: bool) -> np.ndarray:
     """Unit vectors; with `level`, rows get the component that makes their
-    length `longest` (queries get 0)."""
+    length `longest`, one per row (queries get 0)."""
     norm = np.linalg.norm(vec, axis=1)
     if level:
         rest = np.zeros(len(vec)) if query else np.sqrt(np.maximum(longest ** 2 - norm ** 2, 0.0))
@@ -82,19 +87,19 @@ def probes(rot: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(-signed, axis=1, kind="stable")[:, :n].astype(np.int32)
 
 
-def _keyed(rows: DataFrame, longest: float, level: bool, tables: int, n_probes: int | None, seed: int) -> DataFrame:
-    """Rows with their buckets (n_probes None) or queries with their probes:
+def _keyed(rows: DataFrame, level: bool, tables: int, n_probes: int | None, seed: int) -> DataFrame:
+    """Rows (vec_id, vec, band, longest) with their buckets (n_probes None) or queries with their probes:
     an array per row, exploded to (tbl, bucket)."""
 
     def hashed(batches):
         for batch in batches:
-            ids, vecs = batch.column(0), batch.column(1)
+            ids, vecs, longest = batch.column(0), batch.column(1), batch.column(3).to_numpy()
             dims = np.diff(vecs.offsets.to_numpy())
             keys: list[list[int]] = [[]] * len(ids)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 part = vecs.take(pa.array(at))
-                unit = unit_rows(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim), longest, level, n_probes is not None)
+                unit = unit_rows(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim), longest[at], level, n_probes is not None)
                 cols = []
                 for t in range(tables):
                     rot = rotated(unit, t, seed)
@@ -104,11 +109,11 @@ def _keyed(rows: DataFrame, longest: float, level: bool, tables: int, n_probes:
                 flat = np.concatenate(cols, axis=1)
                 for i, row in zip(at, flat, strict=True):
                     keys[i] = row
-            yield pa.RecordBatch.from_arrays([ids, vecs, pa.array(keys, pa.list_(pa.int32()))], ["vec_id", "vec", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, vecs, batch.column(2), pa.array(keys, pa.list_(pa.int32()))], ["vec_id", "vec", "band", "keys"])
 
     kind = rows.schema["vec"].dataType.simpleString()
-    out = rows.mapInArrow(hashed, f"vec_id long, vec {kind}, keys array<int>")
-    return out.select("vec_id", "vec", F.size("vec").alias("dim"), F.explode("keys").alias("bucket"))
+    out = rows.mapInArrow(hashed, f"vec_id long, vec {kind}, band int, keys array<int>")
+    return out.select("vec_id", "vec", "band", F.size("vec").alias("dim"), F.explode("keys").alias("bucket"))
 
 
 def group_top_k(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
@@ -137,7 +142,8 @@ def group_top_k(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-            tables: int = 14, n_probes: int = 8, chunk_rows: int = 4096, chunk_queries: int = 1024, seed: int = 11) -> DataFrame:
+            tables: int = 14, n_probes: int = 8, chunk_rows: int = 4096, chunk_queries: int = 1024, seed: int = 11,
+            exact_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score.  `is_query` is a Column over vec_id."""
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = one_per_id(vectors, id_col, vec_col).withColumn("sq", square).filter("sq > 0")
@@ -146,27 +152,42 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     if not span[3]:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     level, longest, n_rows, n_queries = span[0] < span[1] * (1 - 1e-3), float(span[1]) ** 0.5, span[2], span[3]
+    queries = rows.filter(is_query).select("vec_id", "vec")
+    banded = rows.withColumn("band", F.floor(F.log(F.lit(span[1]) / F.col("sq")) / F.lit(2 * np.log(BAND))).cast("int") if level else F.lit(0))
     rows = rows.select("vec_id", "vec")
-    queries = rows.filter(is_query)
-    index = _keyed(rows, longest, level, tables, None, seed)
-    asked = _keyed(queries, longest, level, tables, n_probes, seed)
-    # bucket sizes: at most tables * 2 * D rows per vector length
-    load = index.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("n_chunks"))
+    few, n_few = None, 0
+    if level:
+        # one row per band: at most some thousands, whatever the table
+        bands = materialise(banded.groupBy("band").agg(F.sqrt(F.max("sq")).alias("longest"), F.count("*").alias("n")), "ann-bands")
+        banded = banded.join(F.broadcast(bands), "band")
+        n_few = bands.filter(F.col("n") < exact_rows).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        few = materialise(banded.filter(F.col("n") < exact_rows).select("vec_id", "vec"), "ann-few")
+        banded = banded.filter(F.col("n") >= exact_rows)
+    else:
+        banded = banded.withColumn("longest", F.lit(longest))
+    index = _keyed(banded.select("vec_id", "vec", "band", "longest"), level, tables, None, seed)
+    asked = _keyed(queries.select("vec_id", "vec", F.lit(0).alias("band"), F.lit(longest).alias("longest")), level, tables, n_probes, seed).drop("band")
+    # bucket sizes: at most tables * 2 * D rows per vector length and band
+    load = index.groupBy("dim", "band", "bucket").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("n_chunks"))
     ask = asked.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / F.lit(chunk_queries)).cast("int").alias("q_chunks"))
     size = materialise(load.join(ask, ["dim", "bucket"]), "ann-load")  # buckets that some query probes
-    index = index.join(size, ["dim", "bucket"]).select(
-        "dim", "bucket", F.pmod(F.xxhash64("vec_id"), F.col("n_chunks")).alias("chunk"),
+    index = index.join(size, ["dim", "band", "bucket"]).select(
+        "dim", "band", "bucket", F.pmod(F.xxhash64("vec_id"), F.col("n_chunks")).alias("chunk"),
         F.explode(F.expr("sequence(0, q_chunks - 1)")).alias("q_chunk"), "vec_id", "vec")
     asked = asked.join(size, ["dim", "bucket"]).select(
-        "dim", "bucket", F.explode(F.expr("sequence(0L, n_chunks - 1L)")).alias("chunk"),
+        "dim", "band", "bucket", F.explode(F.expr("sequence(0L, n_chunks - 1L)")).alias("chunk"),
         F.pmod(F.xxhash64("vec_id"), F.col("q_chunks")).cast("int").alias("q_chunk"), "vec_id", "vec")
 
     def group(a: pa.Table, b: pa.Table) -> pa.Table:
         return group_top_k(a, b, k)
 
-    key = ["dim", "bucket", "chunk", "q_chunk"]
+    key = ["dim", "band", "bucket", "chunk", "q_chunk"]
     found = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(group, FOUND)
-    found = materialise(best(found.distinct(), k), "ann-found")
+    found = found.distinct()
+    if n_few:
+        left, right = dealt_blocks(few, queries, n_few, n_queries, chunk_rows, chunk_queries)
+        found = found.unionByName(left.groupBy("rb", "qb", "dim").cogroup(right.groupBy("rb", "qb", "dim")).applyInArrow(group, FOUND))
+    found = materialise(best(found, k), "ann-found")
     # queries that met fewer rows than they could: all rows, in blocks
     met = found.groupBy(F.col("query_id").alias("_q")).agg(F.count("*").alias("_n"))
     short = queries.join(met, F.col("vec_id") == F.col("_q"), "left").filter(F.coalesce("_n", F.lit(0)) < min(k, n_rows - 1))

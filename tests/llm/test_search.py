@@ -105,6 +105,25 @@ def test_few_rows_are_all_returned(spark):
     assert len(got[0]) == 14
 
 
+@pytest.mark.parametrize("lengths", ["one long", "lognormal"])
+def test_recall_with_unequal_lengths(spark, lengths):
+    rng = np.random.default_rng(5)
+    vec = rng.normal(size=(4000, 64))
+    vec /= np.linalg.norm(vec, axis=1)[:, None]
+    vec *= np.where(np.arange(4000) == 7, 10.0, 1.0)[:, None] if lengths == "one long" else rng.lognormal(0, 0.5, 4000)[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vec.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 40 == 0, exact_rows=100).collect():  # most bands are hashed
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 4000, 40):
+        score = vec @ vec[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    print("recall", lengths, hits / 2000)
+    assert len(got) == 100 and hits >= 0.9 * 2000
+
+
 def test_recall_on_given_table(spark):
     e = table(spark, SF, "embeddings").collect()
     vecs = {r.vec_id: np.array(r.embedding, float) for r in e}
