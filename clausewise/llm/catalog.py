@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clausewise.llm import ann, bitslice, htmltext, jaccard, langid, mixing, passages, spm, surrogates, warc
+from clausewise.llm import ann, bitslice, htmltext, jaccard, langid, middle, mixing, passages, spm, surrogates, warc
 
 QUERIES = {
     "op1_passages": passages.op1_passages,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_warc": warc.op9_warc,
     "op10_mixture": mixing.op10_mixture,
+    "op11_middle": middle.op11_middle,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -23,4 +24,5 @@ SQL: dict[str, str] = {
     "op6_topk": bitslice.OP6_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_middle": middle.OP11_SQL,
 }
