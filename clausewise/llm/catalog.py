@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clausewise.llm import ann, bitslice, htmltext, jaccard, langid, middle, mixing, passages, spm, surrogates, warc
+from clausewise.llm import ann, bitslice, collocations, htmltext, jaccard, langid, middle, mixing, passages, spm, surrogates, warc
 
 QUERIES = {
     "op1_passages": passages.op1_passages,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_mixture": mixing.op10_mixture,
     "op11_middle": middle.op11_middle,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -25,4 +26,5 @@ SQL: dict[str, str] = {
     "op8_jaccard": jaccard.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op11_middle": middle.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
