@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clausewise.llm import ann, bitslice, collocations, htmltext, jaccard, langid, middle, mixing, passages, spm, surrogates, warc
+from clausewise.llm import ann, bitslice, collocations, htmltext, jaccard, langid, middle, mixing, passages, secrets, spm, surrogates, warc
 
 QUERIES = {
     "op1_passages": passages.op1_passages,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixture": mixing.op10_mixture,
     "op11_middle": middle.op11_middle,
     "op12_collocations": collocations.op12_collocations,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
