@@ -2,10 +2,14 @@
 
 A page becomes a flat list of text blocks (cut at block-level tags; comments,
 scripts, styles, heads and hidden parts left out).  Each block has its word
-count and link density, those of the block before and after it, whether it is a
-heading, and whether it stands inside an article or a boilerplate part (by
-element or by a word of class, id or role).  A decision tree, trained at call time
-on the small labelled table below, decides which blocks are main text.
+count and link density, those of the block before and after it, the unlinked words
+of its run of paragraphs and headings, whether it is a heading or a paragraph, and
+whether it stands inside an article or a boilerplate part.  A decision tree, trained
+at call time on the small labelled table below, decides which blocks are main text.
+
+An element is a boilerplate part by its tag or by a class, id or role all of whose words say so
+(`related-posts`, not `related-work`; `no-`, `with-`, `has-` and `-free` deny it).  One that
+holds most of the page's unlinked words is none, unless an article's text stands beside it.
 
 Character references are decoded, white space inside a block becomes one
 space, kept blocks are joined in page order by one space.
@@ -29,10 +33,11 @@ from pyspark.sql import functions as F
 
 from clausewise.llm.common import table, text_slices
 
-FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "heading", "article", "boilerplate")
+FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "heading", "article", "boilerplate", "paragraph", "run")
 
-#: Small labelled table: one block per row, the features in order, then main text (1) or not (0).
-LABELLED = [
+#: Small labelled table: one block per row, the first nine features in order, then main text (1) or not (0).  Text stands in
+#: paragraphs and in other elements, menus in others only; the run of paragraphs and headings is they and their neighbours.
+SINGLE = [
     # paragraphs and headings of an article element
     (48, 0.0, 9, 0.0, 60, 0.0, 0, 1, 0, 1), (9, 0.0, 6, 1.0, 48, 0.0, 1, 1, 0, 1), (3, 0.0, 40, 0.0, 35, 0.0, 0, 1, 0, 1),
     (1, 0.0, 22, 0.0, 30, 0.0, 0, 1, 0, 1), (120, 0.05, 30, 0.0, 2, 0.0, 0, 1, 0, 1), (14, 0.2, 60, 0.0, 80, 0.0, 0, 1, 0, 1),
@@ -71,6 +76,25 @@ LABELLED = [
     (6, 0.9, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 1.0, 3, 1.0, 1, 0, 0, 0),
     (2, 1.0, 18, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 6, 0.8, 0, 0.0, 0, 0, 0, 0),
 ]
+#: The same with paragraph and run given: runs of short paragraphs, and single ones between links.
+RUNS = [
+    (5, 0.0, 4, 0.0, 6, 0.0, 0, 0, 0, 1, 20, 1), (4, 0.0, 0, 0.0, 5, 0.0, 0, 0, 0, 1, 18, 1), (6, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 1, 22, 1),
+    (3, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 1, 14, 1), (2, 0.0, 1, 1.0, 4, 0.0, 1, 0, 0, 0, 19, 1), (3, 0.0, 5, 0.0, 2, 1.0, 0, 0, 0, 1, 16, 1),
+    (1, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 1, 15, 1), (4, 0.0, 1, 1.0, 4, 0.0, 0, 0, 0, 1, 15, 1),
+    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 2, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1, 4, 0), (3, 0.0, 6, 0.8, 0, 0.0, 0, 0, 0, 1, 3, 0),
+    (6, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 6, 0), (8, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 8, 0), (7, 0.0, 4, 1.0, 2, 0.0, 0, 0, 0, 0, 7, 0),
+    (3, 0.5, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 1, 0), (4, 1.0, 5, 0.0, 6, 0.0, 0, 0, 0, 1, 11, 0), (6, 0.9, 4, 1.0, 2, 1.0, 0, 0, 0, 1, 0, 0),
+]
+
+
+def _with_runs(row: tuple) -> Iterator[tuple]:
+    words, links, before, before_links, after, after_links = row[:6]
+    for paragraph in (0, 1) if row[-1] and not row[6] or row[8] else (0,):
+        run = words * (1 - links) + ((paragraph or row[6]) and row[-1]) * (before * (1 - before_links) + after * (1 - after_links))
+        yield *row[:-1], paragraph, run, row[-1]
+
+
+LABELLED = [*[r for row in SINGLE for r in _with_runs(row)], *RUNS]
 
 
 def train_tree(rows: list[tuple], depth: int = 6) -> tuple:
@@ -108,6 +132,7 @@ BLOCK = frozenset("""address article aside blockquote body button caption center
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search
 section select summary table tbody td tfoot th thead title tr ul""".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPH = frozenset("p blockquote pre dd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("script style noscript template textarea svg math head title iframe object canvas audio video datalist select option".split())
@@ -119,14 +144,20 @@ HEAD_END = re.compile(r"</head(?=[\s/>])|<body(?=[\s/>])", re.I)
 TRACKED = frozenset("""article main section div nav header footer aside form ul ol table td figure blockquote button menu dialog fieldset
 body html details span p li""".split())
 BOILERPLATE = frozenset("nav footer aside form button menu dialog fieldset".split())
-#: Words of class, id or role that mark a boilerplate part.
-MARKS = frozenset("""ad ads advert advertisement advertising adbox adslot adsense banner sponsor sponsored promo promotion cookie cookies consent
-gdpr notice notification alert nav navbar navigation menu sidebar complementary footer contentinfo masthead topbar comment comments
-commentlist disqus respond reply replies discussion share sharing social related recommended recommendations breadcrumb breadcrumbs
-newsletter subscribe subscription signup login popup modal overlay widget pagination pager toolbar copyright disclaimer skip search
-searchbox form paywall teaser outbrain taboola""".split())
+#: Words of class, id or role that mark a boilerplate part; of these, and of the tags, the plain ones.
+PLAIN_MARKS = frozenset("""ad ads advert advertisement advertising adbox adslot adsense banner cookie cookies consent gdpr nav navbar navigation
+menu footer contentinfo comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs newsletter subscribe copyright
+pagination outbrain taboola""".split())
+MARKS = PLAIN_MARKS | frozenset("""sponsor sponsored promo promotion notice notification alert sidebar complementary masthead topbar discussion share
+sharing social related recommended recommendations subscription signup login popup modal overlay widget pager toolbar disclaimer skip
+search searchbox form paywall teaser""".split())
+PLAIN_TAGS = frozenset("nav footer button menu dialog".split())
 HEADER_MARKS = frozenset("header head".split())  # boilerplate only outside an article
 ARTICLE_MARKS = frozenset("article post entry story main content articlebody".split())
+#: Words that may stand beside a mark in one name, and words that deny it.
+BESIDE = frozenset("""area box wrapper wrap container inner outer block list lists item items section links link left right top bottom bar posts
+articles site page primary secondary group row column module unit slot icons buttons title header footer head body text more""".split()) | ARTICLE_MARKS
+DENYING = frozenset("no not non with without has hide free".split())
 
 TOKEN = re.compile(r"""<!--[\s\S]*?(?:-->|\Z)|<!\[CDATA\[[\s\S]*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
 |<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)|[^<]+|<""", re.X)
@@ -135,13 +166,18 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def marks(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role; whether the element is hidden."""
+    """Words of the names in class, id and role that agree on one thing; whether
+    the element is hidden."""
     words: set[str] = set()
     hidden = False
     for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            words.update(w.lower() for w in WORD.findall(value))
+            for one in value.split():
+                named = {w.lower() for w in WORD.findall(one)}
+                marked = named & (MARKS | HEADER_MARKS)
+                if not named & DENYING and (not marked or all(w in BESIDE or len(w) < 3 for w in named - marked)):
+                    words |= named - BESIDE if marked & MARKS else named
         elif bare or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
     return words, hidden
@@ -185,14 +221,16 @@ def tokens(page: str) -> Iterator[re.Match]:
             return
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, heading, in an article, in a boilerplate part) in page order."""
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
+    """(text, words, words in links, heading, paragraph, in an article, in a boilerplate part) in page order."""
     out: list = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, article, boilerplate, hidden
+    stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # tag, article, boilerplate parts around, hidden
+    plain: list[bool] = []  # of each boilerplate part, whether it is one by a plain mark
     parts: list[str] = []
     linked: list[str] = []
-    state = {"a": 0, "h": False}
-    article = boiler = hidden = False
+    state = {"a": 0, "h": False, "p": False}
+    article = hidden = False
+    boiler: tuple[int, ...] = ()
     skip = ""
 
     def flush() -> None:
@@ -200,10 +238,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             text = " ".join("".join(parts).split())
             if text:
                 n = len(text.split(" "))
-                out.append((text, n, min(n, len("".join(linked).split())), state["h"], article, boiler))
+                out.append((text, n, min(n, len("".join(linked).split())), state["h"], state["p"], article, boiler))
             parts.clear()
             linked.clear()
 
+    def part(is_plain: bool) -> tuple[int, ...]:
+        plain.append(is_plain)
+        return (*boiler, len(plain) - 1)
+
     for m in tokens(page):
         tag = m.group(2)
         if tag is None:
@@ -239,6 +281,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             flush()
             state["a"] = 0
             state["h"] = tag in HEADING and not closing
+            state["p"] = tag in PARAGRAPH and not closing
         if tag not in TRACKED:
             continue
         if closing:
@@ -248,29 +291,59 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                         flush()
                     del stack[i:]
                     break
-            _, article, boiler, hidden = stack[-1] if stack else ("", False, False, False)
+            _, article, boiler, hidden = stack[-1] if stack else ("", False, (), False)
             continue
         if tag in ("p", "li") and stack and stack[-1][0] == tag:  # left open: the next one closes it
             stack.pop()
-            _, article, boiler, hidden = stack[-1] if stack else ("", False, False, False)
+            _, article, boiler, hidden = stack[-1] if stack else ("", False, (), False)
         words, gone = marks(m.group(3)) if m.group(3) else (set(), False)
-        if gone and not (article, boiler, hidden) == (article, boiler, True):
+        if gone and not hidden:
             flush()
         if tag not in ("body", "html", "main"):
             if tag in BOILERPLATE or words & MARKS and not (tag == "article" and not article and words & ARTICLE_MARKS):
                 if tag not in BLOCK and not boiler:
                     flush()
-                boiler = True
+                boiler = part(tag in PLAIN_TAGS or bool(words & PLAIN_MARKS))
             elif not article and (tag == "header" or words & HEADER_MARKS and not words & ARTICLE_MARKS):
-                boiler = True
+                boiler = part(False)
         if tag in ("article", "main") or words & ARTICLE_MARKS and tag in ("div", "section", "td") and not boiler:
             article = True
         hidden = hidden or gone
         stack.append((tag, article, boiler, hidden))
         if tag in VOID or m.group(3).endswith("/"):
             stack.pop()
-            _, article, boiler, hidden = stack[-1] if stack else ("", False, False, False)
+            _, article, boiler, hidden = stack[-1] if stack else ("", False, (), False)
     flush()
+    body = without_main_parts(out, plain)
+    return [(*block[:6], bool(body.intersection(block[6]))) for block in out]
+
+
+def without_main_parts(found: list, plain: list[bool]) -> set[int]:
+    """The boilerplate parts but those that hold most of the page's unlinked
+    words (over half, by plain marks over nine tenths) with no text of an
+    article beside them."""
+    total, held = 0, [0] * len(plain)
+    for _, n, linked, *_, around in found:
+        total += n - linked
+        for i in around:
+            held[i] += n - linked
+    beside = any(n > linked and not heading and article and not around for _, n, linked, heading, _, article, around in found)
+    return {i for i in range(len(plain)) if beside or 10 * held[i] <= (9 if plain[i] else 5) * total}
+
+
+def runs(found: list) -> list[int]:
+    """Unlinked words of each block's run: paragraphs and headings of few links, in or
+    out of boilerplate alike, with no other block between."""
+    out, at = [0] * len(found), 0
+    while at < len(found):
+        end, words = at, 0
+        while end < len(found) and (found[end][3] or found[end][4]) and 3 * found[end][2] <= found[end][1] and found[end][6] == found[at][6]:
+            words += found[end][1] - found[end][2]
+            end += 1
+        if end == at:
+            end, words = at + 1, found[at][1] - found[at][2]
+        out[at:end] = [words] * (end - at)
+        at = end
     return out
 
 
@@ -278,9 +351,9 @@ def main_text(page: str | None, tree: tuple) -> str:
     if not page:
         return ""
     found = blocks(page)
-    size = [(0, 0.0), *((n, linked / n) for _, n, linked, _, _, _ in found), (0, 0.0)]
-    kept = [b[0] for i, b in enumerate(found)
-            if decide(tree, (*size[i + 1], *size[i], *size[i + 2], int(b[3]), int(b[4]), int(b[5])))]
+    size = [(0, 0.0), *((b[1], b[2] / b[1]) for b in found), (0, 0.0)]
+    kept = [b[0] for i, (b, run) in enumerate(zip(found, runs(found), strict=True))
+            if decide(tree, (*size[i + 1], *size[i], *size[i + 2], int(b[3]), int(b[5]), int(b[6]), int(b[4]), run))]
     return " ".join(kept)
 
 

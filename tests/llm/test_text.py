@@ -206,6 +206,30 @@ def test_given_pages_by_rule(spark):
         assert r.text == " ".join(p for p in parts if p)
 
 
+ONE, TWO = "The first paragraph has quite enough words to be text of the page, and says so.", "The second paragraph has just as many words and stands after it."
+BODY = f"<h1>Title here</h1><p>{ONE}</p><p>{TWO}</p>"
+FULL = f"Title here {ONE} {TWO}"
+REMARKS = "<section id=comments><h3>Comments</h3><p>Great article, I liked reading this one a lot, thanks to the author.</p></section>"
+
+
+@pytest.mark.parametrize("framed", [False, True])
+@pytest.mark.parametrize("inner, want", [
+    (f'<div class="entry-content no-sidebar">{BODY}</div>', FULL), (f'<article><div class="content with-sidebar">{BODY}</div></article>', FULL),
+    (f'<article>{BODY}<section class="related-work"><h2>Related work</h2><p>{ONE}</p></section></article>', f"{FULL} Related work {ONE}"),
+    (f'<div class="post widget-area-free">{BODY}</div>', FULL), (f"<form id=f><div>{BODY}</div></form>", FULL),
+    (f"<form id=f><article>{BODY}</article>{REMARKS}</form>", FULL), (f'<main><h1>Title here</h1><section id="discussion"><p>{ONE}</p><p>{TWO}</p></section></main>', FULL),
+    ("<div><p>One short text.</p><p>Another short line.</p><p>It goes on.</p><p>Here it ends.</p></div>", "One short text. Another short line. It goes on. Here it ends."),
+    (f'<article>{BODY}<div class="related-posts"><h3>Related</h3><p>Another article on something else that you may like.</p></div></article>', FULL),
+    (f'<article>{BODY}</article><div class="comments">{f"<p>{ONE}</p>" * 20}</div>', FULL),
+    (f'<div id="wrap"><article>{BODY}</article><div class="sidebar">{f"<p>{TWO}</p>" * 9}</div></div>', FULL),
+    (f'<article>{BODY}<div class="cookie-notice">We use cookies on this site for everything.</div></article>', FULL),
+    (f"<div><div>{ONE}</div><div>{TWO}</div></div>", f"{ONE} {TWO}"), (f'<div class="page content-sidebar">{BODY}</div>', FULL)])
+def test_marks_weigh_against_text(inner, want, framed):
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav><div>Sign up for letters</div>" if framed else ""
+    end = "<footer><p>Copyright 2024 by the people of the site</p></footer>" if framed else ""
+    assert htmltext.main_text(f"<html><body>{menu}{inner}{end}</body></html>", htmltext.train_tree(htmltext.LABELLED)) == want
+
+
 def test_tree_learns_its_table():
     tree = htmltext.train_tree(htmltext.LABELLED)
     right = sum(htmltext.decide(tree, row[:-1]) == row[-1] for row in htmltext.LABELLED)
