@@ -5,12 +5,15 @@ reads as a space) hashed to DIMS places, 1 + log counts times inverse document
 frequency, scaled to unit length.  Document frequencies are counted over all
 training documents; centroids (spherical k-means, several per language) are
 fitted on a bounded sample: the SAMPLE documents of each language with the
-smallest id hash.  A text gets the language of the centroid with the largest
-cosine.
+smallest hash of id and text, repeated rows once.  Centroids of a few odd documents (junk,
+documents of another language) are left out.  A text gets the language of the centroid with
+the largest cosine.
 
-Rejection is by distance: a text whose cosine is under MARGIN times the lowest that a
-sampled training document of like length reaches with its own language is
-`rejected`; so are null texts and texts without letters, which are `und`.
+Rejection is by distance: the cosine is divided by the median that sampled documents of the
+language reach at that length.  A text is `rejected` if this is under the language's cut, halfway
+between a low quantile of its own documents and a high one of the other languages' documents, and less
+for short texts, whose cosines vary; so are
+null texts and texts without letters, which are `und`.
 
 The model (DIMS weights and a few centroids per language) is bounded and
 shipped with the tasks.  Languages are the label set: one row each.
@@ -38,7 +41,12 @@ DIMS = 4096
 SAMPLE = 500          # training documents per language for the centroids
 CENTROIDS = 4         # per language
 ROUNDS = 10           # of k-means
-MARGIN = 0.2          # of the lowest training cosine of a length class
+SUPPORT = 0.05        # least share of a language's sample behind a centroid
+TAIL = 0.01           # quantiles of own and, from above, of other documents between which the cut lies
+CLASSES = 64          # of lengths, two per doubling
+SHORT = 100           # grams at which a text's cut is half that of a long one
+
+_LOWEST, _SPAN = -(1 << 63), (1 << 64) - 1  # of 64-bit hashes
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 256)
@@ -70,7 +78,7 @@ def gram_counts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def length_class(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(counts.sum(axis=1) + 1).astype(np.int64), 31)
+    return np.minimum(np.round(2 * np.log2(counts.sum(axis=1, dtype=np.float64) + 1)).astype(np.int64), CLASSES - 1)
 
 
 def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -80,16 +88,36 @@ def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
-    """Centroids of unit rows; starts: the first row, then the row farthest from all."""
-    starts = [0]
+    """Centroids of unit rows.  Starts: the row in the middle by cosine with the mean, then
+    rows far from all, but nearer than the SUPPORT farthest; centroids with
+    fewer rows than that are left out."""
+    starts = [int(np.argsort(x @ x.mean(axis=0), kind="stable")[len(x) // 2])]
     for _ in range(1, min(k, len(x))):
-        starts.append(int(np.argmin((x @ x[starts].T).max(axis=1))))
+        starts.append(int(np.argsort((x @ x[starts].T).max(axis=1), kind="stable")[int(SUPPORT * len(x))]))
     c = x[starts]
     for _ in range(ROUNDS):
         own = np.argmax(x @ c.T, axis=1)
         c = np.stack([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
         c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+    size = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    return c[size >= min(size.max(), max(2, SUPPORT * len(x)))]
+
+
+def typical_cosines(cosine: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Median cosine of each length class and its neighbours; classes without rows lie on
+    the line between their neighbours, shorter ones fall with the root of the length."""
+    median = np.full(CLASSES, np.nan)
+    for s in range(CLASSES):
+        near = np.abs(size - s) <= 1
+        if near.sum() >= min(8, len(size)):
+            median[s] = np.median(cosine[near])
+    known = np.flatnonzero(~np.isnan(median))
+    if not len(known):
+        return np.full(CLASSES, np.median(cosine))
+    out = np.interp(np.arange(CLASSES), known, median[known])
+    short = np.arange(known[0])
+    out[short] *= 2.0 ** ((short - known[0]) / 4)
+    return out
 
 
 def has_letter(text: Column) -> Column:
@@ -116,13 +144,19 @@ def fit(train: DataFrame) -> dict | None:
     df = np.array([total.get(i, 0) for i in range(DIMS)], float)
     idf = np.log((1 + n_docs) / (1 + df)) + 0.1
 
-    # the SAMPLE smallest hashes of each language: a cut per language, then a scan up to it
+    # the SAMPLE smallest hashes of each language: by the number of its hashes a range with some more, a cut inside
+    # it, then a scan up to the cut
+    def under(limits: dict[str, int]) -> Column:
+        within = F.lit(False)
+        for lang, h in limits.items():
+            within = within | ((F.col("lang") == lang) & (F.col("h") <= h))
+        return within
+
+    sizes = train.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row per language
+    few = train.select("lang", "h").filter(under({r["lang"]: _LOWEST + min(_SPAN, _SPAN * 4 * SAMPLE // max(1, r["n"])) for r in sizes})).distinct()
     first = Window.partitionBy("lang").orderBy("h")
-    ranked = train.select("lang", "h").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SAMPLE)
+    ranked = few.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SAMPLE)
     cut = {r["lang"]: r["cut"] for r in ranked.groupBy("lang").agg(F.max("h").alias("cut")).collect()}  # one row per language
-    within = F.lit(False)
-    for lang, h in cut.items():
-        within = within | ((F.col("lang") == lang) & (F.col("h") <= h))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +166,8 @@ def fit(train: DataFrame) -> dict | None:
                     [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(length_class(counts), pa.int64()),
                      pa.array([r.astype(np.float16).tobytes() for r in v], pa.binary())], ["lang", "h", "size", "v"])
 
-    rows = train.filter(within).select("lang", "text", "h").mapInArrow(vectors, "lang string, h long, size long, v binary")
-    rows = rows.toArrow()  # at most SAMPLE rows of 8 KB per language (repeated rows share a hash)
+    rows = train.filter(under(cut)).select("lang", "text", "h").dropDuplicates(["lang", "h"])
+    rows = rows.mapInArrow(vectors, "lang string, h long, size long, v binary").toArrow()  # at most SAMPLE rows of 8 KB per language
     lang, h = np.array(rows["lang"].to_pylist()), rows["h"].to_numpy()
     size = rows["size"].to_numpy()
     x = np.stack([np.frombuffer(v, np.float16) for v in rows["v"].to_pylist()]).astype(np.float32)
@@ -145,14 +179,15 @@ def fit(train: DataFrame) -> dict | None:
         centroids.append(c)
         owner += [i] * len(c)
     centroids, owner = np.concatenate(centroids), np.array(owner)
-    own = np.array([(x[j] @ centroids[owner == names.index(lang[j])].T).max() for j in range(len(x))])
-    least = np.full(32, np.nan)
-    for s in range(32):
-        near = np.abs(size - s) <= 1
-        if near.any():
-            least[s] = own[near].min() * MARGIN
-    known = np.flatnonzero(~np.isnan(least))
-    least = least[known[np.argmin(np.abs(known[None, :] - np.arange(32)[:, None]), axis=1)]]
+    near = x @ centroids.T
+    least = np.zeros((len(names), CLASSES))
+    for i, name in enumerate(names):
+        cosine, own = near[:, owner == i].max(axis=1), lang == name
+        typical = typical_cosines(cosine[own], size[own])
+        ratio = cosine / np.maximum(typical[size], 1e-12)
+        others = np.quantile(ratio[~own], 1 - TAIL) if (~own).any() else 0.0
+        grams = 2.0 ** (np.arange(CLASSES) / 2)
+        least[i] = typical * (np.quantile(ratio[own], TAIL) + others) / 2 * grams / (grams + SHORT)  # short texts vary more
     return {"names": names, "idf": idf, "centroids": centroids, "owner": owner, "least": least}
 
 
@@ -174,7 +209,7 @@ def predict(rows: DataFrame, model: dict | None, text_col: str = "text") -> Data
                 score = np.clip(by[np.arange(len(by)), best], 0, 1).astype(float)
                 letters = batch.column(len(names)).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
                 best, score = np.where(letters, best, len(labels) - 1), np.where(letters, score, 0.0)
-                far = ~letters | (score < model["least"][length_class(counts)])
+                far = ~letters | (score < np.append(model["least"], np.zeros((1, CLASSES)), axis=0)[best, length_class(counts)])
                 yield pa.RecordBatch.from_arrays(
                     [*[c.slice(a, b - a) for c in columns], pa.array(np.array(labels, object)[best], pa.string()), pa.array(score), pa.array(far)],
                     [*names, "_lang", "_score", "_rejected"])
