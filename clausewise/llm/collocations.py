@@ -29,6 +29,7 @@ computed in 38-digit decimals.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +39,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import materialise, table, text_slices
+from clausewise.session import checkpoint_dir
 
 TILE = 1024
 DENSE = TILE * TILE // 16   # pairs from which a tile is counted densely
-HELD = 4_000_000            # pairs a task holds before it counts them
+HELD = 1_000_000            # pairs a task holds before it counts them
 MAX_IDS = 400_000           # ids of a level's dictionary
 ID_BYTES = 64               # longest word (and language name) in the dictionary
-BLOCK = 2_000_000           # text bytes of a block, one document at least
+BLOCK = 256_000             # text bytes of a block, one document at least
+GROUP_BYTES = 8_000_000     # of blocks read at once
 SALT = 8
 NONE, OPEN = -1, -2         # certainly not frequent; not ranked, may be frequent
 
@@ -99,6 +102,16 @@ def word_blocks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "lang string, words array<string>, counts array<long>, ids array<int>")
 
 
+def written_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """`word_blocks` in the shared folder, in row groups of bounded bytes: a
+    scan holds one of them at a time."""
+    spark = docs.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/word-blocks-{uuid.uuid4().hex}"
+    blocks = word_blocks(docs, lang_col, text_col)
+    blocks.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).parquet(path)
+    return spark.read.schema(blocks.schema).parquet(path)
+
+
 def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
@@ -124,55 +137,51 @@ def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([*keys, sparse]), np.concatenate([*sums, times])
 
 
-class Level:
-    """Ids of the most frequent phrases of one length.
-
-    `words`: for single words, per language (words, ids); else `keys`, the
-    ascending id pairs of the level before, and their `ids`.  `open`: frequent
-    phrases of this length exist that have no id."""
-
-    def __init__(self, words=None, keys=None, ids=None, open=False):  # noqa: A002
-        self.words, self.keys, self.ids, self.open = words, keys, ids, open
-
-    def of_words(self, lang: str, words: pa.Array) -> np.ndarray:
-        out = np.full(len(words), OPEN if self.open else NONE, np.int64)
-        if lang in self.words:
-            known, ids = self.words[lang]
-            at = pc.index_in(words, value_set=known).to_numpy(zero_copy_only=False)
-            found = ~np.isnan(at.astype(float))
-            out[found] = ids[at[found].astype(np.int64)]
-        return out
-
-    def of_pairs(self, status: np.ndarray) -> np.ndarray:
-        """Status of each phrase of this length from that of one word less."""
-        left, right = status[:-1], status[1:]
-        out = np.full(len(left), NONE, np.int64)
-        if self.open:
-            out[(left != NONE) & (right != NONE)] = OPEN
-        both = np.flatnonzero((left >= 0) & (right >= 0))
-        key = left[both] << 32 | right[both]
-        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        if len(self.keys):
-            found = self.keys[at] == key
-            out[both[found]] = self.ids[at[found]]
-        return out
-
-
-def longer(blocks: DataFrame, levels: list[Level]) -> DataFrame:
+# A level holds the ids of the most frequent phrases of one length, in plain values so that it can be sent anywhere:
+# "words", per language (words, ids), or "keys", the ascending id pairs of the level before, with their "ids";
+# "open": frequent phrases of this length exist that have no id.
+
+def word_status(level: dict, lang: str, words: pa.Array) -> np.ndarray:
+    """Id, NONE or OPEN of each word."""
+    out = np.full(len(words), OPEN if level["open"] else NONE, np.int64)
+    if lang in level["words"]:
+        known, ids = level["words"][lang]
+        at = pc.index_in(words, value_set=known)
+        found = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        out[found] = ids[at.drop_null().to_numpy()]
+    return out
+
+
+def pair_status(level: dict, status: np.ndarray) -> np.ndarray:
+    """Status of each phrase of this length from that of one word less."""
+    left, right, keys = status[:-1], status[1:], level["keys"]
+    out = np.full(len(left), NONE, np.int64)
+    if level["open"]:
+        out[(left != NONE) & (right != NONE)] = OPEN
+    both = np.flatnonzero((left >= 0) & (right >= 0))
+    key = left[both] << 32 | right[both]
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        found = keys[at] == key
+        out[both[found]] = level["ids"][at[found]]
+    return out
+
+
+def longer(blocks: DataFrame, levels: list[dict]) -> DataFrame:
     """key (pair of ids) or lang and phrase, with partial counts n: the
     phrases of one word more than the last level."""
     size = len(levels) + 1
     shared = blocks.sparkSession.sparkContext.broadcast(levels)
-    texts = levels[-1].open
+    texts = levels[-1]["open"]
     names = ["key", "lang", "phrase", "n"] if texts else ["key", "n"]
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        left, right = np.concatenate(held[::2] or [np.zeros(0, np.int64)]), np.concatenate(held[1::2] or [np.zeros(0, np.int64)])
-        key, n = count_pairs(left, right)
+        none = [np.zeros(0, np.int32)]
+        key, n = count_pairs(*[np.concatenate(side or none).astype(np.int64) for side in (held[::2], held[1::2])])
         empty = [pa.nulls(len(key), pa.string())] * 2 if texts else []
-        for a in range(0, len(key), 500_000):
+        for a in range(0, len(key), 100_000):
             columns = [pa.array(key), *empty, pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([c.slice(a, 500_000) for c in columns], names)
+            yield pa.RecordBatch.from_arrays([c.slice(a, 100_000) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -181,12 +190,12 @@ def longer(blocks: DataFrame, levels: list[Level]) -> DataFrame:
             for i in range(batch.num_rows):
                 lang, words = batch.column(0)[i].as_py(), batch.column(1)[i].values
                 ids = batch.column(2)[i].values.to_numpy()
-                status = np.append(known[0].of_words(lang, words), NONE)[ids]  # -1, a piece's end, takes the last
+                status = np.append(word_status(known[0], lang, words), NONE)[ids]  # -1, a piece's end, takes the last
                 for level in known[1:]:
-                    status = level.of_pairs(status)
+                    status = pair_status(level, status)
                 left, right = status[:-1], status[1:]
                 both = (left >= 0) & (right >= 0)
-                held += [left[both], right[both]]
+                held += [left[both].astype(np.int32), right[both].astype(np.int32)]
                 n_held += int(both.sum())
                 if n_held >= HELD:
                     yield from flush(held)
@@ -236,7 +245,7 @@ def frequent_phrases(blocks: DataFrame, min_count: int = 100, longest: int = 5,
     single = (blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
               .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f")).filter(F.col("f") >= min_count))
     found = [materialise(single.select("lang", "phrase", F.lit(1).alias("words"), "f", F.lit(None).cast("long").alias("key")), "phrases-1")]
-    levels: list[Level] = []
+    levels: list[dict] = []
     while len(found) < longest:
         rankable = found[-1].filter(F.col("key").isNotNull()) if levels else found[-1].filter(
             (F.octet_length("phrase") <= ID_BYTES) & (F.octet_length("lang") <= ID_BYTES))
@@ -248,14 +257,14 @@ def frequent_phrases(blocks: DataFrame, min_count: int = 100, longest: int = 5,
         left_out = n_frequent > len(top)
         if levels:
             pairs = sorted((r["key"], ids[r["lang"], r["phrase"]]) for r in top)
-            levels.append(Level(keys=np.array([p[0] for p in pairs], np.int64), ids=np.array([p[1] for p in pairs], np.int64), open=left_out))
+            levels.append({"keys": np.array([p[0] for p in pairs], np.int64), "ids": np.array([p[1] for p in pairs], np.int64), "open": left_out})
         else:
             by_lang: dict = {}
             for (lang, word), i in ids.items():
                 by_lang.setdefault(lang, ([], []))
                 by_lang[lang][0].append(word)
                 by_lang[lang][1].append(i)
-            levels.append(Level(words={k: (pa.array(w, pa.string()), np.array(i, np.int64)) for k, (w, i) in by_lang.items()}, open=left_out))
+            levels.append({"words": {k: (pa.array(w, pa.string()), np.array(i, np.int64)) for k, (w, i) in by_lang.items()}, "open": left_out})
         named = spark.createDataFrame(pa.table({"id": pa.array(ids.values(), pa.int32()), "lang": pa.array([k[0] for k in ids], pa.string()),
                                                 "phrase": pa.array([k[1] for k in ids], pa.string())}))
         by_text = ["lang", "phrase"] if left_out else []
@@ -293,7 +302,7 @@ def _part(start: Column, length: Column) -> Column:
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = 100, longest: int = 5,
                  top: int = 2000, max_ids: int = MAX_IDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's `top` phrases."""
-    blocks = materialise(word_blocks(docs, lang_col, text_col), "word-blocks")
+    blocks = written_blocks(docs, lang_col, text_col)
     totals = (blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n"))
               .groupBy("lang").agg(F.sum("n").alias("n")))
     counts = frequent_phrases(blocks, min_count, longest, max_ids)
