@@ -11,7 +11,8 @@ with all rows, in blocks.
 
 If lengths differ, rows are indexed in bands of similar length (BAND: the longest is
 at most so many times the shortest).  In a band each row first gets one more
-component that levels it to the band's longest row, so that the largest inner
+component that levels it to the band's longest row (lengths are compared by their logarithms and vectors
+scaled by their largest component first, so no finite vector overflows or vanishes), so that the largest inner
 product is the smallest angle; a query probes every band.  The rows of bands with
 fewer than `exact_rows` rows are compared with all queries, in blocks.
 
@@ -21,7 +22,8 @@ components) recall@20 is at least 0.9 on all given tables (tests, README).
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do null ids; of several vectors with one id the
 smallest counts; only vectors of the query's length are candidates; ties go to
-the smaller id; fewer than k candidates are all returned; empty tables give
+the smaller id; an inner product that overflows is infinite, one that is then no number counts as
+the lowest; fewer than k candidates are all returned; empty tables give
 no rows; other columns are ignored.
 """
 
@@ -62,15 +64,15 @@ def rotated(unit: np.ndarray, tbl: int, seed: int) -> np.ndarray:
     return a
 
 
-def unit_rows(vec: np.ndarray, longest: np.ndarray, level: bool, query: bool) -> np.ndarray:
-    """Unit vectors; with `level`, rows get the component that makes their
-    length `longest`, one per row (queries get 0)."""
-    norm = np.linalg.norm(vec, axis=1)
+def unit_rows(vec: np.ndarray, part: np.ndarray, level: bool, query: bool) -> np.ndarray:
+    """Unit vectors; with `level`, rows are scaled to `part` of the unit length
+    and get the component that makes up for it (queries get 0)."""
+    vec = vec / np.abs(vec).max(axis=1, keepdims=True)
+    vec = vec / np.linalg.norm(vec, axis=1, keepdims=True)
     if level:
-        rest = np.zeros(len(vec)) if query else np.sqrt(np.maximum(longest ** 2 - norm ** 2, 0.0))
-        vec = np.concatenate([vec, rest[:, None]], axis=1)
-        norm = np.linalg.norm(vec, axis=1)
-    return vec / norm[:, None]
+        part = np.ones(len(vec)) if query else np.minimum(part, 1.0)
+        vec = np.concatenate([vec * part[:, None], np.sqrt(1.0 - part ** 2)[:, None]], axis=1)
+    return vec
 
 
 def buckets(rot: np.ndarray) -> np.ndarray:
@@ -88,18 +90,18 @@ def probes(rot: np.ndarray, n: int) -> np.ndarray:
 
 
 def _keyed(rows: DataFrame, level: bool, tables: int, n_probes: int | None, seed: int) -> DataFrame:
-    """Rows (vec_id, vec, band, longest) with their buckets (n_probes None) or queries with their probes:
+    """Rows (vec_id, vec, band, part) with their buckets (n_probes None) or queries with their probes:
     an array per row, exploded to (tbl, bucket)."""
 
     def hashed(batches):
         for batch in batches:
-            ids, vecs, longest = batch.column(0), batch.column(1), batch.column(3).to_numpy()
+            ids, vecs, part_of = batch.column(0), batch.column(1), batch.column(3).to_numpy()
             dims = np.diff(vecs.offsets.to_numpy())
             keys: list[list[int]] = [[]] * len(ids)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 part = vecs.take(pa.array(at))
-                unit = unit_rows(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim), longest[at], level, n_probes is not None)
+                unit = unit_rows(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim), part_of[at], level, n_probes is not None)
                 cols = []
                 for t in range(tables):
                     rot = rotated(unit, t, seed)
@@ -116,6 +118,13 @@ def _keyed(rows: DataFrame, level: bool, tables: int, n_probes: int | None, seed
     return out.select("vec_id", "vec", "band", F.size("vec").alias("dim"), F.explode("keys").alias("bucket"))
 
 
+def lengths(vec: np.ndarray) -> np.ndarray:
+    """Lengths of rows that hold no zero row, without squares that overflow."""
+    top = np.abs(vec).max(axis=1)
+    with np.errstate(over="ignore"):
+        return top * np.linalg.norm(vec / top[:, None], axis=1)
+
+
 def group_top_k(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """Exact k best of a group's rows for each of its queries."""
     out: list[tuple] = []
@@ -124,15 +133,23 @@ def group_top_k(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         order = np.argsort(ids, kind="stable")
         ids, vec = ids[order], matrix(rows, "vec", np.float64)[order]
         qids, qvec = queries["vec_id"].to_numpy(), matrix(queries, "vec", np.float64)
+        # a product may be off by so much from the sum of its terms, in whatever order it was taken
+        off = 1e-15 * vec.shape[1]
+        size, qsize = lengths(vec), lengths(qvec)
         for a in range(0, len(qids), 256):
-            score = qvec[a:a + 256] @ vec.T
             own = ids[None, :] == qids[a:a + 256, None]
-            score[own] = -np.inf
-            cut = np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = qvec[a:a + 256] @ vec.T
+                slack = off * qsize[a:a + 256, None] * size[None, :]
+                least, most = score - slack, score + slack
+            least[np.isnan(least) | own] = -np.inf
+            most[np.isnan(most)] = np.inf
+            cut = np.partition(least, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
             for i in range(len(score)):
-                slack = 1e-9 * (1.0 + abs(cut[i])) if np.isfinite(cut[i]) else 0.0
-                at = np.flatnonzero((score[i] >= cut[i] - slack) & ~own[i])
-                exact = (vec[at] * qvec[a + i]).sum(axis=1)  # the same sum in every group
+                at = np.flatnonzero((most[i] >= cut[i]) & ~own[i])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    exact = (vec[at] * qvec[a + i]).sum(axis=1)  # the same sum in every group
+                exact[np.isnan(exact)] = -np.inf
                 pick = np.lexsort((ids[at], -exact))[:k]
                 out.append((np.full(len(pick), qids[a + i], np.int64), ids[at][pick], exact[pick]))
     if not out:
@@ -145,28 +162,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
             tables: int = 14, n_probes: int = 8, chunk_rows: int = 4096, chunk_queries: int = 1024, seed: int = 11,
             exact_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score.  `is_query` is a Column over vec_id."""
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = one_per_id(vectors, id_col, vec_col).withColumn("sq", square).filter("sq > 0")
-    rows = materialise(rows, "ann-rows")
-    span = rows.agg(F.min("sq"), F.max("sq"), F.count("*"), F.count(F.when(is_query, 1))).first()
+    rows = one_per_id(vectors, id_col, vec_col).withColumn("top", F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))).filter("top > 0")
+    share = F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x.cast("double") / F.col("top")) * (x.cast("double") / F.col("top")))
+    rows = materialise(rows.withColumn("size", F.log("top") + F.log(share) / 2).drop("top"), "ann-rows")  # logarithm of the length
+    span = rows.agg(F.min("size"), F.max("size"), F.count("*"), F.count(F.when(is_query, 1))).first()
     if not span[3]:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    level, longest, n_rows, n_queries = span[0] < span[1] * (1 - 1e-3), float(span[1]) ** 0.5, span[2], span[3]
+    level, n_rows, n_queries = span[0] < span[1] - 5e-4, span[2], span[3]
     queries = rows.filter(is_query).select("vec_id", "vec")
-    banded = rows.withColumn("band", F.floor(F.log(F.lit(span[1]) / F.col("sq")) / F.lit(2 * np.log(BAND))).cast("int") if level else F.lit(0))
+    banded = rows.withColumn("band", F.floor((F.lit(span[1]) - F.col("size")) / F.lit(float(np.log(BAND)))).cast("int") if level else F.lit(0))
     rows = rows.select("vec_id", "vec")
     few, n_few = None, 0
     if level:
         # one row per band: at most some thousands, whatever the table
-        bands = materialise(banded.groupBy("band").agg(F.sqrt(F.max("sq")).alias("longest"), F.count("*").alias("n")), "ann-bands")
-        banded = banded.join(F.broadcast(bands), "band")
+        bands = materialise(banded.groupBy("band").agg(F.max("size").alias("longest"), F.count("*").alias("n")), "ann-bands")
+        banded = banded.join(F.broadcast(bands), "band").withColumn("part", F.exp(F.col("size") - F.col("longest")))
         n_few = bands.filter(F.col("n") < exact_rows).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         few = materialise(banded.filter(F.col("n") < exact_rows).select("vec_id", "vec"), "ann-few")
         banded = banded.filter(F.col("n") >= exact_rows)
     else:
-        banded = banded.withColumn("longest", F.lit(longest))
-    index = _keyed(banded.select("vec_id", "vec", "band", "longest"), level, tables, None, seed)
-    asked = _keyed(queries.select("vec_id", "vec", F.lit(0).alias("band"), F.lit(longest).alias("longest")), level, tables, n_probes, seed).drop("band")
+        banded = banded.withColumn("part", F.lit(1.0))
+    index = _keyed(banded.select("vec_id", "vec", "band", "part"), level, tables, None, seed)
+    asked = _keyed(queries.select("vec_id", "vec", F.lit(0).alias("band"), F.lit(1.0).alias("part")), level, tables, n_probes, seed).drop("band")
     # bucket sizes: at most tables * 2 * D rows per vector length and band
     load = index.groupBy("dim", "band", "bucket").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("n_chunks"))
     ask = asked.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / F.lit(chunk_queries)).cast("int").alias("q_chunks"))

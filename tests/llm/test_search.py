@@ -98,6 +98,30 @@ def test_nearest_scores_are_exact_and_groups_do_not_matter(spark):
         assert all(s == (vecs[q] * vecs[i]).sum() for i, s in found)
 
 
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(8)
+    scale = {0: 1e160, 1: 1e-170, 2: 5e-324, 3: 1e307, 4: 1.0, 5: 1e-160}
+    vecs = {i: np.sign(rng.normal(size=8)) * scale[i % 6] * (1 if i % 6 == 2 else 1 + i % 5 / 4) for i in range(60)}
+    df = spark.createDataFrame(rows_of(vecs.items()), SCHEMA)
+    for exact_rows in (2048, 1):
+        got = got_of(nearest(df, F.col("vec_id") % 5 == 0, 20, exact_rows=exact_rows, n_probes=16))
+        assert set(got) == set(range(0, 60, 5))
+        for q, found in got.items():
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = {i: (vecs[q] * v).sum() for i, v in vecs.items() if i != q}
+            low = {i: -math.inf if math.isnan(x) else x for i, x in score.items()}
+            want = sorted(low.items(), key=lambda x: (-x[1], x[0]))[:20]
+            assert len(found) == 20 and all(low[i] == s for i, s in found)
+            if exact_rows == 2048:  # all bands are small: compared with all rows
+                assert found == want
+
+
+def test_equal_scores_at_the_cut(spark):
+    vecs = {i: np.array([1.0, i % 3, 0.0]) for i in range(50)}
+    got = got_of(nearest(spark.createDataFrame(rows_of(vecs.items()), SCHEMA), F.col("vec_id") % 20 == 0, 20))
+    assert got == brute(vecs, (0, 20, 40), 20)
+
+
 def test_few_rows_are_all_returned(spark):
     rng = np.random.default_rng(4)
     vecs = {i: rng.normal(size=32) for i in range(15)}
