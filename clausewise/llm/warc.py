@@ -11,8 +11,8 @@ record magic, so each piece is one candidate record or a part of a payload that
 holds the magic.  Tasks emit each candidate's offset and its successor's (header
 and Content-Length); pointer jumping from the file starts (doubling, one join a
 round, narrow rows) keeps the candidates on the chain.  A record whose payload
-holds the magic spans several pieces; only those pieces are read once more and put
-together.  A chain that does not end at the end of its file raises an error row
+holds the magic spans several pieces; only those pieces are read once more, found by file,
+length and content hash (however the second read is split), and put together.  A chain that does not end at the end of its file raises an error row
 (`broken`), which the reader reports rather than hides.
 
 All of it is DataFrame work; payloads are never shuffled except those of
@@ -20,9 +20,8 @@ records that span pieces (and, beyond the broadcast threshold of the digests tha
 occur more than once, the rows to write).
 
 Edge cases: a null payload is empty; null ids are written as an empty id and
-read back as null, and count as the smallest id; rows that repeat one id and
-payload give one response and revisits of it; an empty table gives no archive and no
-rows; other columns are ignored; CR or LF in a URL are written as blanks.
+read back as null, and count as the smallest id; rows that repeat the largest id of
+a payload are all responses; an empty table gives no archive and no rows; other columns are ignored; CR or LF in a URL are written as blanks.
 """
 
 from __future__ import annotations
@@ -98,7 +97,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     whole = F.col("bytes") >= F.col("head_bytes") + F.col("length")
     payload = F.substring(value.cast("binary"), (F.col("head_bytes") + 1).cast("int"), F.col("length").cast("int"))
     p = p.select(
-        "file", "split", "row", "bytes", "head_bytes", "length", F.when(whole, base32_sha1(payload)).alias("body_digest"),
+        "file", "split", "row", "bytes", F.xxhash64("value").alias("content"), "head_bytes", "length", F.when(whole, base32_sha1(payload)).alias("body_digest"),
         _field(F.col("head"), "WARC-Type").alias("record_type"),
         F.regexp_extract("head", r"WARC-Record-ID: <urn:page:(-?\d+)>", 1).try_cast("long").alias("page_id"),
         F.regexp_extract("head", r"WARC-Refers-To: <urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
@@ -160,8 +159,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                              "length", "body_digest")
     if spanning.count():
         part = found.alias("f").join(spanning.alias("s"), F.expr("f.file = s.file AND f.offset >= s.start AND f.offset < s.next")).select(
-            "f.file", "f.split", "f.row", "f.offset", "s.start", "s.head_bytes", "s.length")
-        text = _pieces(spark, path).join(part, ["file", "split", "row"])
+            "f.file", "f.offset", "f.bytes", "f.content", "s.start", "s.head_bytes", "s.length")
+        part = materialise(part, "warc-parts")
+        # equal pieces of one file are interchangeable: one of each is kept
+        key = ["file", "bytes", "content"]
+        again = _pieces(spark, path).select("file", F.octet_length("value").cast("long").alias("bytes"), F.xxhash64("value").alias("content"), "value")
+        text = again.join(part.select(*key).distinct(), key, "left_semi").dropDuplicates(key).join(part, key)
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC)
         whole = text.groupBy("file", "start").agg(F.first("head_bytes").alias("hb"), F.first("length").alias("len"), body.alias("text"))
         payload = F.substring(F.col("text").cast("binary"), (F.col("hb") + 1).cast("int"), F.col("len").cast("int"))
