@@ -24,9 +24,10 @@ single task or a broadcast-sized join side.
 
 Edge cases: null text has size 0; a null source is a source of its own, last;
 a source without words has target 0 and is not taken; documents of size 0
-weigh nothing and follow their hash like others; rows that repeat one doc_id
-and size share a hash and are taken or left together; an empty table gives no
-rows; extra columns are ignored by `mix_plan` and kept by `mix`.
+weigh nothing and follow their hash like others; null and repeated ids are told apart by
+their texts, rows that repeat id, text and source share a hash and are taken or left
+together; an empty table gives no rows; extra columns are ignored by `mix_plan` and kept by
+`mix`.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     size = words_expr(F.col(text_col))
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"), size.alias("size"),
-        _hash(id_col, size, seed).alias("h"))
+        _hash(id_col, text_col, seed).alias("h"))
 
 
 #: Per-source rows are broadcast only up to this many sources (checked).
@@ -155,11 +156,16 @@ def _splits(cuts: DataFrame, n_shards: int, seed: int) -> DataFrame:
 BLOCK = "CASE WHEN bits = 0 THEN 0L ELSE shiftright({h}, 63 - bits) END"
 
 
-def _configured(sizes: DataFrame, total_share: float, max_repeats: float, weights: tuple[int, ...], n_shards: int,
-                block_docs: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """(per source: target, cut and blocks; src, at -> shard; number of sources)."""
+#: Words of a shard (about 128 MB of text), and the least number of shards.
+SHARD_WORDS, LEAST_SHARDS = 20_000_000, 64
+
+
+def _configured(sizes: DataFrame, total_share: float, max_repeats: float, weights: tuple[int, ...], n_shards: int | None,
+                block_docs: int, seed: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(per source: target, cut and blocks; src, at -> shard; numbers of sources and shards)."""
     per = materialise(targets(sizes, total_share, max_repeats, weights), "mix-targets")
-    n_sources = per.count()
+    n_sources, words = per.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    n_shards = n_shards or max(LEAST_SHARDS, int(-(-words // SHARD_WORDS)))
     cuts = _last_hash(sizes, _cuts(sizes, per, n_sources), n_sources)
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("n_docs") / F.lit(block_docs), F.lit(1.0))))).cast("int")
     cuts = cuts.withColumn("bits", bits).withColumn("width", F.expr("shiftleft(1L, bits)"))
@@ -167,7 +173,7 @@ def _configured(sizes: DataFrame, total_share: float, max_repeats: float, weight
     part = F.when(F.col("cut_h") > 0, F.expr(BLOCK.format(h="(cut_h - 1)")) + 1).otherwise(0)
     cuts = materialise(cuts.withColumn("blocks", F.col("passes") * F.col("width") + part), "mix-cuts")
     span = _splits(cuts, n_shards, seed).select(F.col("src").alias("b_src"), "shard", F.explode(F.expr("sequence(first, first + quota - 1)")).alias("b_at"))
-    return cuts, materialise(span, "mix-span"), n_sources  # written: the planner knows the table's size
+    return cuts, materialise(span, "mix-span"), n_sources, n_shards  # written: the planner knows the table's size
 
 
 def _copies(rows: DataFrame, cuts: DataFrame, n_sources: int) -> DataFrame:
@@ -184,17 +190,17 @@ def _drawn(copied: DataFrame, span: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("_shard", F.col("shard")).withColumn("_place", F.xxhash64(F.lit(seed + 1), "_h", "_pass"))
 
 
-def _hash(id_col: str, size, seed: int):
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), size), 1)
+def _hash(id_col: str, text_col: str, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 1)
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              total_share: float = 1.5, max_repeats: float = 2.0, weights: tuple[int, ...] = (5, 2, 1),
-             n_shards: int = 64, block_docs: int = 256, seed: int = 20) -> tuple[DataFrame, DataFrame]:
+             n_shards: int | None = None, block_docs: int = 256, seed: int = 20) -> tuple[DataFrame, DataFrame]:
     """(documents, draws).  documents: src, doc_id, size, source_size, target, copies,
     h - one row per input row.  draws: src, doc_id, h, pass, shard - one row per copy taken."""
     sizes = materialise(_sizes(docs, id_col, text_col, source_col, seed), "mix-sizes")
-    cuts, span, n_sources = _configured(sizes, total_share, max_repeats, weights, n_shards, block_docs, seed)
+    cuts, span, n_sources, _ = _configured(sizes, total_share, max_repeats, weights, n_shards, block_docs, seed)
     copied = _copies(sizes.withColumnRenamed("src", "_src").withColumnRenamed("h", "_h"), cuts, n_sources)
     draws = _drawn(copied, span, seed).select(
         F.col("_src").alias("src"), "doc_id", F.col("_h").alias("h"), F.col("_pass").alias("pass"), F.col("_shard").alias("shard"))
@@ -203,15 +209,15 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         total_share: float = 1.5, max_repeats: float = 2.0, weights: tuple[int, ...] = (5, 2, 1),
-        n_shards: int = 64, block_docs: int = 256, seed: int = 20) -> DataFrame:
+        n_shards: int | None = None, block_docs: int = 256, seed: int = 20) -> DataFrame:
     """The mixed corpus: the columns of `docs`, a row per copy, dealt by shard
     and shuffled inside it.  Texts move once, to their shard."""
     sizes = materialise(_sizes(docs, id_col, text_col, source_col, seed), "mix-sizes")
-    cuts, span, n_sources = _configured(sizes, total_share, max_repeats, weights, n_shards, block_docs, seed)
+    cuts, span, n_sources, n_shards = _configured(sizes, total_share, max_repeats, weights, n_shards, block_docs, seed)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, F.col(source_col).cast("string").alias("_src"), _hash(id_col, words_expr(F.col(text_col)), seed).alias("_h"))
+    rows = docs.select(row, F.col(source_col).cast("string").alias("_src"), _hash(id_col, text_col, seed).alias("_h"))
     drawn = _drawn(_copies(rows, cuts, n_sources), span, seed).select("_row", "_shard", "_place")
-    return drawn.repartition(n_shards, "_shard").sortWithinPartitions("_shard", "_place").select("_row.*")
+    return drawn.repartitionById(n_shards, "_shard").sortWithinPartitions("_shard", "_place").select("_row.*")
 
 
 def taken(doc: DataFrame, draws: DataFrame) -> DataFrame:

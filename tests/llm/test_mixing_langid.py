@@ -119,6 +119,23 @@ def test_taken_of_repeated_and_null_ids(spark, tmp_path):
     assert mixed == +copies and any(r.copies == 2 and r.doc_id is None for r in plan)
 
 
+def test_null_ids_with_different_texts_meet_the_target(spark, tmp_path):
+    rows = [(None, f"a b c d e t{i}", None, "s") for i in range(400)] + [(i, "x y " * 500, None, "t") for i in range(40)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in mixing.op10_mixture(spark, str(tmp_path)).collect() if r.doc_id is None]
+    target, taken = got[0].target, sum(r.taken for r in got)
+    assert len(got) == 400 and abs(taken - target) <= 6 and {r.taken for r in got} <= {0, 6, 12}
+
+
+def test_shards_follow_the_input(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 10)
+    monkeypatch.setattr(mixing, "LEAST_SHARDS", 2)
+    df = frame(spark, [(i, "w " * 5, None, "ab"[i % 2]) for i in range(60)])
+    mixed = mixing.mix(df, block_docs=4)
+    assert mixed.rdd.getNumPartitions() == 45  # 300 words, 450 of them drawn
+    assert sum(1 for p in mixed.rdd.glom().map(len).collect() if p) > 20
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in langid.op4_langid(spark, MORE).collect()}
     docs = table(spark, MORE, "documents").select("doc_id", "lang", "text").collect()
