@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,34 +35,70 @@ def similarity_matrix(q: np.ndarray, q_n2: np.ndarray, s: np.ndarray, s_n2: np.n
     return sim, 1.0 - sim
 
 
-SLICE_TOKENS = 2_000_000   # tokens scored per numpy step inside one Arrow batch
-
-
-def _score_slice(values: list, store: np.ndarray, store_n2: np.ndarray, dim: int, metric: str) -> list:
-    """Best similarity per chunk for a slice of documents (list of bag lists)."""
-    sizes = [0 if v is None else len(v) for v in values]
-    chunks = [np.asarray(b, dtype=np.int64) for v in values if v is not None for b in v]
-    if not chunks:
-        return [None if v is None else [] for v in values]
-    lens = np.array([len(c) for c in chunks])
-    rows = np.repeat(np.arange(len(chunks)), lens)
-    flat = np.concatenate(chunks) if lens.sum() else np.zeros(0, dtype=np.int64)
-    counts = np.bincount(rows * dim + flat, minlength=len(chunks) * dim).reshape(len(chunks), dim)
-    q, q_n2 = unit_rows(counts.astype(np.float64))
-    if store.shape[0] == 0:
-        sims = np.full(len(chunks), np.nan)
-    else:
-        sims = similarity_matrix(q, q_n2, store, store_n2, metric)[0].max(axis=1)
-    out, i = [], 0
-    for v, n in zip(values, sizes):
-        if v is None:
-            out.append(None)
-        else:
-            out.append([None if np.isnan(x) else float(x) for x in sims[i:i + n]])
-            i += n
+CELLS = 1_000_000   # of a dense matrix (or score matrix) held at once
+SLICE_TOKENS = 2_000_000   # tokens of the documents scored together
+
+
+def _flat(lists: pa.Array | pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, rows + 1 offsets) of a list column; a null list has none."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    off = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=off[1:])
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), off
+
+
+def vector_matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column of one length as a matrix."""
+    flat, off = _flat(lists, np.float64)
+    size = np.diff(off)
+    if len(size) and size.min() != size.max():
+        raise ValueError(f"vectors of {size.min()} and of {size.max()} components in one column")
+    return flat.reshape(len(size), -1) if len(size) else flat.reshape(0, 0)
+
+
+def bag_matrix(bags: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Bucket bags as unit-length count vectors (zero rows for empty bags)."""
+    flat, off = _flat(bags, np.int64)
+    return _counted(flat, off, dim)
+
+
+def _counted(flat: np.ndarray, off: np.ndarray, dim: int) -> np.ndarray:
+    rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    counts = np.bincount(rows * dim + flat, minlength=(len(off) - 1) * dim).reshape(len(off) - 1, dim)
+    return unit_rows(counts.astype(np.float64))[0]
+
+
+def best_similarities(flat: np.ndarray, off: np.ndarray, store: np.ndarray, store_n2: np.ndarray, dim: int, metric: str) -> np.ndarray:
+    """Best similarity of each bag to any store row (NaN for an empty store), in
+    slices whose vectors and scores have about CELLS cells."""
+    n = len(off) - 1
+    out = np.full(n, np.nan)
+    step = max(1, CELLS // max(dim, len(store), 1))
+    for a in range(0, n if len(store) else 0, step):
+        b = min(n, a + step)
+        q = _counted(flat[off[a]:off[b]], off[a:b + 1] - off[a], dim)
+        out[a:b] = similarity_matrix(q, (q * q).sum(axis=1), store, store_n2, metric)[0].max(axis=1)
     return out
 
 
+def dense_vectors(bags: Column, dim: int) -> Column:
+    """Unit-length dense vectors of bucket bags (a null bag gives zeros): work and
+    memory grow with the tokens, not with tokens x dimension."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(col: pd.Series) -> pd.Series:
+        out: list = []
+        step = max(1, CELLS // dim)
+        for a in range(0, len(col), step):
+            part = [np.zeros(0, np.int64) if b is None else np.asarray(b, np.int64) for b in col.iloc[a:a + step]]
+            off = np.zeros(len(part) + 1, np.int64)
+            np.cumsum([len(p) for p in part], out=off[1:])
+            out += list(_counted(np.concatenate(part), off, dim))
+        return pd.Series(out)
+    return embed(bags)
+
+
 def best_match_for_bags(bags: Column, store_bc, dim: int, metric: str) -> Column:
     """For `array<array<int>>` (bucket bags of a document's chunks) return
     `array<double>`: each chunk's best similarity to any store vector (NULL
@@ -70,17 +108,21 @@ def best_match_for_bags(bags: Column, store_bc, dim: int, metric: str) -> Column
     def best(col: pd.Series) -> pd.Series:
         store, store_n2 = store_bc.value
         out: list = []
-        # work through the batch in slices of bounded token volume, so peak
-        # memory does not grow with the batch size or the document length
-        start = 0
-        values = list(col)
-        while start < len(values):
+        values, start = list(col), 0
+        while start < len(values):  # runs of documents with about SLICE_TOKENS tokens
             end, tokens = start, 0
             while end < len(values) and (end == start or tokens < SLICE_TOKENS):
-                v = values[end]
-                tokens += 0 if v is None else sum(len(b) for b in v)
+                tokens += 0 if values[end] is None else sum(map(len, values[end]))
                 end += 1
-            out.extend(_score_slice(values[start:end], store, store_n2, dim, metric))
+            bags = [b for v in values[start:end] if v is not None for b in v]
+            off = np.zeros(len(bags) + 1, np.int64)
+            np.cumsum([len(b) for b in bags], out=off[1:])
+            flat = np.concatenate([np.zeros(0, np.int64), *bags]).astype(np.int64, copy=False)
+            sims, at = best_similarities(flat, off, store, store_n2, dim, metric), 0
+            for v in values[start:end]:
+                size = 0 if v is None else len(v)
+                out.append(None if v is None else [None if np.isnan(x) else float(x) for x in sims[at:at + size]])
+                at += size
             start = end
         return pd.Series(out)
 

@@ -6,6 +6,13 @@ its query group against its store block with matrix products and keeps each
 query's top k; a window over the query id merges the blocks' lists.  Queries
 move once per block and store rows once per group; nothing is broadcast, no pair
 becomes a row, and the result does not depend on the block size.
+
+A task holds its block once and a score matrix of CELLS cells; the best of a
+row are found by partial selection and only they are ranked.
+
+D3b deals store rows into fine cells first, in several tables: the cell of the
+nearest of a table's anchors, which are sampled store rows.  A query is
+scored against the cells of its nearest anchors with the same kernel.
 """
 
 from __future__ import annotations
@@ -13,20 +20,23 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # module-level, so worker-side code references them as globals (this package
 # is pickled by value; a function-local import would need it installed)
-from clausewise.functions.dense import similarity_matrix, unit_rows
-from clausewise.functions.vectors import dot
+from clausewise.functions.dense import bag_matrix, unit_rows, vector_matrix
 
 BLOCK_BYTES = 32_000_000   # of one side of a task
-QUERY_SLICE = 512          # queries scored per numpy step (bounds the similarity matrix)
+CELLS = 1_000_000          # of the score matrix held at once
 RANK_DECIMALS = 12         # ranking precision: closer similarities are ties, broken by id
 METRICS = ("l2", "cosine")
+TABLES, PROBES = 8, 3      # of the approximate search
+CELL_ROWS = 4              # store rows per anchor, up to MAX_CELLS cells a table
+MAX_CELLS = 1024
 
 
 def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l2",
@@ -44,128 +54,207 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    payload_cols = list(payload_cols or [])
-    size = store.agg(F.count(F.lit(1)), F.max(F.size(store_vec))).first()
-    fit = max(256, BLOCK_BYTES // (8 * max(1, size[1] or 1)))
-    n_blocks = max(1, math.ceil(size[0] / (block_rows or fit)))
-    groups = max(1, math.ceil(queries.count() / (query_rows_per_group or fit)))
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_q"))
-    st = store.select(F.col(store_id).alias("_sid"),
-                      F.transform(F.col(store_vec), lambda x: x.cast("double")).alias("_v"),
-                      *[F.col(c) for c in payload_cols])
-    return _cogroup_top_k(q, st, [], n_blocks, groups, k, metric, queries.schema[query_id].dataType,
-                          store.schema[store_id].dataType, payload_cols,
-                          [store.schema[c].dataType for c in payload_cols], exclude_self, query_kind,
-                          query_id)
-
-
-def _cogroup_top_k(q: DataFrame, st: DataFrame, key_cols: list[str], n_blocks: int, groups: int, k: int,
-                   metric: str, qtype, stype, payload_cols: list[str], payload_types: list, exclude_self: bool,
-                   query_kind: str, query_id: str) -> DataFrame:
-    """Shared kernel: q(_qid, _q, keys...) and st(_sid, _v, payload, keys...)
-    meet per (keys, block, group); each task scores a bounded query group
-    against a bounded store block with one matrix product and keeps its top
-    k; a window over the query id merges (a candidate met under several keys
-    counts once)."""
-    q = (q.withColumn("_grp", F.pmod(F.xxhash64("_qid"), F.lit(groups)).cast("int"))
+    n_store, dim, n_queries = _sizes(queries, store, store_vec)
+    fit = max(256, BLOCK_BYTES // (8 * max(1, dim)))
+    n_blocks = max(1, math.ceil(n_store / (block_rows or fit)))
+    groups = max(1, math.ceil(n_queries / (query_rows_per_group or fit)))
+    q = (_queries(queries, query_id, query_vec)
+         .withColumn("_grp", F.pmod(F.xxhash64("_qid"), F.lit(groups)).cast("int"))
          .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    st = (st.withColumn("_blk", F.pmod(F.xxhash64("_sid"), F.lit(n_blocks)).cast("int"))
+    st = (_store(store, store_id, store_vec, payload_cols)
+          .withColumn("_blk", F.pmod(F.xxhash64("_sid"), F.lit(n_blocks)).cast("int"))
           .withColumn("_grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
-    fields = [T.StructField("_qid", qtype), T.StructField("id", stype),
-              T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.DoubleType()),
-              T.StructField("neg_sim", T.DoubleType())] + \
-             [T.StructField(c, t) for c, t in zip(payload_cols, payload_types)]
-
-    def local_top_k(qpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(spdf) == 0:
-            return pd.DataFrame({f.name: [] for f in fields})
-        # score the query group in slices: the similarity matrix of one slice
-        # is QUERY_SLICE x block, whatever the group size
-        parts = [score_slice(qpdf.iloc[i:i + QUERY_SLICE], spdf) for i in range(0, len(qpdf), QUERY_SLICE)]
-        return pd.concat(parts, ignore_index=True)
-
-    def score_slice(qpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
-        s_mat = np.stack([np.asarray(v, dtype=np.float64) for v in spdf["_v"]])
-        s_ids = spdf["_sid"].to_numpy()
-        if query_kind == "bag":
-            qm = _bags_to_unit(qpdf["_q"], s_mat.shape[1])
-        else:
-            qm = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["_q"]])
-        sim, dist = similarity_matrix(qm, (qm * qm).sum(axis=1), s_mat, (s_mat * s_mat).sum(axis=1), metric)
-        if exclude_self:
-            sim = np.where(qpdf["_qid"].to_numpy()[:, None] == s_ids[None, :], -np.inf, sim)
-        order_ids = np.argsort(np.argsort(s_ids, kind="stable"), kind="stable")
-        kk = min(k, len(s_ids))
-        idx = np.lexsort((np.broadcast_to(order_ids, sim.shape), -np.round(sim, RANK_DECIMALS)), axis=1)[:, :kk]
-        r = np.arange(len(qpdf))[:, None]
-        keep = np.isfinite(sim[r, idx]).ravel()
-        out = {"_qid": np.repeat(qpdf["_qid"].to_numpy(), kk), "id": s_ids[idx].ravel(),
-               "similarity": sim[r, idx].ravel(), "distance": dist[r, idx].ravel()}
-        out["neg_sim"] = -np.round(out["similarity"], RANK_DECIMALS)
-        for c in payload_cols:
-            out[c] = spdf[c].to_numpy()[idx].ravel()
-        return pd.DataFrame(out)[keep]
-
-    keys = key_cols + ["_blk", "_grp"]
-    local = (q.groupBy(*keys).cogroup(st.groupBy(*keys))
-             .applyInPandas(local_top_k, T.StructType(fields)))
-    if key_cols:
-        local = local.dropDuplicates(["_qid", "id"])
+    return _best_of_groups(q, st, ["_blk", "_grp"], k, metric, list(payload_cols or []), exclude_self, query_kind, query_id)
+
+
+def _sizes(queries: DataFrame, store: DataFrame, store_vec: str) -> tuple[int, int, int]:
+    """(store rows, vector length, queries), counted in one job."""
+    both = store.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(store_vec)).alias("d")).join(queries.agg(F.count(F.lit(1)).alias("q")))
+    n, dim, q = both.first()
+    return n, dim or 0, q
+
+
+def _queries(queries: DataFrame, query_id: str, query_vec: str) -> DataFrame:
+    return queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_q"))
+
+
+def _store(store: DataFrame, store_id: str, store_vec: str, payload_cols: list[str] | None) -> DataFrame:
+    return store.select(F.col(store_id).alias("_sid"), F.col(store_vec).cast("array<double>").alias("_v"), *[F.col(c) for c in payload_cols or []])
+
+
+def _best_of_groups(q: DataFrame, st: DataFrame, keys: list[str], k: int, metric: str, payload_cols: list[str], exclude_self: bool,
+                    query_kind: str, query_id: str, met_once: bool = True) -> DataFrame:
+    """q(_qid, _q, keys) and st(_sid, _v, payload, keys) meet per key; each task keeps
+    its queries' top k, a window over the query id merges (a candidate met
+    under several keys counts once)."""
+    schema = T.StructType([T.StructField("_qid", q.schema["_qid"].dataType), T.StructField("id", st.schema["_sid"].dataType),
+                           T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.DoubleType()),
+                           T.StructField("neg_sim", T.DoubleType()), *[T.StructField(c, st.schema[c].dataType) for c in payload_cols]])
+
+    def local(queries: pa.Table, store: pa.Table) -> pa.Table:
+        return group_top_k(queries, store, k, metric, payload_cols, exclude_self, query_kind)
+
+    found = q.groupBy(*keys).cogroup(st.groupBy(*keys)).applyInArrow(local, schema)
+    if not met_once:
+        found = found.dropDuplicates(["_qid", "id"])
     w = Window.partitionBy("_qid").orderBy(F.col("neg_sim"), F.col("id"))
-    ranked = local.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     return ranked.select(F.col("_qid").alias(query_id), "rank", "id", "similarity", "distance", *payload_cols)
 
 
-def _bags_to_unit(bags, dim: int):
-    """Bucket bags -> unit-length count vectors (zero rows for empty bags)."""
-    arrs = [np.asarray(b if b is not None else [], dtype=np.int64) for b in bags]
-    lens = np.array([len(a) for a in arrs])
-    rows = np.repeat(np.arange(len(arrs)), lens)
-    flat = np.concatenate(arrs) if lens.sum() else np.zeros(0, dtype=np.int64)
-    counts = np.bincount(rows * dim + flat, minlength=len(arrs) * dim).reshape(len(arrs), dim)
-    return unit_rows(counts.astype(np.float64))[0]
+def group_top_k(queries: pa.Table, store: pa.Table, k: int, metric: str, payload_cols: list[str], exclude_self: bool, query_kind: str) -> pa.Table:
+    """The k best store rows of each query of one group.  The store is laid out
+    once, in id order; queries pass in slices whose score matrix has about CELLS
+    cells.  Distances pick more than enough rows, similarities rank them."""
+    store = store.take(pc.sort_indices(store["_sid"]))
+    mat = vector_matrix(store["_v"])
+    n = len(mat)
+    norm2 = (mat * mat).sum(axis=1)
+    safe = np.where(norm2 > 0, np.sqrt(norm2), 1.0)
+    own = _codes(queries["_qid"], store["_sid"]) if exclude_self else None
+    rows, columns, sims, dists = [], [], [], []
+    step = max(1, CELLS // max(n, mat.shape[1] if n else 1, 1))
+    for a in range(0, len(queries) if n else 0, step):
+        part = queries["_q"].slice(a, step)
+        qm = bag_matrix(part, mat.shape[1]) if query_kind == "bag" else vector_matrix(part)
+        q2 = (qm * qm).sum(axis=1)
+        dots = qm @ mat.T
+        if metric == "l2":
+            order = norm2[None, :] - 2.0 * dots      # distance less the query's own part: smallest first
+        else:
+            order = -dots / safe[None, :]
+        if own is not None:
+            order[own[0][a:a + step, None] == own[1][None, :]] = np.inf
+        kk = min(k, n)
+        cut = np.partition(order, kk - 1, axis=1)[:, kk - 1]
+        # rows whose rounded similarity could still tie
+        if metric == "l2":
+            far = np.maximum(cut + q2, 0.0)
+            slack = 4 * 10.0 ** -RANK_DECIMALS * (1 + far) ** 2
+        else:
+            slack = 4 * 10.0 ** -RANK_DECIMALS * (np.sqrt(q2) + 1)
+        slack = np.where(np.isfinite(cut), slack + 1e-13 * (np.abs(cut) + q2), 0.0)
+        r, c = np.nonzero((order <= (cut + slack)[:, None]) & (order < np.inf))
+        if metric == "l2":
+            dist = np.maximum(q2[r] + norm2[c] - 2.0 * dots[r, c], 0.0)
+            sim = 1.0 / (1.0 + dist)
+        else:
+            both = np.sqrt(q2[r]) * np.sqrt(norm2[c])
+            sim = np.where(both > 0, dots[r, c] / np.where(both > 0, both, 1.0), 0.0)
+            dist = 1.0 - sim
+        sort = np.lexsort((c, -np.round(sim, RANK_DECIMALS), r))
+        r, c, sim, dist = r[sort], c[sort], sim[sort], dist[sort]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < k
+        rows.append(r[keep] + a)
+        columns.append(c[keep])
+        sims.append(sim[keep])
+        dists.append(dist[keep])
+    none = [np.zeros(0, np.int64)]
+    at, col = pa.array(np.concatenate(rows or none)), pa.array(np.concatenate(columns or none))
+    sim, dist = np.concatenate(sims or none).astype(float), np.concatenate(dists or none).astype(float)
+    out = {"_qid": queries["_qid"].take(at), "id": store["_sid"].take(col), "similarity": pa.array(sim), "distance": pa.array(dist),
+           "neg_sim": pa.array(-np.round(sim, RANK_DECIMALS))}
+    return pa.table(out | {c: store[c].take(col) for c in payload_cols})
+
+
+def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal values of two columns as equal numbers."""
+    if left.type != right.type:
+        right = right.cast(left.type)
+    both = pa.chunked_array([*left.chunks, *right.chunks], left.type).combine_chunks().dictionary_encode()
+    number = both.indices.to_numpy(zero_copy_only=False)
+    return number[:len(left)], number[len(left):]
+
+
+# ---------------------------------------------------------------- approximate search
+
+def _anchors(store: DataFrame, n_store: int, dim: int, store_id: str, store_vec: str, tables: int, seed: int) -> np.ndarray:
+    """(tables x cells x dim) sampled store vectors: cells so fine that one holds
+    about CELL_ROWS rows, as long as all anchors fit BLOCK_BYTES."""
+    cells = max(1, min(n_store // CELL_ROWS, MAX_CELLS, BLOCK_BYTES // (8 * dim * tables)))
+    draw = F.xxhash64(F.lit(seed), F.col(store_id))
+    part = min(1.0, 2.0 * tables * cells / n_store)
+    low = min((1 << 63) - 1, int((2 * part - 1) * (1 << 63)))
+    held = store.select(draw.alias("h"), F.col(store_vec).cast("array<double>").alias("v")).where(F.col("h") <= low).limit(4 * tables * cells)
+    rows = sorted(held.collect(), key=lambda r: r["h"])  # at most 4 x tables x cells vectors
+    rng = np.random.default_rng(seed)
+    mat = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim)
+    return np.stack([mat[rng.choice(len(mat), min(cells, len(mat)), replace=False)] for _ in range(tables)])
+
+
+def _nearest_cells(df: DataFrame, vec: str, anchors, probes: int, metric: str) -> Column:
+    """array<int>: the cells of the `probes` nearest anchors of each table."""
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def cells(col):
+        import pandas as pd
+        mat = anchors.value
+        flat = mat.reshape(-1, mat.shape[2])
+        if metric == "cosine":
+            flat = unit_rows(flat)[0]
+        half = (flat * flat).sum(axis=1) / 2
+        out = []
+        step = max(1, CELLS // len(flat))
+        for a in range(0, len(col), step):
+            v = np.stack([np.asarray(x, np.float64) for x in col.iloc[a:a + step]])
+            score = (v @ flat.T - half).reshape(len(v), *mat.shape[:2])
+            take = min(probes, mat.shape[1])
+            best = np.argpartition(-score, take - 1, axis=2)[:, :, :take] + np.arange(mat.shape[0])[None, :, None] * mat.shape[1]
+            out += list(best.reshape(len(v), -1).astype(np.int32))
+        return pd.Series(out)
+    return cells(F.col(vec))
+
+
+def _dealt_cells(queries: DataFrame, store: DataFrame, query_id: str, query_vec: str, store_id: str, store_vec: str, metric: str,
+                 tables: int, probes: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(queries with the cells they probe, store rows with theirs, load: the rows
+    and queries of each cell that both have), or None for an empty store."""
+    n_store, dim, _ = _sizes(queries, store, store_vec)
+    if not n_store:
+        return None
+    anchors = store.sparkSession.sparkContext.broadcast(_anchors(store, n_store, dim, store_id, store_vec, tables, seed))
+    q, st = _queries(queries, query_id, query_vec), _store(store, store_id, store_vec, None)
+    q = q.withColumn("_cell", F.explode(_nearest_cells(q, "_q", anchors, probes, metric)))
+    st = st.withColumn("_cell", F.explode(_nearest_cells(st, "_v", anchors, 1, metric)))
+    load = st.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).join(q.groupBy("_cell").agg(F.count(F.lit(1)).alias("_asked")), "_cell")
+    return q, st, load
 
 
 def approx_top_k_similar(queries: DataFrame, store: DataFrame, k: int, query_id: str = "query_id",
                          query_vec: str = "embedding", store_id: str = "id", store_vec: str = "embedding",
-                         bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7, metric: str = "l2",
-                         exclude_self: bool = False, block_rows: int = 4096,
-                         query_rows_per_group: int = 4096) -> DataFrame:
+                         metric: str = "l2", exclude_self: bool = False, tables: int = TABLES, probes: int = PROBES, seed: int = 7,
+                         block_rows: int = 4096, query_rows_per_group: int = 4096) -> DataFrame:
     """Approximate k nearest neighbours for large x large inputs.
 
-    Random-projection LSH: `num_tables` unit directions (fixed by `seed`);
-    a vector's key in table t is floor(<v, r_t> / bucket_length).  Only
-    store vectors sharing a key with the query are scored, with the same
-    bounded kernel as the exact search: a hot bucket is cut into store
-    blocks of about `block_rows` and query groups of about
-    `query_rows_per_group`, each task keeps its top k, and no candidate
-    pair is ever materialised as a row.  Recall is tested against
-    `top_k_similar`."""
-    first = store.select(F.size(store_vec).alias("d")).first()
-    if first is None:
+    Every store row lies in one cell per table, a query is scored against
+    its `probes` nearest cells of each of the `tables` tables: about tables x
+    probes / cells of all pairs (`approx_candidate_share`).  Only a cell with
+    more than `block_rows` rows or `query_rows_per_group` queries is
+    split.  Recall is measured against `top_k_similar`."""
+    dealt = _dealt_cells(queries, store, query_id, query_vec, store_id, store_vec, metric, tables, probes, seed)
+    if dealt is None:
         return top_k_similar(queries, store, k, metric, query_id, query_vec, "dense", store_id, store_vec)
-    dim = int(first["d"])
-    rng = np.random.default_rng(seed)
-    dirs = rng.normal(size=(num_tables, dim))
-    dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
-
-    def keys(vec: Column) -> Column:
-        return F.array(*[F.concat_ws(":", F.lit(t), F.floor(dot(vec, F.array(*[F.lit(float(x)) for x in dirs[t]]))
-                                                             / bucket_length).cast("string"))
-                         for t in range(num_tables)])
-
-    q = (queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_q"))
-         .withColumn("_bk", F.explode(keys(F.col("_q")))))
-    st = (store.select(F.col(store_id).alias("_sid"),
-                       F.transform(F.col(store_vec), lambda x: x.cast("double")).alias("_v"))
-          .withColumn("_bk", F.explode(keys(F.col("_v")))))
-    # size the largest bucket (one small aggregate) to bound every task
-    big_s = st.groupBy("_bk").count().agg(F.max("count")).first()[0] or 1
-    big_q = q.groupBy("_bk").count().agg(F.max("count")).first()[0] or 1
-    n_blocks = max(1, math.ceil(big_s / block_rows))
-    groups = max(1, math.ceil(big_q / query_rows_per_group))
-    return _cogroup_top_k(q, st, ["_bk"], n_blocks, groups, k, metric, queries.schema[query_id].dataType,
-                          store.schema[store_id].dataType, [], [], exclude_self, "dense", query_id)
+    q, st, load = dealt
+    # at most tables x MAX_CELLS rows
+    load = F.broadcast(load.select("_cell", F.ceil(F.col("_rows") / block_rows).cast("int").alias("_nb"),
+                                   F.ceil(F.col("_asked") / query_rows_per_group).cast("int").alias("_ng")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q = q.join(load, "_cell").select("_qid", "_q", "_cell", share("_qid", "_ng").alias("_grp"), every("_nb").alias("_blk"))
+    st = st.join(load, "_cell").select("_sid", "_v", "_cell", share("_sid", "_nb").alias("_blk"), every("_ng").alias("_grp"))
+    return _best_of_groups(q, st, ["_cell", "_blk", "_grp"], k, metric, [], exclude_self, "dense", query_id, met_once=False)
+
+
+def approx_candidate_share(queries: DataFrame, store: DataFrame, query_id: str = "query_id", query_vec: str = "embedding",
+                           store_id: str = "id", store_vec: str = "embedding", metric: str = "l2", tables: int = TABLES, probes: int = PROBES,
+                           seed: int = 7) -> DataFrame:
+    """One row: the pairs that the approximate search scores, all pairs, and
+    their ratio (pairs met in several tables count each time)."""
+    dealt = _dealt_cells(queries, store, query_id, query_vec, store_id, store_vec, metric, tables, probes, seed)
+    every = queries.agg(F.count(F.lit(1)).alias("q")).join(store.agg(F.count(F.lit(1)).alias("s"))).select((F.col("q") * F.col("s")).alias("pairs"))
+    scored = (queries.sparkSession.createDataFrame([(0,)], "scored long") if dealt is None else
+              dealt[2].agg(F.coalesce(F.sum(F.col("_rows") * F.col("_asked")), F.lit(0)).alias("scored")))
+    return scored.join(every).select("scored", "pairs", F.try_divide("scored", "pairs").alias("share"))
 
 
 def upsert_vectors(records: DataFrame, id_col: str = "id", order_cols: tuple[str, ...] = ("stored_at",),

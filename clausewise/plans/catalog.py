@@ -19,7 +19,7 @@ from clausewise.operators.rules import apply_policy_rules, rules_for_types, rule
 from clausewise.operators.signatures import find_signatures, missing_signatures
 from clausewise.operators.tickets import list_tickets, review_queue, update_ticket_status
 from clausewise.operators.triage import classify_documents
-from clausewise.operators.vectors import approx_top_k_similar, top_k_similar, upsert_vectors
+from clausewise.operators.vectors import approx_candidate_share, approx_top_k_similar, top_k_similar, upsert_vectors
 from clausewise.plans.audit import audit, final_text
 from clausewise.session import load_table
 from clausewise.sources import ingest
@@ -175,6 +175,18 @@ def d3b_approx_topk(spark, sf):
     return _long(r.select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity")))
 
 
+def d3b_recall(spark, sf):
+    """Recall and scored pairs of the approximate search against the exact one
+    over all embeddings: at least 0.9 of the 3 nearest, under a quarter of all pairs."""
+    e = load_table(spark, sf, "embeddings")
+    q, store = e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding")
+    exact = top_k_similar(q, store, TOPK, exclude_self=True).select("query_id", "id")
+    found = approx_top_k_similar(q, store, TOPK, exclude_self=True).select("query_id", "id", F.lit(1).alias("hit"))
+    hits = exact.join(found, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_neighbours"),
+                                                             (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"))
+    return hits.join(approx_candidate_share(q, store).select((F.col("share") < 0.25).alias("share_ok")))
+
+
 def d4_drift(spark, sf):
     return _long(detect_drift(_docs(spark, sf), templates_table(spark)))
 

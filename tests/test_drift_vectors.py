@@ -1,8 +1,9 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from clausewise.operators.drift import chunk_table, detect_drift
-from clausewise.operators.vectors import approx_top_k_similar, top_k_similar, upsert_vectors
+from clausewise.operators.vectors import approx_candidate_share, approx_top_k_similar, top_k_similar, upsert_vectors
 
 
 def test_near_and_far_texts(spark):
@@ -67,18 +68,42 @@ def test_topk_equals_brute_force_for_any_block_size(spark):
             assert got == exp, (metric, block_rows, qrows)
 
 
-def test_lsh_recall(spark):
+def test_approximate_recall_and_share(spark):
     rng = np.random.default_rng(1)
-    base = rng.normal(size=(40, 8))
-    vecs = [(i, [float(x) for x in (base[i % 40] + 0.01 * rng.normal(size=8))]) for i in range(80)]
-    df = spark.createDataFrame(vecs, "id long, embedding array<double>")
-    exact = {r.query_id: r.id for r in top_k_similar(df.withColumnRenamed("id", "query_id"), df, 1,
-                                                       exclude_self=True).collect()}
-    approx = approx_top_k_similar(df.withColumnRenamed("id", "query_id"), df, 2, bucket_length=2.0,
-                                  exclude_self=True, block_rows=16, query_rows_per_group=16).collect()
-    hits = {(r.query_id, r.id) for r in approx}
-    recall = sum((q, i) in hits for q, i in exact.items()) / len(exact)
-    assert recall >= 0.9
+    unit = rng.normal(size=(600, 32))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    for vecs in (unit, rng.normal(size=(40, 8))[np.arange(400) % 40] + 0.01 * rng.normal(size=(400, 8))):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "id long, embedding array<double>")
+        q = df.withColumnRenamed("id", "query_id")
+        for metric in ("l2", "cosine"):
+            exact = {(r.query_id, r.id) for r in top_k_similar(q, df, 3, metric, exclude_self=True).collect()}
+            rows = approx_top_k_similar(q, df, 3, metric=metric, exclude_self=True).collect()
+            small = approx_top_k_similar(q, df, 3, metric=metric, exclude_self=True, block_rows=3, query_rows_per_group=2).collect()
+            assert sorted((r.query_id, r.rank, r.id) for r in rows) == sorted((r.query_id, r.rank, r.id) for r in small)
+            assert len({(r.query_id, r.id) for r in rows} & exact) >= 0.9 * len(exact)
+        share = approx_candidate_share(q, df).first()
+        assert share.pairs == len(vecs) ** 2 and 0 < share.share < 0.25
+    empty = df.limit(0)
+    assert approx_top_k_similar(q, empty, 3).count() == 0 and approx_candidate_share(q, empty).first().scored == 0
+    one = df.limit(1)
+    assert [r.id for r in approx_top_k_similar(q.limit(2), one, 3).collect()] == [0, 0]
+
+
+def test_ties_and_ids_of_any_type(spark):
+    df = spark.createDataFrame([(f"v{i:02}", [float(i % 3), 1.0, 0.0]) for i in range(30)] + [("zero", [0.0, 0.0, 0.0])], "id string, embedding array<float>")
+    for metric in ("l2", "cosine"):
+        got = top_k_similar(df.withColumnRenamed("id", "q"), df, 4, metric, query_id="q", exclude_self=True, block_rows=11, query_rows_per_group=7)
+        rows = {}
+        for r in got.orderBy("q", "rank").collect():
+            rows.setdefault(r.q, []).append(r.id)
+        assert rows["v01"] == ["v04", "v07", "v10", "v13"] and rows["v04"] == ["v01", "v07", "v10", "v13"]
+        assert len(rows["zero"]) == 4
+
+
+def test_vectors_of_two_lengths_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, embedding array<double>")
+    with pytest.raises(Exception, match="components in one column"):
+        top_k_similar(df.withColumnRenamed("id", "query_id"), df, 1).collect()
 
 
 def test_upsert_last_write_wins(spark):
