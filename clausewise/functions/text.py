@@ -109,6 +109,29 @@ def short_sha256(col: Column, n: int) -> Column:
     return F.substring(F.sha2(col, 256), 1, n)
 
 
+PIECE = 512            # code points of a piece of a long text
+LONG = 8 * PIECE
+
+
+def cut(text: Column) -> Column:
+    """A text ready to be sliced many times: struct<width, pieces>.  Finding an
+    offset in a string costs its distance from the start, so a long text is cut into
+    pieces of `width` code points once and a slice reads only those it touches."""
+    long = F.length(text) > LONG
+    return F.struct(
+        F.when(long, F.lit(PIECE)).otherwise(F.greatest(F.length(text), F.lit(1))).alias("width"),
+        F.when(long, F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))).otherwise(F.array(text)).alias("pieces"))
+
+
+def slice_cut(pieces: Column, start: Column, end: Column) -> Column:
+    """`slice_text` of a `cut` text."""
+    start = F.greatest(start, F.lit(0))
+    width = pieces["width"]
+    first, last = F.floor(start / width).cast("int"), F.floor((end - 1) / width).cast("int")
+    near = F.array_join(F.slice(pieces["pieces"], first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > start, F.substr(near, start - first * width + 1, end - start)).otherwise(F.lit(""))
+
+
 def apply_edits(text: Column, edits: Column) -> Column:
     """Replace spans right to left, like repeated
     `out = out[:start] + replacement + out[end:]` over edits sorted by start
@@ -118,27 +141,29 @@ def apply_edits(text: Column, edits: Column) -> Column:
     `ord` is the input position.  Overlapping edits use their original
     offsets on the already edited text, exactly as the sequential rule does.
 
-    Where no two edits meet, the text is cut once and joined (one pass over
-    the edits); only documents with edits that meet replay the rule edit by edit.
+    The result is written from left to right, from the last edit applied to the first: all that
+    an edit needs to know is how far the ones before it (in the text) have cut into what
+    it leaves.  With p that place in the text as it stood after the edit, it adds text[p:start] and
+    its replacement, or the part of the replacement from p on, or nothing, and hands on a place in
+    the text as it stood before the edit.  Only edits that start behind the
+    text's end are replayed one by one.
     """
-    return let(F.struct(text.alias("t"), F.array_sort(F.transform(edits, lambda e: F.struct(
-        F.greatest(e["span_start"], F.lit(0)).alias("s"), e["ord"].alias("o"), F.greatest(e["span_end"], F.lit(0)).alias("e"),
-        e["replacement"].alias("r")))).alias("a")), lambda x: F.when(_apart(x["a"]), _joined(x["t"], x["a"])).otherwise(
-            _replayed(text, edits)))
-
-
-def _apart(a: Column) -> Column:
-    """No edit starts before, or where, its predecessor ends or starts."""
-    return ~F.exists(F.sequence(F.lit(0), F.size(a)), lambda k: (k < F.size(a)) & (
-        (F.get(a, k)["e"] < F.get(a, k)["s"]) | ((k > 0) & (
-            (F.get(a, k)["s"] < F.get(a, k - 1)["e"]) | (F.get(a, k)["s"] == F.get(a, k - 1)["s"])))))
-
-
-def _joined(text: Column, a: Column) -> Column:
-    cut = F.transform(a, lambda e, k: F.concat(
-        slice_text(text, F.when(k == 0, F.lit(0)).otherwise(F.get(a, k - 1)["e"]), e["s"]), e["r"]))
-    tail = F.substr(text, F.coalesce(F.get(a, F.size(a) - 1)["e"], F.lit(0)) + 1)
-    return F.when(text.isNotNull(), F.concat(F.array_join(cut, ""), tail))
+    ordered = F.array_sort(F.transform(edits, lambda e: F.struct(
+        e["span_start"].alias("at"), (-e["ord"]).alias("o"), F.greatest(e["span_start"], F.lit(0)).alias("s"),
+        F.greatest(e["span_end"], F.lit(0)).alias("e"), e["replacement"].alias("r"))))
+
+    def after(p: Column, e: Column) -> Column:
+        return e["e"] + F.greatest(p - e["s"] - F.length(e["r"]), F.lit(0))
+
+    def written(t: Column, a: Column) -> Column:
+        places = F.aggregate(a, F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(after(F.get(acc, F.size(acc) - 1), e))))
+        return let(F.struct(cut(t).alias("c"), places.alias("p")), lambda x: F.concat(
+            F.array_join(F.transform(a, lambda e, k: let(F.get(x["p"], k), lambda p: F.when(
+                p < e["s"], F.concat(slice_cut(x["c"], p, e["s"]), e["r"])).otherwise(F.substr(e["r"], p - e["s"] + 1)))), ""),
+            slice_cut(x["c"], F.get(x["p"], F.size(a)), F.length(t))))
+
+    return let(F.struct(text.alias("t"), ordered.alias("a")), lambda x: F.when(x["t"].isNull() | (F.size(x["a"]) <= 0), x["t"]).when(
+        F.exists(x["a"], lambda e: e["s"] > F.length(x["t"])), _replayed(text, edits)).otherwise(written(x["t"], x["a"])))
 
 
 def _replayed(text: Column, edits: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.functions.dense import best_match_for_bags
+from clausewise.functions.search import first_occurrences
 from clausewise.functions.text import explode_rows, split_paragraphs
 from clausewise.functions.vectors import DEFAULT_DIM, buckets, embed_text
 from clausewise.functions.violations import empty_violations, violation
@@ -29,15 +30,21 @@ NO_TEMPLATE_MESSAGE = "No matching template found"
 BROADCAST_BYTES = 32_000_000
 
 
+FEW_CHUNKS = 64   # of a document, up to which each is searched in its text
+
+
 def chunks(text: Column, sep: str = PARAGRAPH_SEP) -> Column:
     """array<struct<chunk_index, chunk, span_start, span_end>>; span_start
-    is the first occurrence of the chunk in the text."""
-    kept = F.filter(split_paragraphs(text, sep), lambda p: F.length(p) > MIN_CHUNK_CHARS)
+    is the first occurrence of the chunk in the text.  A document of many chunks
+    is searched for all of them at once, in time that grows with its length."""
     src = F.coalesce(text, F.lit(""))
-    return F.transform(kept, lambda c, i: F.struct(
-        i.alias("chunk_index"), c.alias("chunk"),
-        (F.instr(src, c) - 1).alias("span_start"),
-        (F.instr(src, c) - 1 + F.length(c)).alias("span_end")))
+    kept = F.filter(split_paragraphs(text, sep), lambda p: F.length(p) > MIN_CHUNK_CHARS)
+    many = F.size(kept) > FEW_CHUNKS
+    # no lambda may hold the Python function, so the places are an array of their own
+    places = F.when(many, first_occurrences(F.when(many, src), F.when(many, kept))).otherwise(F.transform(kept, lambda c: F.instr(src, c) - 1))
+    pairs = F.zip_with(kept, places, lambda c, at: F.struct(c.alias("c"), at.alias("at")))
+    return F.transform(pairs, lambda x, i: F.struct(
+        i.alias("chunk_index"), x["c"].alias("chunk"), x["at"].alias("span_start"), (x["at"] + F.length(x["c"])).alias("span_end")))
 
 
 def drift_violations(cs: Column, sims: Column, has_store: bool = True) -> Column:
@@ -97,7 +104,7 @@ def with_similarities(docs: DataFrame, templates: DataFrame, chunk_col: str, out
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sep: str = PARAGRAPH_SEP) -> DataFrame:
     """D1 as rows: (id, chunk_index, span_start, span_end, chunk_chars)."""
-    return (explode_rows(docs, [id_col], chunks(F.col(text_col), sep), val="c")
+    return (explode_rows(docs.select(id_col, chunks(F.col(text_col), sep).alias("_chunks")), [id_col], F.col("_chunks"), val="c")
             .select(id_col, F.col("c.chunk_index").cast("int").alias("chunk_index"),
                     "c.span_start", "c.span_end", F.length("c.chunk").alias("chunk_chars")))
 

@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.functions.text import apply_edits, explode_rows, finditer, short_sha256, slice_text
+from clausewise.functions.text import apply_edits, cut, explode_rows, finditer, let, short_sha256, slice_cut, slice_text
 from clausewise.functions.violations import violation
 
 # Fixed values (must equal the reference's detector), in scan order.
@@ -110,21 +110,22 @@ def _confirmed(text: Column, spans: Column, pii_type: str, confirm_fn: ConfirmFn
     return F.transform(kept, _to_violation(pii_type, F.lit(True)))
 
 
-def redaction_edits(text: Column, spans: Column) -> Column:
-    """Edits replacing each span by `[REDACTED_<sha256(original slice)[:8]>]`."""
-    return F.transform(spans, lambda s, i: F.struct(
+def redaction_edits(text: Column, spans: Column, order: str | None = None) -> Column:
+    """Edits replacing each span by `[REDACTED_<sha256(original slice)[:8]>]`;
+    equal starts follow the spans' order, or their field `order`."""
+    return let(cut(F.coalesce(text, F.lit(""))), lambda pieces: F.transform(spans, lambda s, i: F.struct(
         s["span_start"].alias("span_start"),
         s["span_end"].alias("span_end"),
         F.concat(F.lit("[REDACTED_"),
-                 short_sha256(slice_text(text, s["span_start"], s["span_end"]), REDACTION_HASH_CHARS),
+                 short_sha256(slice_cut(pieces, s["span_start"], s["span_end"]), REDACTION_HASH_CHARS),
                  F.lit("]")).alias("replacement"),
-        i.alias("ord"),
-    ))
+        (s[order] if order else i).alias("ord"),
+    )))
 
 
-def redact(text: Column, spans: Column) -> Column:
+def redact(text: Column, spans: Column, order: str | None = None) -> Column:
     """Redact spans right to left (stable on equal starts)."""
-    return apply_edits(text, redaction_edits(text, spans))
+    return apply_edits(text, redaction_edits(text, spans, order))
 
 
 # ---------------------------------------------------------------- DataFrame ops

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewise.functions.text import apply_edits, explode_rows, slice_text
+from clausewise.functions.text import apply_edits, cut, explode_rows, let, slice_cut, slice_text
 from clausewise.functions.violations import SUGGESTION_TYPE
 from clausewise.operators.pii import redact
 
@@ -37,13 +37,41 @@ def stub_rewrite(redacted_span: Column) -> Column:
     )
 
 
-def rebased_pii(pii: Column, start: Column, end: Column) -> Column:
-    """PII spans moved into slice coordinates and clipped to the slice, so
-    the slice is redacted where the PII really is (the reference applies
-    document offsets to the slice; see README, deviations)."""
-    moved = F.transform(pii, lambda p: F.struct(
-        (F.greatest(p["span_start"], start) - start).alias("span_start"),
-        (F.least(p["span_end"], end) - start).alias("span_end")))
+def _pii_spans(violations: Column) -> Column:
+    """PII spans of a document by start: array<struct<s, i, e>>, i their order."""
+    found = F.transform(F.filter(violations, lambda v: v["type"] == "pii"), lambda v, i: F.struct(
+        F.coalesce(v["span_start"], F.lit(0)).alias("s"), i.alias("i"), F.coalesce(v["span_end"], F.lit(0)).alias("e")))
+    return F.array_sort(found)
+
+
+def _span_ranges(violations: Column, pii: Column) -> Column:
+    """array<int>: for violation j the number of PII spans that start before its end (at
+    2j), and of those that start too far before it to reach it (at 2j + 1).
+
+    One sweep: bounds and span starts are sorted together; a bound's place less
+    the bounds before it is the number of starts before it."""
+    longest = F.coalesce(F.array_max(F.transform(pii, lambda p: p["e"] - p["s"])), F.lit(0))
+
+    def bounds(reach: Column) -> Column:
+        of = lambda v, name: F.coalesce(v[name], F.lit(0))
+        ends = F.transform(violations, lambda v, j: F.struct(of(v, "span_end").alias("x"), (2 * j).alias("j")))
+        starts = F.transform(violations, lambda v, j: F.struct((of(v, "span_start") - reach + 1).alias("x"), (2 * j + 1).alias("j")))
+        keys = F.transform(pii, lambda p: F.struct(p["s"].alias("x"), F.lit(2**31 - 1).alias("j")))  # behind the bounds at its place
+        return F.array_sort(F.concat(ends, starts, keys))
+
+    places = let(longest, lambda reach: F.transform(bounds(reach), lambda b, k: F.struct(b["j"].alias("j"), k.alias("k"))))
+    counted = F.transform(F.filter(places, lambda b: b["j"] < 2**31 - 1), lambda b, t: F.struct(b["j"].alias("j"), (b["k"] - t).alias("n")))
+    return F.transform(F.array_sort(counted), lambda b: b["n"])
+
+
+def clipped_pii(pii: Column, ranges: Column, j: Column, start: Column, end: Column) -> Column:
+    """PII spans that meet violation j, moved into slice coordinates and clipped to the
+    slice, so the slice is redacted where the PII really is (the reference
+    applies document offsets to the slice; see README, deviations)."""
+    above, below = F.get(ranges, 2 * j), F.get(ranges, 2 * j + 1)
+    near = F.slice(pii, below + 1, F.greatest(above - below, F.lit(0)))
+    moved = F.transform(near, lambda p: F.struct(
+        (F.greatest(p["s"], start) - start).alias("span_start"), (F.least(p["e"], end) - start).alias("span_end"), p["i"].alias("i")))
     return F.filter(moved, lambda p: p["span_start"] < p["span_end"])
 
 
@@ -51,11 +79,10 @@ def suggestions(text: Column, violations: Column, rewrite_fn: RewriteFn | None =
     """array<suggestion>, one per violation, in violation order."""
     rewrite_fn = rewrite_fn or stub_rewrite
     src = F.coalesce(text, F.lit(""))
-    pii = F.filter(violations, lambda v: v["type"] == "pii")
 
-    def one(v: Column) -> Column:
-        span = slice_text(src, v["span_start"], v["span_end"])
-        gen = rewrite_fn(redact(span, rebased_pii(pii, v["span_start"], v["span_end"])))
+    def one(v: Column, j: Column, x: Column) -> Column:
+        span = slice_cut(x["cut"], v["span_start"], v["span_end"])
+        gen = rewrite_fn(redact(span, clipped_pii(x["pii"], x["ranges"], j, v["span_start"], v["span_end"]), "i"))
         is_pii = F.coalesce(v["type"] == "pii", F.lit(False))
         return F.struct(
             F.when(is_pii, v["pii_type"]).otherwise(F.coalesce(v["rule_id"], v["type"])).alias("violation_id"),
@@ -70,7 +97,9 @@ def suggestions(text: Column, violations: Column, rewrite_fn: RewriteFn | None =
             F.when(is_pii, F.lit(True)).otherwise(gen["redaction_flag"]).alias("redaction_flag"),
         ).cast(SUGGESTION_TYPE)
 
-    return F.transform(violations, one)
+    # bound one after another: the text's pieces, the spans by start, the spans each violation may meet
+    bound = let(_pii_spans(violations), lambda pii: F.struct(cut(src).alias("cut"), pii.alias("pii"), _span_ranges(violations, pii).alias("ranges")))
+    return let(bound, lambda x: F.transform(violations, lambda v, j: one(v, j, x)))
 
 
 def apply_fixes(text: Column, suggs: Column) -> Column:
