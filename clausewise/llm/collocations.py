@@ -43,7 +43,7 @@ from clausewise.session import checkpoint_dir
 
 TILE = 1024
 DENSE = TILE * TILE // 16   # pairs from which a tile is counted densely
-HELD = 1_000_000            # pairs a task holds before it counts them
+HELD = 500_000              # pairs a task holds before it counts them
 MAX_IDS = 400_000           # ids of a level's dictionary
 ID_BYTES = 64               # longest word (and language name) in the dictionary
 BLOCK = 256_000             # text bytes of a block, one document at least
@@ -83,7 +83,8 @@ def numbered(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray, n
 
 
 def word_blocks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """lang, words, counts, ids: texts of one language as word numbers."""
+    """lang, words, counts, ids: texts of one language as word numbers, packed
+    (see `packed`)."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +97,35 @@ def word_blocks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     words, counts, ids = numbered(data, off)
                     if len(ids):
                         yield pa.RecordBatch.from_arrays(
-                            [code.dictionary.slice(c, 1), _one(words), _one(pa.array(counts)), _one(pa.array(ids))],
+                            [code.dictionary.slice(c, 1), *[pa.array([x], pa.binary()) for x in packed(words, counts, ids)]],
                             ["lang", "words", "counts", "ids"])
 
-    return rows.mapInArrow(run, "lang string, words array<string>, counts array<long>, ids array<int>")
+    return rows.mapInArrow(run, "lang string, words binary, counts binary, ids binary")
+
+
+def packed(words: pa.Array, counts: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A block as three buffers: words, each with a line end (no word holds one),
+    64-bit counts, and numbers of 16 bits, or 32 if there are more words."""
+    text = pc.binary_join_element_wise(words, "", "\n")
+    data = b"".join(text.cast(pa.binary()).to_pylist())
+    return data, counts.astype(np.int64).tobytes(), ids.astype(np.uint16 if len(words) < 65_535 else np.uint32).tobytes()
+
+
+def unpacked_words(data: bytes) -> pa.Array:
+    raw = np.frombuffer(data, np.uint8)
+    end = np.flatnonzero(raw == 10)
+    off = np.zeros(len(end) + 1, np.int32)
+    off[1:] = end - np.arange(len(end))
+    return pa.StringArray.from_buffers(len(end), pa.py_buffer(off), pa.py_buffer(raw[raw != 10]))
+
+
+def unpacked_ids(data: bytes, n_words: int) -> np.ndarray:
+    """Word numbers, -1 between pieces."""
+    if n_words >= 65_535:
+        return np.frombuffer(data, np.int32)
+    ids = np.frombuffer(data, np.uint16).astype(np.int32)
+    ids[ids == 65_535] = -1
+    return ids
 
 
 def written_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -112,8 +138,17 @@ def written_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return spark.read.schema(blocks.schema).parquet(path)
 
 
-def _one(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words, counts = unpacked_words(batch.column(1)[i].as_py()), pa.array(np.frombuffer(batch.column(2)[i].as_py(), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(words)), words, counts], ["lang", "phrase", "n"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [int(np.frombuffer(c, np.int64).sum()) for c in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["lang", "n"])
 
 
 def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +223,8 @@ def longer(blocks: DataFrame, levels: list[dict]) -> DataFrame:
         held, n_held = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, words = batch.column(0)[i].as_py(), batch.column(1)[i].values
-                ids = batch.column(2)[i].values.to_numpy()
+                lang, words = batch.column(0)[i].as_py(), unpacked_words(batch.column(1)[i].as_py())
+                ids = unpacked_ids(batch.column(2)[i].as_py(), len(words))
                 status = np.append(word_status(known[0], lang, words), NONE)[ids]  # -1, a piece's end, takes the last
                 for level in known[1:]:
                     status = pair_status(level, status)
@@ -206,7 +241,7 @@ def longer(blocks: DataFrame, levels: list[dict]) -> DataFrame:
                     found = pc.binary_join_element_wise(*parts, " ").value_counts()
                     phrase, n = found.field(0), found.field(1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(phrase), pa.int64()), pa.array([lang] * len(phrase), pa.string()), phrase, n], names)
+                        [pa.nulls(len(phrase), pa.int64()), pa.repeat(pa.scalar(lang), len(phrase)), phrase, n], names)
         yield from flush(held)
 
     schema = "key long, lang string, phrase string, n long" if texts else "key long, n long"
@@ -242,8 +277,8 @@ def frequent_phrases(blocks: DataFrame, min_count: int = 100, longest: int = 5,
     """lang, phrase, words, f of all phrases of 1 to `longest` words with
     f >= min_count."""
     spark = blocks.sparkSession
-    single = (blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-              .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f")).filter(F.col("f") >= min_count))
+    single = (blocks.select("lang", "words", "counts").mapInArrow(_word_rows, "lang string, phrase string, n long")
+              .groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
     found = [materialise(single.select("lang", "phrase", F.lit(1).alias("words"), "f", F.lit(None).cast("long").alias("key")), "phrases-1")]
     levels: list[dict] = []
     while len(found) < longest:
@@ -303,8 +338,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
                  top: int = 2000, max_ids: int = MAX_IDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's `top` phrases."""
     blocks = written_blocks(docs, lang_col, text_col)
-    totals = (blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n"))
-              .groupBy("lang").agg(F.sum("n").alias("n")))
+    totals = blocks.select("lang", "counts").mapInArrow(_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     counts = frequent_phrases(blocks, min_count, longest, max_ids)
     phrases = counts.filter(F.col("words") > 1)
 
