@@ -13,10 +13,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.functions.dense import best_match_for_bags
+from clausewise.functions.dense import best_match_for_bags, dense_vectors
+from clausewise.functions.embedders import Embedder, best_of_vectors
 from clausewise.functions.search import first_occurrences
 from clausewise.functions.text import explode_rows, split_paragraphs
-from clausewise.functions.vectors import DEFAULT_DIM, buckets, embed_text
+from clausewise.functions.vectors import DEFAULT_DIM, buckets
 from clausewise.functions.violations import empty_violations, violation
 from clausewise.operators.vectors import top_k_similar, upsert_vectors
 from clausewise.session import written
@@ -70,30 +71,58 @@ def drift_violations(cs: Column, sims: Column, has_store: bool = True) -> Column
                       empty_violations())
 
 
-def template_vectors(templates: DataFrame, dim: int = DEFAULT_DIM, id_col: str = "template_id", text_col: str = "text") -> DataFrame:
+def template_vectors(templates: DataFrame, dim: int = DEFAULT_DIM, id_col: str = "template_id", text_col: str = "text",
+                     embedder: Embedder | None = None) -> DataFrame:
     """(id, embedding): of several templates with one id the last stored counts
-    (without a time, the greatest text)."""
+    (without a time, the greatest text).  A column `embedding` supplies the vectors;
+    else texts are embedded, by the hashed rule or the caller's model."""
     at = F.col("stored_at") if "stored_at" in templates.columns else F.lit(None).cast("timestamp")
-    last = upsert_vectors(templates.select(F.col(id_col).alias("id"), at.alias("at"), F.col(text_col).alias("t")), "id", ("at", "t"))
-    return last.select("id", embed_text(F.col("t"), dim).alias("embedding"))
+    given = "embedding" in templates.columns
+    vector = [F.col("embedding").cast("array<double>").alias("embedding")] if given else []
+    text = F.col(text_col) if text_col in templates.columns else F.lit(None).cast("string")
+    last = upsert_vectors(templates.select(F.col(id_col).alias("id"), at.alias("at"), text.alias("t"), *vector), "id", ("at", "t"))
+    return last.select("id", "embedding") if given else last.select("id", embedded(F.col("t"), dim, embedder).alias("embedding"))
+
+
+def embedded(text: Column, dim: int = DEFAULT_DIM, embedder: Embedder | None = None) -> Column:
+    return embedder.column(text) if embedder else dense_vectors(buckets(text, dim), dim)
 
 
 def with_similarities(docs: DataFrame, templates: DataFrame, chunk_col: str, out: str = "_sims", metric: str = "l2",
-                      dim: int = DEFAULT_DIM, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+                      dim: int = DEFAULT_DIM, broadcast_bytes: int = BROADCAST_BYTES, embedder: Embedder | None = None,
+                      vectors_col: str | None = None) -> tuple[DataFrame, bool]:
     """(`docs` with the best template similarity of each chunk in `out`,
-    whether there is any template)."""
+    whether there is any template).
+
+    Chunks are embedded by the hashed rule, by the caller's `embedder`, or their
+    vectors are supplied: `vectors_col`, array<array<double>> in chunk order."""
     spark = docs.sparkSession
-    store = template_vectors(templates, dim)
-    n = store.count()
-    bags = F.transform(F.col(chunk_col), lambda c: buckets(c["chunk"], dim))
-    if n * dim * 8 <= broadcast_bytes:
-        m = np.array([r["embedding"] for r in store.select("embedding").collect()], dtype=np.float64).reshape(n, dim)
+    store = template_vectors(templates, dim, embedder=embedder)
+    n, size = store.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    chunk_texts = F.transform(F.col(chunk_col), lambda c: c["chunk"])
+    if docs.isStreaming and n * (size or dim) * 8 > broadcast_bytes:
+        raise ValueError("templates too large to broadcast: audit the stream by micro-batches (streaming.audit_stream)")
+    if n * (size or dim) * 8 <= broadcast_bytes:
+        m = np.array([r["embedding"] for r in store.select("embedding").collect()], dtype=np.float64).reshape(n, size or dim)
         bc = spark.sparkContext.broadcast((m, (m * m).sum(axis=1)))
-        return docs.withColumn(out, best_match_for_bags(bags, bc, dim, metric)), n > 0
+        if vectors_col:
+            sims = best_of_vectors(F.col(vectors_col), bc, metric)
+        elif embedder:
+            sims = embedder.best_similarities(chunk_texts, bc, metric)
+        else:
+            sims = best_match_for_bags(F.transform(F.col(chunk_col), lambda c: buckets(c["chunk"], dim)), bc, dim, metric)
+        return docs.withColumn(out, sims), n > 0
     rows = written(docs.withColumn("_row", F.expr("uuid()")), "drift-documents")  # a key that survives recomputation
-    each = rows.select("_row", F.posexplode(bags).alias("_i", "_bag"))
-    each = each.select(F.concat_ws(":", "_row", "_i").alias("query_id"), F.col("_bag").alias("embedding"))
-    best = top_k_similar(each, store, 1, metric, query_kind="bag")
+    if vectors_col:
+        each, kind = rows.select("_row", F.posexplode(vectors_col).alias("_i", "embedding")), "dense"
+    elif embedder:
+        each = rows.select("_row", F.posexplode(chunk_texts).alias("_i", "_t"))
+        each, kind = each.select("_row", "_i", embedder.column(F.col("_t")).alias("embedding")), "dense"
+    else:
+        bags = F.transform(F.col(chunk_col), lambda c: buckets(c["chunk"], dim))
+        each, kind = rows.select("_row", F.posexplode(bags).alias("_i", "embedding")), "bag"
+    each = written(each.select(F.concat_ws(":", "_row", "_i").alias("query_id"), "embedding"), "drift-chunks")
+    best = top_k_similar(each, store, 1, metric, query_kind=kind)
     key = F.split("query_id", ":")
     sims = best.groupBy(F.get(key, 0).alias("_row")).agg(F.sort_array(F.collect_list(F.struct(
         F.get(key, 1).cast("int").alias("i"), "similarity"))).alias("_s"))
@@ -110,13 +139,31 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def detect_drift(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 metric: str = "l2", sep: str = PARAGRAPH_SEP, dim: int = DEFAULT_DIM) -> DataFrame:
+                 metric: str = "l2", sep: str = PARAGRAPH_SEP, dim: int = DEFAULT_DIM, embedder: Embedder | None = None,
+                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """D4 as rows: one per drifting chunk."""
-    with_chunks, has = with_similarities(docs.select(id_col, chunks(F.col(text_col), sep).alias("_chunks")), templates, "_chunks", metric=metric, dim=dim)
+    with_chunks, has = with_similarities(docs.select(id_col, chunks(F.col(text_col), sep).alias("_chunks")), templates, "_chunks", metric=metric, dim=dim,
+                                         broadcast_bytes=broadcast_bytes, embedder=embedder)
+    return drift_rows(with_chunks, id_col, has)
+
+
+def drift_of_vectors(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", chunk_col: str = "chunks", vectors_col: str = "vectors",
+                     metric: str = "l2", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """D4 on supplied vectors: documents with their chunks (the structs of
+    `chunks`) and one vector per chunk, templates with `embedding`."""
+    return drift_rows(*_renamed(with_similarities(docs, templates, chunk_col, metric=metric, broadcast_bytes=broadcast_bytes, vectors_col=vectors_col),
+                                id_col, chunk_col))
+
+
+def _renamed(scored: tuple[DataFrame, bool], id_col: str, chunk_col: str) -> tuple[DataFrame, str, bool]:
+    return scored[0].select(id_col, F.col(chunk_col).alias("_chunks"), "_sims"), id_col, scored[1]
+
+
+def drift_rows(with_chunks: DataFrame, id_col: str, has: bool) -> DataFrame:
     v = drift_violations(F.col("_chunks"), F.col("_sims"), has)
     return (explode_rows(with_chunks, [id_col], v)
             .select(id_col, F.col("v.chunk_index").alias("chunk_index"), "v.span_start", "v.span_end",
                     F.round("v.similarity", 6).alias("similarity"), "v.severity", "v.message"))
 
 
-__all__ = ["chunks", "drift_violations", "with_similarities", "chunk_table", "detect_drift"]
+__all__ = ["chunks", "drift_violations", "with_similarities", "chunk_table", "detect_drift", "drift_of_vectors"]

@@ -162,28 +162,29 @@ def change_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def template_context(audits: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     dim: int | None = None, metric: str = "l2") -> DataFrame:
+                     dim: int | None = None, metric: str = "l2", embedder=None) -> DataFrame:
     """For every non-PII violation, the template closest to its text
     slice (the context a rewrite generator receives; the stub ignores it).
 
-    Narrow per violation: the slice's token bag is scored against the
-    template store, a bounded dimension broadcast once as a matrix
-    (`top_k_similar`, k = 1).  Returns (id, seq, template_id, similarity)."""
-    from clausewise.functions.vectors import DEFAULT_DIM, buckets, embed_text
+    The narrow rows (key and the slice's token bag, or its vector by the caller's
+    `embedder`) are written first, so the audit behind them runs once; they are then
+    searched in the template store (`top_k_similar`, k = 1).  Returns
+    (id, seq, template_id, similarity)."""
+    from clausewise.functions.vectors import DEFAULT_DIM, buckets
+    from clausewise.operators.drift import template_vectors
     from clausewise.operators.vectors import top_k_similar
+    from clausewise.session import written
     dim = dim or DEFAULT_DIM
     src = F.coalesce(F.col(text_col), F.lit(""))
-    v = (explode_rows(audits, [id_col, text_col], F.col("violations"))
-         .where(F.col("v.type") != "pii")
-         .select(F.concat_ws(":", F.col(id_col).cast("string"), F.col("v.seq").cast("string")).alias("_key"),
-                 buckets(slice_text(src, F.col("v.span_start"), F.col("v.span_end")), dim).alias("_bag")))
-    store = templates.select(F.col("template_id").alias("id"), embed_text(F.col("text"), dim).alias("embedding"))
-    best = top_k_similar(v.select("_key", "_bag"), store, 1, metric, query_id="_key", query_vec="_bag",
-                         query_kind="bag", store_id="id", store_vec="embedding")
-    # the key encodes (id, seq): decode it instead of joining back, so the
-    # audit feeding `v` is evaluated once
+    v = explode_rows(audits, [id_col, text_col], F.col("violations")).where(F.col("v.type") != "pii")
+    v = v.select(F.concat_ws(":", F.col(id_col).cast("string"), F.col("v.seq").cast("string")).alias("_key"),
+                 slice_text(src, F.col("v.span_start"), F.col("v.span_end")).alias("_slice"))
+    v = written(v.select("_key", (embedder.column(F.col("_slice")) if embedder else buckets(F.col("_slice"), dim)).alias("_vec")), "context-queries")
+    best = top_k_similar(v, template_vectors(templates, dim, embedder=embedder), 1, metric, query_id="_key", query_vec="_vec",
+                         query_kind="dense" if embedder else "bag")
+    # the key encodes (id, seq)
     id_type = audits.schema[id_col].dataType
     return best.select(
-        F.regexp_extract("_key", r"^(.*):([0-9]+)$", 1).cast(id_type).alias(id_col),
-        F.regexp_extract("_key", r"^(.*):([0-9]+)$", 2).cast("int").alias("seq"),
+        F.regexp_extract("_key", r"(?s)^(.*):([0-9]+)$", 1).cast(id_type).alias(id_col),
+        F.regexp_extract("_key", r"(?s)^(.*):([0-9]+)$", 2).cast("int").alias("seq"),
         F.col("id").alias("template_id"), "similarity")

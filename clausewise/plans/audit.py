@@ -18,16 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausewise.functions.embedders import Embedder
 from clausewise.functions.text import explode_rows
-from clausewise.functions.vectors import DEFAULT_DIM, buckets, embed_text
+from clausewise.functions.vectors import DEFAULT_DIM, buckets
 from clausewise.functions.violations import VIOLATION_TYPE, empty_violations, number
 from clausewise.operators import decide as dec
-from clausewise.operators.drift import PARAGRAPH_SEP, chunks, drift_violations, with_similarities
-from clausewise.operators.pii import pii_violations
+from clausewise.operators.drift import BROADCAST_BYTES, PARAGRAPH_SEP, chunks, drift_violations, embedded, with_similarities
+from clausewise.operators.pii import ConfirmFn, pii_violations
 from clausewise.operators.rewrite import apply_fixes, suggestions
 from clausewise.operators.rules import CHECKS, policy_violations, rules_checked, rules_table, with_checks
 from clausewise.operators.signatures import signature_hits, signature_violations
-from clausewise.operators.triage import classify
+from clausewise.operators.triage import PREFIX_CHARS, classify
 from clausewise.operators.vectors import top_k_similar
 from clausewise.session import written
 from clausewise.sources.ingest import text_error
@@ -92,19 +93,31 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
           id_col: str = "doc_id", text_col: str = "text", metric: str = "l2",
           sep: str = PARAGRAPH_SEP, dim: int = DEFAULT_DIM, with_drift: bool = True,
           confirm_pii: bool = False, rewrite_fn=None, keep_text: bool = True,
-          carry: tuple[str, ...] = ()) -> DataFrame:
+          carry: tuple[str, ...] = (), confirm_fn: ConfirmFn | None = None, classify_fn=None,
+          prefix_chars: int | None = PREFIX_CHARS, embedder: Embedder | None = None, vectors_col: str | None = None,
+          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Audit every document.  `history` (id, text[, embedding]) enables the
     similar-past-violation search; None or empty gives empty lists.
     `carry` names input columns passed through unchanged (e.g. a department),
-    so callers never need to join the audit back to its input."""
+    so callers never need to join the audit back to its input.
+
+    Hooks: `classify_fn(text)` gives struct<document_type, confidence> in place of the
+    keyword tests over `prefix_chars` characters; `confirm_fn` judges ambiguous personal
+    data (`confirm_pii`); `rewrite_fn` writes suggestions; `embedder` embeds chunks,
+    templates and searched violations; `vectors_col` supplies the chunks' vectors."""
     spark = docs.sparkSession
     joined = rules is not None or policies is not None   # the caller's tables: joined on the document type
     text = F.col(text_col)
 
     ctx = spark.sparkContext.applicationId   # cached Columns belong to one running context
     cls_c, pii_c, pol_c, nrules_c, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift, ctx)
+    if classify_fn is not None or prefix_chars != PREFIX_CHARS:
+        cls_c = classify(text, prefix_chars) if classify_fn is None else classify_fn(text)
+    if confirm_fn is not None:
+        pii_c = pii_violations(text, confirm_pii, confirm_fn)
     doc_type = F.col("_cls.document_type")
-    d = docs.select(F.col(id_col), text, *[F.col(c) for c in carry]).withColumn("_cls", cls_c)
+    vectors = [F.col(vectors_col).alias("_vectors")] if vectors_col else []
+    d = docs.select(F.col(id_col), text, *[F.col(c) for c in carry], *vectors).withColumn("_cls", cls_c)
     if joined:
         d = with_checks(d, doc_type, rules_table(spark) if rules is None else rules,
                         policies_table(spark) if policies is None else policies)
@@ -116,7 +129,8 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
                  sig_c.alias("_sig_hits"), chunks_c.alias("_chunks"))
     drift_c = empty_violations()
     if with_drift:
-        d, has_store = with_similarities(d, templates if templates is not None else templates_table(spark), "_chunks", metric=metric, dim=dim)
+        d, has_store = with_similarities(d, templates if templates is not None else templates_table(spark), "_chunks", metric=metric, dim=dim,
+                                         broadcast_bytes=broadcast_bytes, embedder=embedder, vectors_col="_vectors" if vectors_col else None)
         drift_c = drift_violations(F.col("_chunks"), F.col("_sims"), has_store)
     d = d.select("*", drift_c.alias("_drift"),
                  signature_violations(text, doc_type, F.col("_sig_hits")).alias("_sig"))
@@ -151,7 +165,7 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
         F.size("_sig_hits").alias("signatures_found"), F.size("_sig").alias("signature_violations"),
     )
     if has_history:
-        out = attach_similar(out, history, id_col, dim, metric)
+        out = attach_similar(out, history, id_col, dim, metric, embedder)
     return out
 
 
@@ -159,7 +173,7 @@ SALTS = 32   # shares of a search text's violations in the join back
 
 
 def similar_violations_long(audits: DataFrame, history: DataFrame, id_col: str = "doc_id",
-                            dim: int = DEFAULT_DIM, metric: str = "l2") -> DataFrame:
+                            dim: int = DEFAULT_DIM, metric: str = "l2", embedder: Embedder | None = None) -> DataFrame:
     """E2 in long form: (id, seq, rank, history_id, history_text, similarity,
     distance) for every violation with a non-empty search text.
 
@@ -168,14 +182,14 @@ def similar_violations_long(audits: DataFrame, history: DataFrame, id_col: str =
     violation takes one of SALTS shares of its text, and the few hits of a
     text are there once per share."""
     hv = (history.select(F.col("id").cast("string").alias("id"), "text", "embedding")
-          if "embedding" in history.columns else history_vectors(history, dim))
+          if "embedding" in history.columns else history_vectors(history, dim, embedder))
     long = (explode_rows(audits, [id_col], F.col("violations"), "_i", "v")
             .select(id_col, F.col("v.seq").alias("seq"), search_text(F.col("v")).alias("_q"))
             .where(F.length("_q") > 0))
     texts = written(long.select("_q").distinct(), "search-texts")
-    hits = top_k_similar(texts.withColumn("_bag", buckets(F.col("_q"), dim)), hv, SIMILAR_TOP_K, metric,
-                         query_id="_q", query_vec="_bag", query_kind="bag", store_id="id",
-                         store_vec="embedding", payload_cols=["text"])
+    asked = texts.withColumn("_vec", embedder.column(F.col("_q")) if embedder else buckets(F.col("_q"), dim))
+    hits = top_k_similar(asked, hv, SIMILAR_TOP_K, metric, query_id="_q", query_vec="_vec", query_kind="dense" if embedder else "bag",
+                         store_id="id", store_vec="embedding", payload_cols=["text"])
     hits = hits.select("_q", "rank", F.col("id").alias("history_id"), F.col("text").alias("history_text"),
                        "similarity", "distance", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = long.withColumn("_salt", F.pmod(F.xxhash64(id_col, "seq"), F.lit(SALTS)).cast("int"))
@@ -183,13 +197,13 @@ def similar_violations_long(audits: DataFrame, history: DataFrame, id_col: str =
 
 
 def attach_similar(audits: DataFrame, history: DataFrame, id_col: str = "doc_id",
-                   dim: int = DEFAULT_DIM, metric: str = "l2") -> DataFrame:
+                   dim: int = DEFAULT_DIM, metric: str = "l2", embedder: Embedder | None = None) -> DataFrame:
     """E2 nested into each violation (the reference's shape).  The audit is
     written once (it feeds both the search and the final rows; the search reads its
     violations only), the long-form results are regrouped per document and
     joined back."""
     audits = written(audits, "audited")
-    res = similar_violations_long(audits, history, id_col, dim, metric)
+    res = similar_violations_long(audits, history, id_col, dim, metric, embedder)
     per_doc = (res.groupBy(id_col, "seq").agg(F.sort_array(F.collect_list(F.struct(
         "rank", F.col("history_id").alias("id"), F.col("history_text").alias("text"), "similarity",
         "distance"))).alias("_s"))
@@ -207,10 +221,9 @@ def attach_similar(audits: DataFrame, history: DataFrame, id_col: str = "doc_id"
             .withColumn("violations", F.transform("violations", attach)).drop("_m"))
 
 
-def history_vectors(history: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:
-    """History rows (id, text) embedded with the hashed bag-of-words rule."""
-    return history.select(F.col("id").cast("string").alias("id"), F.col("text"),
-                          embed_text(F.col("text"), dim).alias("embedding"))
+def history_vectors(history: DataFrame, dim: int = DEFAULT_DIM, embedder: Embedder | None = None) -> DataFrame:
+    """History rows (id, text) embedded by the hashed rule or the caller's model."""
+    return history.select(F.col("id").cast("string").alias("id"), F.col("text"), embedded(F.col("text"), dim, embedder).alias("embedding"))
 
 
 def final_text(audits: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -484,10 +484,130 @@ def k3_ticket_status_stream(spark, sf):
     return ticket_status_stream_run(spark, sf, RUN_ID, event_status)
 
 
+def q3_audit_stream_history(spark, sf):
+    """Documents as a stream by micro-batches, against conversations as templates
+    (by the blocked search) and the benchmark texts as violation history."""
+    from clausewise.streaming.audit_stream import run_audit_batches
+    talk = load_table(spark, sf, "conversations").where("text IS NOT NULL")
+    templates = talk.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("template_id"), "text")
+    history = load_table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+
+    def rows(audited):
+        v = explode_rows(audited, ["doc_id", "decision", "violation_score", "drift_found"], F.col("violations"))
+        keep = ["doc_id", "decision", "violation_score", "drift_found", F.col("v.seq").alias("seq"), F.col("v.severity").alias("severity")]
+        return _long(explode_rows(v, keep, F.col("v.similar_violations"), "pos", "s").select(
+            *[k if isinstance(k, str) else F.col(n) for k, n in zip(keep, ["doc_id", "decision", "violation_score", "drift_found", "seq", "severity"])],
+            (F.col("pos") + 1).alias("rank"), F.col("s.id").alias("history_id"), F.round("s.similarity", 6).alias("similarity")))
+    return run_audit_batches(spark, sf, templates, history, rows, broadcast_bytes=0)
+
+
+def _stored(spark, name, **kw):
+    import uuid
+    from clausewise.session import checkpoint_dir
+    from clausewise.sources.vector_table import VectorTable
+    return VectorTable(spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", **kw)
+
+
+def s10_vector_table(spark, sf):
+    """Embeddings keyed by label in three writes with a compaction between, then reloaded."""
+    from clausewise.sources.vector_table import VectorTable, records_of
+    e = load_table(spark, sf, "embeddings")
+    table = _stored(spark, "vectors", buckets=8)
+    for version in range(3):
+        part = e.where(F.col("vec_id") % 3 == version)
+        table.upsert(records_of(part, "label", None, "embedding", stored_at=F.timestamp_seconds("vec_id"), metadata=F.col("vec_id")))
+        if version == 1:
+            table.compact()
+    out = VectorTable(spark, table.path, buckets=8).read()
+    return out.select("id", F.col("metadata").cast("bigint").alias("vec_id"),
+                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("sum_embedding"))
+
+
+def s10_violation_history(spark, sf):
+    """An audit's violations stored as history (twice: the run counts once), reloaded."""
+    from clausewise.sources.vector_table import violation_records
+    table = _stored(spark, "history", buckets=8)
+    found = violation_records(_audited(spark, sf), RUN_ID, stored_at=F.timestamp_seconds(F.lit(0)))
+    for _ in range(2):
+        table.upsert(found, version=0)
+    told = lambda name: F.get_json_object("metadata", f"$.{name}").alias(name)
+    return table.read().groupBy(told("type"), told("severity")).agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("text").alias("n_texts"))
+
+
+def d4_drift_vectors(spark, sf):
+    """Drift on supplied vectors: documents of four vectors each, every 25th vector as a template."""
+    from clausewise.operators.drift import drift_of_vectors
+    e = load_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    packed = e.groupBy(F.floor(F.col("vec_id") / 4).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("x"))
+    chunk = lambda x: F.struct(F.pmod(x["vec_id"], F.lit(4)).cast("int").alias("chunk_index"), F.lit("").alias("chunk"),
+                               F.lit(0).alias("span_start"), F.lit(0).alias("span_end"))
+    docs = packed.select("doc_id", F.transform("x", chunk).alias("chunks"), F.transform("x", lambda x: x["v"]).alias("vectors"))
+    templates = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("template_id"), F.col("v").alias("embedding"))
+    return _long(drift_of_vectors(docs, templates).select("doc_id", "chunk_index", "similarity", "severity"))
+
+
+def _uploads(spark, sf, table, name, keep):
+    """A folder per upload, named like the file, with the text inside."""
+    import uuid
+    from clausewise.session import checkpoint_dir
+    folder = f"{checkpoint_dir(spark)}/uploads-{uuid.uuid4().hex}"
+    rows = load_table(spark, sf, table).where(F.col("text").isNotNull() & keep).select(F.col("text").alias("value"), name.alias("name"))
+    return folder, rows
+
+
+def _upload_name():
+    k = F.col("doc_id")
+    return F.concat(F.lit("doc"), k.cast("string"), F.when(k % 10 == 7, ".zip").when(k % 10 == 8, "").when(k % 2 == 0, ".TXT").otherwise(".txt"))
+
+
+def _write_uploads(rows, folder):
+    rows.write.mode("append").partitionBy("name").option("lineSep", "\n").text(folder)
+
+
+def s1_read_corpus(spark, sf):
+    """Documents written as text files, read back whole: id = file stem."""
+    folder, rows = _uploads(spark, sf, "documents", _upload_name(), F.lit(True))
+    _write_uploads(rows, folder)
+    back = ingest.read_uploads(spark, folder, "folder").withColumn("name", F.regexp_replace("name", "^name=", ""))
+    back = back.where(ingest.route_file_type(F.col("name")) == "text")
+    text = F.regexp_replace("text", r"\n\z", "")  # the writer's line end
+    return back.select(ingest._stem(F.col("name")).alias("doc_id"), F.length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("digest"))
+
+
+def s3_reference_texts(spark, sf):
+    """Benchmark texts written as policy files, read back: id = file stem, other suffixes left out."""
+    from clausewise.sources.reference_texts import reference_rows
+    i = F.col("item_id")
+    suffix = F.when(i % 4 == 0, ".txt").when(i % 4 == 1, ".md").when(i % 4 == 2, ".mdx").otherwise(".md.txt")
+    folder, rows = _uploads(spark, sf, "benchmark", F.concat(F.lit("notes.v"), i.cast("string"), suffix), F.lit(True))
+    _write_uploads(rows, folder)
+    back = ingest.read_uploads(spark, folder, "folder").select(F.regexp_replace("name", "^name=", "").alias("name"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    return reference_rows(back).select("id", F.sha2("text", 256).alias("digest"))
+
+
+def q1_audit_files(spark, sf):
+    """From files to audit rows in two runs: the second takes the files that came since."""
+    import uuid
+    from clausewise.plans.intake import audit_files
+    from clausewise.session import checkpoint_dir
+    out = f"{checkpoint_dir(spark)}/intake-{uuid.uuid4().hex}"
+    folder, rows = _uploads(spark, sf, "documents", _upload_name(), F.lit(True))
+    k = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+    about = rows.select(F.concat(F.lit("name="), "name").alias("name"), F.concat(F.lit("user"), (k % 5).cast("string")).alias("uploader"),
+                        F.when(k % 4 != 0, F.concat(F.lit("dep"), (k % 4).cast("string"))).alias("department"))
+    runs = []
+    for run_id, part in (("run-1", k % 3 == 0), ("run-2", k % 3 != 0)):
+        _write_uploads(rows.where(part), folder)
+        runs.append(audit_files(spark, folder, out, run_id, metadata=about, name_from="folder"))
+    bare = lambda c: F.regexp_replace(c, "^name=", "").alias(c)
+    return _long(runs[0].unionByName(runs[1]).select(bare("name"), bare("doc_id"), "run_id", "status", "error", "decision", "violation_score", "n_blocks",
+                                                     "uploader_id", "department"))
+
+
 QUERIES = {
     name: fn for name, fn in dict(globals()).items()
     if callable(fn) and name[:2] in {"t1", "p1", "p3", "p4", "r1", "r7", "g1", "g3", "d1", "d2", "d3", "d4",
                                      "m1", "e1", "e2", "w_", "w3", "q1", "q2", "q3", "q4", "f1", "f2", "o1", "o2",
-                                     "k1", "k2", "k3", "v1", "s1", "s2", "s4", "s5", "s6", "s7", "s8", "s9", "s1"}
+                                     "k1", "k2", "k3", "v1", "s1", "s2", "s3", "s4", "s5", "s6", "s7", "s8", "s9", "s1"}
     and getattr(fn, "__module__", "") == __name__
 }

@@ -127,11 +127,11 @@ def corpus_cte(name: str = "corpus") -> str:
             FROM customer))"""
 
 
-def drift_ctes(src: str, sep_sql: str, prefix: str = "dr") -> str:
+def drift_ctes(src: str, sep_sql: str, prefix: str = "dr", tpl: str | None = None) -> str:
     """(doc_id, chunk_index, span_start, span_end, chunk, similarity) for every chunk,
     best template by hashed bag-of-words l2 similarity."""
     return f"""
-    {templates_values()},
+    {tpl or templates_values()},
     {prefix}_tt AS (SELECT template_id, unnest(regexp_extract_all(lower(ttext), '{TOKEN}')) AS tok FROM tpl),
     {prefix}_tb AS (SELECT template_id, {bucket('tok')} AS b, count(*) AS cnt FROM {prefix}_tt GROUP BY ALL),
     {prefix}_tw AS (SELECT template_id, b, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY template_id)) AS w
@@ -170,7 +170,7 @@ def drift_select(prefix: str = "dr") -> str:
 NL2 = "chr(10) || chr(10)"
 
 
-def audit_ctes(src: str, with_drift: bool = True) -> str:
+def audit_ctes(src: str, with_drift: bool = True, tpl: str | None = None) -> str:
     """CTEs ending in `av` (all violations with seq), `asug` (suggestions) and
     `aud` (one row per document) for the documents in `src(doc_id, text)`."""
     sig_hits = " + ".join(f"len(regexp_extract_all(coalesce(text, ''), {q('(?i)' + p)}))"
@@ -191,7 +191,7 @@ def audit_ctes(src: str, with_drift: bool = True) -> str:
              FROM cls c JOIN rules r ON list_contains(r.document_types, c.document_type)
                                       OR list_contains(r.document_types, 'all')
              WHERE len(list_filter(r.keywords, lambda k: contains(lower(coalesce(c.text, '')), k))) = 0),
-    {drift_ctes('cls', NL2, 'adr')},
+    {drift_ctes('cls', NL2, 'adr', tpl)},
     asig AS (SELECT doc_id, document_type || ' document missing required signature/approval' AS message,
                     length(coalesce(text, '')) AS span_end
              FROM cls WHERE document_type IN ('contract', 'hr_form', 'agreement', 'policy') AND sig_hits = 0),
@@ -263,6 +263,26 @@ def audit_ctes(src: str, with_drift: bool = True) -> str:
       LEFT JOIN achunks k USING (doc_id))"""
 
 
+E2_CTES = f"""vq AS (SELECT doc_id, seq, coalesce(mtext, message, '') AS q FROM av),
+      dq AS (SELECT DISTINCT q FROM vq WHERE length(q) > 0),
+      qt AS (SELECT q, unnest(regexp_extract_all(lower(q), '{TOKEN}')) AS tok FROM dq),
+      qb AS (SELECT q, {bucket('tok')} AS b, count(*) AS cnt FROM qt GROUP BY ALL),
+      qw AS (SELECT q, b, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY q)) AS w FROM qb),
+      ht AS (SELECT item_id::VARCHAR AS hid, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS tok
+             FROM benchmark),
+      hb AS (SELECT hid, {bucket('tok')} AS b, count(*) AS cnt FROM ht GROUP BY ALL),
+      hw AS (SELECT hid, b, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY hid)) AS w FROM hb),
+      hs AS (SELECT item_id::VARCHAR AS hid, CASE WHEN item_id::VARCHAR IN (SELECT hid FROM hb) THEN 1.0
+                    ELSE 0.0 END AS hn2 FROM benchmark),
+      qs AS (SELECT q, CASE WHEN q IN (SELECT q FROM qb) THEN 1.0 ELSE 0.0 END AS qn2 FROM dq),
+      dots AS (SELECT qw.q, hw.hid, sum(qw.w * hw.w) AS dot FROM qw JOIN hw USING (b) GROUP BY ALL),
+      pairs AS (SELECT qs.q, hs.hid,
+                       1.0 / (1.0 + greatest(qs.qn2 + hs.hn2 - 2.0 * coalesce(d.dot, 0.0), 0.0)) AS sim
+                FROM qs CROSS JOIN hs LEFT JOIN dots d ON d.q = qs.q AND d.hid = hs.hid),
+      top AS (SELECT q, hid, sim, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, hid) AS rank
+              FROM pairs)"""
+
+
 AUD_COLS = ("doc_id, document_type, violation_score, n_critical, n_high, n_medium, n_low, decision, reason, "
             "pii_found, policy_found, rules_checked, chunks_checked, drift_found, signatures_found, "
             "signature_violations")
@@ -546,27 +566,42 @@ def sql_queries() -> dict[str, str]:
       SELECT r.doc_id, a.decision, a.violation_score,
              CASE WHEN a.doc_id IS NULL THEN 'not_found' ELSE 'completed' END AS status
       FROM req r LEFT JOIN aud a USING (doc_id)"""
-    out["e2_similar_violations"] = f"""WITH {docs}, {audit_ctes('docs')},
-      vq AS (SELECT doc_id, seq, coalesce(mtext, message, '') AS q FROM av),
-      dq AS (SELECT DISTINCT q FROM vq WHERE length(q) > 0),
-      qt AS (SELECT q, unnest(regexp_extract_all(lower(q), '{TOKEN}')) AS tok FROM dq),
-      qb AS (SELECT q, {bucket('tok')} AS b, count(*) AS cnt FROM qt GROUP BY ALL),
-      qw AS (SELECT q, b, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY q)) AS w FROM qb),
-      ht AS (SELECT item_id::VARCHAR AS hid, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS tok
-             FROM benchmark),
-      hb AS (SELECT hid, {bucket('tok')} AS b, count(*) AS cnt FROM ht GROUP BY ALL),
-      hw AS (SELECT hid, b, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY hid)) AS w FROM hb),
-      hs AS (SELECT item_id::VARCHAR AS hid, CASE WHEN item_id::VARCHAR IN (SELECT hid FROM hb) THEN 1.0
-                    ELSE 0.0 END AS hn2 FROM benchmark),
-      qs AS (SELECT q, CASE WHEN q IN (SELECT q FROM qb) THEN 1.0 ELSE 0.0 END AS qn2 FROM dq),
-      dots AS (SELECT qw.q, hw.hid, sum(qw.w * hw.w) AS dot FROM qw JOIN hw USING (b) GROUP BY ALL),
-      pairs AS (SELECT qs.q, hs.hid,
-                       1.0 / (1.0 + greatest(qs.qn2 + hs.hn2 - 2.0 * coalesce(d.dot, 0.0), 0.0)) AS sim
-                FROM qs CROSS JOIN hs LEFT JOIN dots d ON d.q = qs.q AND d.hid = hs.hid),
-      top AS (SELECT q, hid, sim, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, hid) AS rank
-              FROM pairs)
+    out["e2_similar_violations"] = f"""WITH {docs}, {audit_ctes('docs')}, {E2_CTES}
       SELECT vq.doc_id, vq.seq, top.rank::BIGINT AS rank, top.hid AS history_id, round(top.sim, 6) AS similarity
       FROM vq JOIN top ON top.q = vq.q WHERE top.rank <= 3"""
+    talk = "tpl AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS template_id, text AS ttext FROM conversations WHERE text IS NOT NULL)"
+    out["q3_audit_stream_history"] = f"""WITH {docs}, {audit_ctes('docs', tpl=talk)}, {E2_CTES}
+      SELECT a.doc_id, a.decision, a.violation_score, a.drift_found, v.seq, v.severity, top.rank::BIGINT AS rank, top.hid AS history_id,
+             round(top.sim, 6) AS similarity
+      FROM aud a JOIN av v USING (doc_id) JOIN vq ON vq.doc_id = v.doc_id AND vq.seq = v.seq JOIN top ON top.q = vq.q WHERE top.rank <= 3"""
+    out["s10_violation_history"] = f"""WITH {docs}, {audit_ctes('docs')}
+      SELECT type, severity, count(*)::BIGINT AS n_records, count(DISTINCT coalesce(mtext, message, ''))::BIGINT AS n_texts FROM av GROUP BY ALL"""
+    out["s10_vector_table"] = """WITH w AS (SELECT label::VARCHAR AS id, vec_id, embedding::DOUBLE[] AS e, vec_id % 3 AS v FROM embeddings)
+      SELECT id, arg_max(vec_id, v * 1000000000 + vec_id)::BIGINT AS vec_id,
+             round(list_sum(arg_max(e, v * 1000000000 + vec_id)), 6) AS sum_embedding FROM w GROUP BY id"""
+    out["d4_drift_vectors"] = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+      s AS (SELECT a.vec_id, max(1.0 / (1.0 + list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS sim
+            FROM e a JOIN e b ON b.vec_id % 25 = 0 GROUP BY a.vec_id)
+      SELECT (vec_id // 4)::BIGINT AS doc_id, (vec_id % 4)::BIGINT AS chunk_index, round(sim, 6) AS similarity,
+             CASE WHEN sim > 0.5 THEN 'medium' ELSE 'high' END AS severity FROM s WHERE sim < 0.7"""
+    paragraphs = f"list_filter(list_transform(string_split(coalesce(text, ''), {NL2}), lambda p: {strip('p')}), lambda p: length(p) > 0)"
+    out["q1_audit_files"] = f"""WITH files AS (
+        SELECT doc_id, text, CASE WHEN doc_id % 10 = 7 THEN '.zip' WHEN doc_id % 10 = 8 THEN '' WHEN doc_id % 2 = 0 THEN '.TXT' ELSE '.txt' END AS suffix,
+               {paragraphs} AS ps FROM documents WHERE text IS NOT NULL),
+      docs AS (SELECT doc_id, array_to_string(ps, {NL2}) AS text FROM files WHERE lower(suffix) = '.txt' AND len(ps) > 0), {audit_ctes('docs')}
+      SELECT 'doc' || f.doc_id || f.suffix AS name, 'doc' || f.doc_id AS doc_id,
+             CASE WHEN f.doc_id % 3 = 0 THEN 'run-1' ELSE 'run-2' END AS run_id,
+             CASE WHEN a.doc_id IS NULL THEN 'error' ELSE a.status END AS status,
+             CASE WHEN lower(f.suffix) <> '.txt' THEN 'Unsupported file type: ' || f.suffix WHEN a.doc_id IS NULL THEN 'document text is empty'
+                  ELSE a.error END AS error,
+             a.decision, a.violation_score, CASE WHEN a.doc_id IS NOT NULL THEN len(f.ps)::BIGINT END AS n_blocks,
+             substr(sha256('user' || (f.doc_id % 5)), 1, 16) AS uploader_id,
+             CASE WHEN f.doc_id % 4 = 0 THEN 'unknown' ELSE 'dep' || (f.doc_id % 4) END AS department
+      FROM files f LEFT JOIN aud a USING (doc_id)"""
+    out["s1_read_corpus"] = """SELECT 'doc' || doc_id AS doc_id, length(text)::BIGINT AS n_chars, sha256(text) AS digest
+        FROM documents WHERE text IS NOT NULL AND doc_id % 10 NOT IN (7, 8)"""
+    out["s3_reference_texts"] = """SELECT 'notes.v' || item_id || CASE WHEN item_id % 4 = 3 THEN '.md' ELSE '' END AS id, sha256(text) AS digest
+        FROM benchmark WHERE text IS NOT NULL AND item_id % 4 <> 2"""
     # F1's text by the sequential rule, then: edits before the first one that meets
     # its successor stand alone, the others are one region
     out["f2_change_segments"] = f"""WITH {corpus_docs}, {audit_ctes('cdocs')},

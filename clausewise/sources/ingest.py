@@ -23,6 +23,7 @@ OCR_MIN_CONFIDENCE = 0.5          # keep strictly greater
 MAX_HEADERS = 5
 HEADING_STYLE_PREFIX = "Heading"
 BLOCK_SEP = "\n\n"
+NO_UPLOADER, NO_DEPARTMENT = "anonymous", "unknown"
 
 LABEL_JSON_SCHEMA = T.StructType([
     T.StructField("document_type", T.StringType()),
@@ -48,6 +49,15 @@ def read_corpus(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFra
             .select(_stem(F.col("_name")).alias("doc_id"), "text"))
 
 
+def read_uploads(spark: SparkSession, path: str, name_from: str = "file") -> DataFrame:
+    """Uploaded files as rows: path, name, modified, text (whole).  The name is
+    the file's, or that of its folder where each upload has one (`name_from="folder"`)."""
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    full = F.col("_metadata.file_path")
+    last = F.element_at(F.split(F.url_decode(F.regexp_replace(full, r"\+", "%2B")), "/"), -1 if name_from == "file" else -2)
+    return df.select(full.alias("path"), last.alias("name"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """JSON sidecars (one object per file), id = file stem."""
     df = spark.read.schema(LABEL_JSON_SCHEMA).option("multiLine", True).json(path)
@@ -196,8 +206,8 @@ def pseudonymise(uploads: DataFrame, uploader_col: str | None, department_col: s
                  id_col: str | None = None, hash_ids: bool = True) -> DataFrame:
     """Uploader -> sha256[:16] (switchable), defaults 'anonymous' and
     'unknown'; processing id = given id or a random uuid."""
-    up = F.coalesce(F.col(uploader_col), F.lit("anonymous")) if uploader_col else F.lit("anonymous")
-    dep = F.coalesce(F.col(department_col), F.lit("unknown")) if department_col else F.lit("unknown")
+    up = F.coalesce(F.col(uploader_col), F.lit(NO_UPLOADER)) if uploader_col else F.lit(NO_UPLOADER)
+    dep = F.coalesce(F.col(department_col), F.lit(NO_DEPARTMENT)) if department_col else F.lit(NO_DEPARTMENT)
     pid = F.coalesce(F.col(id_col).cast("string"), F.expr("uuid()")) if id_col else F.expr("uuid()")
     return uploads.select(pid.alias("processing_id"),
                           (F.substring(F.sha2(up, 256), 1, 16) if hash_ids else up).alias("uploader_id"),
@@ -236,7 +246,9 @@ def write_audit(audits: DataFrame, out_dir: str, run_id: str, mask_pii_text: boo
 
     write_run(a, paths["audit_full"])
     full = spark.read.parquet(paths["audit_full"]).where(F.col("run_id") == run_id)
-    write_run(full.drop("violations", "suggestions", "text", "_final"), paths["audit_results"])
+    # clustered by id: a look-up reads the few row groups whose range holds its ids
+    results = full.drop("violations", "suggestions", "text", "_final")
+    write_run(results.repartitionByRange(id_col).sortWithinPartitions(id_col), paths["audit_results"])
     write_run(explode_rows(full, ["run_id", id_col], F.col("violations"))
               .select("run_id", id_col, "v.*").drop("similar_violations"), paths["audit_violations"])
     write_run(explode_rows(full, ["run_id", id_col], F.col("suggestions"), "seq", "s")

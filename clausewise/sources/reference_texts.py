@@ -105,12 +105,13 @@ def templates_table(spark: SparkSession) -> DataFrame:
 def read_reference_texts(spark: SparkSession, folder: str, suffixes=(".txt", ".md"),
                          id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Every `*.txt`/`*.md` file of a folder as one row: (id = file stem, text)."""
-    df = spark.read.text(folder, wholetext=True).select(
-        F.col("value").alias(text_col), F.col("_metadata.file_name").alias("_name"))
+    rows = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return reference_rows(rows, suffixes, id_col, text_col)
+
+
+def reference_rows(files: DataFrame, suffixes=(".txt", ".md"), id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(name, text) rows of files with one of the suffixes as (id, text)."""
     ok = F.lit(False)
     for s in suffixes:
-        ok = ok | F.col("_name").endswith(s)
-    stem = F.col("_name")
-    for s in suffixes:
-        stem = F.regexp_replace(stem, "\\" + s, "")
-    return df.filter(ok).select(stem.alias(id_col), F.col(text_col))
+        ok = ok | F.col("name").endswith(s)
+    return files.filter(ok).select(F.regexp_replace("name", r"\.[^.]*$", "").alias(id_col), F.col("text").alias(text_col))
