@@ -59,7 +59,7 @@ def best_of_vectors(vectors: Column, store_bc, metric: str) -> Column:
         out = []
         for rows in col:
             dim = store_bc.value[0].shape[1]
-            out.append(None if rows is None else _best(np.array([np.zeros(dim) if r is None else r for r in rows], np.float64).reshape(len(rows), -1), store_bc.value, metric))
+            out.append(None if rows is None else _best(np.array([np.zeros(dim) if r is None else r for r in rows], np.float64), store_bc.value, metric))
         return pd.Series(out, dtype=object)
     return best.asNondeterministic()(vectors)
 

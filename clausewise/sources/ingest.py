@@ -245,7 +245,7 @@ def write_audit(audits: DataFrame, out_dir: str, run_id: str, mask_pii_text: boo
          .partitionBy("run_id").parquet(path))
 
     write_run(a, paths["audit_full"])
-    full = spark.read.parquet(paths["audit_full"]).where(F.col("run_id") == run_id)
+    full = spark.read.schema(a.schema).parquet(paths["audit_full"]).where(F.col("run_id") == run_id)
     # clustered by id: a look-up reads the few row groups whose range holds its ids
     results = full.drop("violations", "suggestions", "text", "_final")
     write_run(results.repartitionByRange(id_col).sortWithinPartitions(id_col), paths["audit_results"])

@@ -126,21 +126,23 @@ def test_violations_become_history(spark, harbour):
     assert all(round(s[0].similarity, 9) == 1.0 and s[0].text == q for q, s in own.items())  # its own past violations
 
 
-def lengths():
-    """A model: vectors of word lengths; fails on texts that say so."""
-    def model(texts):
-        if any("FAIL" in t for t in texts):
-            raise RuntimeError("no")
-        return [[float(sum(len(w) % 4 == k for w in t.split())) for k in range(4)] for t in texts]
-    return model
+def word_lengths():
+    """A model's loader: vectors of word lengths; it fails on texts that say so."""
+    def load():
+        def model(texts):
+            if any("FAIL" in t for t in texts):
+                raise RuntimeError("no")
+            return [[float(sum(len(w) % 4 == k for w in t.split())) for k in range(4)] for t in texts]
+        return model
+    return load
 
 
 def test_embedder_and_supplied_vectors(spark):
-    embedder = Embedder(lengths, 4, batch=3)
+    embedder = Embedder(word_lengths(), 4, batch=3)
     templates = spark.createDataFrame([(f"t{i}", w) for i, w in enumerate(["a bb ccc dddd", "eeee ffff", "g hh iii", "FAIL"])], "template_id string, text string")
     docs = spark.createDataFrame([(i, f"{'word of the day ' * (4 + i)}\n\n{'FAIL ' * 20}\n\n{'sails and ropes ' * 9}") for i in range(7)] + [(9, None), (10, "x")],
                                  "doc_id long, text string")
-    model = lengths()
+    model = word_lengths()()
     vec = lambda t: np.array(model([t])[0]) if "FAIL" not in t else np.zeros(4)
     store = [vec(t) for t in ["a bb ccc dddd", "eeee ffff", "g hh iii", "FAIL"]]
     want = {}
