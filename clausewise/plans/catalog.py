@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from clausewise.functions.text import explode_rows
 from clausewise.functions.vectors import DEFAULT_DIM, buckets, dense_from_bag
 from clausewise.operators.drift import chunk_table, detect_drift
-from clausewise.operators.evaluate import detection_counts, evaluate_pii  # noqa: F401
+from clausewise.operators.evaluate import detection_counts, evaluate_pii
 from clausewise.operators.metrics import audit_counters, duration_histogram
 from clausewise.operators.pii import redact_documents, scan_pii
-from clausewise.operators.rewrite import change_segments
+from clausewise.operators.rewrite import apply_fixes, change_segments
 from clausewise.operators.rules import apply_policy_rules, rules_for_types, rules_table
 from clausewise.operators.signatures import find_signatures, missing_signatures
 from clausewise.operators.tickets import list_tickets, review_queue, update_ticket_status
@@ -199,6 +199,11 @@ def d4_drift_corpus(spark, sf):
     return _long(detect_drift(_corpus(spark, sf).select("doc_id", "text"), templates_table(spark)))
 
 
+def d4_drift_empty_store(spark, sf):
+    """Without any template every chunk is a low violation."""
+    return _long(detect_drift(_docs(spark, sf), templates_table(spark).limit(0), sep="\n"))
+
+
 # ------------------------------------------------------------------ audit (Q1) and around it
 
 def m1_merge_violations(spark, sf):
@@ -286,6 +291,14 @@ def f1_final_text_nodrift(spark, sf):
     return final_text(a)
 
 
+def f1_all_fixes(spark, sf):
+    """Every suggestion applied to every document, whatever the decision: whole-document
+    edits, edits inside them and edits that overlap."""
+    a = audit(_docs(spark, sf), keep_text=True)
+    fixed = apply_fixes(F.col("text"), F.col("suggestions"))
+    return a.where("text IS NOT NULL").select("doc_id", F.length(fixed).cast("bigint").alias("n_chars"), F.sha2(fixed, 256).alias("digest"))
+
+
 def f2_change_segments(spark, sf):
     a = audit(_corpus(spark, sf).select("doc_id", "text"))
     return _long(change_segments(a))
@@ -375,6 +388,14 @@ def v1_evaluate_pii(spark, sf):
     return evaluate_pii_rows(c.select(gt.alias("gt"), det.alias("det")))
 
 
+def v1_evaluate_audit(spark, sf):
+    """The join form: the audit's personal data against the corpus labels, by document id."""
+    c = _corpus(spark, sf)
+    found = explode_rows(audit(c.select("doc_id", "text")), ["doc_id"], F.col("violations")).where(F.col("v.type") == "pii")
+    truth = c.select("doc_id", F.transform("label.pii_spans", lambda g: g["text"]).alias("gt"))
+    return evaluate_pii(detection_counts(found.select("doc_id", F.col("v.text").alias("text"))), truth)
+
+
 # ------------------------------------------------------------------ sources
 
 def s2_labels_join(spark, sf):

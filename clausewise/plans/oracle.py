@@ -436,6 +436,16 @@ def sql_queries() -> dict[str, str]:
       SELECT a.doc_id, list_reduce(coalesce(fx.l, []), lambda acc, x: substr(acc, 1, x.s) || x.r
                                    || substr(acc, x.e + 1), a.text) AS final_text
       FROM aud a LEFT JOIN fx USING (doc_id) WHERE a.decision = 'Auto-Fix'"""
+    out["f1_all_fixes"] = f"""WITH {docs}, {audit_ctes('docs')},
+      fx AS (SELECT doc_id, list(struct_pack(s := span_start, e := span_end, r := replacement)
+                                 ORDER BY span_start DESC, seq ASC) AS l FROM asug GROUP BY doc_id),
+      t AS (SELECT a.doc_id, list_reduce(coalesce(fx.l, []), lambda acc, x: substr(acc, 1, x.s) || x.r
+                                         || substr(acc, x.e + 1), a.text) AS fixed
+            FROM aud a LEFT JOIN fx USING (doc_id) WHERE a.text IS NOT NULL)
+      SELECT doc_id, length(fixed)::BIGINT AS n_chars, sha256(fixed) AS digest FROM t"""
+    out["d4_drift_empty_store"] = f"""WITH {drift_ctes('documents', 'chr(10)')}
+      SELECT doc_id, chunk_index::BIGINT AS chunk_index, span_start::BIGINT AS span_start, (span_start + length(chunk))::BIGINT AS span_end,
+             0.0::DOUBLE AS similarity, 'low' AS severity, 'No matching template found' AS message FROM dr_ch"""
     out["o1_audit_counters"] = f"""WITH {docs}, {audit_ctes('docs')}
       SELECT (SELECT count(*) FROM aud)::BIGINT AS documents_processed,
              count(*)::BIGINT AS violations_total,
@@ -502,6 +512,7 @@ def sql_queries() -> dict[str, str]:
                    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS rc FROM c)
       SELECT tp, fp, fn, round(pr, 6) AS precision, round(rc, 6) AS recall,
              round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0::DOUBLE END, 6) AS f1 FROM m"""
+    out["v1_evaluate_audit"] = out["v1_evaluate_pii"]
     out["s2_labels_join"] = """SELECT d.doc_id, length(d.text)::BIGINT AS n_chars, l.quality::BIGINT AS quality,
         l.toxic::BIGINT AS toxic, l.doc_id IS NOT NULL AS has_label
       FROM documents d LEFT JOIN labels l USING (doc_id)"""
