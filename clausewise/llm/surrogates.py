@@ -14,8 +14,8 @@ Distinctness is checked over all entities of the corpus: where two values would
 get one surrogate, or a surrogate equals a real value, the entity takes the next
 attempt until none is left.  Names get longer with the attempt, so the space
 grows with the corpus.  The first attempt is computed inside the
-projection, so texts are not shuffled; only documents that hold an entity with a
-later attempt are joined with it.
+projection; if an entity needs a later one, the documents that hold such entities are
+joined to the texts, which moves all texts once.
 
 Edge cases: null text stays null, empty text empty; rows that repeat get
 the same result; texts of any length are rewritten whole; overlapping
