@@ -36,18 +36,33 @@ FEW_CHUNKS = 64   # of a document, up to which each is searched in its text
 
 def chunks(text: Column, sep: str = PARAGRAPH_SEP) -> Column:
     """array<struct<chunk_index, chunk, span_start, span_end>>; span_start
-    is the first occurrence of the chunk in the text.  A document of many chunks
-    is searched for all of them at once, in time that grows with its length."""
-    src = F.coalesce(text, F.lit(""))
-    kept = F.filter(split_paragraphs(text, sep), lambda p: F.length(p) > MIN_CHUNK_CHARS)
-    many = F.size(kept) > FEW_CHUNKS
-    # no lambda may hold the Python function, so the places are an array of their own
-    places = F.when(many, first_occurrences(F.when(many, src), F.when(many, kept))).otherwise(F.transform(kept, lambda c: F.instr(src, c) - 1))
+    is the first occurrence of the chunk in the text, each searched from its start
+    (`with_chunks` finds those of documents with many chunks together)."""
+    kept, src = _kept(text, sep), F.coalesce(text, F.lit(""))
+    return _chunk_structs(kept, F.transform(kept, lambda c: F.instr(src, c) - 1))
+
+
+def _kept(text: Column, sep: str) -> Column:
+    return F.filter(split_paragraphs(text, sep), lambda p: F.length(p) > MIN_CHUNK_CHARS)
+
+
+def _chunk_structs(kept: Column, places: Column) -> Column:
     pairs = F.zip_with(kept, places, lambda c, at: F.struct(c.alias("c"), at.alias("at")))
     return F.transform(pairs, lambda x, i: F.struct(
         i.alias("chunk_index"), x["c"].alias("chunk"), x["at"].alias("span_start"), (x["at"] + F.length(x["c"])).alias("span_end")))
 
 
+def with_chunks(docs: DataFrame, text_col: str = "text", sep: str = PARAGRAPH_SEP, out: str = "_chunks") -> DataFrame:
+    """`docs` with its chunks (D1) in `out`, in time that grows with the text: the
+    paragraphs are cut once, and a document of many is searched for all of them at once."""
+    src = F.coalesce(F.col(text_col), F.lit(""))
+    many = F.size("_kept") > FEW_CHUNKS
+    cut = docs.withColumn("_kept", _kept(F.col(text_col), sep))
+    cut = cut.withColumn("_far", first_occurrences(F.when(many, src), F.when(many, F.col("_kept"))))
+    places = F.when(many, F.col("_far")).otherwise(F.transform("_kept", lambda c: F.instr(src, c) - 1))
+    return cut.withColumn(out, _chunk_structs(F.col("_kept"), places)).drop("_kept", "_far")
+
+
 def drift_violations(cs: Column, sims: Column, has_store: bool = True) -> Column:
     """D4 as array<violation> for one document, from its chunks and their best
     similarities (see `with_similarities`)."""
@@ -133,7 +148,7 @@ def with_similarities(docs: DataFrame, templates: DataFrame, chunk_col: str, out
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sep: str = PARAGRAPH_SEP) -> DataFrame:
     """D1 as rows: (id, chunk_index, span_start, span_end, chunk_chars)."""
-    return (explode_rows(docs.select(id_col, chunks(F.col(text_col), sep).alias("_chunks")), [id_col], F.col("_chunks"), val="c")
+    return (explode_rows(with_chunks(docs.select(id_col, F.col(text_col).alias("_text")), "_text", sep), [id_col], F.col("_chunks"), val="c")
             .select(id_col, F.col("c.chunk_index").cast("int").alias("chunk_index"),
                     "c.span_start", "c.span_end", F.length("c.chunk").alias("chunk_chars")))
 
@@ -142,9 +157,9 @@ def detect_drift(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
                  metric: str = "l2", sep: str = PARAGRAPH_SEP, dim: int = DEFAULT_DIM, embedder: Embedder | None = None,
                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """D4 as rows: one per drifting chunk."""
-    with_chunks, has = with_similarities(docs.select(id_col, chunks(F.col(text_col), sep).alias("_chunks")), templates, "_chunks", metric=metric, dim=dim,
+    scored, has = with_similarities(with_chunks(docs.select(id_col, F.col(text_col).alias("_text")), "_text", sep).drop("_text"), templates, "_chunks", metric=metric, dim=dim,
                                          broadcast_bytes=broadcast_bytes, embedder=embedder)
-    return drift_rows(with_chunks, id_col, has)
+    return drift_rows(scored, id_col, has)
 
 
 def drift_of_vectors(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", chunk_col: str = "chunks", vectors_col: str = "vectors",
@@ -159,11 +174,11 @@ def _renamed(scored: tuple[DataFrame, bool], id_col: str, chunk_col: str) -> tup
     return scored[0].select(id_col, F.col(chunk_col).alias("_chunks"), "_sims"), id_col, scored[1]
 
 
-def drift_rows(with_chunks: DataFrame, id_col: str, has: bool) -> DataFrame:
+def drift_rows(scored: DataFrame, id_col: str, has: bool) -> DataFrame:
     v = drift_violations(F.col("_chunks"), F.col("_sims"), has)
-    return (explode_rows(with_chunks, [id_col], v)
+    return (explode_rows(scored, [id_col], v)
             .select(id_col, F.col("v.chunk_index").alias("chunk_index"), "v.span_start", "v.span_end",
                     F.round("v.similarity", 6).alias("similarity"), "v.severity", "v.message"))
 
 
-__all__ = ["chunks", "drift_violations", "with_similarities", "chunk_table", "detect_drift", "drift_of_vectors"]
+__all__ = ["chunks", "with_chunks", "drift_violations", "with_similarities", "chunk_table", "detect_drift", "drift_of_vectors"]

@@ -81,9 +81,13 @@ def suggestions(text: Column, violations: Column, rewrite_fn: RewriteFn | None =
     src = F.coalesce(text, F.lit(""))
 
     def one(v: Column, j: Column, x: Column) -> Column:
-        span = slice_cut(x["cut"], v["span_start"], v["span_end"])
-        gen = rewrite_fn(redact(span, clipped_pii(x["pii"], x["ranges"], j, v["span_start"], v["span_end"]), "i"))
+        # the slice, then its redacted form, each bound once; personal data needs neither
         is_pii = F.coalesce(v["type"] == "pii", F.lit(False))
+        return let(F.when(~is_pii, slice_cut(x["cut"], v["span_start"], v["span_end"])), lambda span: let(
+            F.when(~is_pii, redact(span, clipped_pii(x["pii"], x["ranges"], j, v["span_start"], v["span_end"]), "i")),
+            lambda redacted: build(v, is_pii, span, rewrite_fn(redacted))))
+
+    def build(v: Column, is_pii: Column, span: Column, gen: Column) -> Column:
         return F.struct(
             F.when(is_pii, v["pii_type"]).otherwise(F.coalesce(v["rule_id"], v["type"])).alias("violation_id"),
             v["span_start"].alias("span_start"),

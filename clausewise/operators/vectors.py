@@ -69,9 +69,9 @@ def top_k_similar(queries: DataFrame, store: DataFrame, k: int, metric: str = "l
 
 def _sizes(queries: DataFrame, store: DataFrame, store_vec: str) -> tuple[int, int, int]:
     """(store rows, vector length, queries), counted in one job."""
-    both = store.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(store_vec)).alias("d")).join(queries.agg(F.count(F.lit(1)).alias("q")))
-    n, dim, q = both.first()
-    return n, dim or 0, q
+    held = store.select(F.lit(1).alias("s"), F.size(store_vec).alias("d")).unionAll(queries.select(F.lit(0).alias("s"), F.lit(None).cast("int").alias("d")))
+    n, dim, total = held.agg(F.sum("s"), F.max("d"), F.count(F.lit(1))).first()
+    return n or 0, dim or 0, total - (n or 0)
 
 
 def _queries(queries: DataFrame, query_id: str, query_vec: str) -> DataFrame:

@@ -23,7 +23,7 @@ from clausewise.functions.text import explode_rows
 from clausewise.functions.vectors import DEFAULT_DIM, buckets
 from clausewise.functions.violations import VIOLATION_TYPE, empty_violations, number
 from clausewise.operators import decide as dec
-from clausewise.operators.drift import BROADCAST_BYTES, PARAGRAPH_SEP, chunks, drift_violations, embedded, with_similarities
+from clausewise.operators.drift import BROADCAST_BYTES, PARAGRAPH_SEP, drift_violations, embedded, with_chunks, with_similarities
 from clausewise.operators.pii import ConfirmFn, pii_violations
 from clausewise.operators.rewrite import apply_fixes, suggestions
 from clausewise.operators.rules import CHECKS, policy_violations, rules_checked, rules_table, with_checks
@@ -59,15 +59,13 @@ def checked_policies() -> Column:
 
 
 @lru_cache(maxsize=16)
-def _scanners(text_col: str, sep: str, confirm_pii: bool, with_drift: bool, ctx: str = ""):
+def _scanners(text_col: str, confirm_pii: bool, ctx: str = ""):
     """Scanner expressions for a text column (built once per process: the
     Column trees are large and cost many gateway calls to build)."""
     text = F.col(text_col)
     doc_type = F.col("_cls.document_type")
     return (classify(text), pii_violations(text, confirm=confirm_pii), policy_violations(text, doc_type),
-            rules_checked(doc_type), signature_hits(text),
-            chunks(text, sep) if with_drift else F.array().cast(
-                "array<struct<chunk_index:int,chunk:string,span_start:int,span_end:int>>"))
+            rules_checked(doc_type), signature_hits(text))
 
 
 @lru_cache(maxsize=16)
@@ -110,7 +108,7 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
     text = F.col(text_col)
 
     ctx = spark.sparkContext.applicationId   # cached Columns belong to one running context
-    cls_c, pii_c, pol_c, nrules_c, sig_c, chunks_c = _scanners(text_col, sep, confirm_pii, with_drift, ctx)
+    cls_c, pii_c, pol_c, nrules_c, sig_c = _scanners(text_col, confirm_pii, ctx)
     if classify_fn is not None or prefix_chars != PREFIX_CHARS:
         cls_c = classify(text, prefix_chars) if classify_fn is None else classify_fn(text)
     if confirm_fn is not None:
@@ -124,9 +122,11 @@ def audit(docs: DataFrame, templates: DataFrame | None = None, policies: DataFra
         pol_c, nrules_c = policy_violations(text, doc_type, F.col(CHECKS)), rules_checked(doc_type, F.col(CHECKS))
     d = d.withColumn("policy_map", checked_policies() if joined else policy_map())
 
+    none = F.array().cast("array<struct<chunk_index:int,chunk:string,span_start:int,span_end:int>>")
+    d = with_chunks(d, text_col, sep) if with_drift else d.withColumn("_chunks", none)
     # scanners (each result bound in its own column)
     d = d.select("*", pii_c.alias("_pii"), pol_c.alias("_pol"), nrules_c.alias("rules_checked"),
-                 sig_c.alias("_sig_hits"), chunks_c.alias("_chunks"))
+                 sig_c.alias("_sig_hits"))
     drift_c = empty_violations()
     if with_drift:
         d, has_store = with_similarities(d, templates if templates is not None else templates_table(spark), "_chunks", metric=metric, dim=dim,
