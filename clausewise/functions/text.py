@@ -148,9 +148,10 @@ def apply_edits(text: Column, edits: Column) -> Column:
     the text as it stood before the edit.  Only edits that start behind the
     text's end are replayed one by one.
     """
-    ordered = F.array_sort(F.transform(edits, lambda e: F.struct(
-        e["span_start"].alias("at"), (-e["ord"]).alias("o"), F.greatest(e["span_start"], F.lit(0)).alias("s"),
-        F.greatest(e["span_end"], F.lit(0)).alias("e"), e["replacement"].alias("r"))))
+    def ordered(edits: Column) -> Column:
+        return F.array_sort(F.transform(edits, lambda e: F.struct(
+            e["span_start"].alias("at"), (-e["ord"]).alias("o"), F.greatest(e["span_start"], F.lit(0)).alias("s"),
+            F.greatest(e["span_end"], F.lit(0)).alias("e"), e["replacement"].alias("r"))))
 
     def after(p: Column, e: Column) -> Column:
         return e["e"] + F.greatest(p - e["s"] - F.length(e["r"]), F.lit(0))
@@ -162,8 +163,10 @@ def apply_edits(text: Column, edits: Column) -> Column:
                 p < e["s"], F.concat(slice_cut(x["c"], p, e["s"]), e["r"])).otherwise(F.substr(e["r"], p - e["s"] + 1)))), ""),
             slice_cut(x["c"], F.get(x["p"], F.size(a)), F.length(t))))
 
-    return let(F.struct(text.alias("t"), ordered.alias("a")), lambda x: F.when(x["t"].isNull() | (F.size(x["a"]) <= 0), x["t"]).when(
-        F.exists(x["a"], lambda e: e["s"] > F.length(x["t"])), _replayed(text, edits)).otherwise(written(x["t"], x["a"])))
+    # text and edits are bound, so that neither expression is repeated in the plan
+    return let(F.struct(text.alias("t"), edits.alias("d")), lambda x: let(ordered(x["d"]), lambda a: F.when(
+        x["t"].isNull() | (F.size(a) <= 0), x["t"]).when(
+        F.exists(a, lambda e: e["s"] > F.length(x["t"])), _replayed(x["t"], x["d"])).otherwise(written(x["t"], a))))
 
 
 def _replayed(text: Column, edits: Column) -> Column:
