@@ -9,10 +9,10 @@ Chosen path: a run samples tokens at 1 / (threshold * T) each, so a set goes on
 1 / threshold children on average and two similar sets meet in one child or
 more.  Buckets of at most SMALL sets are compared by brute force on their embeddings;
 larger ones are split again by as many tokens, sampled by the path, as make
-them small where half of the values agree; what is still large agrees on
-more, and so mostly with the bucket's first set: it is dealt into chunks that all hold that set.  Runs are repeated until a pair at the
-threshold meets in a first bucket with probability `recall` or more; that bound covers neither the second
-split nor the chunks.
+them small where half of the values agree, and by as many such paths as keep a pair at the threshold
+together with probability `recall`; what is still large agrees on more: all its sets become candidates of each
+other, linked through one of them, so that no pair of it is left out and the exact comparison decides.  Runs are repeated until a pair at the
+threshold meets in a first bucket with probability `recall` or more.
 
 Candidates (embedding agreement within five standard errors of the threshold)
 form components.  Each component is then compared exactly, on whole shingle
@@ -46,7 +46,7 @@ from clausewise.llm.components import components
 
 T = 64            # embedding size
 SMALL = 128       # sets compared by brute force in one bucket
-DEPTH = 1         # splits of a large bucket before it is dealt into chunks
+DEPTH = 1         # splits of a large bucket before all its sets become candidates
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
 
 
@@ -100,6 +100,13 @@ def runs_for(recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / -1.0))
 
 
+def paths_for(threshold: float, m: int, recall: float) -> int:
+    """Paths of m tokens until a pair at the threshold shares all tokens of one with
+    probability `recall`."""
+    shared = threshold ** m
+    return 1 if shared >= recall else math.ceil(math.log(1 - recall) / math.log1p(-shared))
+
+
 def root_tokens(threshold: float, runs: int) -> list[tuple[int, int]]:
     """(run, place): the tokens that each run samples at its root."""
     limit = np.uint64(int((1 << 64) / (threshold * T)) if threshold * T > 1 else (1 << 64) - 1)
@@ -140,10 +147,10 @@ def _paths(sets: DataFrame, tokens: list[tuple[int, int]]) -> DataFrame:
     return sets.select("node", "emb").mapInArrow(run, "key long, node binary")
 
 
-def _split(rows: DataFrame, threshold: float) -> DataFrame:
+def _split(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Children of (key, load, node, emb): a path goes on by as many sampled
     tokens as halve its bucket to SMALL, and by so many such paths that a
-    pair at the threshold keeps one on average."""
+    pair at the threshold keeps one with probability `recall`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +161,7 @@ def _split(rows: DataFrame, threshold: float) -> DataFrame:
             emb = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, T)
             for m in np.unique(steps):
                 at = np.flatnonzero(steps == m)
-                for r in range(math.ceil(threshold ** -int(m))):
+                for r in range(paths_for(threshold, int(m), recall)):
                     with np.errstate(over="ignore"):
                         child = mix64(key[at] + np.uint64(0x5851F42D4C957F2D) * np.uint64(r + 1))
                         for _ in range(m):
@@ -230,17 +237,14 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
         if large.isEmpty():
             break
         if level < DEPTH:
-            kids = materialise(_split(large, threshold), "path-kids")
+            kids = materialise(_split(large, threshold, recall), "path-kids")
             load = kids.groupBy("key").agg(F.count("*").alias("load")).filter("load > 1")
             rows = kids.join(load, "key").select("key", "load", "node", "emb")
         else:
-            # sets that agree on every sampled token: chunks, each with the bucket's first set
-            first = large.groupBy("key").agg(F.min(F.struct("node", "emb")).alias("f"), F.ceil(F.max("load") / F.lit(SMALL - 1)).cast("int").alias("n"))
-            dealt = large.join(first.select("key", "n"), "key").select(
-                F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), F.col("n"))).alias("key"), "node", "emb")
-            heads = first.select("key", F.explode(F.expr("sequence(0, n - 1)")).alias("c"), F.col("f.node").alias("node"), F.col("f.emb").alias("emb"))
-            heads = heads.select(F.xxhash64("key", F.col("c").cast("long")).alias("key"), "node", "emb")
-            found = found.unionByName(_bucket_edges(dealt.unionByName(heads), least))
+            # sets that agree on every sampled token: all candidates of each other, through the bucket's first set
+            first = large.groupBy("key").agg(F.min("node").alias("a"))
+            star = large.join(first, "key").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
+            found = found.unionByName(star.distinct())
     return found
 
 
