@@ -549,7 +549,7 @@ def s10_violation_history(spark, sf):
     """An audit's violations stored as history (twice: the run counts once), reloaded."""
     from clausewise.sources.vector_table import violation_records
     table = _stored(spark, "history", buckets=8)
-    found = violation_records(_audited(spark, sf), RUN_ID, stored_at=F.timestamp_seconds(F.lit(0)))
+    found = written(violation_records(_audited(spark, sf), RUN_ID, stored_at=F.timestamp_seconds(F.lit(0))), "violation-records")
     for _ in range(2):
         table.upsert(found, version=0)
     told = lambda name: F.get_json_object("metadata", f"$.{name}").alias(name)

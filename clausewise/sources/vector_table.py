@@ -11,6 +11,8 @@ reads the buckets of its ids only.  One writer at a time; readers may come any t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,11 @@ from clausewise.functions.text import explode_rows
 from clausewise.functions.vectors import DEFAULT_DIM
 from clausewise.operators.drift import embedded
 from clausewise.operators.vectors import upsert_vectors
+from clausewise.session import written
 
 SCHEMA = "id string, text string, embedding array<double>, metadata string, stored_at timestamp"
 COLUMNS = ["id", "text", "embedding", "metadata", "stored_at"]
+TASK_RECORDS = 20_000   # records, of some kilobytes each, sorted and written by one task
 COMMIT = "kind string, records long, version long"
 
 
@@ -48,24 +52,34 @@ class VectorTable:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
-    def _write(self, records: DataFrame, version: int, kind: str) -> None:
+    def _write(self, records: DataFrame, version: int, kind: str, n_records: int) -> None:
+        """A bucket is written by as many tasks as keep each at about TASK_RECORDS."""
+        shares = max(1, math.ceil(n_records / (self.buckets * TASK_RECORDS)))
+        share = F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(shares))
         out = records.select(*COLUMNS, bucket_of(F.col("id"), self.buckets).alias("bucket"))
-        (out.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "id")
+        (out.repartition(self.buckets * shares, "bucket", share).sortWithinPartitions("bucket", "id")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}"))
         n = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(f"{self.path}/data/version={version}").count()
         commit = self.spark.createDataFrame([(kind, n)], "kind string, records long")
         commit.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/version={version}")
 
-    def upsert(self, records: DataFrame, version: int | None = None) -> int:
+    def upsert(self, records: DataFrame, version: int | None = None, dim: int = DEFAULT_DIM, embedder: Embedder | None = None) -> int:
         """Add or replace records (`records_of`) as one delta; `version`
-        (default: the next) makes a repeated write replace itself."""
+        (default: the next) makes a repeated write replace itself.  Records without
+        vectors are embedded from their text here, when they are told apart by id."""
         version = self.next_version() if version is None else version
         bases = [v for v, kind in self.commits() if kind == "base"]
         if bases and version <= bases[-1]:
             if version == bases[-1]:
                 raise ValueError(f"version {version} is a base")
             return version  # compacted already: the base holds it
-        self._write(upsert_vectors(records, "id", ("stored_at", "text")), version, "delta")
+        records = written(records, "vector-records")
+        n = records.count()
+        # a task per TASK_RECORDS records, whatever the session's width
+        last = upsert_vectors(records.repartition(max(1, math.ceil(n / TASK_RECORDS)), "id"), "id", ("stored_at", "text"))
+        if "embedding" not in records.columns:
+            last = last.withColumn("embedding", embedded(F.col("text"), dim, embedder))
+        self._write(last, version, "delta", n)
         return version
 
     def next_version(self) -> int:
@@ -94,7 +108,8 @@ class VectorTable:
     def compact(self) -> int:
         """Write all that counts as a base, so readers need no older version."""
         version = self.next_version()
-        self._write(self.read(), version, "base")
+        rows = self.read()
+        self._write(rows, version, "base", rows.count())
         return version
 
 
@@ -108,14 +123,13 @@ def records_of(rows: DataFrame, id_col: str, text_col: str | None = "text", embe
                        (F.lit(None) if metadata is None else metadata).cast("string").alias("metadata"), at.cast("timestamp").alias("stored_at"))
 
 
-def violation_records(audits: DataFrame, run_id: str, id_col: str = "doc_id", stored_at: Column | None = None, dim: int = DEFAULT_DIM,
-                      embedder: Embedder | None = None) -> DataFrame:
+def violation_records(audits: DataFrame, run_id: str, id_col: str = "doc_id", stored_at: Column | None = None) -> DataFrame:
     """An audit's violations as history records: searched by their matched text, else
     their message; the id is fixed by run, document and place, so storing a run
-    twice stores it once."""
+    twice stores it once.  They have no vectors yet: `VectorTable.upsert` embeds them."""
     from clausewise.plans.audit import search_text
     long = explode_rows(audits, [id_col], F.col("violations"))
     key = F.sha2(F.concat_ws("|", F.lit(run_id), F.col(id_col).cast("string"), F.col("v.seq").cast("string")), 256)
     told = F.to_json(F.struct(F.col(id_col).alias("doc_id"), F.col("v.type").alias("type"), F.col("v.rule_id").alias("rule_id"), F.col("v.severity").alias("severity")))
     rows = long.select(F.substring(key, 1, 32).alias("id"), search_text(F.col("v")).alias("text"), told.alias("metadata"))
-    return records_of(rows, "id", "text", stored_at=stored_at, metadata=F.col("metadata"), dim=dim, embedder=embedder)
+    return records_of(rows, "id", "text", stored_at=stored_at, metadata=F.col("metadata")).drop("embedding")
