@@ -249,8 +249,14 @@ def longer(blocks: DataFrame, levels: list[dict]) -> DataFrame:
 
 
 def most_frequent(phrases: DataFrame, limit: int) -> list:
+    """The rows of `most_frequent_table`."""
+    return most_frequent_table(phrases, limit).to_pylist()
+
+
+def most_frequent_table(phrases: DataFrame, limit: int) -> pa.Table:
     """The rows of the highest counts, `limit` at most: whole count classes of
-    a logarithmic histogram, so only its classes and the rows themselves move."""
+    a logarithmic histogram, so only its classes and the rows themselves move.  They stay
+    Arrow columns: hundreds of thousands of Python rows are most of a small driver."""
     bucket = F.floor(F.log(F.col("f")) * 64)
     fits, at_least = 0, None
     for row in sorted(phrases.groupBy(bucket.alias("b")).count().collect(), reverse=True):
@@ -258,19 +264,18 @@ def most_frequent(phrases: DataFrame, limit: int) -> list:
         if fits > limit:
             break
         at_least = row["b"]
-    return [] if at_least is None else phrases.filter(bucket >= at_least).collect()
+    return (phrases.limit(0) if at_least is None else phrases.filter(bucket >= at_least)).toArrow()
 
 
-def tile_ids(rows: list) -> dict:
-    """Id of each (lang, phrase): by frequency, a language's from a new tile."""
-    out, last, base = {}, None, -TILE
-    for row in sorted(rows, key=lambda r: (r["lang"], -r["f"], r["phrase"])):
-        if row["lang"] != last:
-            last, base = row["lang"], math.ceil((base + 1) / TILE) * TILE if out else 0
-        else:
-            base += 1
-        out[row["lang"], row["phrase"]] = base
-    return out
+def tile_ids(top: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """(the rows by language and frequency, the id of each): a language's from a new tile."""
+    top = top.sort_by([("lang", "ascending"), ("f", "descending"), ("phrase", "ascending")])
+    if not len(top):
+        return top, np.zeros(0, np.int64)
+    size = pc.value_counts(top["lang"].combine_chunks()).field("counts").to_numpy(zero_copy_only=False)  # in order of appearance
+    tiles = np.concatenate([[0], np.cumsum(-(-size[:-1] // TILE))]) * TILE
+    within = np.arange(len(top)) - np.repeat(np.cumsum(size) - size, size)
+    return top, np.repeat(tiles, size) + within
 
 
 def frequent_phrases(blocks: DataFrame, min_count: int = 100, longest: int = 5, max_ids: int = MAX_IDS) -> DataFrame:
@@ -284,24 +289,21 @@ def frequent_phrases(blocks: DataFrame, min_count: int = 100, longest: int = 5,
     while len(found) < longest:
         rankable = found[-1].filter(F.col("key").isNotNull()) if levels else found[-1].filter(
             (F.octet_length("phrase") <= ID_BYTES) & (F.octet_length("lang") <= ID_BYTES))
-        top = most_frequent(rankable, max_ids)
+        top, ids = tile_ids(most_frequent_table(rankable, max_ids))
         n_frequent = found[-1].count()
         if n_frequent == 0:
             break
-        ids = tile_ids(top)
         left_out = n_frequent > len(top)
         if levels:
-            pairs = sorted((r["key"], ids[r["lang"], r["phrase"]]) for r in top)
-            levels.append({"keys": np.array([p[0] for p in pairs], np.int64), "ids": np.array([p[1] for p in pairs], np.int64), "open": left_out})
+            keys = top["key"].to_numpy()
+            order = np.argsort(keys)
+            levels.append({"keys": keys[order], "ids": ids[order], "open": left_out})
         else:
-            by_lang: dict = {}
-            for (lang, word), i in ids.items():
-                by_lang.setdefault(lang, ([], []))
-                by_lang[lang][0].append(word)
-                by_lang[lang][1].append(i)
-            levels.append({"words": {k: (pa.array(w, pa.string()), np.array(i, np.int64)) for k, (w, i) in by_lang.items()}, "open": left_out})
-        named = spark.createDataFrame(pa.table({"id": pa.array(ids.values(), pa.int32()), "lang": pa.array([k[0] for k in ids], pa.string()),
-                                                "phrase": pa.array([k[1] for k in ids], pa.string())}))
+            lang, phrase = top["lang"].combine_chunks(), top["phrase"].combine_chunks()
+            at = {k.as_py(): np.flatnonzero(pc.equal(lang, k).to_numpy(zero_copy_only=False)) for k in pc.unique(lang)}
+            levels.append({"words": {k: (phrase.take(pa.array(i)), ids[i]) for k, i in at.items()}, "open": left_out})
+        named = spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int32()), "lang": top["lang"], "phrase": top["phrase"]}))
+        del top, ids
         by_text = ["lang", "phrase"] if left_out else []
         counted = longer(blocks, levels).groupBy("key", *by_text).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
         if left_out:
