@@ -110,3 +110,11 @@ def test_uploads_are_written_by_many_tasks(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     _, rows = catalog._uploads(spark, str(tmp_path), "documents", catalog._upload_name(), F.lit(True))
     assert rows.rdd.getNumPartitions() == 3
+
+
+def test_rows_of_one_upload_are_one_file(spark, tmp_path):
+    """A document that repeats is one file with both texts, however many tasks write."""
+    n = 2 * catalog.UPLOADS_PER_TASK
+    spark.range(n).select((F.col("id") % (n // 2) * 10).alias("doc_id"), F.lit("t").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    back = catalog.s1_read_corpus(spark, str(tmp_path))
+    assert back.count() == n // 2 and {r.n_chars for r in back.select("n_chars").distinct().collect()} == {3}
