@@ -7,12 +7,17 @@ Every set is embedded as T minhash values, so that the sampled tokens are
 
 Chosen path: a run samples tokens at 1 / (threshold * T) each, so a set goes on to
 1 / threshold children on average and two similar sets meet in one child or
-more.  Buckets of at most SMALL sets are compared by brute force on their embeddings;
-larger ones are split again by as many tokens, sampled by the path, as make
-them small where half of the values agree, and by as many such paths as keep a pair at the threshold
-together with probability `recall`; what is still large agrees on more: all its sets become candidates of each
-other, linked through one of them, so that no pair of it is left out and the exact comparison decides.  Runs are repeated until a pair at the
-threshold meets in a first bucket with probability `recall` or more.
+more.  Buckets of at most SMALL sets are compared by brute force on their embeddings.
+In larger ones the agreement of pairs is measured, over all pairs inside chunks of about
+CHUNK sets.  Where half of the pairs or more are candidates already, further tokens
+separate nothing: all sets of the bucket become candidates of each other, linked through
+one of them, so that no pair of it is left out and the exact comparison decides.  Other
+buckets are split again by as many tokens, sampled by the path, as leave a set with few
+sets below the candidate bound (TOKENS at most), and by as many such paths as keep a pair
+at the threshold together with probability `recall`; what is still large agrees on more
+and is linked like a dense bucket.  A set so goes on to no more than paths_for(threshold,
+TOKENS, recall) children of a bucket, however large that is.  Runs are
+repeated until a pair at the threshold meets in a first bucket with probability `recall` or more.
 
 Candidates (embedding agreement within five standard errors of the threshold)
 form components.  Each component is then compared exactly, on whole shingle
@@ -45,8 +50,10 @@ from clausewise.llm.common import Groups, gram_hashes, materialise, mix64, n_par
 from clausewise.llm.components import components
 
 T = 64            # embedding size
-SMALL = 128       # sets compared by brute force in one bucket
+SMALL = 1024      # sets compared by brute force in one bucket
+CHUNK = 128       # sets among which the agreement of a larger bucket is measured
 DEPTH = 1         # splits of a large bucket before all its sets become candidates
+TOKENS = 6        # most tokens of one split
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
 
 
@@ -147,9 +154,38 @@ def _paths(sets: DataFrame, tokens: list[tuple[int, int]]) -> DataFrame:
     return sets.select("node", "emb").mapInArrow(run, "key long, node binary")
 
 
+def _agreement(rows: DataFrame, least: int) -> DataFrame:
+    """(key, dense, steps) of the buckets of (key, load, node, emb), over all pairs inside
+    chunks of about CHUNK sets.  dense: half of the pairs or more are candidates.
+    steps: the fewest tokens (TOKENS at most) that leave a set with SMALL / 2 sets
+    that are no candidates, where sets count by the number left with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in Groups("chunk")(batches):
+            n = group.num_rows
+            emb = np.frombuffer(b"".join(group["emb"].to_pylist()), np.uint32).reshape(n, T)
+            same = np.array([(emb == e).sum(axis=1) for e in emb])
+            near = same >= least
+            share = np.where(near, 0, same) / T
+            left = np.array([(share ** m).sum(axis=1) / max(n - 1, 1) for m in range(1, TOKENS + 1)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group["key"][0].as_py()] * TOKENS, pa.int64()), pa.array(range(1, TOKENS + 1), pa.int32()), pa.array([n * (n - 1)] * TOKENS, pa.int64()),
+                 pa.array([int(near.sum()) - n] * TOKENS, pa.int64()), pa.array(left.sum(axis=1)), pa.array((left ** 2).sum(axis=1))],
+                ["key", "m", "pairs", "near", "left", "left2"])
+
+    chunk = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("load") / F.lit(CHUNK))))
+    dealt = rows.select("key", chunk.alias("chunk"), "emb").repartition(n_partitions(rows), "chunk").sortWithinPartitions("chunk")
+    found = dealt.mapInArrow(run, "key long, m int, pairs long, near long, left double, left2 double")
+    found = found.groupBy("key", "m").agg(*[F.sum(c).alias(c) for c in ("pairs", "near", "left", "left2")])
+    load = rows.groupBy("key").agg(F.max("load").alias("load"))
+    fits = F.when(F.col("load") * F.col("left2") <= F.lit(SMALL / 2) * F.col("left"), F.col("m"))
+    return found.join(load, "key").groupBy("key").agg(
+        F.max(2 * F.col("near") >= F.col("pairs")).alias("dense"), F.coalesce(F.min(fits), F.lit(TOKENS)).alias("steps"))
+
+
 def _split(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Children of (key, load, node, emb): a path goes on by as many sampled
-    tokens as halve its bucket to SMALL, and by so many such paths that a
+    """Children of (key, steps, node, emb): a path goes on by as many sampled
+    tokens as its bucket's steps, and by so many such paths that a
     pair at the threshold keeps one with probability `recall`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +193,7 @@ def _split(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy().view(np.uint64)
-            steps = np.maximum(1, np.ceil(np.log2(batch.column(1).to_numpy() / SMALL)).astype(int))
+            steps = batch.column(1).to_numpy()
             emb = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, T)
             for m in np.unique(steps):
                 at = np.flatnonzero(steps == m)
@@ -171,7 +207,7 @@ def _split(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
                     take = pa.array(at)
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(2).take(take), batch.column(3).take(take)], ["key", "node", "emb"])
 
-    return rows.select("key", "load", "node", "emb").mapInArrow(run, "key long, node binary, emb binary")
+    return rows.select("key", "steps", "node", "emb").mapInArrow(run, "key long, node binary, emb binary")
 
 
 def forest(similar: np.ndarray) -> np.ndarray:
@@ -219,6 +255,12 @@ def _bucket_edges(rows: DataFrame, least: int) -> DataFrame:
     return keyed.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _star(rows: DataFrame) -> DataFrame:
+    """(a, b): all sets of a bucket as candidates of each other, through its first set."""
+    first = rows.groupBy("key").agg(F.min("node").alias("a"))
+    return rows.select("key", "node").join(first, "key").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+
+
 def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Candidate pairs as forest edges per bucket (a, b) over (node, emb)."""
     tokens = root_tokens(threshold, runs_for(recall))
@@ -236,15 +278,15 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
         large = rows.filter(F.col("load") > SMALL)
         if large.isEmpty():
             break
-        if level < DEPTH:
-            kids = materialise(_split(large, threshold, recall), "path-kids")
-            load = kids.groupBy("key").agg(F.count("*").alias("load")).filter("load > 1")
-            rows = kids.join(load, "key").select("key", "load", "node", "emb")
-        else:
-            # sets that agree on every sampled token: all candidates of each other, through the bucket's first set
-            first = large.groupBy("key").agg(F.min("node").alias("a"))
-            star = large.join(first, "key").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
-            found = found.unionByName(star.distinct())
+        if level == DEPTH:
+            # sets that agree on every sampled token
+            found = found.unionByName(_star(large))
+            break
+        large = large.join(materialise(_agreement(large, least), "path-agreement"), "key")
+        found = found.unionByName(_star(large.filter("dense")))
+        kids = materialise(_split(large.filter("NOT dense"), threshold, recall), "path-kids")
+        load = kids.groupBy("key").agg(F.count("*").alias("load")).filter("load > 1")
+        rows = kids.join(load, "key").select("key", "load", "node", "emb")
     return found
 
 

@@ -85,6 +85,48 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert got == sorted(brute_classes(docs))
 
 
+def children(monkeypatch):
+    """(rows, row count) lists of the split buckets, filled as they are written."""
+    got, write = [], jaccard.materialise
+
+    def kept(df, name):
+        out = write(df, name)
+        if name == "path-kids":
+            got.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", kept)
+    return got
+
+
+def test_children_of_a_growing_group(spark, monkeypatch):
+    # a group of near copies is not split: each set would go to all children of its paths
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    made = children(monkeypatch)
+    base = [f"t{i}" for i in range(300)]
+    for n in (60, 240):
+        docs = [(i, " ".join(base[:i % 300] + [f"u{i}"] + base[i % 300 + 1:])) for i in range(n)]
+        got = sorted((r.doc_id, r.class_id, r.n_links, r.n_text_links) for r in similarity_classes(frame(spark, docs)).collect())
+        assert got == sorted(brute_classes(docs))
+        assert made.pop() <= n * len(jaccard.root_tokens(0.8, jaccard.runs_for(0.9995)))
+
+
+def test_large_buckets_of_a_common_passage(spark, monkeypatch):
+    # buckets that share a passage but are not similar: split by what they agree on, pairs kept
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    made = children(monkeypatch)
+    rnd = random.Random(11)
+    common, docs = [f"c{i}" for i in range(50)], []
+    for i in range(0, 400, 2):
+        w = common + [f"v{rnd.randrange(10**6)}" for _ in range(rnd.choice([60, 150]))]
+        docs.append((i, " ".join(w)))
+        docs.append((i + 1, " ".join(w[:-4] + [f"x{i}"] * 4 if i % 4 else rnd.sample(w, len(w)))))
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_text_links) for r in similarity_classes(frame(spark, docs)).collect())
+    assert got == sorted(brute_classes(docs)) and sum(r[2] for r in got) >= 200
+    roots, paths = len(jaccard.root_tokens(0.8, jaccard.runs_for(0.9995))), jaccard.paths_for(0.8, jaccard.TOKENS, 0.9995)
+    assert 0 < made.pop() <= len(docs) * roots * paths
+
+
 def test_threshold_itself_counts(spark):
     # 9 and 11 shingles, 9 shared... 8 of 10: exactly 0.8
     a = " ".join(f"a{i}" for i in range(12))  # 8 shingles
