@@ -15,10 +15,11 @@ all tasks.  Frequent pairs are ranked again, and neighbours that overlap in all
 the pairs of the next level: a phrase can only be frequent if both of them are.
 
 Dictionaries of ids are sent to the tasks, so a level's holds the `max_ids` most frequent phrases
-at most (words of over 64 bytes none).  If frequent phrases remain outside, neighbours that are not
-ranked may still be frequent: their phrases are counted by their text instead, which is exact
-at any size.  Sums are partial in every task, so no frequent word, phrase or language gathers in one
-task; joins by part of a phrase are salted.
+at most (words of over 64 bytes none).  Only the words' dictionary holds text: a longer phrase is a
+pair of ids, and its text is written by the tasks from the words its ids lead to.  If frequent phrases
+remain outside, neighbours that are not ranked may still be frequent: their phrases are counted
+by their text instead, which is exact at any size but dear.  Sums are partial in every task, so no frequent
+word, phrase or language gathers in one task; joins by a frequent part of a phrase are salted.
 
 Edge cases: null text is empty; null language is `und`; documents without words only add nothing;
 repeated rows count each time; a language without candidates has no rows; an empty table gives
@@ -44,11 +45,12 @@ from clausewise.session import checkpoint_dir
 TILE = 1024
 DENSE = TILE * TILE // 16   # pairs from which a tile is counted densely
 HELD = 500_000              # pairs a task holds before it counts them
-MAX_IDS = 400_000           # ids of a level's dictionary
+MAX_IDS = 4_000_000         # ids of a level's dictionary: 12 bytes each, words with their text
 ID_BYTES = 64               # longest word (and language name) in the dictionary
 BLOCK = 256_000             # text bytes of a block, one document at least
 GROUP_BYTES = 8_000_000     # of blocks read at once
 SALT = 8
+FREQUENT, MAX_FREQUENT = 1000, 10_000   # parts salted in joins: of so many times `min_count`, and so many at most
 NONE, OPEN = -1, -2         # certainly not frequent; not ranked, may be frequent
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -173,17 +175,20 @@ def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 # A level holds the ids of the most frequent phrases of one length, in plain values so that it can be sent anywhere:
-# "words", per language (words, ids), or "keys", the ascending id pairs of the level before, with their "ids";
-# "open": frequent phrases of this length exist that have no id.
+# "words", per language (words, their ids in a row), or "keys", the ascending id pairs of the level before, with their "ids";
+# "open": frequent phrases of this length exist that could have an id and have none;
+# "texts": there are some that can't have one (long words, and pairs with a part without an id).
 
 def word_status(level: dict, lang: str, words: pa.Array) -> np.ndarray:
-    """Id, NONE or OPEN of each word."""
+    """Id, NONE or OPEN of each of distinct words."""
     out = np.full(len(words), OPEN if level["open"] else NONE, np.int64)
+    if level["texts"]:
+        out[pc.greater(pc.binary_length(words), ID_BYTES).to_numpy(zero_copy_only=False) | (len(lang.encode()) > ID_BYTES)] = OPEN
     if lang in level["words"]:
         known, ids = level["words"][lang]
-        at = pc.index_in(words, value_set=known)
+        at = pc.index_in(known, value_set=words)  # the table of a block's words is the smaller one to build
         found = pc.is_valid(at).to_numpy(zero_copy_only=False)
-        out[found] = ids[at.drop_null().to_numpy()]
+        out[at.drop_null().to_numpy()] = ids[found]
     return out
 
 
@@ -191,9 +196,10 @@ def pair_status(level: dict, status: np.ndarray) -> np.ndarray:
     """Status of each phrase of this length from that of one word less."""
     left, right, keys = status[:-1], status[1:], level["keys"]
     out = np.full(len(left), NONE, np.int64)
-    if level["open"]:
-        out[(left != NONE) & (right != NONE)] = OPEN
-    both = np.flatnonzero((left >= 0) & (right >= 0))
+    ranked = (left >= 0) & (right >= 0)
+    if level["open"] or level["texts"]:
+        out[(left != NONE) & (right != NONE) & (~ranked | level["open"])] = OPEN
+    both = np.flatnonzero(ranked)
     key = left[both] << 32 | right[both]
     if len(keys):
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -202,12 +208,17 @@ def pair_status(level: dict, status: np.ndarray) -> np.ndarray:
     return out
 
 
+def counted_by_text(level: dict) -> bool:
+    """Whether frequent phrases of this length have no id."""
+    return level["open"] or level["texts"]
+
+
 def longer(blocks: DataFrame, levels: list[dict]) -> DataFrame:
     """key (pair of ids) or lang and phrase, with partial counts n: the
     phrases of one word more than the last level."""
     size = len(levels) + 1
     shared = blocks.sparkSession.sparkContext.broadcast(levels)
-    texts = levels[-1]["open"]
+    texts = counted_by_text(levels[-1])
     names = ["key", "lang", "phrase", "n"] if texts else ["key", "n"]
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +259,50 @@ def longer(blocks: DataFrame, levels: list[dict]) -> DataFrame:
     return blocks.select("lang", "words", "ids").mapInArrow(run, schema)
 
 
+def word_ids(levels: list[dict], key: np.ndarray) -> list[np.ndarray]:
+    """The ids of the words of phrases that are pairs of the last level's ids."""
+    pairs = []  # of each level but the words', by id
+    for level in levels[1:]:
+        pairs.append(np.zeros(int(level["ids"].max(initial=0)) + 1, np.int64))
+        pairs[-1][level["ids"]] = level["keys"]
+
+    def last(ids: np.ndarray, n: int) -> np.ndarray:
+        for pair in reversed(pairs[:n]):
+            ids = pair[ids] & 0xFFFFFFFF
+        return ids
+
+    out, rest = [], key
+    for n in range(len(levels) - 1, -1, -1):  # the last word of the right part, then the same of the left part
+        out.append(last(rest & 0xFFFFFFFF, n))
+        left = rest >> 32
+        rest = pairs[n - 1][left] if n else left
+    return [rest, *reversed(out)]
+
+
+def named(counted: DataFrame, levels: list[dict]) -> DataFrame:
+    """lang, phrase, words, f, key of counted pairs of ids (key, f): their words are found
+    by the dictionaries, without a join."""
+    shared = counted.sparkSession.sparkContext.broadcast(levels)
+    names = ["lang", "phrase", "words", "f", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        langs, held = zip(*known[0]["words"].items(), strict=True) if known[0]["words"] else ((), ())
+        text = pa.chunked_array([words for words, _ in held], pa.string())
+        start = np.array([ids[0] for _, ids in held], np.int64)
+        base = np.cumsum([0, *[len(words) for words, _ in held]])[:-1]
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = word_ids(known, key)
+            of = np.searchsorted(start, ids[0], side="right") - 1  # a language's ids are in a row
+            parts = [text.take(pa.array(i - start[of] + base[of])).combine_chunks() for i in ids]
+            phrase = pc.binary_join_element_wise(*parts, " ")
+            columns = [pa.array(langs, pa.string()).take(pa.array(of)), phrase, pa.repeat(pa.scalar(len(ids), pa.int32()), len(key)), batch.column(1), batch.column(0)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return counted.select("key", "f").mapInArrow(run, "lang string, phrase string, words int, f long, key long")
+
+
 def most_frequent(phrases: DataFrame, limit: int) -> list:
     """The rows of `most_frequent_table`."""
     return most_frequent_table(phrases, limit).to_pylist()
@@ -269,7 +324,8 @@ def most_frequent_table(phrases: DataFrame, limit: int) -> pa.Table:
 
 def tile_ids(top: pa.Table) -> tuple[pa.Table, np.ndarray]:
     """(the rows by language and frequency, the id of each): a language's from a new tile."""
-    top = top.sort_by([("lang", "ascending"), ("f", "descending"), ("phrase", "ascending")])
+    tie = "phrase" if "phrase" in top.column_names else "key"
+    top = top.sort_by([("lang", "ascending"), ("f", "descending"), (tie, "ascending")])
     if not len(top):
         return top, np.zeros(0, np.int64)
     size = pc.value_counts(top["lang"].combine_chunks()).field("counts").to_numpy(zero_copy_only=False)  # in order of appearance
@@ -281,43 +337,38 @@ def tile_ids(top: pa.Table) -> tuple[pa.Table, np.ndarray]:
 def frequent_phrases(blocks: DataFrame, min_count: int = 100, longest: int = 5, max_ids: int = MAX_IDS) -> DataFrame:
     """lang, phrase, words, f of all phrases of 1 to `longest` words with
     f >= min_count."""
-    spark = blocks.sparkSession
     single = (blocks.select("lang", "words", "counts").mapInArrow(_word_rows, "lang string, phrase string, n long")
               .groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
     found = [materialise(single.select("lang", "phrase", F.lit(1).alias("words"), "f", F.lit(None).cast("long").alias("key")), "phrases-1")]
     levels: list[dict] = []
     while len(found) < longest:
-        rankable = found[-1].filter(F.col("key").isNotNull()) if levels else found[-1].filter(
-            (F.octet_length("phrase") <= ID_BYTES) & (F.octet_length("lang") <= ID_BYTES))
-        top, ids = tile_ids(most_frequent_table(rankable, max_ids))
         n_frequent = found[-1].count()
         if n_frequent == 0:
             break
-        left_out = n_frequent > len(top)
+        if levels:  # numbers only
+            rankable = found[-1].filter(F.col("key").isNotNull()).select("lang", "f", "key")
+        else:
+            rankable = found[-1].filter((F.octet_length("phrase") <= ID_BYTES) & (F.octet_length("lang") <= ID_BYTES)).select("lang", "f", "phrase")
+        n_rankable = rankable.count()
+        top, ids = tile_ids(most_frequent_table(rankable, max_ids))
+        left_out = {"open": n_rankable > len(top), "texts": n_frequent > n_rankable}
         if levels:
             keys = top["key"].to_numpy()
             order = np.argsort(keys)
-            levels.append({"keys": keys[order], "ids": ids[order], "open": left_out})
+            levels.append({"keys": keys[order], "ids": ids[order].astype(np.int32)} | left_out)
         else:
             lang, phrase = top["lang"].combine_chunks(), top["phrase"].combine_chunks()
             at = {k.as_py(): np.flatnonzero(pc.equal(lang, k).to_numpy(zero_copy_only=False)) for k in pc.unique(lang)}
-            levels.append({"words": {k: (phrase.take(pa.array(i)), ids[i]) for k, i in at.items()}, "open": left_out})
-        named = spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int32()), "lang": top["lang"], "phrase": top["phrase"]}))
+            levels.append({"words": {k: (phrase.take(pa.array(i)), ids[i]) for k, i in at.items()}} | left_out)
+            del lang, phrase, at
         del top, ids
-        by_text = ["lang", "phrase"] if left_out else []
-        counted = longer(blocks, levels).groupBy("key", *by_text).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-        if left_out:
+        texts = counted_by_text(levels[-1])
+        counted = longer(blocks, levels).groupBy("key", *(["lang", "phrase"] if texts else [])).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+        if texts:
             counted = materialise(counted, "phrase-counts")
-        # the dictionary's size is bounded by max_ids
-        first = F.broadcast(named.select(F.col("id").alias("left"), F.col("lang").alias("of"), F.col("phrase").alias("begin")))
-        second = F.broadcast(named.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("end")))
-        tiled = (counted.filter(F.col("key").isNotNull())
-                 .withColumn("left", F.shiftright("key", 32).cast("int")).withColumn("right", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-                 .join(first, "left").join(second, "right"))
-        size = F.lit(len(levels) + 1).alias("words")
-        both = tiled.select(F.col("of").alias("lang"), F.concat_ws(" ", "begin", "end").alias("phrase"), size, "f", "key")
-        if left_out:
-            both = both.unionByName(counted.filter(F.col("key").isNull()).select("lang", "phrase", size, "f", "key"))
+        both = named(counted.filter(F.col("key").isNotNull()), levels)
+        if texts:
+            both = both.unionByName(counted.filter(F.col("key").isNull()).select("lang", "phrase", F.lit(len(levels) + 1).alias("words"), "f", "key"))
         found.append(materialise(both, f"phrases-{len(levels) + 1}"))
     out = found[0]
     for level in found[1:]:
@@ -325,11 +376,16 @@ def frequent_phrases(blocks: DataFrame, min_count: int = 100, longest: int = 5,
     return out.drop("key")
 
 
-def _salted(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+def _salted(rows: DataFrame, other: DataFrame, on: list[str], often: DataFrame | None = None) -> DataFrame:
     """Left join of many rows per key with one row per key, dealt by a part of
-    the phrase's hash."""
-    dealt = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALT)).cast("int")).join(dealt, [*on, "salt"], "left").drop("salt")
+    the phrase's hash: all keys, or those of `often` (the hash of a key) alone."""
+    every, salt = F.sequence(F.lit(0), F.lit(SALT - 1)), F.pmod(F.xxhash64("phrase"), F.lit(SALT)).cast("int")
+    if often is not None:
+        marked = F.broadcast(often.withColumn("_often", F.lit(True)))
+        rows, other = (x.withColumn("_key", F.xxhash64(*on)).join(marked, "_key", "left").drop("_key") for x in (rows, other))
+        every, salt = F.when(F.col("_often"), every).otherwise(F.array(F.lit(0))), F.when(F.col("_often"), salt).otherwise(F.lit(0))
+    dealt, rows = other.withColumn("salt", F.explode(every)), rows.withColumn("salt", salt)
+    return rows.drop("_often").join(dealt.drop("_often"), [*on, "salt"], "left").drop("salt")
 
 
 def _part(start: Column, length: Column) -> Column:
@@ -351,7 +407,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     cuts = (kept.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
             .select("lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("first"), _part(F.col("k") + 1, F.col("words")).alias("rest")))
     side = lambda part, f: counts.select("lang", F.col("phrase").alias(part), F.col("f").alias(f))
-    parts = _salted(_salted(cuts, side("first", "l"), ["lang", "first"]), side("rest", "r"), ["lang", "rest"])
+    # a part with f occurrences begins at most f / min_count candidates of a length: few, unless it is frequent
+    least = max(FREQUENT * min_count, (counts.agg(F.sum("f")).first()[0] or 0) / MAX_FREQUENT)
+    often = materialise(counts.filter(F.col("f") >= least).select(F.xxhash64("lang", "phrase").alias("_key")).distinct(), "frequent-parts")
+    parts = _salted(_salted(cuts, side("first", "l"), ["lang", "first"], often), side("rest", "r"), ["lang", "rest"], often)
     exact = {c: F.col(c).cast("decimal(19,0)") for c in "alrn"}
     scored = _salted(parts, totals, ["lang"]).withColumn("above", F.lit(1000).cast("decimal(4,0)") * exact["a"] * exact["n"]).withColumn("below", exact["l"] * exact["r"])
     lowest = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr("above div below").cast("long").alias("score"), "k", "l", "r")).alias("cut"))
