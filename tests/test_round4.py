@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from clausewise.llm import collocations as C
-from clausewise.plans import catalog
+from clausewise.plans import catalog, intake
 from clausewise.sources import ingest
 
 
@@ -55,3 +55,20 @@ def test_uploads_have_no_checksum_files(spark, tmp_path):
     import pathlib
     names = [p.name for p in pathlib.Path(folder.removeprefix("file:")).rglob("*") if p.is_file()]
     assert len([x for x in names if x.startswith("part-")]) == 3 and not [x for x in names if x.endswith(".crc") and "part-" in x]
+
+
+def test_new_files_are_found_above_the_read(spark, tmp_path, monkeypatch):
+    """An anti join would be moved below the coalesce, and the files read by tasks of a few each."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one")
+    plans, write = [], intake.written
+
+    def recorded(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name)
+    monkeypatch.setattr(intake, "written", recorded)
+    assert intake.audit_files(spark, f"{tmp_path}/in", f"{tmp_path}/out", "r1").count() == 1
+    (tmp_path / "in" / "b.txt").write_text("two")
+    assert [r.name for r in intake.audit_files(spark, f"{tmp_path}/in", f"{tmp_path}/out", "r2").collect()] == ["b.txt"]
+    first, second = [p for name, p in plans if name == "intake-files"]
+    assert "Join" not in first and "LeftAnti" not in second
